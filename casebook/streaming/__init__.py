@@ -1,0 +1 @@
+"""casebook.streaming"""
