@@ -1,6 +1,6 @@
 """Byte-level BPE encoding over a corpus-wide table of distinct words, and decoding through an id-to-piece join.
 
-Encoding. Texts are cut into words at places no token crosses (``SpacedWords``). A chunk of documents (32 MB of text at
+Encoding. Texts are cut into words at places no token crosses (``SpacedWords``). A chunk of documents (8 MB of text at
 most) keeps, per document, the positions of its words as codes into the chunk's own word list; that table is written
 once, bucketed by chunk. The words go, packed by hash bucket, to the task that owns the bucket; it encodes each
 distinct word once, with the tokenizers library, and answers every chunk. The answers join back by chunk, and the codes

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,8 +163,8 @@ def hf_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word by the tokenizers library, as a ragged array."""
     tok = hf_tokenizer(path)
     rows: list[list[int]] = []
-    for at in range(0, len(words), 50_000):
-        rows += [e.ids for e in tok.encode_batch_fast(words.slice(at, 50_000).to_pylist(), add_special_tokens=False)]
+    for at in range(0, len(words), 10_000):
+        rows += [e.ids for e in tok.encode_batch_fast(words.slice(at, 10_000).to_pylist(), add_special_tokens=False)]
     return ragged(rows)
 
 
