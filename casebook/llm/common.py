@@ -14,6 +14,8 @@ CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. From here on Arrow batches are bounded by bytes, as texts vary a lot in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +36,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             upto = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+            pa.default_memory_pool().release_unused()
 
 
 def lists(flat: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.LargeListArray | pa.ListArray:
@@ -162,10 +165,12 @@ def ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 def hf_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word by the tokenizers library, as a ragged array."""
     tok = hf_tokenizer(path)
-    rows: list[list[int]] = []
-    for at in range(0, len(words), 10_000):
-        rows += [e.ids for e in tok.encode_batch_fast(words.slice(at, 10_000).to_pylist(), add_special_tokens=False)]
-    return ragged(rows)
+    parts, offsets = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), 2_000):  # few of the library's own objects at a time
+        flat, ends = ragged([e.ids for e in tok.encode_batch_fast(words.slice(at, 2_000).to_pylist(), add_special_tokens=False)])
+        parts.append(flat)
+        offsets.append(ends[1:] + offsets[-1][-1])
+    return np.concatenate(parts), np.concatenate(offsets)
 
 
 def byte_bpe_ids(words: pa.Array, json_path: str | None = None, rank_path: str | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe
+from casebook.llm import bpe, repair, toxicity_crf
 from casebook.llm.common import table
+from casebook.session import new_path
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec}
+def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    repair.write_token_files(table(spark, sf_dir, "documents"), path)
+    return repair.digests(repair.read_token_files(spark, path))
+
+
+def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity_crf.score(docs, toxicity_crf.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity_crf.held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op3_repair_token_files": op3_repair_token_files, "op4_toxicity_crf": op4_toxicity_crf}
 ORACLE_SQL: dict[str, str] = {}
