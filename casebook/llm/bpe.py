@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.llm.common import SpacedWords, doc_text, gather, hf_ids, lists, public_vocabulary, ragged, text_chunks, word_hashes
@@ -134,18 +134,30 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, ends = gather(np.concatenate(by_bucket).astype(np.int32), offsets, place[codes])
             starts = ends[_unpack(batch.column("offsets")[row].as_py(), np.int64)]
             doc_ids = batch.column("doc_ids")[row].values
-            for a in range(0, len(doc_ids), 2000):  # smaller batches for the JVM
-                b = min(a + 2000, len(doc_ids))
+            for a in range(0, len(doc_ids), 500):  # smaller batches for what follows
+                b = min(a + 500, len(doc_ids))
                 yield pa.RecordBatch.from_pydict({"doc_id": doc_ids.slice(a, b - a), "ids": lists(ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a])})
 
 
-def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", n_buckets: int | None = None) -> DataFrame:
+def chained(*steps):
+    """Arrow steps one after another within one Python worker: a worker per step would hold its own memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", n_buckets: int | None = None, then: tuple = (), schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row, as the tokenizers library encodes the whole text with the file at
     ``path`` (``byte_bpe_50k.json`` of the public tokenizers unless given) and ``add_special_tokens=False``.
 
     The tokenizer must be a byte-level BPE whose pre-tokenizer attaches a space to the word behind it and adds no
     prefix space; anything else is refused. ``n_buckets``: tasks that share the distinct words (the session's number
-    of shuffle partitions unless given).
+    of shuffle partitions unless given). ``then``: Arrow steps for the encoded rows that are to run in the same Python
+    workers, such as ``decoder`` and ``digester``; ``schema`` is what the last one yields.
     """
     path = path or public_vocabulary("byte_bpe_50k.json")
     check_cuttable(path)
@@ -161,7 +173,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     answers = packets.mapInArrow(_answer(path), "chunk long, bucket int, ids binary")
     per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids")).alias("answers"))
     joined = stored.select("chunk", "doc_ids", "offsets", "codes", "owners").join(per_chunk, "chunk", "left")
-    return joined.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return joined.mapInArrow(chained(_assemble, *then), schema)
 
 
 def check_cuttable(path: str) -> None:
@@ -192,16 +204,14 @@ def piece_rows(path: str) -> list[tuple[int, bytes]]:
     return sorted(rows.items())
 
 
-def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """``keep`` columns, the ids, and ``text``: the pieces of ``ids`` joined by position and read as UTF-8, ill-formed
-    bytes replaced, special tokens kept. Null ids give an empty text."""
-    path = path or public_vocabulary("byte_bpe_50k.json")
-    pieces = piece_rows(path)
+def decoder(spark: SparkSession, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids"):
+    """The Arrow step of ``decode``. The id-to-piece table is broadcast; it has as many rows as the vocabulary file."""
+    pieces = piece_rows(path or public_vocabulary("byte_bpe_50k.json"))
     top = pieces[-1][0] if pieces else -1
     by_id: list[bytes] = [b""] * (top + 2)  # the last one stands for ids without a piece
     for i, piece in pieces:
         by_id[i] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast(by_id)  # as many as the vocabulary file has
+    shared = spark.sparkContext.broadcast(by_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(shared.value, pa.large_binary())
@@ -215,24 +225,29 @@ def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] =
             texts = [bytes(data[starts[a] : starts[b]]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keep} | {"ids": batch.column(ids), "text": pa.array(texts, pa.string())})
 
+    return run
+
+
+def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """``keep`` columns, the ids, and ``text``: the pieces of ``ids`` joined by position and read as UTF-8, ill-formed
+    bytes replaced, special tokens kept. Null ids give an empty text."""
     kinds = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep)
-    return encoded.select(*keep, F.col(ids)).mapInArrow(run, f"{kinds}, ids array<int>, text string")
+    return encoded.select(*keep, F.col(ids)).mapInArrow(decoder(encoded.sparkSession, path, keep, ids), f"{kinds}, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows of ``decode``."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("ids")
-            flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            distinct, where = np.unique(flat, return_inverse=True)
-            numbers, offsets = ragged([list(b"%d," % i) for i in distinct.tolist()])
-            shown, cuts = gather(numbers.astype(np.uint8), offsets, where)
-            raw = memoryview(shown.tobytes())
-            ids_sha = [hashlib.sha256(raw[cuts[a] : max(cuts[a], cuts[b] - 1)]).hexdigest() for a, b in zip(ends, ends[1:])]
-            text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
-
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Arrow step from rows of ``decode`` to ``DIGESTS``."""
+    for batch in batches:
+        column = batch.column("ids")
+        flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        distinct, where = np.unique(flat, return_inverse=True)
+        numbers, offsets = ragged([list(b"%d," % i) for i in distinct.tolist()])
+        shown, cuts = gather(numbers.astype(np.uint8), offsets, where)
+        raw = memoryview(shown.tobytes())
+        ids_sha = [hashlib.sha256(raw[cuts[a] : max(cuts[a], cuts[b] - 1)]).hexdigest() for a, b in zip(ends, ends[1:])]
+        text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casebook.llm import bpe, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, line_dedup, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.encode(table(spark, sf_dir, "documents"), then=(bpe.decoder(spark), bpe.digester), schema=bpe.DIGESTS)
 
 
 def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     repair.write_token_files(table(spark, sf_dir, "documents"), path)
-    return repair.digests(repair.read_token_files(spark, path))
+    return repair.read_token_files(spark, path, (repair.with_crc,), "ids_crc32", "long")
 
 
 def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +26,21 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity_crf.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op3_repair_token_files": op3_repair_token_files, "op4_toxicity_crf": op4_toxicity_crf}
-ORACLE_SQL: dict[str, str] = {}
+def op6_exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op9_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op2_bpe_codec": op2_bpe_codec,
+    "op3_repair_token_files": op3_repair_token_files,
+    "op4_toxicity_crf": op4_toxicity_crf,
+    "op6_exact_dedup_index": op6_exact_dedup_index,
+    "op9_line_dedup_runs": op9_line_dedup_runs,
+}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup_index": exact_dedup.op6_sql(), "op9_line_dedup_runs": line_dedup.op9_sql()}

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casebook.llm.bpe import chained
 from casebook.llm.common import doc_text, encode_column, gather, lists, text_chunks
 
 SHARD = "part int, shard int, first_id long, last_id long, n_tokens long, doc_ids array<long>, doc_lengths binary, base long, rules binary, rule_lengths binary, sequence binary"
@@ -186,8 +187,9 @@ def _u4s(scalar) -> np.ndarray:
     return np.frombuffer(scalar.as_py(), "<u4").astype(np.int64)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, then: tuple = (), column: str = "ids", kind: str = "array<int>") -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every stored document; ``start`` counts the ids of all documents before it.
+    ``then``: Arrow steps to run in the same Python workers, such as ``with_crc``, that turn ``ids`` into ``column``.
 
     Positions come from two small prefix sums, over the parts and over the shards of each part."""
 
@@ -206,13 +208,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     })
 
     stored = spark.read.schema(SHARD).parquet(path)
-    docs = stored.mapInArrow(run, "part int, shard int, doc_id long, local long, n_tokens long, ids array<int>")
+    docs = stored.mapInArrow(chained(run, *then), f"part int, shard int, doc_id long, local long, n_tokens long, {column} {kind}")
     shards = stored.select("part", "shard", "n_tokens")
     before = (Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("part_start"))
     within = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(*before)), F.lit(0)).alias("shard_start"))
     starts = within.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("base_start"))
-    return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("base_start") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("base_start") + F.col("local")).alias("start"), "n_tokens", column)
 
 
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -238,15 +240,11 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.schema(SHARD).parquet(path).where(may).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(read: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of rows of ``read_token_files``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("ids")
-            raw = memoryview(pc.list_flatten(column).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", "start", "n_tokens")} | {"ids_crc32": pa.array(crc, pa.int64())})
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An Arrow step that puts the crc32 of the ids in the place of the ids."""
+    for batch in batches:
+        column = batch.column("ids")
+        raw = memoryview(pc.list_flatten(column).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in batch.schema.names if k != "ids"} | {"ids_crc32": pa.array(crc, pa.int64())})
