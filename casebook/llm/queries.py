@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact_dedup, line_dedup, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, fertility, line_dedup, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
@@ -36,11 +36,16 @@ def op9_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.assess(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_repair_token_files": op3_repair_token_files,
     "op4_toxicity_crf": op4_toxicity_crf,
     "op6_exact_dedup_index": op6_exact_dedup_index,
     "op9_line_dedup_runs": op9_line_dedup_runs,
+    "op10_fertility_rules": op10_fertility_rules,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup_index": exact_dedup.op6_sql(), "op9_line_dedup_runs": line_dedup.op9_sql()}
