@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact_dedup, fertility, line_dedup, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, fertility, line_dedup, ngram_join, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
@@ -31,6 +31,10 @@ def op6_exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_repair_token_files": op3_repair_token_files,
     "op4_toxicity_crf": op4_toxicity_crf,
     "op6_exact_dedup_index": op6_exact_dedup_index,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_line_dedup_runs": op9_line_dedup_runs,
     "op10_fertility_rules": op10_fertility_rules,
 }
