@@ -1,8 +1,7 @@
 """Byte-level BPE encoding over a corpus-wide table of distinct words, and decoding through an id-to-piece join.
 
-Encoding. Texts are cut into words at places no token crosses (``SpacedWords``). A chunk of documents (8 MB of text at
-most) keeps, per document, the positions of its words as codes into the chunk's own word list; that table is written
-once, bucketed by chunk. The words go, packed by hash bucket, to the task that owns the bucket; it encodes each
+Encoding. Texts are cut into words at places no token crosses (``SpacedWords``). A chunk of documents (about 16 MB of
+text) keeps, per document, the positions of its words as codes into the chunk's own word list; that table is written once, bucketed by chunk. The words go, packed by hash bucket, to the task that owns the bucket; it encodes each
 distinct word once, with the tokenizers library, and answers every chunk. The answers join back by chunk, and the codes
 turn into ids by position. What moves is words and answers, never positions or texts; a word moves once per chunk that
 holds it, so a very frequent word is no hot key, and nothing is broadcast.
@@ -28,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm.common import SpacedWords, doc_text, gather, hf_ids, lists, public_vocabulary, ragged, text_chunks, word_hashes
+from casebook.llm.common import SpacedWords, doc_text, gather, hf_ids, lists, merged, public_vocabulary, ragged, text_chunks, word_hashes
 from casebook.session import new_path
 
+CHUNK_TEXT = 12 << 20
 CODED = "chunk long, doc_ids array<long>, offsets binary, codes binary, owners binary, sent array<struct<bucket:int,words:binary>>"
 
 
@@ -68,7 +68,7 @@ def unpack_words(b: bytes) -> pa.Array:
 def _code_chunks(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(merged(batches, "text", CHUNK_TEXT), limit=2 * CHUNK_TEXT):
             spaced = SpacedWords(chunk.column("text"))
             rank = np.argsort(-np.bincount(spaced.codes, minlength=len(spaced.words)), kind="stable")
             renamed = np.empty(len(rank), dtype=np.int64)

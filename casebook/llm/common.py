@@ -39,6 +39,19 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             pa.default_memory_pool().release_unused()
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Join Arrow batches until they hold ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def lists(flat: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.LargeListArray | pa.ListArray:
     """A list array over ``flat`` with the given offsets (32-bit where they fit, as Spark expects)."""
     values = flat if isinstance(flat, pa.Array) else pa.array(flat)
