@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact_dedup, fertility, line_dedup, ngram_join, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, fertility, line_dedup, ngram_join, packing, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
@@ -35,6 +35,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_toxicity_crf": op4_toxicity_crf,
     "op6_exact_dedup_index": op6_exact_dedup_index,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_cutting_stock_packing": op8_cutting_stock_packing,
     "op9_line_dedup_runs": op9_line_dedup_runs,
     "op10_fertility_rules": op10_fertility_rules,
 }
