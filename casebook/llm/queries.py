@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact_dedup, fertility, line_dedup, ngram_join, packing, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, fertility, html_diff, line_dedup, ngram_join, packing, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
@@ -26,6 +26,10 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity_crf.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
+def op5_html_url_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_repair_token_files": op3_repair_token_files,
     "op4_toxicity_crf": op4_toxicity_crf,
+    "op5_html_url_diff": op5_html_url_diff,
     "op6_exact_dedup_index": op6_exact_dedup_index,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_cutting_stock_packing": op8_cutting_stock_packing,
