@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact_dedup, fertility, html_diff, line_dedup, ngram_join, packing, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, fertility, html_diff, line_dedup, ngram_join, packing, quality_cotrain, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
 
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_cotrain.score(docs, quality_cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), then=(bpe.decoder(spark), bpe.digester), schema=bpe.DIGESTS)
 
@@ -53,6 +58,7 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_cotraining": op1_quality_cotraining,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_repair_token_files": op3_repair_token_files,
     "op4_toxicity_crf": op4_toxicity_crf,

@@ -322,6 +322,6 @@ def score(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ()) -> DataFrame:
                             found[row].append({"start": m.start(), "end": m.end(), "marginal": float(p[offsets[row] + i])})
             yield pa.RecordBatch.from_pydict({k: chunk.column(k) for k in ("doc_id", *keep)} | {"score": value, "predicted": pa.array((value >= 0.5).astype(np.int32)), "spans": pa.array(found, span)})
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *keep, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")) if "text" not in keep else docs.select(docs["doc_id"].cast("long").alias("doc_id"), *keep)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *(k for k in keep if k != "text"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return rows.mapInArrow(run, f"doc_id long{kinds}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
