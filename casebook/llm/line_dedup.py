@@ -84,7 +84,7 @@ class LineRuns:
         gone = keys.join(repeated.hint("merge"), "h").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
         gone = written(gone, "line-gone")
         self.compact()
-        both = lines.join(gone, "doc_id", "left")
+        both = lines.join(gone.hint("merge"), "doc_id", "left")
         kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("gone"), hash_of(x, self.min_chars)), F.lit(False)))
         kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept)
         return both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"), "lines").select(
