@@ -1 +1,124 @@
-"""(to come)"""
+"""Queries of near-duplicate clustering and splits."""
+
+from pyspark.sql import functions as F
+
+from casebook.operators import components as C
+from casebook.operators import dedup as D
+from casebook.plans.fixtures import base, duck, view
+from casebook.plans.registry import query
+
+RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
+
+
+def texts(spark, sf_dir):
+    return base(spark, sf_dir, "benchmark").select(F.col("item_id").alias("uid"), F.lower("text").alias("text")).unionByName(base(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1000000).alias("uid"), F.lower("text").alias("text")))
+
+
+_TEXTS = "texts AS (SELECT item_id AS uid, lower(text) AS text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn + 1000000, lower(text) FROM conversations WHERE role = 'user')"
+_TFIDF = f"""{_TEXTS}, toks AS (SELECT uid, regexp_extract_all(text, '[a-z0-9_]{{2,}}') AS t FROM texts),
+long AS (SELECT uid, unnest(t) AS term FROM toks UNION ALL SELECT uid, unnest(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1]))) FROM toks),
+tf AS (SELECT uid, term, count(*) AS tf FROM long GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
+x AS (SELECT uid, term, tf * (ln((1 + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS x FROM tf JOIN dfs USING (term)),
+v AS (SELECT uid, term, x / sqrt(sum(x * x) OVER (PARTITION BY uid)) AS w FROM x)"""
+
+
+def ascii_texts(spark, sf_dir):
+    """Accents and other letters out, so that both engines' word classes agree."""
+    return texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^a-z0-9_ ]", " "))
+
+
+_ATFIDF = _TFIDF.replace("lower(text) AS text FROM benchmark", "regexp_replace(lower(text), '[^a-z0-9_ ]', ' ', 'g') AS text FROM benchmark").replace("1000000, lower(text)", "1000000, regexp_replace(lower(text), '[^a-z0-9_ ]', ' ', 'g')")
+_PAIRS = f"{_ATFIDF}, pairs AS (SELECT a.uid AS a, b.uid AS b, sum(a.w * b.w) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.uid < b.uid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.6)"
+
+
+@query("tfidf_vectors", f"WITH {_ATFIDF} SELECT uid, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 5) AS top FROM v GROUP BY uid")
+def tfidf_vectors(spark, sf_dir):
+    v = D.tfidf_vectors(ascii_texts(spark, sf_dir))
+    return v.groupBy("uid").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 5).alias("total"), F.round(F.max("w"), 5).alias("top"))
+
+
+@query("cosine_pairs", f"WITH {_PAIRS} SELECT a, b, round(similarity, 5) AS similarity FROM pairs")
+def cosine_pairs(spark, sf_dir):
+    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), 0.6)
+    return p.withColumn("similarity", F.round("similarity", 5))
+
+
+@query("neardup_pairs", f"WITH {_PAIRS} SELECT count(*) AS pairs, count(DISTINCT a) AS firsts, round(max(similarity), 5) AS top FROM pairs")
+def neardup_pairs(spark, sf_dir):
+    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), 0.6)
+    return p.agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("firsts"), F.round(F.max("similarity"), 5).alias("top"))
+
+
+_CC = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), walk AS (SELECT a AS node, b AS seen FROM e UNION SELECT a, a FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON w.seen = e.a), comp AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"
+
+
+@query("connected_components", f"{_CC} SELECT * FROM comp")
+def connected_components(spark, sf_dir):
+    return C.connected_components(D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), 0.6), "a", "b")
+
+
+_FULL = f"{_CC}, cl AS (SELECT t.uid, dense_rank() OVER (ORDER BY coalesce(component, t.uid)) - 1 AS cluster_id FROM texts t LEFT JOIN comp ON comp.node = t.uid)"
+
+
+def clusters(spark, sf_dir):
+    return D.cluster_near_duplicates(ascii_texts(spark, sf_dir), 0.6)
+
+
+@query("cluster_near_duplicates", f"{_FULL} SELECT * FROM cl".replace("[^a-z0-9_ ]", "[^a-z0-9 ]|x{2,}").replace("{{2,}}", "{2,}"))
+def cluster_near_duplicates(spark, sf_dir):
+    return clusters(spark, sf_dir)
+
+
+def case_clusters(spark, sf_dir):
+    return view(spark, sf_dir, "f_cases").select("uid", F.when(F.col("cluster_id") == -1, F.col("uid") + 1000000).otherwise(F.col("cluster_id")).alias("cluster_id"))
+
+
+_CCL = f"{duck('f_cases')}, {duck('f_case_labels')}, cc AS (SELECT uid, CASE WHEN cluster_id = -1 THEN uid + 1000000 ELSE cluster_id END AS cluster_id FROM f_cases)"
+
+
+@query("cluster_sizes", f"WITH {_CCL} SELECT cluster_id, count(*) AS size FROM cc GROUP BY 1")
+def cluster_sizes(spark, sf_dir):
+    return D.cluster_sizes(case_clusters(spark, sf_dir))
+
+
+@query("cluster_members", f"WITH {_CCL} SELECT cluster_id, count(*) AS size, string_agg(uid::VARCHAR, ';' ORDER BY uid) AS member_uids FROM cc GROUP BY 1 HAVING count(*) > 1")
+def cluster_members(spark, sf_dir):
+    return D.cluster_members(case_clusters(spark, sf_dir))
+
+
+@query("contamination_rate", f"WITH {_CCL}, s AS (SELECT count(*) AS n FROM cc GROUP BY cluster_id) SELECT round(sum(n) FILTER (n > 1) / sum(n), 6) AS rate FROM s")
+def contamination_rate(spark, sf_dir):
+    return D.contamination_rate(case_clusters(spark, sf_dir)).select(F.round("rate", 6).alias("rate"))
+
+
+@query("cluster_units", f"WITH {_CCL}, l AS (SELECT DISTINCT cluster_id, label FROM cc JOIN f_case_labels USING (uid)) SELECT cc.cluster_id, any_value((SELECT string_agg(label, ';' ORDER BY label) FROM l WHERE l.cluster_id = cc.cluster_id)) AS labels, count(*) AS weight FROM cc GROUP BY cc.cluster_id")
+def cluster_units(spark, sf_dir):
+    return D.cluster_units(case_clusters(spark, sf_dir), view(spark, sf_dir, "f_case_labels")).select("cluster_id", F.array_join("labels", ";").alias("labels"), "weight")
+
+
+def stratified(spark, sf_dir):
+    c = case_clusters(spark, sf_dir)
+    return c.join(D.iterative_stratify(D.cluster_units(c, view(spark, sf_dir, "f_case_labels")), RATIOS), "cluster_id").select("uid", "split", "cluster_id")
+
+
+@query("iterative_stratify")
+def iterative_stratify(spark, sf_dir):
+    return stratified(spark, sf_dir)
+
+
+@query("make_splits")
+def make_splits(spark, sf_dir):
+    t = ascii_texts(spark, sf_dir)
+    labels = t.select("uid", F.concat(F.lit("L"), (F.col("uid") % 4).cast("string")).alias("label"))
+    return D.make_splits(t, t.where("uid % 29 = 0").select("uid"), labels, RATIOS, 0.6)
+
+
+@query("class_by_split", f"WITH {_CCL} SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM f_cases JOIN f_case_labels USING (uid) GROUP BY label")
+def class_by_split(spark, sf_dir):
+    return D.class_by_split(view(spark, sf_dir, "f_cases").select("uid", "split"), view(spark, sf_dir, "f_case_labels"), list(RATIOS))
+
+
+@query("split_leakage_check", f"WITH {_CCL}, s AS (SELECT f.split, cc.* FROM cc JOIN f_cases f ON f.uid = cc.uid), l AS (SELECT count(*) AS leaking FROM (SELECT cluster_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)) SELECT split, count(*) AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS share, any_value(leaking) AS leaking FROM s, l GROUP BY split")
+def split_leakage_check(spark, sf_dir):
+    s = case_clusters(spark, sf_dir).join(view(spark, sf_dir, "f_cases").select("uid", "split"), "uid")
+    return D.split_leakage_check(s).withColumn("share", F.round("share", 6))
