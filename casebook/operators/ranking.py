@@ -119,9 +119,9 @@ def draws(cases: DataFrame, n_boot: int, seed: int, group: list[str] | None = No
     numbered = cases.withColumn("i", F.row_number().over(w) - 1)
     size = cases.groupBy(*group).agg(F.count("*").alias("n"))
     slot = numbered.select(*group, "i").join(F.broadcast(size), group) if group else numbered.select("i").join(F.broadcast(size))
-    slot = slot.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    index = (((F.col("i").cast("long") * 48271 + F.col("b").cast("long") * 69621 + seed) % p) * 16807 % p) % F.col("n")
-    drawn = slot.select(*group, "b", index.cast("int").alias("i"))
+    slot = slot.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    index = (((F.col("i").cast("long") * 48271 + F.col("rep").cast("long") * 69621 + seed) % p) * 16807 % p) % F.col("n")
+    drawn = slot.select(*group, "rep", index.cast("int").alias("i"))
     return drawn.join(numbered, [*group, "i"])
 
 
@@ -131,12 +131,12 @@ def percentile_ci(df: DataFrame, column: str, group: list[str], alpha: float = 0
 
 
 def bootstrap_mean_ci(cases: DataFrame, value: str, n_boot: int, seed: int) -> DataFrame:
-    reps = draws(cases, n_boot, seed).groupBy("b").agg(F.avg(value).alias("m"))
+    reps = draws(cases, n_boot, seed).groupBy("rep").agg(F.avg(value).alias("m"))
     return cases.agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(percentile_ci(reps, "m", []))
 
 
 def bootstrap_stratified_macro(cases: DataFrame, value: str, cls: str, n_boot: int, seed: int) -> DataFrame:
-    reps = draws(cases, n_boot, seed, [cls]).groupBy("b", cls).agg(F.avg(value).alias("m")).groupBy("b").agg(F.avg("m").alias("m"))
+    reps = draws(cases, n_boot, seed, [cls]).groupBy("rep", cls).agg(F.avg(value).alias("m")).groupBy("rep").agg(F.avg("m").alias("m"))
     point = cases.groupBy(cls).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean"))
     return point.join(percentile_ci(reps, "m", []))
 
@@ -169,18 +169,18 @@ def confusion_f1(matrix: DataFrame) -> DataFrame:
 def bootstrap_f1_ci(matrix: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """Intervals of micro and macro f1; a case is drawn with all its labels."""
     cases = matrix.select("uid").distinct()
-    d = draws(cases, n_boot, seed).select("b", "uid").join(matrix, "uid")
-    per = f1_rows(confusion_counts(d, ["b", "label"]))
-    macro = per.groupBy("b").agg(F.avg("f1").alias("macro_f1"))
-    micro = f1_rows(per.groupBy("b").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))).select("b", F.col("f1").alias("micro_f1"))
-    long = macro.join(micro, "b").unpivot("b", ["macro_f1", "micro_f1"], "metric", "v")
+    d = draws(cases, n_boot, seed).select("rep", "uid").join(matrix, "uid")
+    per = f1_rows(confusion_counts(d, ["rep", "label"]))
+    macro = per.groupBy("rep").agg(F.avg("f1").alias("macro_f1"))
+    micro = f1_rows(per.groupBy("rep").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))).select("rep", F.col("f1").alias("micro_f1"))
+    long = macro.join(micro, "rep").unpivot("rep", ["macro_f1", "micro_f1"], "metric", "v")
     return percentile_ci(long, "v", ["metric"])
 
 
 def metric_ci_table(cases: DataFrame, metrics: list[str], n_boot: int, seed: int) -> DataFrame:
     """n, mean, interval and width of every metric column."""
     long = cases.unpivot("uid", metrics, "metric", "v").where("v IS NOT NULL")
-    reps = draws(long, n_boot, seed, ["metric"]).groupBy("metric", "b").agg(F.avg("v").alias("m"))
+    reps = draws(long, n_boot, seed, ["metric"]).groupBy("metric", "rep").agg(F.avg("v").alias("m"))
     point = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     return point.join(percentile_ci(reps, "m", ["metric"]), "metric").withColumn("width", F.col("high") - F.col("low"))
 

@@ -35,7 +35,7 @@ SQL = {
         CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_custkey % 25 END AS doctor_id,
         CASE WHEN o_orderstatus = 'O' THEN 'ai_draft' WHEN o_orderstatus = 'P' THEN 'doctor_edited' ELSE 'final' END AS status,
         o_orderdate AS created_at, CAST(o_orderdate AS DATE) AS report_date, o_orderpriority AS findings, o_totalprice AS price FROM orders""",
-    "f_edit_log": """SELECT event_id, user_id AS report_id, user_id % 5 AS owner, event_id % 5 AS actor, ts AS at,
+    "f_edit_log": """SELECT event_id, user_id AS report_id, user_id % 5 AS owner, event_id % 5 AS actor, ts AS happened,
         event_type AS action, value FROM events""",
     "f_detections": """SELECT l_orderkey AS image_id, l_linenumber AS region, l_discount * 10 AS confidence, CAST(l_quantity AS BIGINT) * 3 AS x0,
         l_linenumber * 10 AS y0, CAST(l_quantity AS BIGINT) * 3 + 40 AS x1, l_linenumber * 10 + 12 AS y1,

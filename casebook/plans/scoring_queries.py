@@ -1 +1,58 @@
-"""(to come)"""
+"""Queries of text scoring."""
+
+from pyspark.sql import functions as F
+
+from casebook.operators import metadata as M
+from casebook.operators import scoring as S
+from casebook.plans.fixtures import base, duck, view
+from casebook.plans.registry import query
+
+_P = duck("f_pairs")
+_BLEU = f"""{_P}, tk AS (SELECT case_id, regexp_extract_all(lower(hyp), '[a-z0-9]+') AS h, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r FROM f_pairs),
+hg AS (SELECT case_id, n, g, count(*) AS c FROM (SELECT case_id, n, unnest(list_transform(range(1, greatest(len(h) - n + 2, 1)), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS g FROM tk, range(1, 5) x(n)) GROUP BY ALL),
+rg AS (SELECT case_id, n, g, count(*) AS c FROM (SELECT case_id, n, unnest(list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM tk, range(1, 5) x(n)) GROUP BY ALL),
+per AS (SELECT case_id, n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS total FROM hg LEFT JOIN rg USING (case_id, n, g) GROUP BY case_id, n),
+sm AS (SELECT *, pow(2, sum((m = 0)::INT) OVER (PARTITION BY case_id ORDER BY n)) AS d FROM per),
+bl AS (SELECT case_id, sum(CASE WHEN m > 0 THEN ln(m / total) ELSE -ln(d * total) END) AS s, max(m) AS hit FROM sm GROUP BY case_id),
+bleu AS (SELECT case_id, CASE WHEN len(h) >= 4 AND len(r) > 0 AND hit > 0 THEN 100 * (CASE WHEN len(h) < len(r) THEN exp(1 - len(r) / len(h)) ELSE 1 END) * exp(s / 4) ELSE 0 END AS bleu FROM tk LEFT JOIN bl USING (case_id))"""
+
+
+def pairs(spark, sf_dir):
+    return view(spark, sf_dir, "f_pairs").withColumn("case_id", F.col("case_id").cast("long"))
+
+
+@query("sentence_bleu", f"WITH {_BLEU} SELECT case_id, round(bleu, 4) AS bleu FROM bleu")
+def sentence_bleu(spark, sf_dir):
+    return S.sentence_bleu(pairs(spark, sf_dir)).withColumn("bleu", F.round("bleu", 4))
+
+
+@query("rouge_l")
+def rouge_l(spark, sf_dir):
+    return S.rouge_l(pairs(spark, sf_dir))
+
+
+@query("tier1_table")
+def tier1_table(spark, sf_dir):
+    c = base(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.lit("completed").alias("status"))
+    return S.tier1_table(pairs(spark, sf_dir), c)
+
+
+_DERP = _BLEU + """, ids AS (SELECT case_id AS uid FROM f_pairs), h AS (SELECT uid, (uid % 2147483647 * 48271 + 9 * 69621) % 2147483647 AS h FROM ids), s AS (SELECT *, h % 16 AS s FROM h),
+nx AS (SELECT uid, s, lead(uid) OVER (PARTITION BY s ORDER BY h, uid) AS n FROM s), fs AS (SELECT s, uid AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, uid) AS r FROM s) WHERE r = 1),
+ring AS (SELECT s, coalesce(lead(f) OVER (ORDER BY s), (SELECT f FROM fs ORDER BY s LIMIT 1)) AS f2 FROM fs), der AS (SELECT uid, coalesce(n, f2) AS partner FROM nx JOIN ring USING (s))"""
+
+
+@query("baseline_mismatch")
+def baseline_mismatch(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    partners = M.derangement(p.select(F.col("case_id").alias("uid")), 9)
+    return S.baseline_mismatch(p, partners, "bleu", S.sentence_bleu)
+
+
+@query("word_diff")
+def word_diff(spark, sf_dir):
+    d = base(spark, sf_dir, "documents")
+    text = F.col("text")
+    draft = F.struct(F.substring(text, 1, 200).alias("findings"), F.substring(text, 201, 100).alias("impression"))
+    final = F.struct(F.concat(F.substring(text, 1, 150), F.lit(" seen again.")).alias("findings"), F.substring(text, 201, 100).alias("impression"))
+    return S.word_diff(d.select(F.col("doc_id").alias("id"), draft.alias("draft"), final.alias("final")), ("findings", "impression"))

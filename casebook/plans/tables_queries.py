@@ -1 +1,90 @@
-"""(to come)"""
+"""Queries of sources and sinks: each writes what it is given and reads it back."""
+
+from pyspark.sql import functions as F
+
+from casebook.plans.fixtures import base, duck, view
+from casebook.plans.registry import query
+from casebook.plans.text_queries import detections
+from casebook.session import new_path
+from casebook.sources import tables as S
+
+
+@query("read_table", "SELECT c_custkey, c_mktsegment FROM customer")
+def read_table(spark, sf_dir):
+    path = new_path(spark, "csv")
+    S.write_table(base(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, "c_custkey", "csv")
+    return S.read_table(spark, path, "c_custkey long, c_name string, c_mktsegment string", ["c_custkey", "c_mktsegment"])
+
+
+@query("write_table", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def write_table(spark, sf_dir):
+    path = new_path(spark, "table")
+    S.write_table(base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path, "o_orderkey")
+    return spark.read.parquet(path)
+
+
+@query("load_taxonomy", f"WITH {duck('f_problems')} SELECT p_brand AS term, CASE WHEN p_brand = 'Brand#13' THEN 'exclude' WHEN p_brand < 'Brand#2' THEN 'drop' ELSE 'class' END AS kind, CASE WHEN p_brand <> 'Brand#13' AND p_brand >= 'Brand#2' THEN 'Late' END AS class FROM (SELECT DISTINCT p_brand FROM part)")
+def load_taxonomy(spark, sf_dir):
+    # a configuration is small by nature; this one lists the brands of the part table
+    brands = [r[0] for r in base(spark, sf_dir, "part").select("p_brand").distinct().collect()]
+    config = {"normal_class": "Normal", "exclude_flags": ["Brand#13"], "drop_terms": [b for b in brands if b < "Brand#2" and b != "Brand#13"], "classes": {"Late": [b for b in brands if b >= "Brand#2" and b != "Brand#13"]}}
+    return S.load_taxonomy(spark, config).where("kind <> 'normal'").drop("ord")
+
+
+@query("read_embeddings", f"WITH {duck('f_cases')} SELECT uid, len(embedding) AS dimension FROM f_cases WHERE split = 'val'")
+def read_embeddings(spark, sf_dir):
+    path = new_path(spark, "vectors")
+    view(spark, sf_dir, "f_cases").select("uid", "embedding", "split", F.lit("image").alias("kind")).write.partitionBy("kind", "split").parquet(path)
+    return S.read_embeddings(spark, path, "image", "val").select("uid", F.size("embedding").cast("long").alias("dimension"))
+
+
+@query("read_clusters", f"WITH {duck('f_cases')} SELECT cluster_id, uid FROM f_cases WHERE cluster_id >= 0")
+def read_clusters(spark, sf_dir):
+    g = view(spark, sf_dir, "f_cases").where("cluster_id >= 0").groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("uid")), lambda x: x.cast("string")), ";").alias("member_uids"))
+    return S.read_clusters(g)
+
+
+@query("write_nested_log", f"WITH {duck('f_detections')} SELECT image_id, count(*) AS regions, min(text) AS first_text FROM f_detections GROUP BY image_id")
+def write_nested_log(spark, sf_dir):
+    path = new_path(spark, "log")
+    d = detections(spark, sf_dir)
+    S.write_nested_log(d, path)
+    back = spark.read.schema(d.schema).json(path)
+    return back.select("image_id", F.size("regions").cast("long").alias("regions"), F.array_min(F.transform("regions", lambda r: r["text"])).alias("first_text"))
+
+
+@query("append_results", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS run FROM customer")
+def append_results(spark, sf_dir):
+    path = new_path(spark, "results")
+    c = base(spark, sf_dir, "customer").select("c_custkey")
+    c.where("c_custkey % 3 = 0").withColumn("run", F.lit("old")).write.parquet(path)
+    S.append_results(c.withColumn("run", F.lit("new")), path, "c_custkey")
+    return spark.read.parquet(path)
+
+
+@query("upsert_vectors", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
+def upsert_vectors(spark, sf_dir):
+    e = base(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = S.upsert_vectors(e.where("vec_id % 4 = 0").withColumn("version", F.lit(2)), e.withColumn("version", F.lit(1)), "vec_id")
+    return spark.read.parquet(path).select("vec_id", "version")
+
+
+@query("store_tables", f"WITH {duck('f_neighbours')} SELECT query AS session_id, uid::VARCHAR AS study_uid, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, uid::VARCHAR) AS rank FROM f_neighbours")
+def store_tables(spark, sf_dir):
+    root = new_path(spark, "store")
+    n = view(spark, sf_dir, "f_neighbours").select(F.col("query").alias("session_id"), F.col("uid").cast("string").alias("study_uid"), F.col("similarity").cast("double").alias("similarity"))
+    for half in (0, 1):
+        part = n.where(F.col("session_id") % 2 == half)
+        S.append_session(spark, root, part.select("session_id").distinct(), part)
+    return spark.read.parquet(f"{root}/retrieved_evidence").select("session_id", "study_uid", F.col("rank").cast("long").alias("rank"))
+
+
+@query("read_case_json", "SELECT CAST(doc_id AS VARCHAR) AS study_uid, lang AS findings, source AS impression FROM documents")
+def read_case_json(spark, sf_dir):
+    path = new_path(spark, "cases")
+    part = lambda a, b: F.struct(F.col(a).alias("findings"), F.col(b).alias("impression"))
+    d = base(spark, sf_dir, "documents").select("doc_id", part("lang", "source").alias("generated"), part("source", "lang").alias("ground_truth"))
+    # one file per case as other programs leave them; written as partitions, so the stem comes from the folder's name
+    d.select(F.col("doc_id").alias("study"), "generated", "ground_truth").repartitionByRange("study").write.partitionBy("study").json(path)
+    back = spark.read.schema("generated struct<findings:string,impression:string>, ground_truth struct<findings:string,impression:string>").json(path)
+    return back.select(F.regexp_extract(F.input_file_name(), r"study=(\d+)/", 1).alias("study_uid"), "generated.findings", "generated.impression")
