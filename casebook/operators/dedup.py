@@ -109,7 +109,8 @@ def iterative_stratify(units: DataFrame, ratios: dict[str, float]) -> DataFrame:
     splits = list(ratios)
     left = written(units.select("cluster_id", "labels", "weight"), "units")
     exploded = left.select(F.explode("labels").alias("label"), "weight")
-    totals = {r.label: r.w for r in exploded.groupBy("label").agg(F.sum("weight").alias("w")).collect()}  # one per label
+    seen = exploded.groupBy("label").agg(F.sum("weight").alias("w"), F.count("*").alias("k")).collect()  # one per label
+    totals, many = {r.label: r.w for r in seen}, {r.label: r.k for r in seen}
     done = None
     given: dict[str, dict[str, float]] = {s: {} for s in splits}
     for label in [*sorted(totals, key=lambda x: (totals[x], x)), None]:
@@ -118,8 +119,9 @@ def iterative_stratify(units: DataFrame, ratios: dict[str, float]) -> DataFrame:
         whole = sum(need.values()) or 1.0
         order = Window.partitionBy("salt").orderBy(F.desc("weight"), "cluster_id")
         # a label may have very many clusters: the running weight is taken within hashed shares of them
+        shares = max(1, many.get(label, 0) // 10_000)
         running = F.sum("weight").over(order) - F.col("weight") / 2
-        dealt = mine.withColumn("salt", F.pmod(F.xxhash64("cluster_id"), F.lit(16))).withColumn("at", running / F.sum("weight").over(Window.partitionBy("salt")))
+        dealt = mine.withColumn("salt", F.pmod(F.xxhash64("cluster_id"), F.lit(shares))).withColumn("at", running / F.sum("weight").over(Window.partitionBy("salt")))
         edge, split = 0.0, F.lit(splits[-1])
         cuts = []
         for s in splits[:-1]:

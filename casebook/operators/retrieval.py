@@ -67,9 +67,10 @@ def topk_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, kb: DataFrame, k: int, planes: int = 6, tables: int = 16, seed: int = 11) -> DataFrame:
+def ann_topk(queries: DataFrame, kb: DataFrame, k: int, planes: int = 4, tables: int = 24, seed: int = 11) -> DataFrame:
     """Approximate neighbours: signed random projections put unit vectors into buckets of ``tables`` tables; cases that
-    share a bucket with a query are ranked exactly. Buckets join on (table, bucket); every case is in every table."""
+    share a bucket with a query are ranked exactly. Buckets join on (table, bucket); every case is in every table. More
+    planes make smaller buckets for larger bases, more tables win back the recall; vectors without structure need many."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +122,7 @@ def evidence_order(near: DataFrame) -> DataFrame:
 def collapse_near_dups(near: DataFrame) -> DataFrame:
     """The best case of each cluster; cases without cluster (-1 or null) all stay."""
     single = (F.coalesce("cluster_id", F.lit(-1)) == -1).cast("int")
-    key = F.when(single == 1, F.col("uid")).otherwise(F.col("cluster_id"))
+    key = F.when(single == 1, F.col("uid").cast("string")).otherwise(F.col("cluster_id").cast("string"))
     w = Window.partitionBy("query", single, key).orderBy(*_evidence())
     return near.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 

@@ -19,13 +19,17 @@ def ngrams(t: Column, n: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def numbered(grams: Column, n: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+
 def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     """``(case_id, bleu)`` in percent: clipped n-gram precisions up to ``order``, exponential smoothing of the orders
     without a match, brevity penalty. 0 when a side has no token, or the hypothesis is too short for any match."""
     t = pairs.select("case_id", tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
     sides = []
     for side in ("h", "r"):
-        grams = F.flatten(F.array(*[F.transform(ngrams(F.col(side), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, order + 1)]))
+        grams = F.flatten(F.array(*[numbered(ngrams(F.col(side), n), n) for n in range(1, order + 1)]))
         sides.append(t.select("case_id", F.explode(grams).alias("x")).groupBy("case_id", "x.n", "x.g").agg(F.count("*").alias(f"c_{side}")))
     match = sides[0].join(sides[1], ["case_id", "n", "g"], "left")
     per = match.groupBy("case_id", "n").agg(F.sum(F.least("c_h", F.coalesce("c_r", F.lit(0)))).alias("m"), F.sum("c_h").alias("total"))
