@@ -95,7 +95,8 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, n_batches: int = 4, min_chars: int = 10, fanout: int = 3) -> DataFrame:
     """The whole table in ``n_batches`` batches of ascending doc_id (cut at approximate quantiles)."""
     runs = LineRuns(docs.sparkSession, min_chars, fanout)
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).where("d IS NOT NULL").approxQuantile("d", [k / n_batches for k in range(1, n_batches)], 0.01)
+    ids = docs.select(F.col("doc_id").cast("double").alias("d")).where("d IS NOT NULL")
+    cuts = [] if n_batches < 2 or ids.isEmpty() else ids.approxQuantile("d", [k / n_batches for k in range(1, n_batches)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
     parts = []
     for low, high in zip(edges, edges[1:]):
