@@ -1 +1 @@
-"""casebook.functions"""
+"""Column expressions."""

@@ -103,8 +103,8 @@ def cluster_units(clusters: DataFrame, case_labels: DataFrame) -> DataFrame:
 def iterative_stratify(units: DataFrame, ratios: dict[str, float]) -> DataFrame:
     """``(cluster_id, split)``: whole clusters to splits, label by label, the rarest first.
 
-    Each round takes the unassigned clusters of one label, heaviest first, and cuts their running weight at the quotas
-    that the splits still need of that label; clusters without labels come last. The driver holds labels x splits
+    Each round takes the unassigned clusters of one label in hashed order, so that heavy and light ones spread alike, and
+    cuts their running weight at the quotas that the splits still need of that label, off by one cluster at most; clusters without labels come last. The driver holds labels x splits
     numbers."""
     splits = list(ratios)
     left = written(units.select("cluster_id", "labels", "weight"), "units")
@@ -117,7 +117,7 @@ def iterative_stratify(units: DataFrame, ratios: dict[str, float]) -> DataFrame:
         mine = left.where(F.array_contains("labels", label)) if label is not None else left
         need = {s: max(0.0, ratios[s] * (totals[label] if label is not None else 1.0) - (given[s].get(label, 0) if label is not None else 0)) for s in splits}
         whole = sum(need.values()) or 1.0
-        order = Window.partitionBy("salt").orderBy(F.desc("weight"), "cluster_id")
+        order = Window.partitionBy("salt").orderBy(F.xxhash64("cluster_id"), "cluster_id")
         # a label may have very many clusters: the running weight is taken within hashed shares of them
         shares = max(1, many.get(label, 0) // 10_000)
         running = F.sum("weight").over(order) - F.col("weight") / 2

@@ -1 +1 @@
-"""casebook.sources"""
+"""Sources and sinks."""

@@ -1 +1,2 @@
-"""casebook.streaming"""
+"""Streams. The inventory has no streaming operator, so nothing is claimed here; incremental use goes through the sinks
+that append by key (``casebook.sources.tables``)."""
