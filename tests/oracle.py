@@ -17,7 +17,7 @@ def duck(sf_dir):
 
 
 def _shown(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
         return "null"
     if isinstance(x, bool) or type(x).__name__ == "bool":
         return str(bool(x))
