@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.llm.common import doc_text, mix64, plain_words, text_chunks, word_hashes
@@ -180,13 +180,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "toxic": pa.array([seen[1][x] for x in names], pa.int64()), "clean": pa.array([seen[0][x] for x in names], pa.int64())})
 
 
-def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int, least_ratio: float = 20, least_llr: float = 20) -> np.ndarray:
+def telling(a: Column, b: Column, n1: int, n0: int, least_ratio: float = 20, least_llr: float = 20) -> Column:
     """Which features say toxic: seen in ``a`` of ``n1`` toxic and ``b`` of ``n0`` clean documents."""
-    rate = n1 / (n1 + n0)
-    share = a / np.maximum(a + b, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        llr = 2 * (np.where(a > 0, a * np.log(share / rate), 0) + np.where(b > 0, b * np.log((1 - share) / (1 - rate)), 0))
-    return (share > rate) & (llr >= least_llr) & ((a + 0.5) / n1 >= least_ratio * (b + 0.5) / n0)
+    rate, share = n1 / (n1 + n0), a / (a + b)
+    part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
+    llr = 2 * (part(a, share, F.lit(rate)) + part(b, 1 - share, F.lit(1 - rate)))
+    return (a > 0) & (share > rate) & (llr >= least_llr) & ((a + 0.5) / n1 >= least_ratio * (b + 0.5) / n0)
 
 
 def _sampler(marked: frozenset[str]):
@@ -221,13 +220,14 @@ def _sampler(marked: frozenset[str]):
 def _train(rows: list, rounds: int = 60, rate: float = 0.15, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over all windows at once: weights, transitions, start."""
     n, width = len(rows), len(PREFIXES) + 5
-    features = np.full((n, WINDOW, width), -1, dtype=np.int64)
+    features = np.full((n, WINDOW, width), -1, dtype=np.int32)
     label, valid = np.zeros((n, WINDOW), dtype=bool), np.zeros((n, WINDOW), dtype=bool)
     for i, r in enumerate(rows):
         features[i, : r["n"]] = np.frombuffer(r["features"], np.int32).reshape(-1, width)
         label[i, : r["n"]], valid[i, : r["n"]] = np.frombuffer(r["label"], bool), True
     used, where = np.unique(features, return_inverse=True)
-    where = where.reshape(features.shape)
+    where = where.reshape(features.shape).astype(np.int32)
+    del features
     real = (used >= 0).astype(np.float64)
     pairs_seen = np.zeros((2, 2))
     both = valid[:, 1:]
@@ -260,7 +260,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_windows: int = 3_000) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_windows: int = 2_000) -> Crf:
     """Fit on labelled documents that are not held out: at most ``sample_rows`` labels, chosen by a hash of the id, and
     at most ``sample_windows`` windows with and as many without toxic tokens. The chosen labels are few enough to be
     broadcast; their documents are written once."""
@@ -268,15 +268,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_wi
     chosen = given.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = written(doc_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxic-sample")
     counted = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    rows = counted.where("feature = '' OR a >= 4").collect()  # features of a bounded sample
-    total = next(((r.a, r.b) for r in rows if r.feature == ""), (0, 0))
+    counted = written(counted, "toxic-features")
+    total = next(((r.a, r.b) for r in counted.where("feature = ''").collect()), (0, 0))
     base = (total[0] + 0.5) / (total[0] + total[1] + 1)
     none = Crf(np.zeros(2**BITS, np.float32), np.zeros((2, 2)), np.zeros(2), np.array([math.log(base / (1 - base)), 0, 0, 0]), base, False)
-    rows = [r for r in rows if r.feature]
-    if not rows or not all(total):
+    if not all(total):
         return none
-    says = telling(np.array([r.a for r in rows]), np.array([r.b for r in rows]), *total)
-    marked = frozenset(r.feature for r, s in zip(rows, says) if s)
+    says = counted.where((F.col("feature") != "") & telling(F.col("a"), F.col("b"), *total))
+    marked = frozenset(r.feature for r in says.select("feature").collect())  # of a bounded sample
     if not marked:
         return none
     windows = sample.mapInArrow(_sampler(marked), "kind int, n int, features binary, label binary")
