@@ -176,7 +176,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, pool_rows: int = 6_000, rounds: int = 4) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4_000, pool_rows: int = 4_000, rounds: int = 4) -> CoTrained:
     """Fit on at most ``labelled_rows`` labelled documents that are not held out and ``pool_rows`` others."""
     rows = _inputs(docs)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, pool_row
     base = ((y == 1).sum() + 0.5) / ((y >= 0).sum() + 1)
     if not (y == 1).any() or not (y == 0).any():
         return CoTrained({}, np.array([np.log(base / (1 - base)), 0, 0]), base, False)
-    data = {v: (np.concatenate([np.frombuffer(b, "<i4") for b in got[f"{v}0"]]).astype(np.int64), np.concatenate([np.frombuffer(b, "<f4") for b in got[f"{v}1"]]).astype(float), np.concatenate([[0], np.cumsum([len(b) // 4 for b in got[f"{v}0"]])])) for v in VIEWS}
+    data = {v: (np.concatenate([np.frombuffer(b, "<i4") for b in got[f"{v}0"]]), np.concatenate([np.frombuffer(b, "<f4") for b in got[f"{v}1"]]), np.concatenate([[0], np.cumsum([len(b) // 4 for b in got[f"{v}0"]])])) for v in VIEWS}
     weights, combination = co_train(data, y, rounds)
     return CoTrained({v: w.astype(np.float32) for v, w in weights.items()}, combination, base, True)
 
