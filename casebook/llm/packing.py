@@ -4,8 +4,8 @@ A document's ids and an end id are cut into pieces of at most ``width`` ids; onl
 cut. Spark counts the pieces per length class (lengths rounded up to ``unit`` ids, so at most ``width / unit``
 classes); on the driver, which sees nothing but these counts, a linear program over packing patterns is solved by
 column generation: the master's dual prices go into a knapsack dynamic program, which returns the pattern most worth
-adding, until none is. The rounded-down pattern counts are kept, and the few pieces left over, not more than some per
-class, are packed by best-fit decreasing on their exact lengths. Pieces are ranked within their class (by partial
+adding, until none is. The rounded-down pattern counts are kept, whatever the pattern's fill, and the pieces left over,
+less than one sequence per class on average, are packed by best-fit decreasing on their exact lengths. Pieces are ranked within their class (by partial
 counts per hash bucket, so a very common length is no hot group), and their rank says which sequence of which pattern
 they belong to. Both pattern and slot tables are bounded by the number of classes, not by the input.
 
@@ -147,15 +147,27 @@ def plan(counts: dict[int, int], width: int, unit: int) -> tuple[list[tuple[int,
     for p, n in zip(patterns, np.floor(use + 1e-9).astype(np.int64)):
         over = np.where(p > 0, (demand - used) // np.maximum(p, 1), np.inf).min()
         n = int(min(n, over))
-        if n <= 0 or (p @ classes) * unit < 0.99 * width:  # what leaves room waits for the leftovers
+        if n <= 0:
             continue
         for c in np.flatnonzero(p):
             slots.append((int(classes[c]), int(used[c]), int(p[c]), sequence))
             used[c] += p[c] * n
         sequence += n
+    if (demand - used) @ classes > rest_bound(counts, width, unit):  # only when rounding errors of the simplex add up
+        for c, per in enumerate((width // unit) // classes):
+            n = int((demand[c] - used[c]) // per)
+            if n:
+                slots.append((int(classes[c]), int(used[c]), int(per), sequence))
+                used[c] += per * n
+                sequence += n
     return slots, {int(c): int(u) for c, u in zip(classes, used)}, sequence
 
 
+def rest_bound(counts: dict[int, int], width: int, unit: int) -> int:
+    """Most that leftovers may add up to, in units: a sequence per class, since a plan has one pattern per class."""
+    return len(counts) * (width // unit)
+
+
 def pack(docs: DataFrame, width: int = 2048, end_id: int = 1, unit: int = 8, n_hash: int = 64, doc_id: str = "doc_id", text: str = "text", json_path: str | None = None, rank_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = written(doc_text(docs, doc_id, text).mapInArrow(_pieces(width, end_id, json_path, rank_path), PIECES), "pieces")
@@ -180,7 +192,9 @@ def pack(docs: DataFrame, width: int = 2048, end_id: int = 1, unit: int = 8, n_h
     placed = ranked.join(F.broadcast(slot_rows), fit).select(ranked["*"], (F.col("sequence") + F.floor((F.col("rank") - F.col("first")) / F.col("per"))).alias("sequence_id"))
     rest_rows = spark.createDataFrame(sorted(rest_from.items()) or [], "class int, rest long")
     rest = ranked.join(F.broadcast(rest_rows), "class").where("rank >= rest").select("row", "start", "length")
-    left = rest.orderBy("row", "start").toPandas()  # less than a sequence per class and pattern
+    if sum((counts[c] - u) * c for c, u in rest_from.items()) > rest_bound(counts, width, unit):
+        raise AssertionError("leftovers exceed a sequence per class")
+    left = rest.orderBy("row", "start").toPandas()  # bounded by the number of classes, as just asserted
     bins = best_fit(left["length"].to_numpy(np.int64), width)
     where = [(int(left["row"][i]), int(left["start"][i]), n_sequences + b) for b, own in enumerate(bins) for i in own]
     apart = ranked.join(F.broadcast(spark.createDataFrame(where, "row long, start long, sequence_id long")), ["row", "start"]).select(*ranked.columns, "sequence_id")

@@ -232,6 +232,29 @@ def test_packing(spark, sf_dir, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("counts", [{175: 30_000}, {140: 10_000, 150: 9_000, 175: 12_345, 256: 7}, {3: 50, 129: 4_000, 175: 100_000, 256: 11}, {1: 3, 256: 1}])
+def test_plan_rest(counts):
+    slots, rest_from, n = packing.plan(counts, 2048, 8)
+    assert sum((counts[c] - u) * c for c, u in rest_from.items()) <= packing.rest_bound(counts, 2048, 8)
+    room, placed = Counter(), Counter()
+    for c in counts:
+        own = [s for s in slots if s[0] == c]
+        for (_, first, per, sequence), till in zip(own, [*(s[1] for s in own[1:]), rest_from[c]]):
+            assert first == placed[c] and (till - first) % per == 0
+            placed[c] = till
+            for k in range((till - first) // per):
+                room[sequence + k] += per * c
+    assert max(room.values(), default=0) <= 256 and len(room) == n and all(placed[c] == u for c, u in rest_from.items())
+
+
+def test_packing_unfilled(spark, monkeypatch):
+    made = spark.createDataFrame([(i, " the" * (1100 + i % 8)) for i in range(120)] + [(900 + i, " a" * 300) for i in range(9)], "doc_id long, text string")
+    on_driver, best_fit = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda lengths, width: on_driver.append(len(lengths)) or best_fit(lengths, width))
+    got, _ = check_packing(packing.pack(made), made.collect())
+    assert got.sequence_id.nunique() == 120 and on_driver[0] < 20
+
+
 def test_column_generation():
     sizes, demand = np.array([3, 5, 7]), np.array([30.0, 20, 10])
     patterns, use = packing.column_generation(sizes, demand, 10, gap=1e-9)
