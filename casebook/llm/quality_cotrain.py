@@ -2,12 +2,16 @@
 
 Both are logistic models over hashed features. The content view sees words and how they repeat; the metadata view sees
 source, language, stated length, and the page's layout (lines, their lengths, shares of capitals, digits and signs). From
-the labelled sample each view is fitted, labels a pool of unlabelled documents, and hands the documents it is surest of,
-of either class in the sample's proportion, to the other view as further training rows; after some rounds both are
+the labelled sample each view is fitted, scores all other documents that are not held out, and hands those it is surest
+of, of either class in the sample's proportion, to the other view as further training rows; after some rounds both are
 calibrated on labelled rows kept apart for it, and a logistic combination of the calibrated views scores every document.
 
-Only the samples are bounded (documented parameters); they are chosen by a hash of the id, so a third of all rows in one
-source has a third of the sample. Scoring is one scan without a shuffle; both models are about a megabyte.
+Only the labelled sample is bounded (a documented parameter); it is chosen by a hash of the id. The exchange runs in
+Spark over every unlabelled document: features are written once, a round's bounds of confidence are distributed
+quantiles of the margins (a hash decides ties), what a round hands over is written, and each further step of a view
+sums the gradients of all rows handed to it, task by task and then by block of weights. The driver sees the labelled
+sample, the bounds and the summed gradients (2 ** BITS a view). However many rows are handed over, together they weigh
+no more than they would if the unlabelled documents were as few as the labelled ones. Both models are about a megabyte.
 
 Null text counts as empty, other nulls as a value of their own; missing metadata columns count as null. Null ids and
 repeated rows are scored like others, but labels without id or label are left out; of repeated labels the lowest counts.
@@ -22,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,20 +109,22 @@ def margins(view: Ragged, w: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(w[feature] * value)])[offsets])
 
 
-def _fit(view: Ragged, y: np.ndarray, weight: np.ndarray, rounds: int = 50, rate: float = 0.3, l2: float = 1e-5) -> np.ndarray:
-    feature, value, offsets = view
-    used, where = np.unique(feature, return_inverse=True)
-    row = np.repeat(np.arange(len(y)), np.diff(offsets))
-    w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    for k in range(1, rounds + 1):
-        z = np.bincount(row, w[where] * value, minlength=len(y))
-        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
-        g = np.bincount(where, miss[row] * value, minlength=len(used)) + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
-    out = np.zeros(2**BITS)
-    out[used] = w
-    return out
+class Learner:
+    """One view's weights, fitted by Adam to labelled rows and to gradients of further rows that Spark has summed."""
+
+    def __init__(self, view: Ragged, y: np.ndarray):
+        self.view, self.y = view, y
+        self.row = np.repeat(np.arange(len(y)), np.diff(view[2]))
+        self.w, self.m, self.v, self.k = np.zeros(2**BITS), np.zeros(2**BITS), np.zeros(2**BITS), 0
+
+    def step(self, extra: np.ndarray | float = 0.0, extra_weight: float = 0.0, rate: float = 0.3, l2: float = 1e-5) -> None:
+        feature, value, _ = self.view
+        z = np.bincount(self.row, self.w[feature] * value, minlength=len(self.y))
+        miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y
+        g = (np.bincount(feature, miss[self.row] * value, minlength=2**BITS) + extra) / (len(self.y) + extra_weight) + l2 * self.w
+        self.k += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        self.w -= rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.99**self.k)) + 1e-9)
 
 
 def _rows(view: Ragged, take: np.ndarray) -> Ragged:
@@ -136,39 +143,166 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
     return w
 
 
-def co_train(data: dict[str, Ragged], y: np.ndarray, rounds: int = 4, share: float = 0.1) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights per view and the combination. ``y``: 1, 0, or -1 for the unlabelled pool."""
-    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+OTHER = dict(zip(VIEWS, VIEWS[::-1]))
+FEATURES = "content0 binary, content1 binary, metadata0 binary, jitter double"
+TAUGHT = "learner string, y int, feature binary, value binary"
+BLOCK = 2**12  # weights whose gradients are summed in one group
+
+
+def _pack(view: Ragged, values: bool) -> list[list[bytes]]:
+    """Features of every row, three bytes each, and their values if asked for."""
+    feature, value, offsets = view
+    three = np.ascontiguousarray(feature.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    half, ends = value.astype("<f2").tobytes(), offsets.tolist()
+    out = [[three[3 * a : 3 * b] for a, b in zip(ends, ends[1:])]]
+    return [*out, [half[2 * a : 2 * b] for a, b in zip(ends, ends[1:])]] if values else out
+
+
+def _unpack(feature: pa.Array, value: pa.Array | None) -> Ragged:
+    sizes = pc.binary_length(feature).to_numpy(zero_copy_only=False).astype(np.int64) // 3
+    three = np.frombuffer(b"".join(feature.to_pylist()), np.uint8).reshape(-1, 3)
+    ids = three[:, 0].astype(np.int64) | three[:, 1].astype(np.int64) << 8 | three[:, 2].astype(np.int64) << 16
+    values = np.ones(len(ids)) if value is None else np.frombuffer(b"".join(value.to_pylist()), "<f2").astype(float)
+    return ids, values, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _pool_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in text_chunks(batches, limit=2 << 20):
+        found = views(chunk)
+        columns = [*_pack(found["content"], True), *_pack(found["metadata"], False)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], chunk.column("jitter")], ["content0", "content1", "metadata0", "jitter"])
+
+
+def _taught(batch: pa.RecordBatch, history: list[dict]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], dict[str, Ragged]]:
+    """Per learner: the label each row was given (-1: none) and the round; and the rows' features.
+
+    A round of ``history`` is per teaching view its weights, and the bounds of low and high margins it was sure of."""
+    data = {"content": _unpack(batch.column("content0"), batch.column("content1")), "metadata": _unpack(batch.column("metadata0"), None)}
+    given = {v: np.full(batch.num_rows, -1) for v in VIEWS}
+    when = {v: np.full(batch.num_rows, -1) for v in VIEWS}
+    for k, known in enumerate(history):
+        for v in VIEWS:
+            w, low, high = known[v]
+            z, to = _jittered(data[v], w, batch), OTHER[v]
+            for label, sure in ((0, (z <= low) & (z < -1)), (1, (z >= high) & (z > 1))):
+                new = sure & (given[to] < 0)
+                given[to][new], when[to][new] = label, k
+    return given, when, data
+
+
+def _jittered(view: Ragged, w: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return margins(view, w.astype(float)) + 1e-6 * batch.column("jitter").to_numpy(zero_copy_only=False)
+
+
+def _margins_left(shared):
+    """Margins of each teaching view, null where the other view was taught the row already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *history, now = shared.value
+        for batch in batches:
+            given, _, data = _taught(batch, history)
+            yield pa.RecordBatch.from_pydict({v: pa.array(_jittered(data[v], now[v][0], batch), mask=given[OTHER[v]] >= 0) for v in VIEWS})
+
+    return run
+
+
+def _newly_taught(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        history = shared.value
+        for batch in batches:
+            given, when, _ = _taught(batch, history)
+            for v in VIEWS:
+                new = pa.array(np.flatnonzero(when[v] == len(history) - 1))
+                value = batch.column("content1").take(new) if v == "content" else pa.nulls(len(new), pa.binary())
+                yield pa.RecordBatch.from_pydict({"learner": pa.array([v] * len(new), pa.string()), "y": pa.array(given[v][new].astype(np.int32)), "feature": batch.column(f"{v}0").take(new), "value": value})
+
+    return run
+
+
+def _gradients(shared):
+    """A task's sum of (probability - label) * value per feature, by view and block of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for v in VIEWS:
+                own = batch.filter(pc.equal(batch.column("learner"), v))
+                if not own.num_rows:
+                    continue
+                feature, value, offsets = view = _unpack(own.column("feature"), own.column("value") if v == "content" else None)
+                z = margins(view, shared.value[v].astype(float))
+                miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - own.column("y").to_numpy()
+                total[v] = total.get(v, 0.0) + np.bincount(feature, np.repeat(miss, np.diff(offsets)) * value, minlength=2**BITS)
+        task = TaskContext.get().partitionId()
+        for v, g in total.items():
+            parts = [(b // BLOCK, g[b : b + BLOCK].tobytes()) for b in range(0, 2**BITS, BLOCK) if g[b : b + BLOCK].any()]
+            yield pa.RecordBatch.from_pydict({"learner": pa.array([v] * len(parts), pa.string()), "block": pa.array([p[0] for p in parts], pa.int32()), "task": pa.array([task] * len(parts), pa.int32()), "g": pa.array([p[1] for p in parts], pa.binary())})
+
+    return run
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    table = table.sort_by("task")  # the same order of summands in every run
+    g = sum(np.frombuffer(b, float) for c in table.column("g").chunks for b in c.to_pylist())
+    return pa.table({"learner": table.column("learner")[:1], "block": table.column("block")[:1], "g": pa.array([g.tobytes()], pa.binary())})
+
+
+def summed_gradients(taught: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Per view the gradient of the logistic loss over all rows of ``taught``."""
+    shared = taught.sparkSession.sparkContext.broadcast({v: w.astype(np.float32) for v, w in weights.items()})
+    parts = taught.mapInArrow(_gradients(shared), "learner string, block int, task int, g binary").groupBy("learner", "block").applyInArrow(_add_up, "learner string, block int, g binary")
+    out = {v: np.zeros(2**BITS) for v in VIEWS}
+    for r in parts.collect():  # at most 2 * 2 ** BITS / BLOCK rows
+        out[r.learner][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.g, float)
+    shared.unpersist()
+    return out
+
+
+def co_train(pool: DataFrame, data: dict[str, Ragged], y: np.ndarray, rounds: int = 4, steps: int = 3, share: float = 0.1) -> tuple[dict[str, np.ndarray], np.ndarray, list[dict[str, int]]]:
+    """Weights per view, the combination, and how many rows of ``pool`` each view was taught, round by round.
+
+    ``data`` and ``y`` are the labelled sample; ``pool`` has the written features of all unlabelled documents."""
+    known = np.arange(len(y))
     apart = known[::4]  # for calibration
     start = np.setdiff1d(known, apart)
     if len(np.unique(y[start])) < 2:
         start = known
-    good = y[start].mean()
-    taught = {v: {} for v in VIEWS}  # pool rows and the label the other view gave
-    weights: dict[str, np.ndarray] = {}
-    for k in range(rounds + 1):
-        for v in VIEWS:
-            extra = np.array(sorted(taught[v]), dtype=np.int64)
-            rows = np.concatenate([start, extra])
-            target = np.concatenate([y[start], [taught[v][i] for i in extra.tolist()]]).astype(float)
-            trust = np.concatenate([np.ones(len(start)), np.full(len(extra), 0.5)])
-            weights[v] = _fit(_rows(data[v], rows), target, trust)
-        if k == rounds:
-            break
-        for v, other in (VIEWS, VIEWS[::-1]):
-            left = np.array([i for i in pool.tolist() if i not in taught[other]], dtype=np.int64)
-            if not len(left):
-                continue
-            z = margins(_rows(data[v], left), weights[v])
-            n, order = max(1, int(share * len(pool))), np.argsort(z, kind="stable")
-            low, high = order[: max(1, round(n * (1 - good)))], order[::-1][: max(1, round(n * good))]
-            taught[other] |= {int(left[i]): 0 for i in low if z[i] < -1} | {int(left[i]): 1 for i in high if z[i] > 1}
+    good, size, context = y[start].mean(), pool.count(), pool.sparkSession.sparkContext
+    learners = {v: Learner(_rows(data[v], start), y[start].astype(float)) for v in VIEWS}
+    for learner in learners.values():
+        for _ in range(50):
+            learner.step()
+    trust = 0.5 * min(1.0, len(start) / max(1, size))
+    history: list[dict] = []
+    taught: DataFrame | None = None
+    numbers, n_taught = [], {v: 0 for v in VIEWS}
+    for _ in range(rounds if size else 0):
+        now = {v: (learners[v].w.astype(np.float32), -np.inf, np.inf) for v in VIEWS}
+        left = {v: max(1, size - n_taught[OTHER[v]]) for v in VIEWS}
+        n = max(1, int(share * size))
+        n_low, n_high = max(1, round(n * (1 - good))), max(1, round(n * good))
+        at = {v: [min(1.0, n_low / left[v]), max(0.0, (left[v] - n_high + 1) / left[v])] for v in VIEWS}
+        shared = context.broadcast([*history, now])
+        bounds = pool.mapInArrow(_margins_left(shared), "content double, metadata double").agg(*[F.percentile_approx(v, at[v], 10_000).alias(v) for v in VIEWS]).first()
+        shared.unpersist()
+        history.append({v: (now[v][0], *(bounds[v] or (-np.inf, np.inf))) for v in VIEWS})
+        shared = context.broadcast(list(history))
+        new = written(pool.mapInArrow(_newly_taught(shared), TAUGHT), "quality-taught")
+        shared.unpersist()
+        numbers.append({v: 0 for v in VIEWS} | {r.learner: r["count"] for r in new.groupBy("learner").count().collect()})
+        n_taught = {v: n_taught[v] + numbers[-1][v] for v in VIEWS}
+        taught = new if taught is None else taught.unionByName(new)
+        for _ in range(steps if sum(n_taught.values()) else 0):
+            g = summed_gradients(taught, {v: learners[v].w for v in VIEWS})
+            for v in VIEWS:
+                learners[v].step(trust * g[v], trust * n_taught[v])
+    weights = {v: learners[v].w for v in VIEWS}
     x = np.stack([np.ones(len(apart)), *[np.clip(margins(_rows(data[v], apart), weights[v]), -20, 20) for v in VIEWS]], axis=1)
     # each view is calibrated by itself; the combination then weighs the calibrated margins
     single = [_logistic(x[:, [0, i]], y[apart].astype(float)) for i in (1, 2)]
     calibrated = np.stack([np.ones(len(apart)), *[x[:, [0, i]] @ s for i, s in zip((1, 2), single)]], axis=1)
     c = _logistic(calibrated, y[apart].astype(float))
-    return weights, np.array([c[0] + c[1] * single[0][0] + c[2] * single[1][0], c[1] * single[0][1], c[2] * single[1][1]])
+    return weights, np.array([c[0] + c[1] * single[0][0] + c[2] * single[1][0], c[1] * single[0][1], c[2] * single[1][1]]), numbers
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -176,14 +310,19 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4_000, pool_rows: int = 4_000, rounds: int = 4) -> CoTrained:
-    """Fit on at most ``labelled_rows`` labelled documents that are not held out and ``pool_rows`` others."""
+def unlabelled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Written features of every row that is neither held out nor in the labelled sample, rows without id included."""
+    jitter = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) / 2**30
+    pool = rows.where(~held_out()).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumn("jitter", jitter)
+    return written(pool.mapInArrow(_pool_features, FEATURES), "quality-pool")
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4_000, rounds: int = 4) -> CoTrained:
+    """Fit on at most ``labelled_rows`` labelled documents and on all others, of those that are not held out."""
     rows = _inputs(docs)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    chosen = given.where(~held_out()).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    others = rows.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool_rows).withColumn("y", F.lit(-1))
-    ids = chosen.unionByName(others).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = written(rows.join(F.broadcast(ids), "doc_id"), "quality-sample")
+    chosen = written(given.where(~held_out()).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows), "quality-labels")
+    sample = rows.join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, limit=2 << 20):
@@ -192,13 +331,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4_000, pool_row
             yield pa.RecordBatch.from_pydict({"y": chunk.column("y"), **{f"{v}{k}": pa.array(cut(v, k), pa.binary()) for v in VIEWS for k in (0, 1)}})
 
     got = sample.mapInArrow(features, "y int, content0 binary, content1 binary, metadata0 binary, metadata1 binary")
-    got = got.orderBy("y", F.xxhash64("content0", "metadata0")).toPandas()  # at most both samples
+    got = got.orderBy("y", F.xxhash64("content0", "metadata0")).toPandas()  # the labelled sample
     y = got["y"].to_numpy() if len(got) else np.zeros(0, int)
     base = ((y == 1).sum() + 0.5) / ((y >= 0).sum() + 1)
     if not (y == 1).any() or not (y == 0).any():
         return CoTrained({}, np.array([np.log(base / (1 - base)), 0, 0]), base, False)
     data = {v: (np.concatenate([np.frombuffer(b, "<i4") for b in got[f"{v}0"]]), np.concatenate([np.frombuffer(b, "<f4") for b in got[f"{v}1"]]), np.concatenate([[0], np.cumsum([len(b) // 4 for b in got[f"{v}0"]])])) for v in VIEWS}
-    weights, combination = co_train(data, y, rounds)
+    weights, combination, _ = co_train(unlabelled(rows, chosen), data, y, rounds)
     return CoTrained({v: w.astype(np.float32) for v, w in weights.items()}, combination, base, True)
 
 

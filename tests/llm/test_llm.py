@@ -316,6 +316,34 @@ def test_cotraining(spark, odd):
     assert {round(r.score, 3) for r in quality_cotrain.score(odd, none).collect()} == {0.5}
 
 
+def test_cotraining_whole_pool(spark, odd, monkeypatch):
+    made = [(i, f"fine calm words number{i % 7} of text {'good plain prose' if i % 2 else 'BUY BUY BUY !!! $$$'}", "en", "a" if i % 2 else "b", 40) for i in range(9000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, co_train = [], quality_cotrain.co_train
+    monkeypatch.setattr(quality_cotrain, "co_train", lambda pool, *a: seen.append((pool.count(), co_train(pool, *a))) or seen[-1][1])
+    model = quality_cotrain.fit(docs, labels)
+    size, (_, _, numbers) = seen[0]
+    assert size == docs.where(~toxicity_crf.held_out()).where("doc_id >= 200").count() > 4000
+    for v in quality_cotrain.VIEWS:
+        assert sum(n[v] for n in numbers) > 0.3 * size and all(n[v] <= 0.12 * size for n in numbers)
+    assert model.fitted and {(r.doc_id % 2, r.predicted) for r in quality_cotrain.score(docs, model).collect()} == {(0, 0), (1, 1)}
+
+
+def test_cotraining_gradients(spark):
+    g = np.random.default_rng(3)
+    views = {"content": [(g.integers(0, 2**18, 6), g.integers(1, 9, 6) / 8, int(g.integers(0, 2))) for _ in range(50)], "metadata": [(g.integers(0, 2**18, 4), np.ones(4), int(g.integers(0, 2))) for _ in range(30)]}
+    weights = {v: g.normal(size=2**18).astype(np.float32) for v in views}
+    made, want = [], {v: np.zeros(2**18) for v in views}
+    for v, own in views.items():
+        for f, x, y in own:
+            packed = quality_cotrain._pack((f, x, np.array([0, len(f)])), True)
+            made.append((v, y, packed[0][0], packed[1][0] if v == "content" else None))
+            np.add.at(want[v], f, (1 / (1 + np.exp(-(weights[v][f].astype(float) @ x))) - y) * x)
+    got = quality_cotrain.summed_gradients(spark.createDataFrame(made, quality_cotrain.TAUGHT).repartition(7), weights)
+    assert all(np.allclose(got[v], want[v]) for v in views)
+
+
 def test_pipeline(spark, sf_dir, odd):
     import corpus_pipeline as C
 
