@@ -116,23 +116,60 @@ def test_forward_backward():
     assert np.allclose(p[0], brute_marginals(e[0], t, s)) and np.allclose(p[1, :4], brute_marginals(e[1, :4], t, s))
 
 
-def test_html(spark, sf_dir):
+def article_text(raw):
+    """What lies in the test pages' article, by patterns of its own."""
     import html
 
+    m = re.search(r"<article>(.*?)(</article>|$)", raw, re.S)
+    t = re.sub(r"<[^>]*>", "", re.sub(r"<(/?(p|h1|br))>", "\0", m.group(1)))
+    return "\n".join(x for x in (" ".join(html.unescape(x).split()) for x in t.split("\0")) if x)
+
+
+def test_html(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    want = {r.page_id: article_text(r.html) for r in pages.collect()}
     got = {r.page_id: r for r in queries.op5_html_url_diff(spark, sf_dir).collect()}
-    for r in table(spark, sf_dir, "pages").collect():
-        m = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)
-        t = re.sub(r"<[^>]*>", "", re.sub(r"<(/?(p|h1|br))>", "\0", m.group(1)))
-        want = "\n".join(x for x in (" ".join(html.unescape(x).split()) for x in t.split("\0")) if x)
-        assert (got[r.page_id].text, got[r.page_id].n_chars) == (want, len(want))
+    assert {k: (r.text, r.n_chars) for k, r in got.items()} == {k: (t, len(t)) for k, t in want.items()}
+    alone = {r.page_id: r.text for r in html_diff.main_text(pages, reach=0).collect()}
+    assert not any(alone[k] == t for k, t in want.items())  # the neighbours decide
+    for n in (1, 3, 50):
+        assert {r.page_id: r.text for r in html_diff.main_text(pages, n_ranges=n).collect()} == want
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def texts_of(spark, pages, **more):
+    return Counter((r.page_id, r.text) for r in html_diff.main_text(spark.createDataFrame(pages, PAGES), **more).collect())
 
 
 def test_html_templates(spark):
     page = "<div><div>Home</div><div>Shop</div></div><div><p>{}</p><p>shared passage</p></div><div>All rights reserved</div><form>go</form><section id=comments><p>me too</p></section>"
     pages = [(i, f"http://h.org/a/{i}", page.format(f"own words {i} &amp; more")) for i in range(5)] + [(9, None, None), (10, "http://h.org/a/2b", page.format("own words 2 &amp; more")), (11, "http://[bad", "<p>alone</p>"), (0, "http://h.org/a/0", page.format("own words 0 &amp; more"))]
-    got = html_diff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert Counter((r.page_id, r.text) for r in got) == Counter([*((i, f"own words {i} & more\nshared passage") for i in range(5)), (9, ""), (10, "own words 2 & more\nshared passage"), (11, "alone"), (0, "own words 0 & more\nshared passage")])
-    assert html_diff.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    want = Counter([*((i, f"own words {i} & more\nshared passage") for i in range(5)), (9, ""), (10, "own words 2 & more\nshared passage"), (11, "alone"), (0, "own words 0 & more\nshared passage")])
+    for n in (1, 2, 7):
+        assert texts_of(spark, pages, n_ranges=n) == want
+    assert html_diff.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_html_ordinary_markup(spark):
+    """Class names do not decide: titles, quoted notices and formulae of an article stay; slots beside it go."""
+    page = '<div class="top">Menu {0}</div><article><div class="article-header"><h1>Title {0}</h1></div><p class="related-work">Related {0}</p><p class="notice">Note {0}</p><p>Of <math><mi>x{0}</mi></math> and more words of {0}, as articles have</p></article><div class="promo">Buy {0}!</div>'
+    posts = '<div class="post share-page"><p>body {0} of a post, long enough to matter</p><p>second line {0}</p></div><div class="cookie">We bake {0}</div>'
+    pages = [(i, f"https://a.org/x/{i}", page.format(i)) for i in range(4)] + [(10 + i, f"https://b.org/p?n={i}", posts.format(i)) for i in range(4)]
+    assert texts_of(spark, pages) == Counter([*((i, f"Title {i}\nRelated {i}\nNote {i}\nOf x{i} and more words of {i}, as articles have") for i in range(4)), *((10 + i, f"body {i} of a post, long enough to matter\nsecond line {i}") for i in range(4))])
+
+
+def test_html_copies_and_broken_markup(spark):
+    """Runs of copies are no siblings; unclosed elements, a very long page and repeated lines are read whole."""
+    page = "<div>Our site</div><div><h1>{0}</h1><p>Text of {0} with enough words</p></div><div>Imprint</div>"
+    pages = [(i, f"http://c.org/{i:02}", page.format("the copied page")) for i in range(6)] + [(20 + i, f"http://c.org/{20 + i}", page.format(f"page {i}")) for i in range(3)]
+    assert texts_of(spark, pages) == Counter([*((i, "the copied page\nText of the copied page with enough words") for i in range(6)), *((20 + i, f"page {i}\nText of page {i} with enough words") for i in range(3))])
+    long = "<article>" + "".join(f"<p>line {k} <b>bold<p>same" for k in range(20_000)) + "<script>never closed"
+    odd = [(1, "http://d.org/1", long), (2, "http://d.org/2", long.replace("line", "Line")), (3, "http://d.org/3", "a < b <p>c<!-- no end"), (4, "http://d.org/4", "</div></p>x"), (5, "http://d.org/5", ""), (None, "http://d.org/6", "<p>&amp;&#8364;&nbsp;1</p>")]
+    got = {k: t for k, t in texts_of(spark, odd)}
+    assert got[1].split("\n") == [x for k in range(20_000) for x in (f"line {k} bold", "same")]
+    assert got[3] == "a < b\nc" and got[4] == "x" and got[5] == "" and got[None] == "&\u20ac 1"
 
 
 def test_lcs():
