@@ -5,18 +5,24 @@ their hashes) is cut into fragments. Each fragment gets its segment of every doc
 hold each shingle, and sends back the shingles of two documents or more; overlaps consist of those alone. With the
 counts, a document's rarest shingles come first, and two documents that reach the threshold must share one among the
 first ``size - ceil(threshold * size) + 1`` of both. Documents that do so, with sizes near enough, form candidate
-clusters. Within a cluster the overlap of all pairs is counted fragment by fragment of the cluster's own shingle order,
-each a partial count, and summed per pair; pairs that reach the threshold are links, and links make components.
+clusters. A cluster's shingles are cut into fragments of the same global order; each (block of sets, block of sets,
+fragment) is a row group of its own, which counts the partial overlap of its pairs, and a further shuffle sums the
+partial counts of each pair over the fragments. Pairs that reach the threshold are links, and links make components.
 
 What keeps it bounded:
 
 * equal sets count as one class throughout (within a chunk before anything is sent), so copies cost one set;
 * rows that move are packed per chunk of documents and fragment, and there are as many fragments as the text needs for
   about ``FRAGMENT_TEXT`` bytes each; a very frequent shingle is one entry per document of one fragment;
-* pairs never become rows: a cluster's block counts its pairs in place and returns links that span the components, one
-  row per document; clusters beyond ``BLOCK_SETS`` sets are cut into blocks, each pair of blocks a task of its own;
+* pairs never become rows: partial counts of a pair of blocks are one packed matrix, and what comes out of their sum
+  are links that span the components, one row per document; clusters beyond ``BLOCK_SETS`` sets are cut into blocks, so
+  no group holds more than twice as many sets, nor more than about ``4 * SEGMENT`` shingles;
 * nothing is capped, and nothing of the corpus goes to the driver.
 
+Shingles are compared by 64-bit hashes and equal sets are recognised by a 64-bit sum over them: at 10^9 documents the
+chance of one false merge of two different sets is about 3 %. Packets number chunks times fragments, which suits inputs
+up to some terabytes at the defaults; beyond, dealing would have to go in two steps.
+
 The threshold is a whole percentage, compared in integers: ``100 * overlap >= percent * union``.
 
 Null text counts as empty; documents without words have an empty set and link with nothing. Documents with fewer than
@@ -31,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +47,7 @@ from casebook.operators.components import connected_components
 from casebook.session import written
 
 FRAGMENT_TEXT = 8 << 20
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, SEGMENT = 512, 1 << 19
 SENT = "chunk long, fragment int, doc_ids array<long>, sizes binary, signs binary, carries binary, shingles binary, holders binary"
 HELD = "chunk long, fragment int, doc_ids array<long>, sizes binary, signs binary, carries binary, shingles binary, holders binary, counts binary"
 
@@ -176,48 +183,83 @@ def _prefixes(percent: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray], fragment: int = 4096) -> np.ndarray:
-    """Overlap of every pair: counted within each fragment of the sets' common order, summed over fragments."""
-    flat = np.concatenate(sets)
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Overlap of every pair of sets, by products of ``width`` columns of their incidence matrix at a time."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     order, place = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     total = np.zeros((len(sets), len(sets)), dtype=np.int64)
     by = np.argsort(place, kind="stable")
     place, owner = place[by], owner[by]
-    for a in range(0, len(order), fragment):
-        i, j = np.searchsorted(place, [a, a + fragment])
-        segment = np.zeros((len(sets), min(fragment, len(order) - a)), dtype=np.float32)
-        segment[owner[i:j], place[i:j] - a] = 1
-        total += (segment @ segment.T).astype(np.int64)
+    for a in range(0, len(order), width):
+        i, j = np.searchsorted(place, [a, a + width])
+        columns = np.zeros((len(sets), min(width, len(order) - a)), dtype=np.float32)
+        columns[owner[i:j], place[i:j] - a] = 1
+        total += (columns @ columns.T).astype(np.int64)
     return total
 
 
+PARTIAL = "cluster long, i long, j long, signs binary, sizes binary, copies binary, sides binary, counts binary"
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within a fragment of two blocks of a cluster: how many of the fragment's shingles each pair of sets shares."""
+    out: dict[str, list] = {}
+
+    def packed() -> pa.RecordBatch:
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 5
+        batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+        out.clear()
+        return batch
+
+    held = 0
+    for group in sorted_groups(batches, ["cluster", "i", "j", "fragment"]):
+        g = group.combine_chunks()
+        shared = g.column("shared")
+        counts = overlaps([shared[k].values.to_numpy() for k in range(g.num_rows)])
+        row = {k: g.column(k)[0].as_py() for k in ("cluster", "i", "j")} | {k + "s": g.column(k).to_numpy().tobytes() for k in ("sign", "size")}
+        row |= {"copies": g.column("copies").to_numpy().tobytes(), "sides": g.column("side").to_numpy().tobytes(), "counts": zstandard.compress(counts.astype("<u4").tobytes(), 1)}
+        for k, v in row.items():
+            out.setdefault(k, []).append(v)
+        held += counts.size
+        if held > 1 << 20 or len(out["i"]) >= 2_000:
+            yield packed()
+            held = 0
+    if out:
+        yield packed()
+
+
 def _link(percent: int):
-    """Within a block of a cluster: for every set the smallest set it is joined to there, and how many documents of
-    other sets it links with."""
+    """Sums the partial counts of every pair of two blocks over the fragments. For every set: the smallest set it is
+    joined to there, and how many documents of other sets it links with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["cluster", "i", "j"]):
-            g = group.combine_chunks()
-            sign, size, copies, side = (g.column(k).to_numpy() for k in ("sign", "n_shingles", "copies", "side"))
-            shared = g.column("shared")
-            sets = [shared[k].values.to_numpy() for k in range(len(sign))]
-            both = overlaps(sets)
+            parts = group.to_pylist()
+            signs = [np.frombuffer(r["signs"], np.int64) for r in parts]
+            sign, first = np.unique(np.concatenate(signs), return_index=True)
+            size, copies = (np.concatenate([np.frombuffer(r[k], np.int64) for r in parts])[first] for k in ("sizes", "copies"))
+            side = np.concatenate([np.frombuffer(r["sides"], np.int32) for r in parts])[first]
+            both = np.zeros((len(sign), len(sign)), dtype=np.int64)
+            for own, r in zip(signs, parts):
+                at = np.searchsorted(sign, own)
+                both[np.ix_(at, at)] += np.frombuffer(zstandard.decompress(r["counts"]), "<u4").reshape(len(own), len(own))
             linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
             np.fill_diagonal(linked, False)
-            if g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                linked &= side[:, None] != side[None, :]  # pairs within a block have their own task
+            if parts[0]["i"] != parts[0]["j"]:
+                linked &= side[:, None] != side[None, :]  # pairs within a block have their own group
             label, old = sign.copy(), None
             while old is None or (label != old).any():
                 old = label
                 label = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
+                label = label[np.searchsorted(sign, label)]  # jump
             any_ = linked.any(1)
             yield pa.RecordBatch.from_pydict({"sign": pa.array(sign[any_]), "low": pa.array(label[any_]), "links": pa.array((linked @ copies)[any_].astype(np.int64))})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", fragment_text: int = FRAGMENT_TEXT) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", fragment_text: int = FRAGMENT_TEXT, segment: int = SEGMENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and n_links
     (documents it links with, equal ones included)."""
     spark = docs.sparkSession
@@ -225,7 +267,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n_fragments = max(1, math.ceil(chars / fragment_text))
     sent = rows.mapInArrow(_send(n, n_fragments), SENT)
-    held = sent.repartition(max(n_fragments, 1), "fragment").sortWithinPartitions("fragment").mapInArrow(_count_holders, HELD)
+    held = sent.repartitionById(n_fragments, F.pmod("fragment", F.lit(n_fragments))).sortWithinPartitions("fragment").mapInArrow(_count_holders, HELD)
     sets = held.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_prefixes(percent), "doc_id long, n_shingles long, sign long, prefix array<long>, shared array<long>")
     sets = written(sets, "shingle-sets")
     classes = written(sets.where("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
@@ -240,11 +282,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     clusters = connected_components(near).select(F.col("node").alias("sign"), F.col("component").alias("cluster"))
     members = written(carriers.drop("prefix").join(clusters, "sign").join(classes.select("sign", "copies"), "sign"), "cluster-members")
     extent = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum(F.size("shared")).alias("w"))
-    blocks = extent.select("cluster", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).alias("nb"))
-    placed = members.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("sign"), F.col("nb")))
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    dealt = dealt.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") <= F.col("o")).cast("int").alias("side"), "sign", "n_shingles", "copies", "shared")
-    linked = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_link(percent), "sign long, low long, links long")
+    cuts = extent.select("cluster", F.ceil(F.col("k") / BLOCK_SETS).alias("nb"), "w").select("cluster", "nb", F.ceil(F.col("w") / F.col("nb") / segment).alias("nf"))
+    placed = members.join(cuts, "cluster").withColumn("b", F.pmod(F.xxhash64("sign"), F.col("nb")))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("fragment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nf") - 1)))
+    # fragments are equal ranges of the shingles' order, taken by their upper 31 bits
+    here = F.expr("CASE WHEN nf = 1 THEN shared ELSE filter(shared, x -> shiftrightunsigned(x, 33) * nf div 2147483648 = fragment) END")
+    dealt = dealt.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "fragment", (F.col("b") <= F.col("o")).cast("int").alias("side"), "sign", F.col("n_shingles").alias("size"), "copies", here.alias("shared")).where(F.size("shared") > 0)
+    group = ["cluster", "i", "j"]
+    partial = dealt.repartition(*group, "fragment").sortWithinPartitions(*group, "fragment").mapInArrow(_partial_counts, PARTIAL)
+    linked = partial.repartition(*group).sortWithinPartitions(*group).mapInArrow(_link(percent), "sign long, low long, links long")
     linked = written(linked, "links")
     joined = connected_components(linked.select(F.col("sign").alias("src"), F.col("low").alias("dst")))
     links = linked.groupBy("sign").agg(F.sum("links").alias("links"))

@@ -237,8 +237,35 @@ def test_ngram_join_blocks(spark, monkeypatch):
     assert got == dict(enumerate(brute_components(texts, 3, 70)))
 
 
+def test_ngram_join_fragments(spark, monkeypatch):
+    """Partial counts of many fragments add up; blocks and fragments change nothing."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 9)
+    g = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(80)]
+    texts = [" ".join(w if g.random() > 0.02 else f"e{g.integers(0, 9)}" for w in words) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_components(df, 3, 80, segment=25).collect()}
+    assert got == dict(enumerate(brute_components(texts, 3, 80)))
+
+
+def test_ngram_join_long_chain(spark):
+    """Each of 4,000 documents is the one before, moved on by five words: one component, 3 links either way."""
+    words = [f"w{k}" for k in range(4_000 * 5 + 200)]
+    df = spark.createDataFrame([(i, " ".join(words[5 * i : 5 * i + 200])) for i in range(4_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_components(df, 4, 85).collect()}
+    assert got == {i: (197, 0, min(i, 3) + min(3_999 - i, 3)) for i in range(4_000)}
+
+
 def test_ngram_join_odd(spark, odd):
-    assert ngram_join.jaccard_components(odd).count() == odd.count()
+    texts = [r.text for r in odd.collect()]
+    want = brute_components(texts, 2, 80)  # by place of row; ids by what the rows carry
+    ids = [r.doc_id for r in odd.collect()]
+    groups = defaultdict(list)
+    for i, (_, c, _) in zip(ids, want):
+        groups[c].append(i)
+    low = {c: min((i for i in g if i is not None), default=None) for c, g in groups.items()}
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_components(odd, 2, 80).collect())
+    assert got == Counter((i, n, low[c] if n else i, k) for i, (n, c, k) in zip(ids, want))
     assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
 
 
