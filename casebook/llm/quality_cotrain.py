@@ -7,8 +7,9 @@ of, of either class in the sample's proportion, to the other view as further tra
 calibrated on labelled rows kept apart for it, and a logistic combination of the calibrated views scores every document.
 
 Only the labelled sample is bounded (a documented parameter); it is chosen by a hash of the id. The exchange runs in
-Spark over every unlabelled document: features are written once, a round's bounds of confidence are distributed
-quantiles of the margins (a hash decides ties), what a round hands over is written, and each further step of a view
+Spark over every unlabelled document: features are written once, packed per chunk of documents, and a round's bounds of
+confidence are distributed quantiles of the margins (a hash decides ties). Which rows were handed over follows from the
+weights and bounds of the rounds so far, so it is told anew in each pass and never stored; each further step of a view
 sums the gradients of all rows handed to it, task by task and then by block of weights. The driver sees the labelled
 sample, the bounds and the summed gradients (2 ** BITS a view). However many rows are handed over, together they weigh
 no more than they would if the unlabelled documents were as few as the labelled ones. Both models are about a megabyte.
@@ -26,11 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import mix64, plain_words, text_chunks, word_hashes
+from casebook.llm.common import merged, mix64, plain_words, text_chunks, word_hashes
 from casebook.llm.toxicity_crf import bare, held_out
 from casebook.session import written
 
@@ -144,54 +146,57 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
 
 
 OTHER = dict(zip(VIEWS, VIEWS[::-1]))
-FEATURES = "content0 binary, content1 binary, metadata0 binary, jitter double"
-TAUGHT = "learner string, y int, feature binary, value binary"
+FEATURES = "sizes binary, codes binary, names binary, values binary, metadata binary, jitter binary"
 BLOCK = 2**12  # weights whose gradients are summed in one group
 
 
-def _pack(view: Ragged, values: bool) -> list[list[bytes]]:
-    """Features of every row, three bytes each, and their values if asked for."""
-    feature, value, offsets = view
-    three = np.ascontiguousarray(feature.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
-    half, ends = value.astype("<f2").tobytes(), offsets.tolist()
-    out = [[three[3 * a : 3 * b] for a, b in zip(ends, ends[1:])]]
-    return [*out, [half[2 * a : 2 * b] for a, b in zip(ends, ends[1:])]] if values else out
+def _planes(a: np.ndarray) -> bytes:
+    """Byte planes, packed: high bytes are mostly zero or alike."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 3)
+
+
+def _from_planes(b: bytes, dtype: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).reshape(-1)
+
+
+def pack_views(found: dict[str, Ragged], jitter: np.ndarray) -> dict[str, bytes]:
+    """The features of a chunk of documents: content features as codes by falling frequency into the chunk's own list."""
+    feature, value, offsets = found["content"]
+    names, codes, count = np.unique(feature, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    arrays = {"sizes": np.diff(offsets).astype("<u4"), "codes": place[codes].astype("<u4"), "names": names[order].astype("<u4"), "values": value.astype("<f2"), "metadata": found["metadata"][0].astype("<u4"), "jitter": jitter.astype("<u4")}
+    return {k: _planes(a) for k, a in arrays.items()}
 
 
-def _unpack(feature: pa.Array, value: pa.Array | None) -> Ragged:
-    sizes = pc.binary_length(feature).to_numpy(zero_copy_only=False).astype(np.int64) // 3
-    three = np.frombuffer(b"".join(feature.to_pylist()), np.uint8).reshape(-1, 3)
-    ids = three[:, 0].astype(np.int64) | three[:, 1].astype(np.int64) << 8 | three[:, 2].astype(np.int64) << 16
-    values = np.ones(len(ids)) if value is None else np.frombuffer(b"".join(value.to_pylist()), "<f2").astype(float)
-    return ids, values, np.concatenate([[0], np.cumsum(sizes)])
+def unpack_views(row: dict[str, bytes]) -> tuple[dict[str, Ragged], np.ndarray]:
+    sizes, jitter = _from_planes(row["sizes"], "<u4").astype(np.int64), _from_planes(row["jitter"], "<u4")
+    names, metadata = _from_planes(row["names"], "<u4").astype(np.int64), _from_planes(row["metadata"], "<u4").astype(np.int64)
+    content = names[_from_planes(row["codes"], "<u4")], _from_planes(row["values"], "<f2").astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+    width = len(metadata) // max(1, len(sizes))
+    return {"content": content, "metadata": (metadata, np.ones(len(metadata)), np.arange(len(sizes) + 1) * width)}, jitter * 1e-6 / 2**30
 
 
 def _pool_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in text_chunks(batches, limit=2 << 20):
-        found = views(chunk)
-        columns = [*_pack(found["content"], True), *_pack(found["metadata"], False)]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], chunk.column("jitter")], ["content0", "content1", "metadata0", "jitter"])
+    for chunk in text_chunks(merged(batches, "text", 2 << 20), limit=4 << 20):
+        packed = pack_views(views(chunk), chunk.column("jitter").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in packed.items()})
 
 
-def _taught(batch: pa.RecordBatch, history: list[dict]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], dict[str, Ragged]]:
-    """Per learner: the label each row was given (-1: none) and the round; and the rows' features.
+def handed_over(data: dict[str, Ragged], jitter: np.ndarray, history: list[dict]) -> dict[str, np.ndarray]:
+    """Per learner the label that each row was given by the other view (-1: none so far).
 
     A round of ``history`` is per teaching view its weights, and the bounds of low and high margins it was sure of."""
-    data = {"content": _unpack(batch.column("content0"), batch.column("content1")), "metadata": _unpack(batch.column("metadata0"), None)}
-    given = {v: np.full(batch.num_rows, -1) for v in VIEWS}
-    when = {v: np.full(batch.num_rows, -1) for v in VIEWS}
-    for k, known in enumerate(history):
+    given = {v: np.full(len(jitter), -1) for v in VIEWS}
+    for known in history:
         for v in VIEWS:
             w, low, high = known[v]
-            z, to = _jittered(data[v], w, batch), OTHER[v]
+            z, to = margins(data[v], w) + jitter, OTHER[v]
             for label, sure in ((0, (z <= low) & (z < -1)), (1, (z >= high) & (z > 1))):
-                new = sure & (given[to] < 0)
-                given[to][new], when[to][new] = label, k
-    return given, when, data
-
-
-def _jittered(view: Ragged, w: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    return margins(view, w.astype(float)) + 1e-6 * batch.column("jitter").to_numpy(zero_copy_only=False)
+                given[to][sure & (given[to] < 0)] = label
+    return given
 
 
 def _margins_left(shared):
@@ -200,43 +205,40 @@ def _margins_left(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *history, now = shared.value
         for batch in batches:
-            given, _, data = _taught(batch, history)
-            yield pa.RecordBatch.from_pydict({v: pa.array(_jittered(data[v], now[v][0], batch), mask=given[OTHER[v]] >= 0) for v in VIEWS})
+            for row in batch.to_pylist():
+                data, jitter = unpack_views(row)
+                given = handed_over(data, jitter, history)
+                yield pa.RecordBatch.from_pydict({v: pa.array(margins(data[v], now[v][0]) + jitter, mask=given[OTHER[v]] >= 0) for v in VIEWS})
 
     return run
 
 
-def _newly_taught(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        history = shared.value
-        for batch in batches:
-            given, when, _ = _taught(batch, history)
-            for v in VIEWS:
-                new = pa.array(np.flatnonzero(when[v] == len(history) - 1))
-                value = batch.column("content1").take(new) if v == "content" else pa.nulls(len(new), pa.binary())
-                yield pa.RecordBatch.from_pydict({"learner": pa.array([v] * len(new), pa.string()), "y": pa.array(given[v][new].astype(np.int32)), "feature": batch.column(f"{v}0").take(new), "value": value})
-
-    return run
+def gradient(view: Ragged, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum over rows of (probability - label) * value per feature."""
+    feature, value, offsets = view
+    miss = 1 / (1 + np.exp(-np.clip(margins(view, w), -30, 30))) - y
+    return np.bincount(feature, np.repeat(miss, np.diff(offsets)) * value, minlength=2**BITS)
 
 
 def _gradients(shared):
-    """A task's sum of (probability - label) * value per feature, by view and block of features."""
+    """A task's sum of gradients over the rows handed over, and their number in place of block -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        history, weights = shared.value
+        total, number = {v: np.zeros(2**BITS) for v in VIEWS}, {v: 0 for v in VIEWS}
         for batch in batches:
-            for v in VIEWS:
-                own = batch.filter(pc.equal(batch.column("learner"), v))
-                if not own.num_rows:
-                    continue
-                feature, value, offsets = view = _unpack(own.column("feature"), own.column("value") if v == "content" else None)
-                z = margins(view, shared.value[v].astype(float))
-                miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - own.column("y").to_numpy()
-                total[v] = total.get(v, 0.0) + np.bincount(feature, np.repeat(miss, np.diff(offsets)) * value, minlength=2**BITS)
+            for row in batch.to_pylist():
+                data, jitter = unpack_views(row)
+                for v, y in handed_over(data, jitter, history).items():
+                    own = np.flatnonzero(y >= 0)
+                    if len(own):
+                        total[v] += gradient(_rows(data[v], own), y[own], weights[v])
+                        number[v] += len(own)
         task = TaskContext.get().partitionId()
-        for v, g in total.items():
-            parts = [(b // BLOCK, g[b : b + BLOCK].tobytes()) for b in range(0, 2**BITS, BLOCK) if g[b : b + BLOCK].any()]
-            yield pa.RecordBatch.from_pydict({"learner": pa.array([v] * len(parts), pa.string()), "block": pa.array([p[0] for p in parts], pa.int32()), "task": pa.array([task] * len(parts), pa.int32()), "g": pa.array([p[1] for p in parts], pa.binary())})
+        for v in VIEWS:
+            if number[v]:
+                parts = [(-1, np.array([float(number[v])]).tobytes())] + [(b // BLOCK, total[v][b : b + BLOCK].tobytes()) for b in range(0, 2**BITS, BLOCK) if total[v][b : b + BLOCK].any()]
+                yield pa.RecordBatch.from_pydict({"learner": pa.array([v] * len(parts), pa.string()), "block": pa.array([p[0] for p in parts], pa.int32()), "task": pa.array([task] * len(parts), pa.int32()), "g": pa.array([p[1] for p in parts], pa.binary())})
 
     return run
 
@@ -247,19 +249,22 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table({"learner": table.column("learner")[:1], "block": table.column("block")[:1], "g": pa.array([g.tobytes()], pa.binary())})
 
 
-def summed_gradients(taught: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Per view the gradient of the logistic loss over all rows of ``taught``."""
-    shared = taught.sparkSession.sparkContext.broadcast({v: w.astype(np.float32) for v, w in weights.items()})
-    parts = taught.mapInArrow(_gradients(shared), "learner string, block int, task int, g binary").groupBy("learner", "block").applyInArrow(_add_up, "learner string, block int, g binary")
-    out = {v: np.zeros(2**BITS) for v in VIEWS}
-    for r in parts.collect():  # at most 2 * 2 ** BITS / BLOCK rows
-        out[r.learner][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.g, float)
+def summed_gradients(pool: DataFrame, history: list[dict], weights: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """Per view the gradient of the logistic loss over all rows of ``pool`` handed to it, and how many these are."""
+    shared = pool.sparkSession.sparkContext.broadcast((history, {v: w.astype(np.float32) for v, w in weights.items()}))
+    parts = pool.mapInArrow(_gradients(shared), "learner string, block int, task int, g binary").groupBy("learner", "block").applyInArrow(_add_up, "learner string, block int, g binary")
+    out, number = {v: np.zeros(2**BITS) for v in VIEWS}, {v: 0 for v in VIEWS}
+    for r in parts.collect():  # at most 2 * (2 ** BITS / BLOCK + 1) rows
+        if r.block < 0:
+            number[r.learner] = int(np.frombuffer(r.g, float)[0])
+        else:
+            out[r.learner][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.g, float)
     shared.unpersist()
-    return out
+    return out, number
 
 
 def co_train(pool: DataFrame, data: dict[str, Ragged], y: np.ndarray, rounds: int = 4, steps: int = 3, share: float = 0.1) -> tuple[dict[str, np.ndarray], np.ndarray, list[dict[str, int]]]:
-    """Weights per view, the combination, and how many rows of ``pool`` each view was taught, round by round.
+    """Weights per view, the combination, and how many rows of ``pool`` each view was taught by the end of each round.
 
     ``data`` and ``y`` are the labelled sample; ``pool`` has the written features of all unlabelled documents."""
     known = np.arange(len(y))
@@ -267,15 +272,16 @@ def co_train(pool: DataFrame, data: dict[str, Ragged], y: np.ndarray, rounds: in
     start = np.setdiff1d(known, apart)
     if len(np.unique(y[start])) < 2:
         start = known
-    good, size, context = y[start].mean(), pool.count(), pool.sparkSession.sparkContext
+    good, context = y[start].mean(), pool.sparkSession.sparkContext
     learners = {v: Learner(_rows(data[v], start), y[start].astype(float)) for v in VIEWS}
     for learner in learners.values():
         for _ in range(50):
             learner.step()
-    trust = 0.5 * min(1.0, len(start) / max(1, size))
     history: list[dict] = []
-    taught: DataFrame | None = None
-    numbers, n_taught = [], {v: 0 for v in VIEWS}
+    numbers: list[dict[str, int]] = []
+    size = pool.mapInArrow(_count_rows, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    trust = 0.5 * min(1.0, len(start) / max(1, size))
+    n_taught = {v: 0 for v in VIEWS}
     for _ in range(rounds if size else 0):
         now = {v: (learners[v].w.astype(np.float32), -np.inf, np.inf) for v in VIEWS}
         left = {v: max(1, size - n_taught[OTHER[v]]) for v in VIEWS}
@@ -286,16 +292,11 @@ def co_train(pool: DataFrame, data: dict[str, Ragged], y: np.ndarray, rounds: in
         bounds = pool.mapInArrow(_margins_left(shared), "content double, metadata double").agg(*[F.percentile_approx(v, at[v], 10_000).alias(v) for v in VIEWS]).first()
         shared.unpersist()
         history.append({v: (now[v][0], *(bounds[v] or (-np.inf, np.inf))) for v in VIEWS})
-        shared = context.broadcast(list(history))
-        new = written(pool.mapInArrow(_newly_taught(shared), TAUGHT), "quality-taught")
-        shared.unpersist()
-        numbers.append({v: 0 for v in VIEWS} | {r.learner: r["count"] for r in new.groupBy("learner").count().collect()})
-        n_taught = {v: n_taught[v] + numbers[-1][v] for v in VIEWS}
-        taught = new if taught is None else taught.unionByName(new)
-        for _ in range(steps if sum(n_taught.values()) else 0):
-            g = summed_gradients(taught, {v: learners[v].w for v in VIEWS})
+        for _ in range(steps):
+            g, n_taught = summed_gradients(pool, history, {v: learners[v].w for v in VIEWS})
             for v in VIEWS:
                 learners[v].step(trust * g[v], trust * n_taught[v])
+        numbers.append(n_taught)
     weights = {v: learners[v].w for v in VIEWS}
     x = np.stack([np.ones(len(apart)), *[np.clip(margins(_rows(data[v], apart), weights[v]), -20, 20) for v in VIEWS]], axis=1)
     # each view is calibrated by itself; the combination then weighs the calibrated margins
@@ -305,6 +306,11 @@ def co_train(pool: DataFrame, data: dict[str, Ragged], y: np.ndarray, rounds: in
     return weights, np.array([c[0] + c[1] * single[0][0] + c[2] * single[1][0], c[1] * single[0][1], c[2] * single[1][1]]), numbers
 
 
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(_from_planes(b.as_py(), "<u4")) for b in batch.column("jitter")], pa.int64())})
+
+
 def _inputs(docs: DataFrame) -> DataFrame:
     column = lambda name, kind: (docs[name].cast(kind) if name in docs.columns else F.lit(None).cast(kind)).alias(name)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
@@ -312,12 +318,12 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def unlabelled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """Written features of every row that is neither held out nor in the labelled sample, rows without id included."""
-    jitter = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) / 2**30
+    jitter = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30))
     pool = rows.where(~held_out()).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumn("jitter", jitter)
     return written(pool.mapInArrow(_pool_features, FEATURES), "quality-pool")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4_000, rounds: int = 4) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds: int = 4) -> CoTrained:
     """Fit on at most ``labelled_rows`` labelled documents and on all others, of those that are not held out."""
     rows = _inputs(docs)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
