@@ -1,8 +1,8 @@
 """Token files under Re-Pair grammar compression.
 
 Documents are encoded, closed with an end id and laid out in ascending doc_id order over shards of about a million ids.
-In each shard frequent pairs of neighbouring ids are replaced by new symbols, again and again; the shard keeps the
-rules, the expanded length of every rule and the shortened sequence. From the lengths follows where any position of the
+In each shard frequent pairs of neighbouring ids are replaced by new symbols, again and again, until no pair has two
+uses; the shard keeps the rules, the expanded length of every rule and the shortened sequence. From the lengths follows where any position of the
 shard lies in the sequence, so a document is read back by expanding only the symbols that cover it.
 
 File format: Parquet, one row per shard, so that any file system Spark writes to will do. Integers in binary columns
@@ -42,58 +42,97 @@ SHARD = "part int, shard int, first_id long, last_id long, n_tokens long, doc_id
 SHARD_TOKENS = 1 << 20
 
 
-def build_grammar(ids: np.ndarray, min_count: int = 4, step: int = 4, max_rules: int = 1 << 20) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def build_grammar(ids: np.ndarray, step: int = 4) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, rule lengths, sequence) of a sequence of ids.
 
     Frequent pairs go first: a round replaces every pair that occurs at least ``threshold`` times, from left to right
-    without overlap, and the threshold then falls to a ``step``-th of the highest count left, down to ``min_count``.
+    without overlap, and the threshold then falls to a ``step``-th of the highest count left, down to 2. It ends when no
+    pair has two uses that don't overlap. A pair that occurs once never occurs twice again unless a new symbol is in it,
+    so a round looks only at places whose pair was seen twice or is new.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
     seq, rules, lengths, symbols = ids.astype(np.int64), [], [], base
     size_of = np.ones(base, dtype=np.int64)
-    threshold, bits = None, 18
-    while len(seq) > 1 and symbols - base < max_rules:
-        keys = seq[:-1] * symbols + seq[1:]
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+    threshold = None
+    open_ = np.ones(max(0, len(seq) - 1), dtype=bool)  # places whose pair may be used
+    while (at := np.flatnonzero(open_)).size:
+        keys, at = _by_pair(seq[at] * symbols + seq[at + 1], at)
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         counts = np.diff(edge)
+        open_[at[edge[:-1][counts < 2]]] = False
         highest = int(counts.max())
-        if highest < min_count:
+        if highest < 2:
             break
-        threshold = max(min_count, min(highest, threshold or highest) // step)
-        chosen = ordered[edge[:-1][counts >= threshold]][: max_rules - (symbols - base)]
-        # a hash table of the chosen pairs, the more frequent one where two meet; the other waits for the next round
-        kept = counts[counts >= threshold][: len(chosen)]
-        table = np.full(1 << bits, -1, dtype=np.int64)
-        rising = np.argsort(kept, kind="stable")
-        table[_slots(chosen[rising], bits)] = rising
-        slot = table[_slots(keys, bits)]
-        hit = chosen[slot] == keys  # an empty place points at the last pair, which then doesn't match
-        # within a run of neighbouring hits every second one is replaced, from the left
-        starts = hit & ~np.concatenate([[False], hit[:-1]])
-        run_start = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
-        hit &= (np.arange(len(hit)) - run_start) % 2 == 0
-        uses = np.bincount(slot[hit], minlength=len(chosen))
+        threshold = max(2, min(highest, threshold or highest) // step)
+        pair = np.full(len(seq), -1, dtype=np.int64)  # number of the chosen pair that begins at a place
+        number = np.repeat(np.where(counts >= threshold, np.arange(len(counts)), -1), counts)
+        pair[at] = number
+        used, uses = _without_overlap(pair, len(counts))
+        if threshold == 2 and not (uses >= 2).any():  # every pair lost a use to its neighbours: one by one, the most frequent first
+            pair, uses = _apart(seq, at, edge, counts)
+            if not uses.any():
+                break
+            used = np.flatnonzero(pair >= 0)
         worth = uses >= 2  # a rule that would be used once saves nothing
-        if worth.any():
-            number = np.cumsum(worth) - 1
-            hit &= worth[slot]
-            at = np.flatnonzero(hit)
-            left, right = np.divmod(chosen[worth], symbols)
-            rules.append(np.stack([left, right], axis=1))
-            lengths.append(size_of[left] + size_of[right])
-            size_of = np.concatenate([size_of, lengths[-1]])
-            seq[at] = symbols + number[slot[at]]
-            seq = np.delete(seq, at + 1)
-            symbols += int(worth.sum())
-        if threshold == min_count and (not worth.any() or len(at) * 50 < len(seq)):
-            break
+        if not worth.any():
+            continue
+        used = used[worth[pair[used]]]
+        chosen = keys[edge[:-1][worth]]
+        left, right = np.divmod(chosen, symbols)
+        rules.append(np.stack([left, right], axis=1))
+        lengths.append(size_of[left] + size_of[right])
+        size_of = np.concatenate([size_of, lengths[-1]])
+        seq[used] = symbols + (np.cumsum(worth) - 1)[pair[used]]
+        symbols += int(worth.sum())
+        keep = np.ones(len(seq), dtype=bool)
+        keep[used + 1] = False
+        fresh = np.zeros(len(seq), dtype=bool)
+        fresh[used] = True
+        seq, fresh, open_ = seq[keep], fresh[keep], np.append(open_, False)[keep][:-1]
+        open_ |= fresh[:-1] | fresh[1:]
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths) if lengths else np.zeros(0, np.int64), seq
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def _by_pair(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their places, sorted by both; in one integer each where there is room, as that sorts faster."""
+    bits = int(at[-1]).bit_length()
+    if int(keys.max()).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], at[order]
+    both = np.sort(keys << bits | at)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _without_overlap(pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which pairs are used, every second one within a run of neighbouring places, and uses by pair."""
+    hit = pair >= 0
+    starts = hit & ~np.concatenate([[False], hit[:-1]])
+    run_start = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
+    used = np.flatnonzero(hit & ((np.arange(len(hit)) - run_start) % 2 == 0))
+    return used, np.bincount(pair[used], minlength=n)
+
+
+def _apart(seq: np.ndarray, at: np.ndarray, edge: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with two uses or more, the most frequent first, none of which shares a symbol with another: so each keeps
+    all its uses."""
+    taken: set[int] = set()
+    out, uses = np.full(len(seq), -1, dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
+    often = np.flatnonzero(counts > 1)
+    for k in often[np.argsort(-counts[often], kind="stable")].tolist():
+        places = at[edge[k] : edge[k + 1]].tolist()
+        own = {int(seq[places[0]]), int(seq[places[0] + 1])}
+        if not taken.isdisjoint(own):
+            continue
+        if len(own) == 1:  # runs of one symbol: every second place
+            free: list[int] = []
+            for x in places:
+                if not free or x > free[-1] + 1:
+                    free.append(x)
+            places = free
+        if len(places) >= 2:
+            taken |= own
+            out[places], uses[k] = k, len(places)
+    return out, uses
 
 
 def expansions(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,11 +2,16 @@
 
 Labels are given per document, so tokens are labelled first: over a bounded sample of labelled documents, a word or a
 word beginning whose documents are toxic far more often than chance allows (likelihood ratio) marks its tokens as
-toxic. On windows of tokens so labelled, a two-state linear-chain CRF is fitted: hashed features of the word, its
-beginnings and ending, its neighbours and its shape; transition weights; gradients from forward-backward marginals.
-Every document is then tagged as a whole, in windows of ``WINDOW`` tokens; the marginals of its tokens give the highest,
-the expected number and the expected share of toxic tokens, and a logistic function of these, fitted on the same sample,
-is the score. Tokens with a marginal of at least one half are the offending spans.
+toxic. On all whole documents of the sample, each a chain, a two-state linear-chain CRF is fitted: hashed features of the
+word, its beginnings and ending, its neighbours and its shape; transition weights; gradients from forward-backward
+marginals. The sample is dealt into ``SHARDS`` shards by a hash; every shard makes some steps from the common weights on
+its own chains, and the shards' weights are averaged, each feature by its uses there, for the next round.
+
+Every document is tagged as one chain: windows of ``WINDOW`` tokens are worked side by side, but the forward and backward
+messages that enter a window are carried over all windows of its document, so marginals are those of the whole chain.
+The marginals of a document's tokens give the highest, the expected number and the expected share of toxic tokens, and a
+logistic function of these, fitted on the same sample, is the score. Tokens with a marginal of at least one half are the
+offending spans.
 
 A task scores 1.3 million tokens or so at once: features per distinct word, marginals for all windows side by side.
 Model and calibration are some MB whatever the input; only the scan of the documents grows.
@@ -35,6 +40,7 @@ from casebook.llm.common import doc_text, mix64, plain_words, text_chunks, word_
 from casebook.session import written
 
 WINDOW = 64
+SHARDS = 16
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
@@ -90,19 +96,22 @@ def _neighbours(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return before, after
 
 
-def marginals(emission: np.ndarray, valid: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emission: np.ndarray, valid: np.ndarray, transitions: np.ndarray, start: np.ndarray, enters: np.ndarray | None = None, leaves: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over all rows (windows) side by side. ``emission``: log weight of the toxic state by window and
-    position; the clean state has 0. Returns P(toxic), P(states of neighbours) summed over windows and positions
-    (2 x 2), and P(first state) summed over windows."""
+    position; the clean state has 0. ``enters``: the forward message from the window before, a row of nan where a chain
+    begins; ``leaves``: the backward message from the window behind. Without them every window is a chain. Returns
+    P(toxic), P(states of neighbours) summed over windows and positions (2 x 2), and P(first state) summed over chains."""
     n, t = emission.shape
     e = np.exp(np.clip(emission, -30, 30))
     move = np.exp(transitions)
+    enters = np.full((n, 2), np.nan) if enters is None else enters
+    begins = np.isnan(enters[:, 0])
     alpha, beta = np.empty((t, n, 2)), np.empty((t, n, 2))
     for k in range(t):
-        a = np.exp(start)[None, :] * np.ones((n, 1)) if k == 0 else alpha[k - 1] @ move
+        a = np.where(begins[:, None], np.exp(start)[None, :], enters @ move) if k == 0 else alpha[k - 1] @ move
         a[:, 1] *= e[:, k]
         alpha[k] = a / a.sum(1, keepdims=True)
-    beta[t - 1] = 1
+    beta[t - 1] = 1 if leaves is None else leaves
     for k in range(t - 2, -1, -1):
         b = beta[k + 1].copy()
         b[:, 1] *= e[:, k + 1]
@@ -111,16 +120,50 @@ def marginals(emission: np.ndarray, valid: np.ndarray, transitions: np.ndarray,
     both = alpha * beta
     p = both[:, :, 1] / both.sum(2)
     pairs = np.zeros((2, 2))
-    for k in range(t - 1):
-        right = beta[k + 1].copy()
-        right[:, 1] *= e[:, k + 1]
-        joint = alpha[k][:, :, None] * move[None] * right[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        pairs += joint[valid[:, k + 1]].sum(0)
-    first = p[0][valid[:, 0]]
+    for k in range(t):
+        left = enters if k == 0 else alpha[k - 1]
+        here = ~begins if k == 0 else valid[:, k]
+        right = beta[k].copy()
+        right[:, 1] *= e[:, k]
+        joint = left[:, :, None] * move[None] * right[:, None, :]
+        pairs += (joint / joint.sum((1, 2), keepdims=True))[here].sum(0)
+    first = p[0][valid[:, 0] & begins]
     return p.T, pairs, np.array([(1 - first).sum(), first.sum()])
 
 
+def messages(emission: np.ndarray, valid: np.ndarray, n_windows: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message that enters every window and the backward message that it gets from behind, carried over all
+    windows of a document through the product of each window's transfer matrices. ``n_windows``: windows by document."""
+    n, t = emission.shape
+    enters, leaves = np.full((n, 2), np.nan), np.ones((n, 2))
+    first = np.concatenate([[0], np.cumsum(n_windows)])[:-1]
+    if n_windows.max(initial=0) < 2:
+        return enters, leaves
+    rows = np.flatnonzero(np.repeat(n_windows > 1, n_windows))
+    e, ok, move = np.exp(np.clip(emission[rows], -30, 30)), valid[rows], np.exp(transitions)
+    begins = np.isin(rows, first)
+    product = np.broadcast_to(np.eye(2), (len(rows), 2, 2)).copy()
+    for k in range(t):
+        moved = product @ move
+        if k == 0:
+            moved[begins] = product[begins]
+        moved[:, :, 1] *= e[:, None, k]
+        product = np.where(ok[:, k, None, None], moved / moved.sum((1, 2), keepdims=True), product)
+    transfer = np.empty((n, 2, 2))
+    transfer[rows] = product
+    for w in range(1, int(n_windows.max())):
+        at = first[n_windows > w] + w
+        before = enters[at - 1] if w > 1 else np.broadcast_to(np.exp(start), (len(at), 2))
+        a = np.einsum("ni,nij->nj", before, transfer[at - 1])
+        enters[at] = a / a.sum(1, keepdims=True)
+    last = first + n_windows - 1
+    for w in range(1, int(n_windows.max())):
+        at = last[n_windows > w] - w
+        b = np.einsum("nij,nj->ni", transfer[at + 1], leaves[at + 1])
+        leaves[at] = b / b.sum(1, keepdims=True)
+    return enters, leaves
+
+
 def _windows(values: np.ndarray, offsets: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of WINDOW tokens, cut per document: values, which places hold tokens, and the place of every token."""
     sizes = np.diff(offsets)
@@ -134,6 +177,20 @@ def _windows(values: np.ndarray, offsets: np.ndarray, fill) -> tuple[np.ndarray,
     return out.reshape(n, WINDOW), valid.reshape(n, WINDOW), place
 
 
+def chain_marginals(emission: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: np.ndarray, step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``marginals`` of whole chains: tokens of all documents in a row, cut by ``offsets``."""
+    if not len(emission):
+        return np.zeros(0), np.zeros((2, 2)), np.zeros(2)
+    rows, valid, place = _windows(emission, offsets, 0.0)
+    enters, leaves = messages(rows, valid, -(-np.diff(offsets) // WINDOW), transitions, start)
+    p, pairs, first = np.empty(rows.shape), np.zeros((2, 2)), np.zeros(2)
+    for a in range(0, len(rows), step):
+        b = a + step
+        p[a:b], more, begun = marginals(rows[a:b], valid[a:b], transitions, start, enters[a:b], leaves[a:b])
+        pairs, first = pairs + more, first + begun
+    return p.reshape(-1)[place], pairs, first
+
+
 def token_marginals(crf: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of every token of every text and the offsets of the texts."""
     words, codes, offsets = plain_words(texts)
@@ -142,13 +199,7 @@ def token_marginals(crf: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     score = w[own].sum(1)
     before, after = _neighbours(codes, offsets)
     emission = score[codes] + np.append(w[left], 0)[before] + np.append(w[right], 0)[after] if len(codes) else np.zeros(0)
-    if not len(codes):
-        return emission, offsets
-    rows, valid, place = _windows(emission, offsets, 0.0)
-    out = np.empty(rows.shape)
-    for a in range(0, len(rows), 20_000):
-        out[a : a + 20_000] = marginals(rows[a : a + 20_000], valid[a : a + 20_000], crf.transitions, crf.start)[0]
-    return out.reshape(-1)[place], offsets
+    return chain_marginals(emission, offsets, crf.transitions, crf.start)[0], offsets
 
 
 def _aggregates(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -188,67 +239,106 @@ def telling(a: Column, b: Column, n1: int, n0: int, least_ratio: float = 20, lea
     return (a > 0) & (share > rate) & (llr >= least_llr) & ((a + 0.5) / n1 >= least_ratio * (b + 0.5) / n0)
 
 
-def _sampler(marked: frozenset[str]):
-    """Windows of the sample: every one with a marked token, and one other per document; features and labels."""
+@dataclass
+class Chains:
+    """Documents as chains: distinct words' features, words in order, and which tokens are labelled toxic."""
+
+    own: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    codes: np.ndarray
+    offsets: np.ndarray
+    label: np.ndarray
+
+    def gradient(self, w: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the negative log likelihood: by feature (2 ** BITS), transition and start."""
+        codes = self.codes.astype(np.int64)
+        before, after = _neighbours(codes, self.offsets)
+        emission = np.append(w, 0)[self.own].sum(1)[codes] + np.append(w[self.left], 0)[before] + np.append(w[self.right], 0)[after]
+        p, pairs, first = chain_marginals(emission, self.offsets, transitions, start)
+        miss, n = p - self.label, len(self.left)
+        g = np.bincount(self.own.reshape(-1) + 1, np.repeat(np.bincount(codes, miss, n), self.own.shape[1]), len(w) + 1)[1:]
+        for ids, at in ((self.left, before), (self.right, after)):
+            g += np.bincount(ids, np.bincount(at + 1, miss, n + 1)[1:], len(w))
+        inner = before >= 0  # tokens with one before them in their document
+        was, is_ = self.label[np.flatnonzero(inner) - 1].astype(int), self.label[inner].astype(int)
+        begun = self.label[~inner]
+        return g, pairs - np.bincount(2 * was + is_, minlength=4).reshape(2, 2), first - np.array([(~begun).sum(), begun.sum()])
+
+    def uses(self) -> np.ndarray:
+        """How often each feature occurs."""
+        codes, n = self.codes.astype(np.int64), len(self.left)
+        before, after = _neighbours(codes, self.offsets)
+        found = np.bincount(self.own.reshape(-1) + 1, np.repeat(np.bincount(codes, minlength=n), self.own.shape[1]), 2**BITS + 1)[1:]
+        for ids, at in ((self.left, before), (self.right, after)):
+            found += np.bincount(ids, np.bincount(at + 1, minlength=n + 1)[1:], 2**BITS)
+        return found
+
+
+def chains(texts: pa.Array, y: np.ndarray, marked: frozenset[str]) -> Chains:
+    words, codes, offsets = plain_words(texts)
+    own, left, right = _feature_ids(words)
+    hot = np.array([bool(s) and ("=" + s in marked or any(s[:k] + "*" in marked for k in PREFIXES if len(s) > k)) for s in bare(words).to_pylist()], dtype=bool)
+    label = hot[codes] & np.repeat(y == 1, np.diff(offsets)) if len(codes) else np.zeros(0, bool)
+    return Chains(own.astype(np.int32), left.astype(np.int32), right.astype(np.int32), codes.astype(np.int32), offsets, label)
+
+
+def descend(parts: list[Chains], x: np.ndarray, steps: int, rate: float = 0.3, l2: float = 1e-5) -> np.ndarray:
+    """``steps`` steps of Adam from ``x`` (features, 4 transitions, 2 starts) on the likelihood of all chains."""
+    x, m, v = x.copy(), np.zeros_like(x), np.zeros_like(x)
+    n = max(1, sum(len(c.codes) for c in parts) / WINDOW)
+    for step in range(1, steps + 1):
+        g = np.zeros_like(x)
+        for c in parts:
+            features, transitions, start = c.gradient(x[:-6], x[-6:-2].reshape(2, 2), x[-2:])
+            g += np.concatenate([features, transitions.reshape(-1), start])
+        g = g / n + l2 * x
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return x
+
+
+BLOCK = 2**15  # features whose averages are taken in one group
+PARTS = "block int, shard int, place binary, value binary, uses binary"
+
+
+def _shard(shared, steps: int):
+    """A shard's steps from the common weights: new values of what it has seen, with the number of uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, limit=2 << 20):
-            words, codes, offsets = plain_words(chunk.column("text"))
-            if not len(codes):
-                continue
-            own, left, right = _feature_ids(words)
-            hot = np.array([bool(s) and ("=" + s in marked or any(s[:k] + "*" in marked for k in PREFIXES if len(s) > k)) for s in bare(words).to_pylist()])
-            before, after = _neighbours(codes, offsets)
-            features = np.concatenate([own[codes], np.append(left, -1)[before][:, None], np.append(right, -1)[after][:, None]], axis=1).astype(np.int32)
-            toxic_doc = np.repeat(chunk.column("y").to_numpy(zero_copy_only=False) == 1, np.diff(offsets))
-            label, out = hot[codes] & toxic_doc, []
-            for a, b in zip(offsets, offsets[1:]):
-                cuts = [(s, min(s + WINDOW, b)) for s in range(a, b, WINDOW)]
-                with_ = [c for c in cuts if label[c[0] : c[1]].any()]
-                without = [c for c in cuts if not label[c[0] : c[1]].any()]
-                out += [(c, 1) for c in with_] + [(c, 0) for c in without[len(without) // 2 :][:1]]
-            if not out:
+        x, marked = shared.value
+        for_shard: dict[int, list[Chains]] = {}
+        for chunk in text_chunks(batches, limit=4 << 20):
+            shards = chunk.column("shard").to_numpy()
+            for k in np.unique(shards).tolist():
+                part = chunk.filter(pa.array(shards == k))
+                for_shard.setdefault(k, []).append(chains(part.column("text"), part.column("y").to_numpy(zero_copy_only=False), marked))
+        for k, parts in for_shard.items():
+            tokens = sum(len(c.codes) for c in parts)
+            if not tokens:
                 continue
-            yield pa.RecordBatch.from_pydict({
-                "kind": pa.array([k for _, k in out], pa.int32()), "n": pa.array([c[1] - c[0] for c, _ in out], pa.int32()),
-                "features": pa.array([features[c[0] : c[1]].tobytes() for c, _ in out], pa.binary()), "label": pa.array([label[c[0] : c[1]].tobytes() for c, _ in out], pa.binary()),
-            })
+            after = descend(parts, x, steps)
+            uses = np.concatenate([sum(c.uses() for c in parts), np.full(6, tokens)])
+            for b in range(0, len(x), BLOCK):
+                seen = np.flatnonzero(uses[b : b + BLOCK])
+                if len(seen):
+                    yield pa.RecordBatch.from_pydict({
+                        "block": pa.array([b // BLOCK], pa.int32()), "shard": pa.array([k], pa.int32()), "place": pa.array([seen.astype("<u2").tobytes()], pa.binary()),
+                        "value": pa.array([after[b : b + BLOCK][seen].astype("<f4").tobytes()], pa.binary()), "uses": pa.array([uses[b : b + BLOCK][seen].astype("<f4").tobytes()], pa.binary()),
+                    })
 
     return run
 
 
-def _train(rows: list, rounds: int = 60, rate: float = 0.15, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam over all windows at once: weights, transitions, start."""
-    n, width = len(rows), len(PREFIXES) + 5
-    features = np.full((n, WINDOW, width), -1, dtype=np.int32)
-    label, valid = np.zeros((n, WINDOW), dtype=bool), np.zeros((n, WINDOW), dtype=bool)
-    for i, r in enumerate(rows):
-        features[i, : r["n"]] = np.frombuffer(r["features"], np.int32).reshape(-1, width)
-        label[i, : r["n"]], valid[i, : r["n"]] = np.frombuffer(r["label"], bool), True
-    used, where = np.unique(features, return_inverse=True)
-    where = where.reshape(features.shape).astype(np.int32)
-    del features
-    real = (used >= 0).astype(np.float64)
-    pairs_seen = np.zeros((2, 2))
-    both = valid[:, 1:]
-    for i in (0, 1):
-        for j in (0, 1):
-            pairs_seen[i, j] = ((label[:, :-1] == i) & (label[:, 1:] == j) & both).sum()
-    first_seen = np.array([(~label[:, 0] & valid[:, 0]).sum(), (label[:, 0] & valid[:, 0]).sum()], dtype=float)
-    x = np.concatenate([np.zeros(len(used)), np.zeros(4), [0.0, -2.0]])
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    flat = where[valid]
-    for step in range(1, rounds + 1):
-        w, transitions, start = x[: len(used)] * real, x[len(used) : -2].reshape(2, 2), x[-2:]
-        p, pairs, first = marginals(w[where].sum(2), valid, transitions, start)
-        miss = (p - label)[valid]
-        g = np.bincount(flat.reshape(-1), np.repeat(miss, width), minlength=len(used)) * real
-        g = np.concatenate([g, (pairs - pairs_seen).reshape(-1), first - first_seen]) / n + l2 * x
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(2**BITS, dtype=np.float32)
-    weights[used[used >= 0]] = x[: len(used)][used >= 0]
-    return weights, x[len(used) : -2].reshape(2, 2), x[-2:]
+def _average(table: pa.Table) -> pa.Table:
+    """Each feature's mean over the shards that have it, weighted by uses; in the order of shards."""
+    total, weight = np.zeros(BLOCK), np.zeros(BLOCK)
+    for r in table.sort_by("shard").to_pylist():
+        at, uses = np.frombuffer(r["place"], "<u2"), np.frombuffer(r["uses"], "<f4").astype(float)
+        total[at] += uses * np.frombuffer(r["value"], "<f4")
+        weight[at] += uses
+    seen = np.flatnonzero(weight)
+    return pa.table({"block": table.column("block")[:1], "place": pa.array([seen.astype("<u2").tobytes()], pa.binary()), "value": pa.array([(total[seen] / weight[seen]).astype("<f4").tobytes()], pa.binary())})
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -260,13 +350,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_windows: int = 2_000) -> Crf:
-    """Fit on labelled documents that are not held out: at most ``sample_rows`` labels, chosen by a hash of the id, and
-    at most ``sample_windows`` windows with and as many without toxic tokens. The chosen labels are few enough to be
-    broadcast; their documents are written once."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, rounds: int = 2, steps: int = 8) -> Crf:
+    """Fit on labelled documents that are not held out: at most ``sample_rows`` labels, chosen by a hash of the id, with
+    all tokens of their documents. The chosen labels are few enough to be broadcast; their documents are written once."""
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     chosen = given.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = written(doc_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxic-sample")
+    sample = written(doc_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "y", F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int").alias("shard")), "toxic-sample")
     counted = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     counted = written(counted, "toxic-features")
     total = next(((r.a, r.b) for r in counted.where("feature = ''").collect()), (0, 0))
@@ -278,12 +367,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_wi
     marked = frozenset(r.feature for r in says.select("feature").collect())  # of a bounded sample
     if not marked:
         return none
-    windows = sample.mapInArrow(_sampler(marked), "kind int, n int, features binary, label binary")
-    order = F.xxhash64("features")
-    picked = [r.asDict() for kind in (1, 0) for r in windows.where(F.col("kind") == kind).orderBy(order).limit(sample_windows).collect()]
-    if not picked:
-        return none
-    crf = Crf(*_train(picked), np.zeros(4), base, True)
+    context = docs.sparkSession.sparkContext
+    x = np.concatenate([np.zeros(2**BITS + 5), [-2.0]])
+    for _ in range(rounds):
+        shared = context.broadcast((x, marked))
+        dealt = sample.repartitionById(SHARDS, "shard").sortWithinPartitions(F.xxhash64("text"), "text")
+        for r in dealt.mapInArrow(_shard(shared, steps), PARTS).groupBy("block").applyInArrow(_average, "block int, place binary, value binary").collect():  # one row per block
+            x[r.block * BLOCK + np.frombuffer(r.place, "<u2").astype(np.int64)] = np.frombuffer(r.value, "<f4")
+        shared.unpersist()
+    crf = Crf(x[:-6].astype(np.float32), x[-6:-2].reshape(2, 2).copy(), x[-2:].copy(), np.zeros(4), base, True)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,27 @@ def test_grammar(seed):
         assert (repair.expand_range(base, rules, lengths, seq, a, 60) == x[a : a + 60]).all()
 
 
+def uses_left(seq):
+    """The most uses without overlap that any pair of neighbours still has."""
+    last, uses = {}, Counter()
+    for i, pair in enumerate(zip(seq, seq[1:])):
+        if last.get(pair, -2) < i - 1:
+            uses[pair] += 1
+            last[pair] = i
+    return max(uses.values(), default=0)
+
+
+def test_repair_to_the_end(spark, sf_dir):
+    """No pair with two uses is left, whatever the sequence."""
+    g = np.random.default_rng(0)
+    made = [g.integers(0, int(g.integers(1, 6)), int(g.integers(0, 70))) for _ in range(1500)] + [np.zeros(1000, int), np.arange(500), np.tile(np.arange(7), 99)]
+    texts = pa.array([r.text or "" for r in table(spark, sf_dir, "documents").orderBy("doc_id").limit(60).collect()])
+    made.append(encode_column(texts)[0])
+    for ids in made:
+        base, rules, lengths, seq = repair.build_grammar(ids)
+        assert repair.expand(base, rules, lengths, seq).tolist() == ids.tolist() and uses_left(seq.tolist()) < 2
+
+
 def test_toxicity(spark, odd):
     d = "/root/testdata/sf0.1"
     crf = toxicity_crf.fit(table(spark, d, "documents"), table(spark, d, "labels"))
@@ -116,6 +137,74 @@ def test_forward_backward():
     assert np.allclose(p[0], brute_marginals(e[0], t, s)) and np.allclose(p[1, :4], brute_marginals(e[1, :4], t, s))
 
 
+def test_chains_over_windows(monkeypatch):
+    """Marginals, pair and start counts of whole documents, however they are cut into windows, against all paths."""
+    monkeypatch.setattr(toxicity_crf, "WINDOW", 3)
+    g = np.random.default_rng(4)
+    sizes = [1, 11, 3, 0, 7, 4, 12]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    e, t, s = g.normal(size=offsets[-1]) * 2, g.normal(size=(2, 2)) * 2, g.normal(size=2)
+    for step in (2, 1000):
+        p, pairs, first = toxicity_crf.chain_marginals(e, offsets, t, s, step)
+        for a, b in zip(offsets, offsets[1:]):
+            if b > a:
+                assert np.allclose(p[a:b], brute_marginals(e[a:b], t, s))
+        assert np.isclose(pairs.sum(), sum(max(0, n - 1) for n in sizes)) and np.allclose(first[1], sum(p[a] for a, n in zip(offsets, sizes) if n))
+
+
+def log_likelihood(c, w, t, s):
+    total = 0.0
+    for a, b in zip(c.offsets, c.offsets[1:]):
+        codes = c.codes[a:b].astype(int)
+        e = [sum(w[f] for f in c.own[x] if f >= 0) + (w[c.left[codes[i - 1]]] if i else 0) + (w[c.right[codes[i + 1]]] if i + 1 < len(codes) else 0) for i, x in enumerate(codes)]
+        if not e:
+            continue
+        path = lambda y: s[y[0]] + sum(v * k for v, k in zip(e, y)) + sum(t[i, j] for i, j in zip(y, y[1:]))  # noqa: B023, E731
+        total += path([int(x) for x in c.label[a:b]]) - np.log(sum(np.exp(path([k >> i & 1 for i in range(len(e))])) for k in range(2 ** len(e))))
+    return total
+
+
+def test_crf_gradient(monkeypatch):
+    monkeypatch.setattr(toxicity_crf, "WINDOW", 2)
+    monkeypatch.setattr(toxicity_crf, "BITS", 6)
+    c = toxicity_crf.chains(pa.array(["a vile Vile day", "", "fine day", "so vile"], pa.large_string()), np.array([1, 0, 0, 1]), frozenset(["=vile"]))
+    assert c.label.tolist() == [False, True, True, False, False, False, False, True]
+    g = np.random.default_rng(6)
+    w, t, s = g.normal(size=64) * 0.3, g.normal(size=(2, 2)), g.normal(size=2)
+    got = c.gradient(w, t, s)
+    for k, x in enumerate((w, t, s)):
+        for i in np.ndindex(x.shape):
+            up, down = [v.copy() for v in (w, t, s)], [v.copy() for v in (w, t, s)]
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            assert np.isclose(got[k][i], (log_likelihood(c, *down) - log_likelihood(c, *up)) / 2e-5, atol=1e-6)
+
+
+def test_toxicity_of_odd_rows(spark, odd):
+    """The query on a tiny corpus: every row by itself gets what the whole table gives it, by all paths of its chain."""
+    words = ["fine", "calm", "plain", "sea", "hill", "road", "tree", "lamp"]
+    g = np.random.default_rng(9)
+    made = [(i, " ".join([*g.choice(words, 6), *(["scumword"] if i % 3 == 0 else []), *g.choice(words, 3)])) for i in range(400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    crf = toxicity_crf.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    rows = [*made[:40], *((r.doc_id, r.text) for r in odd.collect())]
+    got = toxicity_crf.score(spark.createDataFrame(rows, "doc_id long, text string"), crf).collect()
+    want = []
+    for i, t in rows:
+        p, offsets = toxicity_crf.token_marginals(crf, pa.array([t or ""], pa.large_string()))
+        words_ = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        if 0 < len(words_) <= 12:
+            own, left, right = toxicity_crf._feature_ids(pa.array(words_, pa.large_string()))
+            w = np.append(crf.weights.astype(float), 0)
+            e = [w[own[k]].sum() + (w[left[k - 1]] if k else 0) + (w[right[k + 1]] if k + 1 < len(words_) else 0) for k in range(len(words_))]
+            assert np.allclose(p, brute_marginals(np.array(e), crf.transitions, crf.start))
+        top = np.clip(p.max(initial=0.0) if len(p) else 0.0, 1e-6, 1 - 1e-6)
+        x = np.array([1, np.log(top / (1 - top)), np.log1p(p.sum()), np.log1p(1000 * p.sum() / max(1, len(p)))])
+        want.append((i, round(float(1 / (1 + np.exp(-np.clip(x @ crf.calibration, -30, 30)))), 6)))
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == Counter(want)
+    assert {r.doc_id: r.predicted for r in toxicity_crf.score(docs, crf).collect()} == {i: int(i % 3 == 0) for i in range(400)}
+
+
 def article_text(raw):
     """What lies in the test pages' article, by patterns of its own."""
     import html
