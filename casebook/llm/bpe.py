@@ -1,8 +1,10 @@
 """Byte-level BPE encoding over a corpus-wide table of distinct words, and decoding through an id-to-piece join.
 
 Encoding. Texts are cut into words at places no token crosses (``SpacedWords``). A chunk of documents (about 16 MB of
-text) keeps, per document, the positions of its words as codes into the chunk's own word list; that table is written once, bucketed by chunk. The words go, packed by hash bucket, to the task that owns the bucket; it encodes each
-distinct word once, with the tokenizers library, and answers every chunk. The answers join back by chunk, and the codes
+text) keeps, per document, the positions of its words as codes into the chunk's own word list; that table is written once,
+bucketed by chunk. The words go, packed by hash bucket, to the task that owns the bucket; it keeps the bucket's distinct
+words, encodes each of them once, with the tokenizers library, and answers every chunk. A task holds the distinct words of
+one bucket, so their number follows ``n_buckets``. The answers join back by chunk, and the codes
 turn into ids by position. What moves is words and answers, never positions or texts; a word moves once per chunk that
 holds it, so a very frequent word is no hot key, and nothing is broadcast.
 
@@ -95,20 +97,23 @@ def _code_chunks(n_buckets: int):
 
 
 def _answer(path: str):
-    """For each packet of words: the ids of the words, in the packet's order; every distinct word of a batch once."""
+    """For each packet of words: the ids of the words, in the packet's order; every distinct word of a bucket once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}  # place of a word in the ragged array
+        ids, offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packets = [unpack_words(b.as_py()) for b in batch.column("words")]
-            coded = pa.concat_arrays(packets).dictionary_encode()
-            ids, offsets = hf_ids(coded.dictionary, path)
-            codes, at, answers = coded.indices.to_numpy().astype(np.int64), 0, []
+            packets = [unpack_words(p.as_py()).to_pylist() for p in batch.column("words")]
+            new = [k for k in dict.fromkeys(w for p in packets for w in p) if k not in known]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            more, ends = hf_ids(pa.array(new, pa.large_string()), path)
+            ids, offsets = np.concatenate([ids, more]), np.concatenate([offsets, offsets[-1] + ends[1:]])
+            answers = []
             for p in packets:
-                own, ends = gather(ids, offsets, codes[at : at + len(p)])
+                own, ends = gather(ids, offsets, np.fromiter((known[k] for k in p), np.int64, len(p)))
                 answers.append(zstandard.compress(np.uint32(len(p)).tobytes() + np.diff(ends).astype("<u4").tobytes() + own.astype("<u4").tobytes(), 3))
-                at += len(p)
             yield pa.RecordBatch.from_pydict({"chunk": batch.column("chunk"), "bucket": batch.column("bucket"), "ids": pa.array(answers, pa.binary())})
 
     return run
@@ -169,7 +174,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     name = "coded_" + place.rpartition("-")[2]
     coded.write.format("parquet").option("path", place).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
     stored = spark.table(name)
-    packets = stored.select("chunk", F.explode("sent").alias("s")).select("chunk", "s.bucket", "s.words").repartition(n, "bucket")
+    packets = stored.select("chunk", F.explode("sent").alias("s")).select("chunk", "s.bucket", "s.words").repartitionById(n, "bucket")
     answers = packets.mapInArrow(_answer(path), "chunk long, bucket int, ids binary")
     per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids")).alias("answers"))
     joined = stored.select("chunk", "doc_ids", "offsets", "codes", "owners").join(per_chunk, "chunk", "left")

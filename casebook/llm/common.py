@@ -196,15 +196,64 @@ def byte_bpe_ids(words: pa.Array, json_path: str | None = None, rank_path: str |
 
     json_path = json_path or public_vocabulary("byte_bpe_50k.json")
     fast = rank_tokenizer(rank_path or public_vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encode = fast.encode_ordinary
-    listed = words.to_pylist()
-    rows = [None if "<|" in w else encode(w) for w in listed]
-    special = [i for i, r in enumerate(rows) if r is None]
-    if special:
-        tok = hf_tokenizer(json_path)
-        for i in special:
-            rows[i] = tok.encode(listed[i], add_special_tokens=False).ids
-    return ragged(rows)
+    special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+    if not special.any():
+        return rank_ids(words, fast)
+    tok, where = hf_tokenizer(json_path), np.flatnonzero(special)
+    plain, plain_ends = rank_ids(words.filter(pa.array(~special)), fast)
+    other, other_ends = ragged([tok.encode(w, add_special_tokens=False).ids for w in words.take(pa.array(where)).to_pylist()])
+    return _interleave(special, plain, plain_ends, other, other_ends)
+
+
+def _interleave(second: np.ndarray, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One ragged array whose rows come in turn from two: from the second where ``second`` says so."""
+    place = np.empty(len(second), dtype=np.int64)
+    place[~second] = np.arange(len(a_ends) - 1)
+    place[second] = len(a_ends) - 1 + np.arange(len(b_ends) - 1)
+    return gather(np.concatenate([a, b]), np.concatenate([a_ends, a_ends[-1] + b_ends[1:]]), place)
+
+
+def rank_ids(words: pa.Array, fast) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each word by a tiktoken encoding without special tokens, as a ragged array.
+
+    Words that begin with a space and a non-space are encoded many at a time, one behind the other: no token crosses
+    such a place, so the tokens' lengths in bytes tell where each word ends. The others are encoded one by one.
+    """
+    words = words.cast(pa.large_string())
+    flowing = pc.and_(pc.starts_with(words, " "), pc.and_(pc.greater(pc.utf8_length(words), 1), pc.invert(pc.utf8_is_space(pc.utf8_slice_codeunits(words, 1, 2))))).to_numpy(zero_copy_only=False)
+    lengths = _piece_lengths(fast)
+    inside = words.filter(pa.array(flowing))
+    ends = np.cumsum(pc.binary_length(inside).to_numpy(zero_copy_only=False)).astype(np.int64)
+    raw = inside.to_pylist()
+    flat, cuts, a = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    while a < len(raw):  # about 256 KB at a time
+        base = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, base + (256 << 10), side="right")))
+        ids = np.asarray(fast.encode_to_numpy("".join(raw[a:b]), disallowed_special=())).astype(np.int32)
+        reached = base + np.cumsum(lengths[ids])
+        at = np.searchsorted(reached, ends[a:b], side="right")
+        if not np.array_equal(reached[at - 1], ends[a:b]):
+            raise ValueError("a token crosses the border of two words: the pattern does not keep a space with the word behind it")
+        flat.append(ids)
+        cuts.append(cuts[-1][-1] + at)
+        a = b
+    some, some_ends = np.concatenate(flat), np.concatenate(cuts)
+    if flowing.all():
+        return some, some_ends
+    rest, rest_ends = ragged([fast.encode_ordinary(w) for w in words.filter(pa.array(~flowing)).to_pylist()])
+    return _interleave(~flowing, some, some_ends, rest, rest_ends)
+
+
+_LENGTHS: dict[int, np.ndarray] = {}
+
+
+def _piece_lengths(fast) -> np.ndarray:
+    if id(fast) not in _LENGTHS:
+        ranks = fast._mergeable_ranks
+        out = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        out[np.fromiter(ranks.values(), np.int64, len(ranks))] = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        _LENGTHS[id(fast)] = out
+    return _LENGTHS[id(fast)]
 
 
 def encode_column(texts: pa.Array, json_path: str | None = None, rank_path: str | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import gather, mix64, plain_words, public_vocabulary, ragged, rank_tokenizer, text_chunks
+from casebook.llm.common import gather, mix64, plain_words, public_vocabulary, ragged, rank_ids, rank_tokenizer, text_chunks
 
 #: Letters by script, as ranges of code points.
 SCRIPTS = {"latin": r"[A-Za-z\x{C0}-\x{24F}]", "cyrillic": r"[\x{400}-\x{52F}]", "greek": r"[\x{370}-\x{3FF}]", "arabic": r"[\x{600}-\x{6FF}]", "devanagari": r"[\x{900}-\x{97F}]", "cjk": r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"}
@@ -127,9 +127,9 @@ def measures(texts: pa.Array, min_words: int, max_repeat_percent: int, rank_path
     out["base_failed"] = (sizes < min_words) | (100 * out["n_repeat_words"] > max_repeat_percent * sizes)
     import public_tokenizers
 
-    encode = rank_tokenizer(rank_path, public_tokenizers.PATTERN).encode_ordinary
+    spaced = pc.binary_join_element_wise(pa.array([""] * len(words), pa.large_string()), words, pa.scalar(" ", pa.large_string()))
+    ids, ends = rank_ids(spaced, rank_tokenizer(rank_path, public_tokenizers.PATTERN))
     listed = words.to_pylist()
-    ids, ends = ragged([encode(" " + w) for w in listed])
     model = _piece_model(piece_path)
     single = np.array([model.is_byte(i) for i in range(model.vocab_size())])
     n_pieces, n_bytes = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)

@@ -42,7 +42,7 @@ SHARD = "part int, shard int, first_id long, last_id long, n_tokens long, doc_id
 SHARD_TOKENS = 1 << 20
 
 
-def build_grammar(ids: np.ndarray, step: int = 4) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def build_grammar(ids: np.ndarray, step: int = 8) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, rule lengths, sequence) of a sequence of ids.
 
     Frequent pairs go first: a round replaces every pair that occurs at least ``threshold`` times, from left to right
@@ -51,46 +51,43 @@ def build_grammar(ids: np.ndarray, step: int = 4) -> tuple[int, np.ndarray, np.n
     so a round looks only at places whose pair was seen twice or is new.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
-    seq, rules, lengths, symbols = ids.astype(np.int64), [], [], base
+    seq, rules, lengths, symbols = ids.astype(np.int32), [], [], base
     size_of = np.ones(base, dtype=np.int64)
     threshold = None
-    open_ = np.ones(max(0, len(seq) - 1), dtype=bool)  # places whose pair may be used
-    while (at := np.flatnonzero(open_)).size:
-        keys, at = _by_pair(seq[at] * symbols + seq[at + 1], at)
+    at = np.arange(max(0, len(seq) - 1))  # places whose pair may be used
+    while at.size:
+        keys, at = _by_pair(seq[at] * np.int64(symbols) + seq[at + 1], at)
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         counts = np.diff(edge)
-        open_[at[edge[:-1][counts < 2]]] = False
         highest = int(counts.max())
         if highest < 2:
             break
         threshold = max(2, min(highest, threshold or highest) // step)
-        pair = np.full(len(seq), -1, dtype=np.int64)  # number of the chosen pair that begins at a place
-        number = np.repeat(np.where(counts >= threshold, np.arange(len(counts)), -1), counts)
-        pair[at] = number
+        # number of the pair at every place: -2 not in question, -1 waiting for its round
+        pair = np.full(len(seq), -2, dtype=np.int32)
+        number = np.where(counts >= threshold, np.arange(len(counts)), -1)
+        number[counts < 2] = -2
+        pair[at] = np.repeat(number, counts)
         used, uses = _without_overlap(pair, len(counts))
         if threshold == 2 and not (uses >= 2).any():  # every pair lost a use to its neighbours: one by one, the most frequent first
-            pair, uses = _apart(seq, at, edge, counts)
-            if not uses.any():
+            used, uses = _apart(seq, at, edge, counts, pair)
+            if not len(used):
                 break
-            used = np.flatnonzero(pair >= 0)
         worth = uses >= 2  # a rule that would be used once saves nothing
-        if not worth.any():
-            continue
         used = used[worth[pair[used]]]
-        chosen = keys[edge[:-1][worth]]
-        left, right = np.divmod(chosen, symbols)
+        left, right = np.divmod(keys[edge[:-1][worth]], symbols)
         rules.append(np.stack([left, right], axis=1))
         lengths.append(size_of[left] + size_of[right])
         size_of = np.concatenate([size_of, lengths[-1]])
         seq[used] = symbols + (np.cumsum(worth) - 1)[pair[used]]
         symbols += int(worth.sum())
+        open_ = pair >= -1
+        open_[used] = open_[used[used > 0] - 1] = True
         keep = np.ones(len(seq), dtype=bool)
         keep[used + 1] = False
-        fresh = np.zeros(len(seq), dtype=bool)
-        fresh[used] = True
-        seq, fresh, open_ = seq[keep], fresh[keep], np.append(open_, False)[keep][:-1]
-        open_ |= fresh[:-1] | fresh[1:]
-    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths) if lengths else np.zeros(0, np.int64), seq
+        seq, open_ = seq[keep], open_[keep]
+        at = np.flatnonzero(open_[:-1])
+    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths) if lengths else np.zeros(0, np.int64), seq.astype(np.int64)
 
 
 def _by_pair(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +102,18 @@ def _by_pair(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _without_overlap(pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places at which pairs are used, every second one within a run of neighbouring places, and uses by pair."""
-    hit = pair >= 0
-    starts = hit & ~np.concatenate([[False], hit[:-1]])
-    run_start = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
-    used = np.flatnonzero(hit & ((np.arange(len(hit)) - run_start) % 2 == 0))
+    hit = np.flatnonzero(pair >= 0)
+    place = np.arange(len(hit))
+    run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, place, 0)) if len(hit) else place
+    used = hit[(place - run) % 2 == 0]
     return used, np.bincount(pair[used], minlength=n)
 
 
-def _apart(seq: np.ndarray, at: np.ndarray, edge: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _apart(seq: np.ndarray, at: np.ndarray, edge: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs with two uses or more, the most frequent first, none of which shares a symbol with another: so each keeps
-    all its uses."""
+    all its uses. Fills ``pair`` in at their places."""
     taken: set[int] = set()
-    out, uses = np.full(len(seq), -1, dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
+    used, uses = [], np.zeros(len(counts), dtype=np.int64)
     often = np.flatnonzero(counts > 1)
     for k in often[np.argsort(-counts[often], kind="stable")].tolist():
         places = at[edge[k] : edge[k + 1]].tolist()
@@ -131,8 +128,9 @@ def _apart(seq: np.ndarray, at: np.ndarray, edge: np.ndarray, counts: np.ndarray
             places = free
         if len(places) >= 2:
             taken |= own
-            out[places], uses[k] = k, len(places)
-    return out, uses
+            pair[places], uses[k] = k, len(places)
+            used += places
+    return np.sort(np.array(used, dtype=np.int64)), uses
 
 
 def expansions(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -53,6 +53,18 @@ def test_bpe(spark, sf_dir, odd):
     assert bpe.encode(odd.limit(0)).count() == 0
 
 
+def test_word_by_word_is_the_whole():
+    """Texts cut into words, and words encoded many at a time, give the tokenizers library's ids of the whole text."""
+    import random
+
+    r = random.Random(1)
+    bits = [*"ab cdé  \n\t\r 12'.,!<|>s t \x85\x1c 日本🙂  é́-_", "'s", " 're", "<|endoftext|>", "<|pad|>", "don't ", " the ", " of"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 40))) for _ in range(20_000)]
+    flat, ends = encode_column(pa.array(texts))
+    want = [e.ids for e in hf_tokenizer(public_vocabulary("byte_bpe_50k.json")).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+
+
 def test_repair(spark, sf_dir, odd, tmp_path):
     got, at = {r.doc_id: r for r in queries.op3_repair_token_files(spark, sf_dir).collect()}, 0
     for r in table(spark, sf_dir, "documents").orderBy("doc_id").collect():
