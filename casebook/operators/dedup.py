@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.text import normalize_text
 from casebook.operators.components import connected_components
+from casebook.operators.numbering import dense_ids
 from casebook.session import written
 
 
@@ -48,7 +49,10 @@ def cluster_near_duplicates(texts: DataFrame, threshold: float = 0.9, uid: str =
     """``(uid, cluster_id)`` for every row: dense ids in order of a cluster's smallest uid. Equal normalised texts are one
     document for the similarity join."""
     t = texts.select(F.col(uid).alias("uid"), normalize_text(F.col(text)).alias("text")).where("uid IS NOT NULL")
-    folded = written(t.withColumn("rep", F.min("uid").over(Window.partitionBy("text", F.when(F.col("text") == "", F.col("uid"))))), "folded")
+    # the digest stands for the text in the shuffle; minima are taken partly before it, so a text that very many rows have is no hot group
+    keyed = t.withColumn("d", F.when(F.col("text") == "", F.col("uid").cast("string")).otherwise(F.sha2("text", 256)))
+    firsts = keyed.groupBy("d").agg(F.min("uid").alias("rep"))
+    folded = written(keyed.join(firsts, "d").select("uid", "text", "rep"), "folded")
     reps = folded.where("uid = rep")
     # document counts are those of all rows, so that folding does not change a weight
     vectors = written(tfidf_folded(folded), "tfidf")
@@ -71,15 +75,6 @@ def tfidf_folded(folded: DataFrame, min_df: int = 2) -> DataFrame:
     return raw.join(norms, "uid").select("uid", "term", (F.col("x") / F.col("norm")).alias("w"), "df")
 
 
-def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:
-    """Number distinct keys 0, 1, ... in order without one task for all: ranks within ranges, offsets between them."""
-    ranged = written(keys.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()), "ranged")
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("c"))
-    before = sizes.select("__p", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return local.join(before, "__p").select(key, (F.col("__r") + F.col("__o")).cast("long").alias(name))
-
-
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
 

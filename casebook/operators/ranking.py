@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.vectors import dot, is_finite, norm
 from casebook.operators.metadata import hashed_order
+from casebook.operators.numbering import numbered
 
 KS = (1, 3, 5, 10)
 
@@ -79,17 +80,28 @@ def array_health(vectors: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     return vectors.agg(F.count("*").alias("n"), F.min(is_finite(F.col("embedding"))).alias("all_finite"), F.count_if(n < 1e-8).alias("zero_vectors"), F.avg(n).alias("mean_norm"), F.stddev_pop(n).alias("std_norm")).withColumn("ok", F.col("all_finite") & (F.col("zero_vectors") == 0) & (F.abs(F.col("mean_norm") - 1) <= tolerance))
 
 
-def neardup_cohesion(vectors: DataFrame, clusters: DataFrame, n_random: int, seed: int, gap: float = 0.1) -> DataFrame:
-    """Similarity of neighbouring members within clusters against hashed random pairs."""
-    v = vectors.join(clusters, "uid")
-    w = Window.partitionBy("cluster_id").orderBy("uid")
-    inside = v.withColumn("other", F.lag("embedding").over(w)).where("other IS NOT NULL").select(dot(F.col("embedding"), F.col("other")).alias("s"))
+def neardup_cohesion(vectors: DataFrame, clusters: DataFrame, n_random: int, seed: int, gap: float = 0.1, block: int = 512) -> DataFrame:
+    """Similarity of all pairs within clusters against that of hashed random pairs: n_cluster_pairs, within_mean,
+    within_min, n_random_pairs, random_mean, passed.
+
+    The mean over a cluster's pairs follows from the sum of its vectors. The least similarity needs the pairs: they are
+    formed between blocks of about ``block`` members, each pair of blocks a key of its own, and reduced where they are
+    formed. ``n_random`` pairs are the stated size of the sample."""
+    v = vectors.join(clusters, "uid").select("uid", "cluster_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    size = v.groupBy("cluster_id").agg(F.count("*").alias("k"), F.sum(dot(F.col("embedding"), F.col("embedding"))).alias("own")).where("k > 1")
+    sums = v.select("cluster_id", F.posexplode("embedding").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy("cluster_id").agg(F.sum(F.col("x") * F.col("x")).alias("all"))
+    mean = size.join(whole, "cluster_id").agg((F.sum((F.col("all") - F.col("own")) / 2) / F.sum(F.col("k") * (F.col("k") - 1) / 2)).alias("within_mean"), F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("n_cluster_pairs"))
+    blocks = v.join(size.select("cluster_id", F.ceil(F.col("k") / block).alias("n")), "cluster_id").withColumn("b", F.pmod(F.xxhash64("uid"), F.col("n")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    left = blocks.select("cluster_id", F.col("b").alias("l"), F.explode(every).alias("r"), F.col("uid").alias("lu"), F.col("embedding").alias("le"))
+    right = blocks.select("cluster_id", F.explode(every).alias("l"), F.col("b").alias("r"), F.col("uid").alias("ru"), F.col("embedding").alias("re"))
+    least = left.join(right, ["cluster_id", "l", "r"]).where("lu < ru").agg(F.min(dot(F.col("le"), F.col("re"))).alias("within_min"))
     order = v.select("uid", "embedding", hashed_order("uid", seed=seed).alias("h")).orderBy("h", "uid").limit(2 * n_random)  # a stated sample
-    ranked = order.withColumn("r", F.row_number().over(Window.orderBy("h", "uid")))
-    random = ranked.withColumn("other", F.lead("embedding").over(Window.orderBy("h", "uid"))).where("r % 2 = 1 AND other IS NOT NULL").select(dot(F.col("embedding"), F.col("other")).alias("s"))
-    a = inside.agg(F.avg("s").alias("within_mean"), F.min("s").alias("within_min"))
-    b = random.agg(F.avg("s").alias("random_mean"))
-    return a.join(b).withColumn("passed", F.col("within_mean") - F.col("random_mean") > gap)
+    w = Window.orderBy("h", "uid")
+    pairs = order.withColumn("r", F.row_number().over(w)).withColumn("other", F.lead("embedding").over(w)).where("r % 2 = 1 AND other IS NOT NULL")
+    random = pairs.agg(F.avg(dot(F.col("embedding"), F.col("other"))).alias("random_mean"), F.count("*").alias("n_random_pairs"))
+    return mean.join(least).join(random).withColumn("passed", F.col("within_mean") - F.col("random_mean") > gap)
 
 
 def cross_modal_accuracy(a: DataFrame, b: DataFrame, batch: int = 50) -> DataFrame:
@@ -115,14 +127,13 @@ def draws(cases: DataFrame, n_boot: int, seed: int, group: list[str] | None = No
     """Resamples with replacement: for each replicate and group, as many draws as the group has cases. A draw's index is
     ``((i * 48271 + b * 69621 + seed) * 16807 mod p) mod n``, the same in every engine. ``cases`` (uid, ...)."""
     group = group or []
-    w = Window.partitionBy(*group).orderBy("uid")
-    numbered = cases.withColumn("i", F.row_number().over(w) - 1)
+    placed = numbered(cases, "i", "uid", group)
     size = cases.groupBy(*group).agg(F.count("*").alias("n"))
-    slot = numbered.select(*group, "i").join(F.broadcast(size), group) if group else numbered.select("i").join(F.broadcast(size))
+    slot = placed.select(*group, "i").join(size, group) if group else placed.select("i").join(F.broadcast(size))
     slot = slot.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     index = (((F.col("i").cast("long") * 48271 + F.col("rep").cast("long") * 69621 + seed) % p) * 16807 % p) % F.col("n")
-    drawn = slot.select(*group, "rep", index.cast("int").alias("i"))
-    return drawn.join(numbered, [*group, "i"])
+    drawn = slot.select(*group, "rep", index.cast("long").alias("i"))
+    return drawn.join(placed, [*group, "i"])
 
 
 def percentile_ci(df: DataFrame, column: str, group: list[str], alpha: float = 0.05) -> DataFrame:

@@ -114,7 +114,13 @@ def word_diff(rows: DataFrame, fields: tuple[str, ...], draft: str = "draft", fi
         from difflib import SequenceMatcher
 
         x, y = piece.findall(a), piece.findall(b)
-        n = 0
+        n = start = 0
+        while start < min(len(x), len(y)) and x[start] == y[start]:
+            start += 1
+        end = 0
+        while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
+            end += 1
+        x, y = x[start : len(x) - end], y[start : len(y) - end]
         for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
             if tag != "equal":
                 n += len("".join(x[i1:i2]).split()) + len("".join(y[j1:j2]).split())

@@ -10,11 +10,15 @@ from casebook.plans.registry import query
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
 
 
+THRESHOLD = 0.9
+
+
 def texts(spark, sf_dir):
-    return base(spark, sf_dir, "benchmark").select(F.col("item_id").alias("uid"), F.lower("text").alias("text")).unionByName(base(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1000000).alias("uid"), F.lower("text").alias("text")))
+    """The whole text of every document."""
+    return base(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-_TEXTS = "texts AS (SELECT item_id AS uid, lower(text) AS text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn + 1000000, lower(text) FROM conversations WHERE role = 'user')"
+_TEXTS = "texts AS (SELECT doc_id AS uid, lower(coalesce(text, '')) AS text FROM documents)"
 _TFIDF = f"""{_TEXTS}, toks AS (SELECT uid, regexp_extract_all(text, '[a-z0-9_]{{2,}}') AS t FROM texts),
 long AS (SELECT uid, unnest(t) AS term FROM toks UNION ALL SELECT uid, unnest(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1]))) FROM toks),
 tf AS (SELECT uid, term, count(*) AS tf FROM long GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
@@ -27,8 +31,8 @@ def ascii_texts(spark, sf_dir):
     return texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^a-z0-9_ ]", " "))
 
 
-_ATFIDF = _TFIDF.replace("lower(text) AS text FROM benchmark", "regexp_replace(lower(text), '[^a-z0-9_ ]', ' ', 'g') AS text FROM benchmark").replace("1000000, lower(text)", "1000000, regexp_replace(lower(text), '[^a-z0-9_ ]', ' ', 'g')")
-_PAIRS = f"{_ATFIDF}, pairs AS (SELECT a.uid AS a, b.uid AS b, sum(a.w * b.w) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.uid < b.uid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.6)"
+_ATFIDF = _TFIDF.replace("lower(coalesce(text, '')) AS text", "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_ ]', ' ', 'g') AS text")
+_PAIRS = f"{_ATFIDF}, pairs AS (SELECT a.uid AS a, b.uid AS b, sum(a.w * b.w) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.uid < b.uid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9)"
 
 
 @query("tfidf_vectors", f"WITH {_ATFIDF} SELECT uid, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 5) AS top FROM v GROUP BY uid")
@@ -39,13 +43,13 @@ def tfidf_vectors(spark, sf_dir):
 
 @query("cosine_pairs", f"WITH {_PAIRS} SELECT a, b, round(similarity, 5) AS similarity FROM pairs")
 def cosine_pairs(spark, sf_dir):
-    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), 0.6)
+    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), THRESHOLD)
     return p.withColumn("similarity", F.round("similarity", 5))
 
 
 @query("neardup_pairs", f"WITH {_PAIRS} SELECT count(*) AS pairs, count(DISTINCT a) AS firsts, round(max(similarity), 5) AS top FROM pairs")
 def neardup_pairs(spark, sf_dir):
-    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), 0.6)
+    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), THRESHOLD)
     return p.agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("firsts"), F.round(F.max("similarity"), 5).alias("top"))
 
 
@@ -54,14 +58,14 @@ _CC = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a
 
 @query("connected_components", f"{_CC} SELECT * FROM comp")
 def connected_components(spark, sf_dir):
-    return C.connected_components(D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), 0.6), "a", "b")
+    return C.connected_components(D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), THRESHOLD), "a", "b")
 
 
 _FULL = f"{_CC}, cl AS (SELECT t.uid, dense_rank() OVER (ORDER BY coalesce(component, t.uid)) - 1 AS cluster_id FROM texts t LEFT JOIN comp ON comp.node = t.uid)"
 
 
 def clusters(spark, sf_dir):
-    return D.cluster_near_duplicates(ascii_texts(spark, sf_dir), 0.6)
+    return D.cluster_near_duplicates(ascii_texts(spark, sf_dir), THRESHOLD)
 
 
 @query("cluster_near_duplicates", f"{_FULL} SELECT * FROM cl".replace("[^a-z0-9_ ]", "[^a-z0-9 ]|x{2,}").replace("{{2,}}", "{2,}"))
@@ -110,7 +114,7 @@ def iterative_stratify(spark, sf_dir):
 def make_splits(spark, sf_dir):
     t = ascii_texts(spark, sf_dir)
     labels = t.select("uid", F.concat(F.lit("L"), (F.col("uid") % 4).cast("string")).alias("label"))
-    return D.make_splits(t, t.where("uid % 29 = 0").select("uid"), labels, RATIOS, 0.6)
+    return D.make_splits(t, t.where("uid % 29 = 0").select("uid"), labels, RATIOS, THRESHOLD)
 
 
 @query("class_by_split", f"WITH {_CCL} SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM f_cases JOIN f_case_labels USING (uid) GROUP BY label")

@@ -28,9 +28,9 @@ SQL = {
         CASE WHEN vec_id % 5 = 0 THEN CAST(-1 AS BIGINT) ELSE CAST(floor(vec_id / 3) AS BIGINT) END AS cluster_id,
         CASE WHEN vec_id % 20 < 14 THEN 'train' WHEN vec_id % 20 < 17 THEN 'val' ELSE 'test' END AS split FROM embeddings""",
     "f_case_labels": """SELECT uid, primary_label AS label FROM ({f_cases}) a UNION SELECT uid, second_label AS label FROM ({f_cases}) b""",
-    "f_case_texts": """SELECT vec_id AS uid, split_part(text, '.', 1) AS findings, split_part(text, '.', 2) AS impression
+    "f_case_texts": """SELECT vec_id AS uid, text AS findings, split_part(text, '.', 2) AS impression
         FROM embeddings LEFT JOIN documents ON vec_id = doc_id""",
-    "f_neighbours": """SELECT conv_id AS query, turn, (conv_id * 7 + turn * 3) % 200 AS uid, 1.0 / (1 + turn) AS similarity FROM conversations WHERE turn < 12""",
+    "f_neighbours": """SELECT conv_id AS query, turn, (conv_id * 7 + turn * 3) % (SELECT count(*) FROM embeddings) AS uid, 1.0 / (1 + turn) AS similarity FROM conversations""",
     "f_store": """SELECT o_orderkey AS report_id, o_orderkey AS session_id, o_custkey AS patient_id,
         CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_custkey % 25 END AS doctor_id,
         CASE WHEN o_orderstatus = 'O' THEN 'ai_draft' WHEN o_orderstatus = 'P' THEN 'doctor_edited' ELSE 'final' END AS status,

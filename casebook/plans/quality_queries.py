@@ -25,10 +25,10 @@ def array_health(spark, sf_dir):
     return _round(K.array_health(vectors(spark, sf_dir)), "mean_norm", "std_norm")
 
 
-@query("neardup_cohesion", f"WITH {_E}, c AS (SELECT *, uid // 3 AS cluster_id FROM e WHERE uid % 5 > 0), w AS (SELECT list_dot_product(embedding, lag(embedding) OVER (PARTITION BY cluster_id ORDER BY uid)) AS s FROM c), o AS (SELECT uid, embedding, row_number() OVER (ORDER BY (uid % 2147483647 * 48271 + 4 * 69621) % 2147483647, uid) AS r FROM c), o2 AS (SELECT r, list_dot_product(embedding, lead(embedding) OVER (ORDER BY r)) AS s FROM o WHERE r <= 100) SELECT round(avg(w.s), 5) AS within_mean, round(min(w.s), 5) AS within_min, (SELECT round(avg(s), 5) FROM o2 WHERE r % 2 = 1) AS random_mean, avg(w.s) - (SELECT avg(s) FROM o2 WHERE r % 2 = 1) > 0.1 AS passed FROM w")
+@query("neardup_cohesion", f"WITH {_E}, {duck('f_cases')}, c AS (SELECT e.uid, e.embedding, cluster_id FROM e JOIN f_cases USING (uid) WHERE cluster_id >= 0), w AS (SELECT list_dot_product(a.embedding, b.embedding) AS s FROM c a JOIN c b ON a.cluster_id = b.cluster_id AND a.uid < b.uid), o AS (SELECT uid, embedding, row_number() OVER (ORDER BY (uid % 2147483647 * 48271 + 4 * 69621) % 2147483647, uid) AS r FROM c), o2 AS (SELECT r, list_dot_product(embedding, lead(embedding) OVER (ORDER BY r)) AS s FROM o WHERE r <= 4000), p AS (SELECT s FROM o2 WHERE r % 2 = 1 AND s IS NOT NULL) SELECT count(*) AS n_cluster_pairs, round(avg(w.s), 5) AS within_mean, round(min(w.s), 5) AS within_min, (SELECT count(*) FROM p) AS n_random_pairs, (SELECT round(avg(s), 5) FROM p) AS random_mean, avg(w.s) - (SELECT avg(s) FROM p) > 0.1 AS passed FROM w")
 def neardup_cohesion(spark, sf_dir):
     clusters = view(spark, sf_dir, "f_cases").where("cluster_id >= 0").select("uid", "cluster_id")
-    return _round(K.neardup_cohesion(vectors(spark, sf_dir), clusters, 50, 4), "within_mean", "within_min", "random_mean")
+    return _round(K.neardup_cohesion(vectors(spark, sf_dir), clusters, 2000, 4), "within_mean", "within_min", "random_mean")
 
 
 _B = "b AS (SELECT vec_id AS uid, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE + (CASE WHEN (vec_id + i) % 3 = 0 THEN 0.15 ELSE -0.05 END)) AS embedding FROM embeddings)"

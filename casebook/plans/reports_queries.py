@@ -112,24 +112,24 @@ def audit_trail(spark, sf_dir):
     return a.select("report_id", F.array_join(F.transform("audit", lambda x: x["event_id"].cast("string")), ",").alias("events"))
 
 
-@query("report_detail", f"WITH {_S}, {duck('f_neighbours')} SELECT s.report_id, status, coalesce((SELECT string_agg(uid::VARCHAR, ',' ORDER BY turn) FROM f_neighbours n WHERE n.query = s.report_id), '') AS evidence FROM f_store s WHERE report_id < 200")
+@query("report_detail", f"WITH {_S}, {duck('f_neighbours')} SELECT s.report_id, status, coalesce((SELECT string_agg(uid::VARCHAR, ',' ORDER BY turn) FROM f_neighbours n WHERE n.query = s.report_id), '') AS evidence FROM f_store s")
 def report_detail(spark, sf_dir):
     n = view(spark, sf_dir, "f_neighbours").groupBy(F.col("query").alias("report_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "uid"))).alias("e"))
-    j = store(spark, sf_dir).where("report_id < 200").join(n, "report_id", "left")
+    j = store(spark, sf_dir).join(n, "report_id", "left")
     return j.select("report_id", "status", F.coalesce(F.array_join(F.transform("e", lambda x: x["uid"].cast("string")), ","), F.lit("")).alias("evidence"))
 
 
 def documents_json(spark, sf_dir):
     d = base(spark, sf_dir, "documents")
-    return d.select("doc_id", F.to_json(F.struct(F.lit("chest").alias("examination"), F.substring("text", 1, 40).alias("findings"), F.col("lang").alias("impression"))).alias("doc"))
+    return d.select("doc_id", F.to_json(F.struct(F.lit("chest").alias("examination"), F.col("text").alias("findings"), F.col("lang").alias("impression"))).alias("doc"))
 
 
-@query("report_struct", "SELECT doc_id, 'chest' AS examination, substr(text, 1, 40) AS findings, lang AS impression, NULL::VARCHAR AS recommendation FROM documents")
+@query("report_struct", "SELECT doc_id, 'chest' AS examination, text AS findings, lang AS impression, NULL::VARCHAR AS recommendation FROM documents")
 def report_struct(spark, sf_dir):
     return P.report_struct(documents_json(spark, sf_dir), "doc").select("doc_id", "content.examination", "content.findings", "content.impression", "content.recommendation")
 
 
-@query("create_report_rows", "SELECT doc_id, substr(text, 1, 40) AS draft, substr(text, 1, 40) AS final, 'ai_draft' AS status FROM documents")
+@query("create_report_rows", "SELECT doc_id, text AS draft, text AS final, 'ai_draft' AS status FROM documents")
 def create_report_rows(spark, sf_dir):
     r = P.create_report_rows(P.report_struct(documents_json(spark, sf_dir), "doc"))
     return r.select("doc_id", F.col("ai_draft_content.findings").alias("draft"), F.col("final_content.findings").alias("final"), "status")
@@ -143,10 +143,12 @@ def evidence(spark, sf_dir):
 _EV = f"{duck('f_neighbours')}, {duck('f_cases')}, {duck('f_case_labels')}, ev AS (SELECT n.query, n.uid, n.similarity, row_number() OVER (PARTITION BY query ORDER BY turn) AS rank FROM f_neighbours n), evv AS (SELECT query, label, sum(similarity) AS w, count(*) / any_value(nn) AS agreement, min(rank) AS r FROM ev JOIN f_case_labels USING (uid) JOIN (SELECT query, count(*) AS nn FROM ev GROUP BY query) USING (query) GROUP BY query, label), vt AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(w, 9) DESC, r, label) AS vr FROM evv)"
 
 
-@query("semantic_validate", f"WITH {_EV}, rep AS (SELECT conv_id AS report_id, max(CASE WHEN turn = 0 THEN concat(left(text, 30), ' L1 and l2.') END) AS findings, max(CASE WHEN turn = 1 THEN concat(left(text, 30), ' L3') END) AS impression FROM conversations GROUP BY conv_id), t AS (SELECT *, lower(concat(coalesce(findings, ''), ' ', coalesce(impression, ''))) AS t FROM rep), x AS (SELECT report_id, trim(coalesce(findings, '')) = '' AS missing_findings, trim(coalesce(impression, '')) = '' AS missing_impression, " + "concat_ws(';', " + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\\pL\\pN_])l{k}($|[^\\pL\\pN_])') AND NOT EXISTS (SELECT 1 FROM evv WHERE evv.query = report_id AND label = 'L{k}') THEN 'L{k}' END" for k in range(10)) + ") AS unsupported, coalesce((SELECT agreement >= 0.5 AND NOT regexp_matches(t, concat('(^|[^\\pL\\pN_])', lower(label), '($|[^\\pL\\pN_])')) FROM vt WHERE vr = 1 AND vt.query = report_id), false) AS top_unreflected FROM t) SELECT report_id, missing_findings, missing_impression, unsupported, top_unreflected FROM x")
+@query("semantic_validate", f"WITH {_EV}, rep AS (SELECT conv_id AS report_id, string_agg(text, ' ' ORDER BY turn) FILTER (turn % 2 = 0) || ' L1 and l2.' AS findings, string_agg(text, ' ' ORDER BY turn) FILTER (turn % 2 = 1) || ' L3' AS impression FROM conversations GROUP BY conv_id), t AS (SELECT *, lower(concat(coalesce(findings, ''), ' ', coalesce(impression, ''))) AS t FROM rep), x AS (SELECT report_id, trim(coalesce(findings, '')) = '' AS missing_findings, trim(coalesce(impression, '')) = '' AS missing_impression, " + "concat_ws(';', " + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\\pL\\pN_])l{k}($|[^\\pL\\pN_])') AND NOT EXISTS (SELECT 1 FROM evv WHERE evv.query = report_id AND label = 'L{k}') THEN 'L{k}' END" for k in range(10)) + ") AS unsupported, coalesce((SELECT agreement >= 0.5 AND NOT regexp_matches(t, concat('(^|[^\\pL\\pN_])', lower(label), '($|[^\\pL\\pN_])')) FROM vt WHERE vr = 1 AND vt.query = report_id), false) AS top_unreflected FROM t) SELECT report_id, missing_findings, missing_impression, unsupported, top_unreflected FROM x")
 def semantic_validate(spark, sf_dir):
     c = base(spark, sf_dir, "conversations")
-    rep = c.groupBy(F.col("conv_id").alias("report_id")).agg(F.max(F.when(F.col("turn") == 0, F.concat(F.substring("text", 1, 30), F.lit(" L1 and l2.")))).alias("findings"), F.max(F.when(F.col("turn") == 1, F.concat(F.substring("text", 1, 30), F.lit(" L3")))).alias("impression"))
+    side = lambda k: F.array_sort(F.collect_list(F.when((F.col("turn") % 2 == k) & F.col("text").isNotNull(), F.struct("turn", "text")))).alias(f"t{k}")
+    said = lambda k, end: F.when(F.size(f"t{k}") > 0, F.concat(F.array_join(F.transform(f"t{k}", lambda x: x["text"]), " "), F.lit(end)))
+    rep = c.groupBy(F.col("conv_id").alias("report_id")).agg(side(0), side(1)).select("report_id", said(0, " L1 and l2.").alias("findings"), said(1, " L3").alias("impression"))
     ev, labels = evidence(spark, sf_dir), view(spark, sf_dir, "f_case_labels")
     votes = R.label_vote(ev, labels).withColumnRenamed("query", "report_id")
     s = P.semantic_validate(rep, votes.select("report_id", "label"), votes, [f"L{k}" for k in range(10)])
@@ -155,7 +157,7 @@ def semantic_validate(spark, sf_dir):
 
 def raw_responses(spark, sf_dir):
     """Marked texts built from conversations, broken in one of seven ways by the conversation's number."""
-    c = base(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.regexp_replace(F.substring("text", 1, 60), "[#\n`]", " ").alias("t"))
+    c = base(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", "[#\n`]", " ").alias("t"))
     k = F.col("id") % 7
     mark = lambda f, bad=None: F.concat(F.when(bad[0], F.lit(bad[1])).otherwise(F.lit(f"###{f.upper()}###")) if bad else F.lit(f"###{f.upper()}###"), F.lit("\n"), F.trim("t"), F.lit(f" {f}\n"))
     parts = [mark("examination"), F.when(k == 1, F.lit("")).otherwise(mark("clinical_history")), mark("technique", (k == 2, "###Technique###")), mark("findings"), mark("impression", (k == 3, "###IMPRESS###")), mark("recommendation"), mark("disclaimer")]
@@ -168,7 +170,7 @@ def raw_responses(spark, sf_dir):
 _W7 = "CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN 'missing field: clinical_history' WHEN 2 THEN 'malformed marker: ###Technique###|missing field: technique' WHEN 3 THEN 'unknown marker: ###IMPRESS###|missing field: impression' WHEN 4 THEN 'repeated field: findings' WHEN 5 THEN 'fields out of order' ELSE 'no field markers' END"
 
 
-@query("structural_validate", f"WITH c AS (SELECT conv_id AS id, trim(regexp_replace(left(text, 60), '[#\\n`]', ' ', 'g')) AS t FROM conversations WHERE turn = 0) SELECT id, id % 7 = 0 AS valid, {_W7} AS errors, CASE WHEN id % 7 = 0 THEN trim(concat(t, ' findings')) END AS findings FROM c")
+@query("structural_validate", f"WITH c AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(text, '[#\\n`]', ' ', 'g')) AS t FROM conversations) SELECT id, id % 7 = 0 AS valid, {_W7} AS errors, CASE WHEN id % 7 = 0 THEN trim(concat(t, ' findings')) END AS findings FROM c")
 def structural_validate(spark, sf_dir):
     v = P.structural_validate(raw_responses(spark, sf_dir), "raw")
     return v.select("id", "valid", F.array_join("errors", "|").alias("errors"), F.col("content.findings").alias("findings"))
@@ -190,8 +192,8 @@ def render_variants(spark, sf_dir):
     return P.render_variants(p, F.array(F.lit("missing field: findings")), F.lit("Why this finding?"), "findings")
 
 
-@query("regen_inputs", f"WITH {_S} SELECT report_id, doctor_id IS NULL AS context_incomplete FROM f_store WHERE report_id < 2000")
+@query("regen_inputs", f"WITH {_S} SELECT report_id, doctor_id IS NULL AS context_incomplete FROM f_store")
 def regen_inputs(spark, sf_dir):
-    s = store(spark, sf_dir).where("report_id < 2000").withColumn("prompt", F.concat(F.lit("Report "), F.col("report_id").cast("string")))
+    s = store(spark, sf_dir).withColumn("prompt", F.concat(F.lit("Report "), F.col("report_id").cast("string")))
     p = P.render_variants(s, section="impression")
     return p.select("report_id", F.col("doctor_id").isNull().alias("context_incomplete"))

@@ -66,10 +66,11 @@ def requested(spark, sf_dir):
     return view(spark, sf_dir, "f_neighbours").select(F.col("query").alias("session"), "uid", F.col("turn").alias("rank"))
 
 
-@query("get_by_ids", f"WITH {_REQ} SELECT query AS session, uid, turn AS rank, primary_label, CAST(1.0 AS DOUBLE) AS similarity FROM f_neighbours JOIN f_cases USING (uid) WHERE uid % 4 > 0")
+@query("get_by_ids", f"WITH {_REQ} SELECT query AS session, uid, turn AS rank, primary_label, CAST(1.0 AS DOUBLE) AS similarity FROM f_neighbours JOIN f_cases USING (uid)")
 def get_by_ids(spark, sf_dir):
-    index = view(spark, sf_dir, "f_cases").where("uid % 4 > 0").select("uid", "primary_label")
-    return R.get_by_ids(requested(spark, sf_dir), index).select("session", "uid", "rank", "primary_label", "similarity")
+    index = view(spark, sf_dir, "f_cases").select("uid", "primary_label")
+    unknown = requested(spark, sf_dir).withColumn("uid", -1 - F.col("uid"))  # ids that no row has: dropped without a word
+    return R.get_by_ids(requested(spark, sf_dir).unionByName(unknown), index).select("session", "uid", "rank", "primary_label", "similarity")
 
 
 @query("session_evidence", f"WITH {_REQ}, {duck('f_case_labels')}, e AS (SELECT query, uid, turn AS rank FROM f_neighbours JOIN f_cases USING (uid)), v AS (SELECT query, label, count(*)::DOUBLE AS w, min(rank) AS r FROM e JOIN f_case_labels USING (uid) GROUP BY ALL), t AS (SELECT query, label, w FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY w DESC, r, label) AS k FROM v) WHERE k = 1) SELECT query, label AS top_label, w AS vote_weight, (SELECT string_agg(uid::VARCHAR, ',' ORDER BY rank) FROM e WHERE e.query = t.query) AS evidence FROM t")

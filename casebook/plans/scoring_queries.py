@@ -52,7 +52,9 @@ def baseline_mismatch(spark, sf_dir):
 @query("word_diff")
 def word_diff(spark, sf_dir):
     d = base(spark, sf_dir, "documents")
-    text = F.col("text")
-    draft = F.struct(F.substring(text, 1, 200).alias("findings"), F.substring(text, 201, 100).alias("impression"))
-    final = F.struct(F.concat(F.substring(text, 1, 150), F.lit(" seen again.")).alias("findings"), F.substring(text, 201, 100).alias("impression"))
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2).cast("int")
+    # the edit: a phrase put into the middle of the whole text; the language field stays
+    edited = F.concat(F.substring(text, F.lit(1), F.coalesce(half, F.lit(0))), F.lit(" seen again. "), F.substring(text, F.coalesce(half, F.lit(0)) + 1, F.length(text)))
+    draft = F.struct(text.alias("findings"), F.coalesce("lang", F.lit("")).alias("impression"))
+    final = F.struct(edited.alias("findings"), F.coalesce("lang", F.lit("")).alias("impression"))
     return S.word_diff(d.select(F.col("doc_id").alias("id"), draft.alias("draft"), final.alias("final")), ("findings", "impression"))

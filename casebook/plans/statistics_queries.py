@@ -6,7 +6,7 @@ from casebook.operators import ranking as K
 from casebook.plans.fixtures import base, duck, view
 from casebook.plans.registry import query
 
-B, SEED = 50, 7
+B, SEED = 2000, 7
 _S, _M = duck("f_scores"), duck("f_label_matrix")
 
 
