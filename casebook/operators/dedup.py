@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +37,37 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """``(a, b, similarity)`` of all pairs ``a < b`` with cosine of at least ``threshold``.
 
     Rows order their terms rarest first and keep the shortest prefix behind which the rest has a norm below the
-    threshold; a pair that reaches it shares a term of both prefixes. Prefixes join to candidates, candidates are
-    verified on the whole vectors."""
-    w = Window.partitionBy("uid").orderBy("df", "term")
-    rest = F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    prefix = vectors.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9).select("uid", "term")
-    left, right = prefix.select(F.col("uid").alias("a"), "term"), prefix.select(F.col("uid").alias("b"), "term")
-    near = left.join(right, "term").where("a < b").select("a", "b").distinct()
-    va, vb = vectors.select(F.col("uid").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("uid").alias("b"), "term", F.col("w").alias("wb"))
-    shared = near.join(va, "a").join(vb, ["b", "term"])
-    return shared.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    threshold; a pair that reaches it shares a term of both prefixes. Prefixes join to candidates by the term's 64-bit
+    hash, and each candidate pair, once, is verified on the two whole vectors, which travel packed, one row per document."""
+    vectors = written(vectors.select("uid", F.xxhash64("term").alias("t"), "w", "df"), "vectors")
+    # what is left from a term on is summed from the end, as frames that begin at the first row are running sums
+    from_end = Window.partitionBy("uid").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_end)).where(F.col("rest") >= threshold * threshold - 1e-9).select("uid", "t")
+    prefix = written(prefix, "prefixes")
+    left, right = prefix.select(F.col("uid").alias("a"), "t"), prefix.select(F.col("uid").alias("b"), "t")
+    near = left.join(right, "t").where("a < b").select("a", "b").distinct()
+    sorted_ = F.array_sort(F.collect_list(F.struct("t", "w")))
+    packed = written(vectors.groupBy("uid").agg(sorted_.alias("v")).select("uid", F.col("v.t").alias("t"), F.col("v.w").alias("w")), "packed")
+    side = lambda k: packed.select(F.col("uid").alias(k), F.col("t").alias(f"t{k}"), F.col("w").alias(f"w{k}"))
+    return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_dots, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dot product of two sparse vectors a row, each with its terms in order."""
+    for batch in batches:
+        (ta, wa, ea), (tb, wb, eb) = ((_flat(batch.column(f"t{k}")), _flat(batch.column(f"w{k}")), batch.column(f"t{k}").offsets.to_numpy()) for k in "ab")
+        out = np.zeros(batch.num_rows)
+        for i in range(batch.num_rows):
+            x, y = ta[ea[i] : ea[i + 1]], tb[eb[i] : eb[i + 1]]
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            same = y[at] == x
+            out[i] = wa[ea[i] : ea[i + 1]][same] @ wb[eb[i] : eb[i + 1]][at[same]]
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a").cast(pa.int64()), "b": batch.column("b").cast(pa.int64()), "similarity": out})
+
+
+def _flat(column: pa.ListArray) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False)
 
 
 def cluster_near_duplicates(texts: DataFrame, threshold: float = 0.9, uid: str = "uid", text: str = "text") -> DataFrame:
@@ -55,8 +80,7 @@ def cluster_near_duplicates(texts: DataFrame, threshold: float = 0.9, uid: str =
     folded = written(keyed.join(firsts, "d").select("uid", "text", "rep"), "folded")
     reps = folded.where("uid = rep")
     # document counts are those of all rows, so that folding does not change a weight
-    vectors = written(tfidf_folded(folded), "tfidf")
-    pairs = cosine_pairs(vectors, threshold)
+    pairs = cosine_pairs(tfidf_folded(folded), threshold)
     joined = connected_components(pairs, "a", "b").withColumnRenamed("node", "rep")
     labelled = reps.select("rep").join(joined, "rep", "left").select("rep", F.coalesce("component", "rep").alias("smallest"))
     roots = labelled.select("smallest").distinct()
