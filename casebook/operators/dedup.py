@@ -25,12 +25,16 @@ def ngram_terms(texts: DataFrame, uid: str = "uid", text: str = "text") -> DataF
 def tfidf_vectors(texts: DataFrame, uid: str = "uid", text: str = "text", min_df: int = 2) -> DataFrame:
     """``(uid, term, w, df)``: tf times ``ln((1 + n) / (1 + df)) + 1`` of terms in ``min_df`` documents or more, rows of
     norm 1."""
-    terms = ngram_terms(texts, uid, text)
+    terms = written(ngram_terms(texts, uid, text), "terms")
     df = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     n = texts.agg(F.count("*").alias("n"))
     raw = terms.join(df, "term").join(F.broadcast(n)).select("uid", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
-    norms = raw.groupBy("uid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, "uid").select("uid", "term", (F.col("x") / F.col("norm")).alias("w"), "df")
+    return _unit(raw)
+
+
+def _unit(raw: DataFrame) -> DataFrame:
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("uid")))
+    return raw.select("uid", "term", (F.col("x") / norm).alias("w"), "df")
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -90,13 +94,12 @@ def cluster_near_duplicates(texts: DataFrame, threshold: float = 0.9, uid: str =
 def tfidf_folded(folded: DataFrame, min_df: int = 2) -> DataFrame:
     """``tfidf_vectors`` of the representatives of ``folded`` (uid, text, rep), counting every row."""
     size = folded.groupBy("rep").agg(F.count("*").alias("k"))
-    terms = ngram_terms(folded.where("uid = rep"))
+    terms = written(ngram_terms(folded.where("uid = rep")), "terms")
     counted = terms.join(size.withColumnRenamed("rep", "uid"), "uid")
     df = counted.groupBy("term").agg(F.sum("k").alias("df")).where(F.col("df") >= min_df)
     n = folded.agg(F.count("*").alias("n"))
     raw = terms.join(df, "term").join(F.broadcast(n)).select("uid", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
-    norms = raw.groupBy("uid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, "uid").select("uid", "term", (F.col("x") / F.col("norm")).alias("w"), "df")
+    return _unit(raw)
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
