@@ -177,7 +177,7 @@ def _windows(values: np.ndarray, offsets: np.ndarray, fill) -> tuple[np.ndarray,
     return out.reshape(n, WINDOW), valid.reshape(n, WINDOW), place
 
 
-def chain_marginals(emission: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: np.ndarray, step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chain_marginals(emission: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, start: np.ndarray, step: int = 8_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``marginals`` of whole chains: tokens of all documents in a row, cut by ``offsets``."""
     if not len(emission):
         return np.zeros(0), np.zeros((2, 2)), np.zeros(2)
