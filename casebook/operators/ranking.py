@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.vectors import dot, is_finite, norm
-from casebook.operators.metadata import hashed_order
+from casebook.operators.metadata import hashed_order, sample_n
 from casebook.operators.numbering import numbered
 
 KS = (1, 3, 5, 10)
@@ -177,15 +177,25 @@ def confusion_f1(matrix: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [per, macro, micro])
 
 
-def bootstrap_f1_ci(matrix: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """Intervals of micro and macro f1; a case is drawn with all its labels."""
-    cases = matrix.select("uid").distinct()
-    d = draws(cases, n_boot, seed).select("rep", "uid").join(matrix, "uid")
-    per = f1_rows(confusion_counts(d, ["rep", "label"]))
-    macro = per.groupBy("rep").agg(F.avg("f1").alias("macro_f1"))
-    micro = f1_rows(per.groupBy("rep").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))).select("rep", F.col("f1").alias("micro_f1"))
-    long = macro.join(micro, "rep").unpivot("rep", ["macro_f1", "micro_f1"], "metric", "v")
-    return percentile_ci(long, "v", ["metric"])
+def bootstrap_f1_ci(matrix: DataFrame, n_boot: int, seed: int, partners: DataFrame | None = None) -> DataFrame:
+    """``(metric, low, high, excludes_zero)``: intervals of micro and macro f1; a case is drawn with all its labels.
+
+    With ``partners`` (uid, partner) the same draws also score each case against its partner's reference: rows of that
+    mismatched baseline, and of the macro f1 gained over it."""
+    sides = matrix.select("uid", F.lit("").alias("side"), "label", "gen", "ref")
+    if partners is not None:
+        other = matrix.select(F.col("uid").alias("partner"), "label", "ref")
+        crossed = matrix.select("uid", "label", "gen").join(partners, "uid").join(other, ["partner", "label"])
+        sides = sides.unionByName(crossed.select("uid", F.lit("baseline_").alias("side"), "label", "gen", "ref"))
+    d = draws(matrix.select("uid").distinct(), n_boot, seed).select("rep", "uid").join(sides, "uid")
+    per = f1_rows(confusion_counts(d, ["rep", "side", "label"]))
+    both = per.groupBy("rep", "side").agg(F.avg("f1").alias("macro_f1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    both = f1_rows(both).select("rep", "side", "macro_f1", F.col("f1").alias("micro_f1"))
+    long = both.unpivot(["rep", "side"], ["macro_f1", "micro_f1"], "m", "v").select("rep", F.concat("side", "m").alias("metric"), "v")
+    if partners is not None:
+        sign = F.when(F.col("side") == "", 1.0).otherwise(-1.0)
+        long = long.unionByName(both.groupBy("rep").agg(F.sum(sign * F.col("macro_f1")).alias("v")).select("rep", F.lit("macro_f1_gain").alias("metric"), "v"))
+    return percentile_ci(long, "v", ["metric"]).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 def metric_ci_table(cases: DataFrame, metrics: list[str], n_boot: int, seed: int) -> DataFrame:
@@ -215,3 +225,12 @@ def required_n(table: DataFrame, target: float = 0.2, failure_rate: float = 0.0)
     need = need.withColumn("to_sample", F.ceil(F.col("required") / (1 - failure_rate)))
     top = need.agg(F.max_by("metric", "required").alias("binding"))
     return need.join(F.broadcast(top)).withColumn("is_binding", F.col("metric") == F.col("binding")).drop("binding")
+
+
+def width_scaling(cases: DataFrame, metrics: list[str], sizes: tuple[int, ...], n_boot: int, seed: int) -> DataFrame:
+    """``(metric, n, width, predicted)``: widths measured on hashed sub-samples of stated ``sizes`` beside what the root
+    rule of ``required_n`` predicts for them from all cases."""
+    whole = metric_ci_table(cases, metrics, n_boot, seed).select("metric", F.col("n").alias("n_all"), F.col("width").alias("width_all"))
+    parts = [metric_ci_table(sample_n(cases, n, seed), metrics, n_boot, seed).select("metric", "n", "width") for n in sizes]
+    j = reduce(DataFrame.unionByName, parts).join(whole, "metric")
+    return j.select("metric", "n", "width", (F.col("width_all") * F.sqrt(F.col("n_all") / F.col("n"))).alias("predicted"))

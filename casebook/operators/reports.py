@@ -61,6 +61,17 @@ def audit_trail(decisions: DataFrame) -> DataFrame:
     return rows
 
 
+def report_detail(store: DataFrame, state: DataFrame, decisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row per report: its columns, the draft as it was generated, the content as it stands after the edits of
+    ``fold_edits`` (state and decisions), evidence in order of rank, and the audit rows in order of time.
+
+    ``store`` (report_id, session_id, patient_id, doctor_id, status, findings), ``evidence`` (session_id, uid, rank)."""
+    listed = evidence.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "uid"))).alias("evidence"))
+    now = state.select("report_id", F.col("findings").alias("now"), F.col("finalized_at"), F.col("finalized_by"))
+    j = store.join(listed, "session_id", "left").join(now, "report_id", "left").join(audit_trail(decisions), "report_id", "left")
+    return j.select("report_id", "session_id", "patient_id", "doctor_id", "status", F.coalesce("now", "findings").alias("content"), F.col("findings").alias("ai_draft_content"), "finalized_at", "finalized_by", "evidence", "audit")
+
+
 def prior_report(store: DataFrame, strict: bool = False) -> DataFrame:
     """``(report_id, patient_id, prior_id)``: the last other report of the patient by (created_at, report_id), which may
     be later than the current one; ``strict`` takes the one just before."""
@@ -114,15 +125,29 @@ def patient_history(store: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- validation of generated text
 
-_MARKER = r"^[ \t]*(#{2,})[ \t]*([A-Za-z_]+)[ \t]*(#{2,})[ \t]*$"
+
+def _unfenced(text: Column) -> Column:
+    """Text without white space around it and without three backticks at both ends and the word behind the first."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    inside = F.substring(bare, F.lit(4), F.length(bare) - 6)
+    fenced = bare.startswith("```") & bare.endswith("```") & (F.length(bare) > 6)
+    return F.btrim(F.when(fenced, F.regexp_replace(inside, r"^\w+", "")).otherwise(bare), F.lit(" \t\r\n"))
+
+
+def _marker_name(line: Column) -> Column:
+    """The word between two or more hash signs on either side that make up a line; empty for other lines."""
+    bare = F.btrim(line, F.lit(" \t\r"))
+    signs = [F.length(bare) - F.length(trim(bare, F.lit("#"))) for trim in (F.ltrim, F.rtrim)]
+    word = F.btrim(F.btrim(bare, F.lit("#")), F.lit(" \t"))
+    plain = F.translate(F.lower(word), "abcdefghijklmnopqrstuvwxyz_", "") == ""
+    return F.when(plain & (signs[0] >= 2) & (signs[1] >= 2), word).otherwise("")
 
 
 def structural_validate(rows: DataFrame, raw: str) -> DataFrame:
     """Adds ``valid``, ``errors`` and, where valid, ``content`` to responses that mark seven fields by ``###FIELD###``
     lines. A surrounding code fence is taken off. Unknown, malformed and repeated markers are errors, and so are missing
     fields and a wrong order."""
-    text = F.trim(F.regexp_replace(F.trim(F.coalesce(F.col(raw), F.lit(""))), r"(?s)^```\w*\s*\n?(.*?)\n?```$", "$1"))
-    lines = rows.withColumn("__l", F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.regexp_extract(x, _MARKER, 2).alias("name"))))
+    lines = rows.withColumn("__l", F.transform(F.split(_unfenced(F.col(raw)), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line"), _marker_name(x).alias("name"))))
     marks = lines.withColumn("__m", F.filter("__l", lambda x: x["name"] != ""))
     known = F.array(*[F.lit(f) for f in FIELDS])
     exact = lambda m: F.trim(m["line"]) == F.concat(F.lit("###"), F.upper(m["name"]), F.lit("###"))
@@ -166,9 +191,9 @@ def semantic_validate(reports: DataFrame, evidence_labels: DataFrame, votes: Dat
     j = j.withColumn("top_unreflected", F.coalesce((F.col("agreement") >= least) & ~shown, F.lit(False)))
     some = lambda cond, value: F.when(cond, F.array(value)).otherwise(F.array().cast("array<string>"))
     warnings = F.concat(
-        some(F.col("missing_findings"), F.lit("Findings section is empty")), some(F.col("missing_impression"), F.lit("Impression section is empty")),
-        F.transform("unsupported", lambda x: F.concat(F.lit("Mentions '"), x, F.lit("' which is not supported by retrieved evidence"))),
-        some(F.col("top_unreflected"), F.concat(F.lit("Top voted label '"), "top_label", F.lit("' (agreement "), F.format_number("agreement", 2), F.lit(") not reflected in report text"))),
+        some(F.col("missing_findings"), F.lit("no findings")), some(F.col("missing_impression"), F.lit("no impression")),
+        F.transform("unsupported", lambda x: F.concat(F.lit("no case supports: "), x)),
+        some(F.col("top_unreflected"), F.concat(F.lit("leading vote left out: "), "top_label", F.lit(", share "), F.format_number("agreement", 2))),
     )
     return j.select("report_id", "missing_findings", "missing_impression", "unsupported", "top_unreflected", warnings.alias("warnings"), (F.size(warnings) == 0).alias("is_clean"))
 
@@ -176,19 +201,44 @@ def semantic_validate(reports: DataFrame, evidence_labels: DataFrame, votes: Dat
 # ---------------------------------------------------------------- prompts
 
 
-def render_prompts(context: DataFrame, role: str, schema: str, rules: str, language: str = "English") -> DataFrame:
-    """``(query, prompt)``: role, language, output schema, grounding rules, votes, evidence in order, answers by question
-    and notes, as one text per case. ``context`` has votes and cases as ``build_context`` makes them, and may have
-    ``answers`` (map) and ``notes``."""
+def _prompt(columns: list[str], role: str, schema: str, rules: str, language: str) -> Column:
     votes = F.array_join(F.transform("votes", lambda v: F.concat(F.lit("- "), v["label"], F.lit(": "), F.format_number(v["agreement"] * 100, 0), F.lit(" % of cases"))), "\n")
     cases = F.array_join(F.transform("cases", lambda c: F.concat(F.lit("["), c["evidence_rank"].cast("string"), F.lit("] case "), c["uid"].cast("string"), F.lit(" (similarity "), F.format_number(c["similarity"], 3), F.lit(")"))), "\n")
     parts = [F.lit(role), F.lit(f"Answer in {language}."), F.lit(schema), F.lit(rules), F.concat(F.lit("Votes:\n"), F.coalesce(votes, F.lit("none"))), F.concat(F.lit("Evidence:\n"), F.coalesce(cases, F.lit("none")))]
-    if "answers" in context.columns:
+    if "answers" in columns:
         pairs = F.array_sort(F.map_entries("answers"))
-        parts.append(F.concat(F.lit("Answers:\n"), F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(" "), e["value"])), "\n")))
-    if "notes" in context.columns:
-        parts.append(F.concat(F.lit("Notes: "), F.col("notes")))
-    return context.select("query", F.concat_ws("\n\n", *parts).alias("prompt"))
+        parts.append(F.when(F.size(pairs) > 0, F.concat(F.lit("Answers:\n"), F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(" "), e["value"])), "\n"))))
+    if "notes" in columns:
+        parts.append(F.when(F.trim("notes") != "", F.concat(F.lit("Notes: "), F.col("notes"))))
+    return F.concat_ws("\n\n", *parts)
+
+
+def render_prompts(context: DataFrame, role: str, schema: str, rules: str, language: str = "English") -> DataFrame:
+    """``(query, prompt)``: role, language, output schema, grounding rules, votes, evidence in order, answers by question
+    and notes, as one text per case. ``context`` has votes and cases as ``build_context`` makes them, and may have
+    ``answers`` (map) and ``notes``; where these are missing or blank, their part is left out."""
+    return context.select("query", _prompt(context.columns, role, schema, rules, language).alias("prompt"))
+
+
+def regen_inputs(reports: DataFrame, context: DataFrame, section: str, role: str, rules: str, language: str = "English") -> DataFrame:
+    """``(report_id, context_incomplete, prompt)``: what one section of every open report is written anew from.
+
+    ``reports`` (report_id, session_id, status, answers, notes); final ones are left out. ``context`` is the stored
+    evidence of ``build_context`` with the session as ``query``. The context counts as incomplete only when answers and
+    notes are both null: an empty answer is known, not missing."""
+    j = reports.where("status <> 'final'").join(context.withColumnRenamed("query", "session_id"), "session_id", "left")
+    prompt = _prompt(j.columns, role, f"Write the section {section} alone.", rules, language)
+    return j.select("report_id", (F.col("answers").isNull() & F.col("notes").isNull()).alias("context_incomplete"), prompt.alias("prompt"))
+
+
+def comparison_prompts(compared: DataFrame, store: DataFrame, role: str, rules: str) -> DataFrame:
+    """``(report_id, prompt)``: both reports' texts and the facts of ``compare_reports`` for every compared pair."""
+    side = lambda key, name: store.select(F.col("report_id").alias(key), F.coalesce("findings", F.lit("")).alias(name))
+    j = compared.join(side("report_id", "now"), "report_id").join(side("prior_id", "before"), "prior_id")
+    facts = [F.concat(F.lit(f"{c.capitalize()}: "), F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")) for c in ("resolved", "persistent", "new")]
+    days = F.concat(F.lit("Days between: "), F.coalesce(F.col("days").cast("string"), F.lit("unknown")))
+    parts = [F.lit(role), F.concat(F.lit("Previous report:\n"), "before"), F.concat(F.lit("Current report:\n"), "now"), F.concat_ws("\n", *facts, days), F.lit(rules)]
+    return j.select("report_id", F.concat_ws("\n\n", *parts).alias("prompt"))
 
 
 def render_variants(prompts: DataFrame, errors: Column | None = None, question: Column | None = None, section: str | None = None) -> DataFrame:

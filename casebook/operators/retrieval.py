@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.vectors import dot, l2_normalize
-from casebook.session import new_path, written
+from casebook.session import new_path
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -18,20 +19,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def knn_topk(queries: DataFrame, kb: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def knn_topk(queries: DataFrame, kb: DataFrame, k: int, block: int = 2048, slice_rows: int = 65_536) -> DataFrame:
     """Exact cosine neighbours: ``(query, uid, similarity, rank)``, ties by uid; a case is no neighbour of itself.
 
     Inputs are ``(uid, embedding)``. Queries are dealt into blocks of ``block`` vectors or so, each a few MB, and every
-    slice of the knowledge base meets every block: one matrix product per pair, of which only the best ``k`` per query
-    leave the task. The final rank is a window over ``k`` rows per query and slice.
+    slice of the knowledge base, ``slice_rows`` vectors or so whatever the size of the base, meets every block: one matrix
+    product per pair, of which only the best ``k`` per query leave the task. The final rank is a window over ``k`` rows per query and slice.
     """
     spark = kb.sparkSession
-    n_slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     numbered = queries.select(F.col("uid").cast("long").alias("uid"), "embedding").where("uid IS NOT NULL AND embedding IS NOT NULL")
     n_blocks = max(1, -(-numbered.count() // block))
     q = numbered.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).cast("int"))
-    q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
     base = kb.select(F.col("uid").cast("long").alias("uid"), "embedding").where("uid IS NOT NULL AND embedding IS NOT NULL")
+    # no slice outgrows a task; small bases still give every core some
+    n_slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks, -(-base.count() // slice_rows))
+    q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
     base = base.withColumn("s", F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(n_slices)).cast("int"))
     base = base.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
@@ -67,10 +69,17 @@ def topk_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, kb: DataFrame, k: int, planes: int = 4, tables: int = 24, seed: int = 11) -> DataFrame:
-    """Approximate neighbours: signed random projections put unit vectors into buckets of ``tables`` tables; cases that
-    share a bucket with a query are ranked exactly. Buckets join on (table, bucket); every case is in every table. More
-    planes make smaller buckets for larger bases, more tables win back the recall; vectors without structure need many."""
+def ann_topk(queries: DataFrame, kb: DataFrame, k: int, bucket_rows: int = 256, least: float = 0.5, missed: float = 0.02, seed: int = 11) -> DataFrame:
+    """Approximate neighbours: signed random projections put unit vectors into buckets of several tables; cases that share
+    a bucket with a query are ranked exactly. Every case is in every table.
+
+    The number of planes follows the base, for buckets of about ``bucket_rows`` vectors; the number of tables follows
+    from it, so that a case with a cosine of ``least`` is missed with a chance of ``missed`` at most. Buckets join on ids
+    alone; each distinct pair then fetches its two vectors once."""
+    n = kb.count()
+    planes = max(4, math.ceil(math.log2(max(1, n / bucket_rows))))
+    same_side = 1 - math.acos(least) / math.pi
+    tables = math.ceil(math.log(missed) / math.log1p(-(same_side**planes)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,15 +89,21 @@ def ann_topk(queries: DataFrame, kb: DataFrame, k: int, planes: int = 4, tables:
             normal = np.random.default_rng(seed).standard_normal((m.shape[1], planes * tables))
             bits = (m @ normal > 0).reshape(len(m), tables, planes)
             code = bits @ (1 << np.arange(planes))
-            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid").cast(pa.int64()), "codes": pa.array(code.tolist(), pa.list_(pa.int64())), "embedding": batch.column("embedding")})
+            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid").cast(pa.int64()), "codes": pa.array(code.tolist(), pa.list_(pa.int64()))})
+
+    def valid(df: DataFrame) -> DataFrame:
+        return df.select(F.col("uid").cast("long").alias("uid"), F.col("embedding").cast("array<double>").alias("embedding")).where("uid IS NOT NULL AND embedding IS NOT NULL")
 
-    def coded(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col("uid").cast("long").alias("uid"), F.col("embedding").cast("array<double>").alias("embedding")).where("uid IS NOT NULL AND embedding IS NOT NULL")
-        return rows.mapInArrow(sign, "uid long, codes array<long>, embedding array<double>").select("uid", l2_normalize(F.col("embedding")).alias("v"), F.posexplode("codes").alias("t", "code"))
+    def coded(df: DataFrame, name: str) -> DataFrame:
+        codes = valid(df).mapInArrow(sign, "uid long, codes array<long>")
+        return codes.select(F.col("uid").alias(name), F.posexplode("codes").alias("t", "code"))
 
-    q = coded(queries).select(F.col("uid").alias("query"), F.col("v").alias("q"), "t", "code")
-    pairs = q.join(coded(kb), ["t", "code"]).where("query <> uid").groupBy("query", "uid").agg(F.first("q").alias("q"), F.first("v").alias("v"))
-    return topk_per_query(pairs.select("query", "uid", dot(F.col("q"), F.col("v")).alias("similarity")), k)
+    def unit(df: DataFrame, name: str, vector: str) -> DataFrame:
+        return valid(df).select(F.col("uid").alias(name), l2_normalize(F.col("embedding")).alias(vector))
+
+    pairs = coded(queries, "query").join(coded(kb, "uid"), ["t", "code"]).where("query <> uid").select("query", "uid").distinct()
+    scored = pairs.join(unit(queries, "query", "q"), "query").join(unit(kb, "uid", "v"), "uid")
+    return topk_per_query(scored.select("query", "uid", dot(F.col("q"), F.col("v")).alias("similarity")), k)
 
 
 def retrieve(near: DataFrame, least: float, k: int) -> DataFrame:
@@ -101,6 +116,15 @@ def get_by_ids(requested: DataFrame, index: DataFrame) -> DataFrame:
     return requested.join(index, "uid").withColumn("similarity", F.lit(1.0))
 
 
+def session_evidence(requested: DataFrame, index: DataFrame, case_labels: DataFrame) -> DataFrame:
+    """``(query, evidence, votes)``: the stored cases of a session in the order of their ranks and the vote over them;
+    ``requested`` (query, uid, rank), ids without a case fall out."""
+    found = get_by_ids(requested, index)
+    listed = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "uid"))).alias("evidence"))
+    votes = label_vote(found, case_labels).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("vote_rank", "label", "vote_weight", "agreement"))).alias("votes"))
+    return listed.join(votes, "query", "left")
+
+
 def label_vote(near: DataFrame, case_labels: DataFrame) -> DataFrame:
     """``(query, label, vote_weight, agreement, vote_rank)``: sum of similarities and share of the query's cases with the
     label. Ties by the smallest case rank, then the label. Agreement divides by all cases of the query."""
@@ -186,47 +210,55 @@ def agreement_badge(near: DataFrame, cases: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- index
 
 
-def index_records(cases: DataFrame, normal: str, model: str, version: str = "1", dataset: str = "driver") -> DataFrame:
-    text = lambda c: F.coalesce(c, F.lit(""))
+def index_records(cases: DataFrame, normal: str, model: str, version: str = "v1", dataset: str = "") -> DataFrame:
+    """The stored record of every case. ``image_path``, ``label_set`` and ``patient_uid`` are taken from ``cases`` where it
+    has them (the patient is else derived from the uid, the others empty); missing texts are empty, a missing cluster is -1."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in cases.columns else F.lit("")
+    patient = F.col("patient_uid") if "patient_uid" in cases.columns else F.concat(F.lit("SYN-"), F.col("uid").cast("string"))
     return cases.select(
-        F.col("uid").cast("string").alias("study_uid"), F.concat(F.lit("SYN-"), F.col("uid").cast("string")).alias("patient_uid"), F.lit("Frontal").alias("projection"), "primary_label", "second_label", (F.col("primary_label") == normal).alias("is_normal"),
-        text("findings").alias("findings"), text("impression").alias("impression"), "split", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"), F.lit(model).alias("embedding_model"), "embedding", F.current_timestamp().alias("indexed_at"),
-    ).drop("dataset", "version")
+        F.col("uid").cast("string").alias("study_uid"), patient.alias("patient_uid"), text("image_path").alias("image_path"), F.lit("Frontal").alias("projection"),
+        "primary_label", text("label_set").alias("label_set"), (F.col("primary_label") == normal).alias("is_normal"), text("findings").alias("findings"), text("impression").alias("impression"),
+        F.lit(dataset).alias("dataset"), F.lit(model).alias("embedding_model"), F.lit(version).alias("embedding_version"), "split", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"), "embedding", F.current_timestamp().alias("indexed_at"),
+    )
+
+
+def _rule_counts(records: DataFrame, vectors: DataFrame, dimension: int, test_split: str, tolerance: float) -> DataFrame:
+    """One row: how many records, and the rules with their counts, from one pass over either side and one join by uid."""
+    size = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    r = records.groupBy("uid").agg(F.count("*").alias("records"), F.count_if(F.col("split") == test_split).alias("test"), F.count_if(F.col("primary_label").isNull() | F.col("split").isNull()).alias("missing"))
+    v = vectors.select("uid", F.coalesce(F.size("embedding"), F.lit(0)).alias("n"), odd.alias("odd"), size.alias("size")).groupBy("uid").agg(
+        F.count("*").alias("vectors"), F.count_if(F.col("n") != dimension).alias("dimension"), F.count_if("odd").alias("odd"),
+        F.count_if(F.col("size") < 1e-12).alias("zero"), F.count_if((F.col("size") >= 1e-12) & (F.abs(F.col("size") - 1) > tolerance)).alias("deviates"),
+    )
+    alone = lambda side, other: F.sum(F.when(F.col(other).isNull(), F.col(side)))
+    rules = [
+        ("error", "test split in index", F.sum("test")), ("error", "record without vector", alone("records", "vectors")), ("error", "vector without record", alone("vectors", "records")),
+        ("error", "duplicate record", F.count_if(F.col("records") > 1)), ("error", "duplicate vector", F.count_if(F.col("vectors") > 1)), ("error", "missing field", F.sum("missing")),
+        ("error", "dimension", F.sum("dimension")), ("error", "not finite", F.sum("odd")), ("error", "zero norm", F.sum("zero")), ("warning", "norm deviates", F.sum("deviates")),
+    ]
+    listed = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(name).alias("rule"), F.coalesce(n, F.lit(0)).alias("n")) for s, name, n in rules])
+    return r.join(v, "uid", "full").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total"), listed.alias("rules"))
 
 
 def index_validate(records: DataFrame, vectors: DataFrame, dimension: int, test_split: str = "test", tolerance: float = 0.01) -> DataFrame:
     """``(severity, rule, n)`` of broken rules; no rows when all hold. ``records`` (uid, split, primary_label),
     ``vectors`` (uid, embedding)."""
-    size = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    rules = [
-        ("error", "test split in index", records.where(F.col("split") == test_split)),
-        ("error", "record without vector", records.join(vectors.select("uid"), "uid", "left_anti")),
-        ("error", "vector without record", vectors.join(records.select("uid"), "uid", "left_anti")),
-        ("error", "duplicate record", records.groupBy("uid").count().where("count > 1")),
-        ("error", "duplicate vector", vectors.groupBy("uid").count().where("count > 1")),
-        ("error", "missing field", records.where(F.col("primary_label").isNull() | F.col("split").isNull())),
-        ("error", "dimension", vectors.where(F.coalesce(F.size("embedding"), F.lit(0)) != dimension)),
-        ("error", "not finite", vectors.where(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))),
-        ("error", "zero norm", vectors.where(size < 1e-12)),
-        ("warning", "norm deviates", vectors.where((size >= 1e-12) & (F.abs(size - 1) > tolerance))),
-    ]
-    out = None
-    for severity, rule, rows in rules:
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out.where("n > 0")
+    return _rule_counts(records, vectors, dimension, test_split, tolerance).select(F.inline("rules")).where("n > 0")
 
 
 def index_build(records: DataFrame, vectors: DataFrame, dimension: int, path: str | None = None, dry_run: bool = False) -> tuple[str | None, DataFrame]:
     """Check, align by uid, write to a new path, verify the count. Returns the path (none on errors or a dry run) and the
     broken rules. What was written before stays as it is; readers switch by taking the new path."""
     spark = records.sparkSession
-    broken = written(index_validate(records, vectors, dimension), "index-rules")
-    if dry_run or not broken.where("severity = 'error'").isEmpty():
+    counts = _rule_counts(records, vectors, dimension, "test", 0.01).first()  # ten rules, one row
+    found = [(r.severity, r.rule, r.n) for r in counts.rules if r.n]
+    broken = spark.createDataFrame(found, "severity string, rule string, n long")
+    if dry_run or any(severity == "error" for severity, _, _ in found):
         return None, broken
     target = path or new_path(spark, "index")
     records.join(vectors, "uid").write.parquet(target)
-    if spark.read.parquet(target).count() != records.count():
+    if spark.read.parquet(target).count() != counts.total:
         raise RuntimeError(f"{target} does not hold every record")
     return target, broken
 

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casebook.functions.stem import stem
+
+
+# fixed values: the standard tokenisation of machine-translation scores (mteval 13a): what is replaced, in order
+MARKS = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+SPLITS = ((r"([{-~\[-` -&(-+:-@/])", r" {1} "), (r"([^0-9])([.,])", r"{1} {2} "), (r"([.,])([^0-9])", r" {1} {2}"), (r"([0-9])(-)", r"{1} {2} "))
+
 
 def tokens(c: Column) -> Column:
+    """Tokens of the standard tokenisation, case kept; null gives none."""
+    t = F.coalesce(c, F.lit(""))
+    for mark, put in MARKS:
+        t = F.replace(t, F.lit(mark), F.lit(put))
+    t = F.concat(F.lit(" "), t, F.lit(" "))
+    for pattern, put in SPLITS:
+        t = F.regexp_replace(t, pattern, put.replace("{1}", "$1").replace("{2}", "$2"))
+    return F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+"), 0)
+
+
+def words(c: Column) -> Column:
     """Lower-case runs of letters and digits; null gives none."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
@@ -25,7 +45,8 @@ def numbered(grams: Column, n: int) -> Column:
 
 def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     """``(case_id, bleu)`` in percent: clipped n-gram precisions up to ``order``, exponential smoothing of the orders
-    without a match, brevity penalty. 0 when a side has no token, or the hypothesis is too short for any match."""
+    without a match, brevity penalty. A hypothesis of fewer tokens than ``order`` is scored on the orders it has. 0 when a
+    side has no token or nothing matches."""
     t = pairs.select("case_id", tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
     sides = []
     for side in ("h", "r"):
@@ -41,54 +62,40 @@ def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     folded = F.aggregate("p", start, step)
     hit = F.exists("p", lambda x: x["m"] > 0)
     brevity = F.when(F.col("lh") < F.col("lr"), F.exp(1 - F.col("lr") / F.col("lh"))).otherwise(1.0)
-    full = (F.col("lh") >= order) & (F.col("lr") > 0)
-    return j.select("case_id", F.when(full & hit, 100 * brevity * F.exp(folded["s"] / order)).otherwise(0.0).alias("bleu"))
-
+    return j.select("case_id", F.when(hit, 100 * brevity * F.exp(folded["s"] / F.size("p"))).otherwise(0.0).alias("bleu"))
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a row of the table carried over ``a``."""
-    zero = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda x: F.lit(0))), lambda x: x.cast("int"))
 
-    def row(previous: Column, x: Column) -> Column:
-        begin = F.array(F.lit(0))
-        cell = lambda acc, i: F.concat(acc, F.array(F.when(F.element_at(b, i) == x, F.element_at(previous, i) + 1).otherwise(F.greatest(F.element_at(previous, i + 1), F.element_at(acc, -1)))))
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.size(b)), begin, cell)).otherwise(previous)
+def _lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence: the longest rising run of places in ``b``."""
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    tops: list[int] = []
+    for x in a:
+        for j in reversed(places.get(x, ())):
+            k = bisect_left(tops, j)
+            tops[k : k + 1] = [j]
+    return len(tops)
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
 
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """``(case_id, rouge_l)``: F-measure of the longest common subsequence of stemmed words (words of up to three letters
+    stay as they are); 0 when a side has none."""
 
-def rouge_l(pairs: DataFrame, longest: int = 400) -> DataFrame:
-    """``(case_id, rouge_l)``: F-measure of the longest common subsequence of tokens, without stemming; 0 when a side has
-    none. Pairs with a side over ``longest`` tokens go through an Arrow function with the same result, since the native
-    form copies its row for every cell."""
-    t = pairs.select("case_id", tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-    short = (F.size("h") <= longest) & (F.size("r") <= longest)
-
-    def long_lcs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from bisect import bisect_left
-
-        for f in frames:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for h, r in zip(f["h"], f["r"]):
-                places: dict[str, list[int]] = {}
-                for j, x in enumerate(r):
-                    places.setdefault(x, []).append(j)
-                tops: list[int] = []
-                for x in h:
-                    for j in reversed(places.get(x, ())):
-                        k = bisect_left(tops, j)
-                        tops[k : k + 1] = [j]
-                out.append(len(tops))
-            yield pd.DataFrame({"case_id": f["case_id"], "lh": f["h"].map(len), "lr": f["r"].map(len), "l": out})
-
-    a = t.where(short).select("case_id", F.size("h").alias("lh"), F.size("r").alias("lr"), lcs_length(F.col("h"), F.col("r")).alias("l"))
-    b = t.where(~short).mapInPandas(long_lcs, "case_id long, lh int, lr int, l int")
-    l, lh, lr = F.col("l"), F.col("lh"), F.col("lr")
-    return a.unionByName(b).select("case_id", F.when((lh > 0) & (lr > 0) & (l > 0), 2 * l / (lh + lr)).otherwise(0.0).alias("rouge_l"))
+            for h, r in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist()):
+                h, r = ([stem(x) if len(x) > 3 else x for x in side] for side in (h, r))
+                out.append(2 * _lcs(h, r) / (len(h) + len(r)) if h and r else 0.0)
+            yield pa.RecordBatch.from_pydict({"case_id": batch.column("case_id").cast(pa.int64()), "rouge_l": pa.array(out, pa.float64())})
+
+    t = pairs.select("case_id", words(F.col("hyp")).alias("h"), words(F.col("ref")).alias("r"))
+    return t.mapInArrow(score, "case_id long, rouge_l double")
 
 
 def tier1_table(pairs: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Scores of every case of ``statuses`` (case_id, status); cases without a pair have nulls."""
+    """Scores of every case of ``statuses`` (case_id, status, reason); cases without a pair have nulls."""
     return statuses.join(sentence_bleu(pairs), "case_id", "left").join(rouge_l(pairs), "case_id", "left")
 
 

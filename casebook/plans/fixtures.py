@@ -57,6 +57,13 @@ def duck(name: str) -> str:
     return f"{name} AS ({sql(name)})"
 
 
+def derangement_sql(ids: str, seed: int) -> str:
+    """CTEs that end in ``der`` (uid, partner) over the column uid of ``ids``."""
+    return f"""h AS (SELECT uid, (uid % 2147483647 * 48271 + {seed} * 69621) % 2147483647 AS h FROM {ids}), s AS (SELECT *, h % 16 AS s FROM h),
+nx AS (SELECT uid, s, lead(uid) OVER (PARTITION BY s ORDER BY h, uid) AS n FROM s), fs AS (SELECT s, uid AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, uid) AS r FROM s) WHERE r = 1),
+ring AS (SELECT s, coalesce(lead(f) OVER (ORDER BY s), (SELECT f FROM fs ORDER BY s LIMIT 1)) AS f2 FROM fs), der AS (SELECT uid, coalesce(n, f2) AS partner FROM nx JOIN ring USING (s))"""
+
+
 def tables(spark: SparkSession, sf_dir: str) -> None:
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)

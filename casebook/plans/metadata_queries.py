@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from casebook.operators import labels as L
 from casebook.operators import metadata as M
-from casebook.plans.fixtures import base, duck, view
+from casebook.operators import preparation as O
+from casebook.plans.fixtures import base, derangement_sql, duck, view
 from casebook.plans.registry import query
 from casebook.plans.retrieval_queries import _NEAR, near
 from casebook.plans.text_queries import _KEYS, keyed
@@ -43,17 +44,13 @@ def embedding_cached(spark, sf_dir):
 @query("index_join_splits", f"WITH {_C} SELECT uid, primary_label, split FROM f_cases WHERE uid % 4 > 0")
 def index_join_splits(spark, sf_dir):
     c = view(spark, sf_dir, "f_cases")
-    return c.select("uid", "primary_label").join(c.where("uid % 4 > 0").select("uid", "split"), "uid")
+    return O.index_join_splits(c.select("uid", "primary_label"), c.where("uid % 4 > 0"))
 
 
 @query("eligible_pool", f"WITH {_C}, {duck('f_case_texts')}, {_KEYS} SELECT uid FROM f_cases JOIN f_case_texts USING (uid) JOIN keys USING (uid) WHERE split = 'test' AND raw_path IS NOT NULL AND trim(coalesce(findings, '')) NOT IN ('', 'nan') AND trim(coalesce(impression, '')) NOT IN ('', 'nan')")
 def eligible_pool(spark, sf_dir):
-    from casebook.functions.text import is_real_text
-
     c, t = view(spark, sf_dir, "f_cases"), view(spark, sf_dir, "f_case_texts")
-    k = keyed(spark, sf_dir).where("raw_path IS NOT NULL")
-    pool = t.join(c.where("split = 'test'"), "uid", "left_semi").join(k, "uid", "left_semi")
-    return pool.where(is_real_text(F.col("findings")) & is_real_text(F.col("impression"))).select("uid")
+    return O.eligible_pool(t, c, keyed(spark, sf_dir))
 
 
 @query("purity_gate", f"WITH {_C}, i AS (SELECT uid, split FROM f_cases WHERE split <> 'test' OR uid % 40 = 19) SELECT 'in test' AS rule, count(*) FILTER (split = 'test') AS n, count(*) FILTER (split = 'test') = 0 AS passed FROM i UNION ALL SELECT 'not allowed', count(*) FILTER (split = 'test'), count(*) FILTER (split = 'test') = 0 FROM i")
@@ -68,13 +65,10 @@ def relevance_pairs(spark, sf_dir):
     return M.relevance_pairs(labels.where("uid % 20 BETWEEN 14 AND 16"), labels.where("uid % 20 < 14"))
 
 
-@query("review_detail", f"WITH {_NEAR}, ql AS (SELECT query, n.uid, rank, (SELECT string_agg(label, ';' ORDER BY label) FROM (SELECT label FROM f_case_labels a WHERE a.uid = n.query INTERSECT SELECT label FROM f_case_labels b WHERE b.uid = n.uid)) AS overlap FROM near n) SELECT query, ql.uid, rank, coalesce(overlap, '') AS overlap, overlap IS NOT NULL AS proxy_relevant, coalesce(findings, '') AS case_findings FROM ql LEFT JOIN f_case_texts t ON t.uid = ql.uid")
+@query("review_detail", f"WITH {_NEAR}, ql AS (SELECT query, n.uid, rank, (SELECT string_agg(label, ';' ORDER BY label) FROM (SELECT label FROM f_case_labels a WHERE a.uid = n.query INTERSECT SELECT label FROM f_case_labels b WHERE b.uid = n.uid)) AS overlap FROM near n) SELECT query, ql.uid, rank, coalesce(overlap, '') AS overlap, overlap IS NOT NULL AS proxy_relevant, coalesce(t.findings, '') AS case_findings, coalesce(t.impression, '') AS case_impression, coalesce(u.findings, '') AS query_findings, coalesce(u.impression, '') AS query_impression FROM ql LEFT JOIN f_case_texts t ON t.uid = ql.uid LEFT JOIN f_case_texts u ON u.uid = ql.query")
 def review_detail(spark, sf_dir):
-    own = view(spark, sf_dir, "f_case_labels").groupBy("uid").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    n = near(spark, sf_dir).join(own, "uid").join(own.select(F.col("uid").alias("query"), F.col("labels").alias("q_labels")), "query")
-    both = F.array_sort(F.array_intersect("labels", "q_labels"))
-    j = n.join(view(spark, sf_dir, "f_case_texts"), "uid", "left")
-    return j.select("query", "uid", "rank", F.array_join(both, ";").alias("overlap"), (F.size(both) > 0).alias("proxy_relevant"), F.coalesce("findings", F.lit("")).alias("case_findings"))
+    d = O.review_detail(near(spark, sf_dir), view(spark, sf_dir, "f_case_labels"), view(spark, sf_dir, "f_case_texts"))
+    return d.withColumn("overlap", F.array_join("overlap", ";"))
 
 
 @query("drop_reasons", f"WITH {_C}, {_KEYS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN split <> 'train' THEN 'not train' WHEN raw_path IS NULL THEN 'no image' WHEN masked_path IS NULL THEN 'not masked' END AS reason FROM f_cases JOIN keys USING (uid)) WHERE reason IS NOT NULL GROUP BY reason")
@@ -85,8 +79,7 @@ def drop_reasons(spark, sf_dir):
 
 @query("train_metadata", f"WITH {_C}, {_KEYS} SELECT uid, raw_path, masked_path IS NULL AS missing_masked FROM f_cases JOIN keys USING (uid) WHERE split = 'train' AND raw_path IS NOT NULL")
 def train_metadata(spark, sf_dir):
-    j = view(spark, sf_dir, "f_cases").join(keyed(spark, sf_dir), "uid").where("split = 'train' AND raw_path IS NOT NULL")
-    return j.select("uid", "raw_path", F.col("masked_path").isNull().alias("missing_masked"))
+    return O.train_metadata(view(spark, sf_dir, "f_cases"), keyed(spark, sf_dir))
 
 
 @query("id_set_checks", "SELECT c_custkey AS uid, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'right' FROM embeddings WHERE vec_id NOT IN (SELECT c_custkey FROM customer)")
@@ -118,13 +111,12 @@ def sample_stratified(spark, sf_dir):
 
 @query("smoke_subset", f"WITH {_C}, {_STRAT} SELECT uid, split, cluster_id FROM f_cases WHERE uid IN (SELECT uid FROM strat)")
 def smoke_subset(spark, sf_dir):
-    return view(spark, sf_dir, "f_cases").select("uid", "split", "cluster_id").join(sample_stratified(spark, sf_dir), "uid", "left_semi")
+    return O.smoke_subset(view(spark, sf_dir, "f_cases"), "primary_label", 47, 3).select("uid", "split", "cluster_id")
 
 
 @query("review_sample", f"WITH {_C}, {duck('f_case_texts')}, {_STRAT} SELECT uid, primary_label, findings, NULL::INT AS rating FROM strat LEFT JOIN f_case_texts USING (uid)")
 def review_sample(spark, sf_dir):
-    s = sample_stratified(spark, sf_dir).join(view(spark, sf_dir, "f_case_texts").select("uid", "findings"), "uid", "left")
-    return s.withColumn("rating", F.lit(None).cast("int"))
+    return O.review_sample(view(spark, sf_dir, "f_cases"), view(spark, sf_dir, "f_case_texts").select("uid", "findings"), "primary_label", 47, 3)
 
 
 @query("sample_n", f"SELECT c_custkey AS uid FROM customer ORDER BY (c_custkey % 2147483647 * 48271 + 5 * 69621) % 2147483647, c_custkey LIMIT 100")
@@ -132,9 +124,7 @@ def sample_n(spark, sf_dir):
     return M.sample_n(base(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid")), 100, 5)
 
 
-_DER = """h AS (SELECT uid, (uid % 2147483647 * 48271 + 9 * 69621) % 2147483647 AS h FROM (SELECT c_custkey AS uid FROM customer)), s AS (SELECT *, h % 16 AS s FROM h),
-nx AS (SELECT uid, s, lead(uid) OVER (PARTITION BY s ORDER BY h, uid) AS n FROM s), fs AS (SELECT s, uid AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, uid) AS r FROM s) WHERE r = 1),
-ring AS (SELECT s, coalesce(lead(f) OVER (ORDER BY s), (SELECT f FROM fs ORDER BY s LIMIT 1)) AS f2 FROM fs), der AS (SELECT uid, coalesce(n, f2) AS partner FROM nx JOIN ring USING (s))"""
+_DER = f"ids AS (SELECT c_custkey AS uid FROM customer), {derangement_sql('ids', 9)}"
 
 
 @query("derangement", f"WITH {_DER} SELECT * FROM der")

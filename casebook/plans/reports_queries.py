@@ -112,11 +112,16 @@ def audit_trail(spark, sf_dir):
     return a.select("report_id", F.array_join(F.transform("audit", lambda x: x["event_id"].cast("string")), ",").alias("events"))
 
 
-@query("report_detail", f"WITH {_S}, {duck('f_neighbours')} SELECT s.report_id, status, coalesce((SELECT string_agg(uid::VARCHAR, ',' ORDER BY turn) FROM f_neighbours n WHERE n.query = s.report_id), '') AS evidence FROM f_store s")
+_DETAIL = f"WITH {_S}, {duck('f_neighbours')}, {_FOLD} SELECT s.report_id, status, coalesce(lst.fn, CASE WHEN s.report_id IN (SELECT report_id FROM log) THEN 'draft' END, s.findings) AS content, s.findings AS ai_draft_content, coalesce((SELECT string_agg(uid::VARCHAR, ',' ORDER BY turn, uid) FROM f_neighbours n WHERE n.query = s.report_id), '') AS evidence, coalesce((SELECT string_agg(event_id::VARCHAR, ',' ORDER BY happened, event_id) FROM dec WHERE dec.report_id = s.report_id AND reason IS NULL AND kind = 'edit'), '') AS audit FROM f_store s LEFT JOIN lst USING (report_id)"
+
+
+@query("report_detail", _DETAIL)
 def report_detail(spark, sf_dir):
-    n = view(spark, sf_dir, "f_neighbours").groupBy(F.col("query").alias("report_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "uid"))).alias("e"))
-    j = store(spark, sf_dir).join(n, "report_id", "left")
-    return j.select("report_id", "status", F.coalesce(F.array_join(F.transform("e", lambda x: x["uid"].cast("string")), ","), F.lit("")).alias("evidence"))
+    state, decisions = fold(spark, sf_dir)
+    n = view(spark, sf_dir, "f_neighbours").select(F.col("query").alias("session_id"), "uid", F.col("turn").alias("rank"))
+    d = P.report_detail(store(spark, sf_dir), state, decisions, n)
+    joined = lambda c, x: F.coalesce(F.array_join(F.transform(c, lambda e: e[x].cast("string")), ","), F.lit("")).alias(c)
+    return d.select("report_id", "status", "content", "ai_draft_content", joined("evidence", "uid"), joined("audit", "event_id"))
 
 
 def documents_json(spark, sf_dir):
@@ -192,8 +197,20 @@ def render_variants(spark, sf_dir):
     return P.render_variants(p, F.array(F.lit("missing field: findings")), F.lit("Why this finding?"), "findings")
 
 
-@query("regen_inputs", f"WITH {_S} SELECT report_id, doctor_id IS NULL AS context_incomplete FROM f_store")
+@query("regen_inputs", f"WITH {_S}, {_EV} SELECT report_id, report_id % 12 = 0 AS context_incomplete, report_id IN (SELECT query FROM ev) AS has_evidence, report_id % 4 > 0 AS has_answers, report_id % 6 > 0 AS has_notes FROM f_store WHERE status <> 'final'")
 def regen_inputs(spark, sf_dir):
-    s = store(spark, sf_dir).withColumn("prompt", F.concat(F.lit("Report "), F.col("report_id").cast("string")))
-    p = P.render_variants(s, section="impression")
-    return p.select("report_id", F.col("doctor_id").isNull().alias("context_incomplete"))
+    k = F.col("report_id")
+    s = store(spark, sf_dir).withColumn("answers", F.when(k % 4 > 0, F.create_map(F.lit("since"), F.concat(k % 30, F.lit(" days"))))).withColumn("notes", F.when(k % 6 > 0, F.concat(F.lit("note "), k)))
+    r = P.regen_inputs(s, contexts(spark, sf_dir), "impression", "You write reports from evidence.", "Use nothing but the evidence.")
+    has = lambda x: F.contains("prompt", F.lit(x))
+    return r.select("report_id", "context_incomplete", has("[1] case ").alias("has_evidence"), has("Answers:\nsince ").alias("has_answers"), has("Notes: note ").alias("has_notes"))
+
+
+_PROMPT = "concat('You compare two reports.', chr(10), chr(10), 'Previous report:', chr(10), o.findings, chr(10), chr(10), 'Current report:', chr(10), n.findings, chr(10), chr(10), 'Resolved: ', CASE WHEN o.c <> n.c THEN o.c ELSE 'none' END, chr(10), 'Persistent: ', CASE WHEN o.c = n.c THEN n.c ELSE 'none' END, chr(10), 'New: ', CASE WHEN o.c <> n.c THEN n.c ELSE 'none' END, chr(10), 'Days between: ', date_diff('day', o.report_date, n.report_date), chr(10), chr(10), 'Say nothing that the facts do not.')"
+_PAIRED = "JOIN (SELECT *, regexp_extract(findings, '(URGENT|HIGH|MEDIUM|NOT SPECIFIED|LOW)') AS c FROM f_store)"
+
+
+@query("comparison_prompts", f"WITH {_PRIOR} SELECT p.report_id, {_PROMPT} AS prompt FROM prior p {_PAIRED} n ON n.report_id = p.report_id {_PAIRED} o ON o.report_id = p.prior_id")
+def comparison_prompts(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return P.comparison_prompts(P.compare_reports(s, _PRIO), s, "You compare two reports.", "Say nothing that the facts do not.")

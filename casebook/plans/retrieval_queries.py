@@ -76,10 +76,9 @@ def get_by_ids(spark, sf_dir):
 @query("session_evidence", f"WITH {_REQ}, {duck('f_case_labels')}, e AS (SELECT query, uid, turn AS rank FROM f_neighbours JOIN f_cases USING (uid)), v AS (SELECT query, label, count(*)::DOUBLE AS w, min(rank) AS r FROM e JOIN f_case_labels USING (uid) GROUP BY ALL), t AS (SELECT query, label, w FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY w DESC, r, label) AS k FROM v) WHERE k = 1) SELECT query, label AS top_label, w AS vote_weight, (SELECT string_agg(uid::VARCHAR, ',' ORDER BY rank) FROM e WHERE e.query = t.query) AS evidence FROM t")
 def session_evidence(spark, sf_dir):
     index = view(spark, sf_dir, "f_cases").select("uid", "primary_label")
-    e = R.get_by_ids(requested(spark, sf_dir).withColumnRenamed("session", "query"), index)
-    top = R.label_vote(e, view(spark, sf_dir, "f_case_labels")).where("vote_rank = 1").select("query", F.col("label").alias("top_label"), "vote_weight")
-    listed = e.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "uid"))).alias("l")).select("query", F.array_join(F.transform("l", lambda x: x["uid"].cast("string")), ",").alias("evidence"))
-    return top.join(listed, "query")
+    e = R.session_evidence(requested(spark, sf_dir).withColumnRenamed("session", "query"), index, view(spark, sf_dir, "f_case_labels"))
+    listed = F.array_join(F.transform("evidence", lambda x: x["uid"].cast("string")), ",")
+    return e.select("query", F.col("votes")[0]["label"].alias("top_label"), F.col("votes")[0]["vote_weight"].alias("vote_weight"), listed.alias("evidence")).where("top_label IS NOT NULL")
 
 
 @query("label_vote", f"WITH {_VOTE} SELECT query, label, round(vote_weight, 6) AS vote_weight, round(agreement, 6) AS agreement, vote_rank FROM ranked")

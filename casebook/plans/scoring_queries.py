@@ -4,17 +4,37 @@ from pyspark.sql import functions as F
 
 from casebook.operators import metadata as M
 from casebook.operators import scoring as S
-from casebook.plans.fixtures import base, duck, view
+from casebook.plans.fixtures import base, derangement_sql, duck, view
 from casebook.plans.registry import query
 
 _P = duck("f_pairs")
-_BLEU = f"""{_P}, tk AS (SELECT case_id, regexp_extract_all(lower(hyp), '[a-z0-9]+') AS h, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r FROM f_pairs),
-hg AS (SELECT case_id, n, g, count(*) AS c FROM (SELECT case_id, n, unnest(list_transform(range(1, greatest(len(h) - n + 2, 1)), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS g FROM tk, range(1, 5) x(n)) GROUP BY ALL),
-rg AS (SELECT case_id, n, g, count(*) AS c FROM (SELECT case_id, n, unnest(list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM tk, range(1, 5) x(n)) GROUP BY ALL),
-per AS (SELECT case_id, n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS total FROM hg LEFT JOIN rg USING (case_id, n, g) GROUP BY case_id, n),
-sm AS (SELECT *, pow(2, sum((m = 0)::INT) OVER (PARTITION BY case_id ORDER BY n)) AS d FROM per),
-bl AS (SELECT case_id, sum(CASE WHEN m > 0 THEN ln(m / total) ELSE -ln(d * total) END) AS s, max(m) AS hit FROM sm GROUP BY case_id),
-bleu AS (SELECT case_id, CASE WHEN len(h) >= 4 AND len(r) > 0 AND hit > 0 THEN 100 * (CASE WHEN len(h) < len(r) THEN exp(1 - len(r) / len(h)) ELSE 1 END) * exp(s / 4) ELSE 0 END AS bleu FROM tk LEFT JOIN bl USING (case_id))"""
+
+
+def _tokens(c):
+    t = f"coalesce({c}, '')"
+    for mark, put in S.MARKS:
+        t = f"replace({t}, {_text(mark)}, '{put}')"
+    t = f"concat(' ', {t}, ' ')"
+    for pattern, put in S.SPLITS:
+        t = f"regexp_replace({t}, '{pattern}', '{put.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2')}', 'g')"
+    return f"regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _text(x):
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+def _bleu(src, p=""):
+    """CTEs that end in ``{p}bleu`` (case_id, bleu) over ``src`` (case_id, hyp, ref)."""
+    grams = lambda s: f"SELECT case_id, n, g, count(*) AS c FROM (SELECT case_id, n, unnest(list_transform(range(1, greatest(len({s}) - n + 2, 1)), lambda i: array_to_string({s}[i:i + n - 1], ' '))) AS g FROM {p}tk, range(1, 5) x(n)) GROUP BY ALL"
+    return f"""{p}tk AS (SELECT case_id, {_tokens('hyp')} AS h, {_tokens('ref')} AS r FROM {src}), {p}hg AS ({grams('h')}), {p}rg AS ({grams('r')}),
+{p}per AS (SELECT case_id, n, sum(least(h.c, coalesce(r.c, 0))) AS m, sum(h.c) AS total FROM {p}hg h LEFT JOIN {p}rg r USING (case_id, n, g) GROUP BY case_id, n),
+{p}sm AS (SELECT *, pow(2, sum((m = 0)::INT) OVER (PARTITION BY case_id ORDER BY n)) AS d FROM {p}per),
+{p}bl AS (SELECT case_id, avg(CASE WHEN m > 0 THEN ln(m / total) ELSE -ln(d * total) END) AS s, max(m) AS hit FROM {p}sm GROUP BY case_id),
+{p}bleu AS (SELECT case_id, CASE WHEN hit > 0 THEN 100 * (CASE WHEN len(h) < len(r) THEN exp(1 - len(r) / len(h)) ELSE 1 END) * exp(s) ELSE 0 END AS bleu FROM {p}tk LEFT JOIN {p}bl USING (case_id))"""
+
+
+_BLEU = f"{_P}, {_bleu('f_pairs')}"
 
 
 def pairs(spark, sf_dir):
@@ -33,20 +53,21 @@ def rouge_l(spark, sf_dir):
 
 @query("tier1_table")
 def tier1_table(spark, sf_dir):
-    c = base(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.lit("completed").alias("status"))
+    c = base(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"))
     return S.tier1_table(pairs(spark, sf_dir), c)
 
 
-_DERP = _BLEU + """, ids AS (SELECT case_id AS uid FROM f_pairs), h AS (SELECT uid, (uid % 2147483647 * 48271 + 9 * 69621) % 2147483647 AS h FROM ids), s AS (SELECT *, h % 16 AS s FROM h),
-nx AS (SELECT uid, s, lead(uid) OVER (PARTITION BY s ORDER BY h, uid) AS n FROM s), fs AS (SELECT s, uid AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, uid) AS r FROM s) WHERE r = 1),
-ring AS (SELECT s, coalesce(lead(f) OVER (ORDER BY s), (SELECT f FROM fs ORDER BY s LIMIT 1)) AS f2 FROM fs), der AS (SELECT uid, coalesce(n, f2) AS partner FROM nx JOIN ring USING (s))"""
+_DERP = f"""{_BLEU}, ids AS (SELECT case_id AS uid FROM f_pairs), {derangement_sql('ids', 9)},
+crossed AS (SELECT a.case_id, a.hyp, b.ref FROM f_pairs a JOIN der ON der.uid = a.case_id JOIN f_pairs b ON b.case_id = der.partner), {_bleu('crossed', 'x')},
+both_ AS (SELECT (SELECT avg(bleu) FROM bleu) AS real, (SELECT avg(bleu) FROM xbleu) AS baseline)"""
 
 
-@query("baseline_mismatch")
+@query("baseline_mismatch", f"WITH {_DERP} SELECT round(real, 4) AS real, round(baseline, 4) AS baseline, round(real - baseline, 4) AS gap FROM both_")
 def baseline_mismatch(spark, sf_dir):
     p = pairs(spark, sf_dir)
     partners = M.derangement(p.select(F.col("case_id").alias("uid")), 9)
-    return S.baseline_mismatch(p, partners, "bleu", S.sentence_bleu)
+    found = S.baseline_mismatch(p, partners, "bleu", S.sentence_bleu)
+    return found.select(*[F.round(c, 4).alias(c) for c in ("real", "baseline", "gap")])
 
 
 @query("word_diff")

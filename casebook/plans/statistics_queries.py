@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from casebook.operators import preparation as O
 from casebook.operators import ranking as K
-from casebook.plans.fixtures import base, duck, view
+from casebook.operators.metadata import derangement
+from casebook.plans.fixtures import base, derangement_sql, duck, view
 from casebook.plans.registry import query
 
 B, SEED = 2000, 7
@@ -70,17 +72,18 @@ def confusion_f1(spark, sf_dir):
 
 @query("label_matrix", f"WITH {_M} SELECT uid, max(gen) FILTER (label = 'quality') AS gen_quality, max(gen) FILTER (label = 'toxic') AS gen_toxic, max(ref) FILTER (label = 'quality') AS ref_quality, max(ref) FILTER (label = 'toxic') AS ref_toxic FROM f_label_matrix GROUP BY uid")
 def label_matrix(spark, sf_dir):
-    m = view(spark, sf_dir, "f_label_matrix")
-    long = m.select("uid", F.concat(F.lit("gen_"), "label").alias("c"), F.col("gen").alias("v")).unionByName(m.select("uid", F.concat(F.lit("ref_"), "label").alias("c"), F.col("ref").alias("v")))
-    return long.groupBy("uid").pivot("c", ["gen_quality", "gen_toxic", "ref_quality", "ref_toxic"]).agg(F.max("v"))
+    return O.label_matrix(view(spark, sf_dir, "f_label_matrix"), ["quality", "toxic"])
 
 
-_DM = f"{_M}, ids AS (SELECT DISTINCT uid FROM f_label_matrix), {_draw('ids', '0', 'x')}, per AS (SELECT b, label, {_CNT} FROM x JOIN f_label_matrix USING (uid) GROUP BY b, label), ma AS (SELECT b, avg({_F1}) AS v FROM per GROUP BY b), mi AS (SELECT b, {_F1} AS v FROM (SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per GROUP BY b))"
+_KIND = "SELECT uid, '' AS side, label, gen, ref FROM f_label_matrix UNION ALL SELECT a.uid, 'baseline_', a.label, a.gen, b.ref FROM f_label_matrix a JOIN der USING (uid) JOIN f_label_matrix b ON b.uid = der.partner AND b.label = a.label"
+_DM = f"{_M}, ids AS (SELECT DISTINCT uid FROM f_label_matrix), {derangement_sql('ids', SEED)}, kinds AS ({_KIND}), {_draw('ids', '0', 'x')}, per AS (SELECT b, side, label, {_CNT} FROM x JOIN kinds USING (uid) GROUP BY b, side, label), bm AS (SELECT b, side, avg({_F1}) AS macro_f1, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per GROUP BY b, side), al AS (SELECT concat(side, 'macro_f1') AS metric, macro_f1 AS v FROM bm UNION ALL SELECT concat(side, 'micro_f1'), {_F1} FROM bm UNION ALL SELECT 'macro_f1_gain', a.macro_f1 - z.macro_f1 FROM bm a JOIN bm z ON a.b = z.b AND a.side = '' AND z.side <> ''), iv AS (SELECT metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM al GROUP BY metric)"
 
 
-@query("bootstrap_f1_ci", f"WITH {_DM} SELECT 'macro_f1' AS metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM ma UNION ALL SELECT 'micro_f1', round(quantile_cont(v, 0.025), 6), round(quantile_cont(v, 0.975), 6) FROM mi")
+@query("bootstrap_f1_ci", f"WITH {_DM} SELECT metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero FROM iv")
 def bootstrap_f1_ci(spark, sf_dir):
-    return _r(K.bootstrap_f1_ci(view(spark, sf_dir, "f_label_matrix"), B, SEED), "low", "high")
+    m = view(spark, sf_dir, "f_label_matrix")
+    partners = derangement(m.select("uid").distinct(), SEED)
+    return _r(K.bootstrap_f1_ci(m, B, SEED, partners), "low", "high")
 
 
 _L = f"{_S}, l AS (SELECT uid, 'a' AS metric, a AS v FROM f_scores UNION ALL SELECT uid, 'b', b FROM f_scores), {_draw('l', 'v', 'x', 'metric')}, m AS (SELECT metric, b, avg(v) AS m FROM x GROUP BY metric, b), t AS (SELECT metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY metric), p AS (SELECT metric, count(*) AS n, avg(v) AS mean FROM l GROUP BY metric), tab AS (SELECT *, high - low AS width FROM p JOIN t USING (metric))"
@@ -120,11 +123,21 @@ def gate_decision(spark, sf_dir):
 
 @query("score_summary", f"WITH {_S} SELECT cls, round(avg(a), 6) AS mean_a, round(stddev_samp(a), 6) AS std_a FROM f_scores GROUP BY cls")
 def score_summary(spark, sf_dir):
-    s = view(spark, sf_dir, "f_scores").groupBy("cls").agg(F.avg("a").alias("mean_a"), F.stddev_samp("a").alias("std_a"))
-    return _r(s, "mean_a", "std_a")
+    return _r(O.score_summary(view(spark, sf_dir, "f_scores"), ["cls"], ["a"]), "mean_a", "std_a")
 
 
 @query("completion_counts", f"WITH {duck('f_store')} SELECT CASE WHEN status = 'final' THEN 'completed' ELSE 'failed' END AS outcome, status AS reason, count(*) AS n FROM f_store GROUP BY ALL")
 def completion_counts(spark, sf_dir):
-    s = view(spark, sf_dir, "f_store")
-    return s.groupBy(F.when(F.col("status") == "final", "completed").otherwise("failed").alias("outcome"), F.col("status").alias("reason")).agg(F.count("*").alias("n"))
+    return O.completion_counts(view(spark, sf_dir, "f_store"), "final")
+
+
+def _sub(n):
+    return f"SELECT * FROM (SELECT * FROM f_scores ORDER BY (uid % 2147483647 * 48271 + {SEED} * 69621) % 2147483647, uid LIMIT {n})"
+
+
+_WS = ", ".join(f"s{n} AS ({_sub(n)}), l{n} AS (SELECT uid, 'a' AS metric, a AS v FROM s{n} UNION ALL SELECT uid, 'b', b FROM s{n}), {_draw(f'l{n}', 'v', f'x{n}', 'metric')}, m{n} AS (SELECT metric, b, avg(v) AS m FROM x{n} GROUP BY metric, b), w{n} AS (SELECT metric, (SELECT count(*) FROM s{n}) AS n, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS width FROM m{n} GROUP BY metric)" for n in (70, 50))
+
+
+@query("width_scaling", f"WITH {_L}, {_WS} SELECT u.metric, u.n, round(u.width, 6) AS width, round(tab.width * sqrt(tab.n / u.n), 6) AS predicted FROM (SELECT * FROM w70 UNION ALL SELECT * FROM w50) u JOIN tab USING (metric)")
+def width_scaling(spark, sf_dir):
+    return _r(K.width_scaling(view(spark, sf_dir, "f_scores"), ["a", "b"], (70, 50), B, SEED), "width", "predicted")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from casebook.functions import text as T
 from casebook.functions import vectors as V
+from casebook.operators import preparation as O
+from casebook.operators.retrieval import index_records as records
 from casebook.plans.fixtures import base, duck, view
 from casebook.plans.registry import query
 
@@ -23,11 +25,6 @@ def cleaned(spark, sf_dir):
     return r.select("uid", T.clean_text(F.col("findings")).alias("findings"), T.clean_text(F.col("impression")).alias("impression"))
 
 
-def with_full_text(df):
-    """``has_findings`` and ``full_text`` beside cleaned findings and impression."""
-    return df.withColumn("has_findings", F.length("findings") > 0).withColumn("full_text", F.trim(F.concat_ws(" ", "findings", "impression")))
-
-
 @query("clean_text", f"WITH {_CLEANED} SELECT * FROM cleaned")
 def clean_text(spark, sf_dir):
     return cleaned(spark, sf_dir)
@@ -35,13 +32,12 @@ def clean_text(spark, sf_dir):
 
 @query("report_text", f"WITH {_CLEANED} SELECT uid, length(findings) > 0 AS has_findings, trim(concat(findings, ' ', impression)) AS full_text FROM cleaned")
 def report_text(spark, sf_dir):
-    return with_full_text(cleaned(spark, sf_dir)).select("uid", "has_findings", "full_text")
+    return O.with_full_text(cleaned(spark, sf_dir)).select("uid", "has_findings", "full_text")
 
 
 @query("cleaning_stats", f"WITH {_CLEANED} SELECT count(*) AS studies, count(*) FILTER (findings = '') AS missing_findings, count(*) FILTER (trim(concat(findings, ' ', impression)) = '') AS empty_text FROM cleaned")
 def cleaning_stats(spark, sf_dir):
-    t = with_full_text(cleaned(spark, sf_dir))
-    return t.agg(F.count("*").alias("studies"), F.count_if(~F.col("has_findings")).alias("missing_findings"), F.count_if(F.col("full_text") == "").alias("empty_text"))
+    return O.cleaning_stats(cleaned(spark, sf_dir))
 
 
 @query("normalize_text", f"WITH {_R} SELECT uid, {_NORM.format(c='findings')} AS normalized FROM f_reports")
@@ -57,7 +53,7 @@ def real_text_filter(spark, sf_dir):
 @query("null_safe_fields", f"WITH {_R}, {duck('f_cases')} SELECT r.uid, coalesce(findings, '') AS findings, coalesce(impression, '') AS impression, coalesce(cluster_id, -1) AS cluster_id FROM f_reports r LEFT JOIN f_cases USING (uid)")
 def null_safe_fields(spark, sf_dir):
     r, c = view(spark, sf_dir, "f_reports"), view(spark, sf_dir, "f_cases").select("uid", "cluster_id")
-    return r.join(c, "uid", "left").select("uid", F.coalesce("findings", F.lit("")).alias("findings"), F.coalesce("impression", F.lit("")).alias("impression"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    return O.null_safe_fields(r.join(c, "uid", "left")).select("uid", "findings", "impression", "cluster_id")
 
 
 _STAGE = "CASE WHEN raw_path IS NULL THEN 'Missing' WHEN embedded THEN 'Embedded' WHEN masked_path IS NOT NULL THEN 'Masked' ELSE 'Raw' END"
@@ -71,33 +67,27 @@ def keyed(spark, sf_dir):
     c = base(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"))
     frontal = c.where("uid % 3 > 0").select("uid", F.concat(F.lit("raw/"), "uid", F.lit(".png")).alias("raw_path"))
     listing = c.where("uid % 4 > 0").select("uid", F.concat(F.lit("masked/"), "uid", F.lit(".png")).alias("listed"))
-    j = c.join(frontal, "uid", "left").join(listing, "uid", "left")
-    return j.select("uid", F.col("uid").cast("string").alias("study_uid"), F.concat(F.lit("SYN-"), "uid").alias("patient_uid"), "raw_path", F.when(F.col("raw_path").isNotNull(), F.col("listed")).alias("masked_path"), (F.col("uid") % 5 == 1).alias("embedded"))
-
-
-def processing_stage(raw, masked, embedded):
-    return F.when(raw.isNull(), "Missing").when(embedded, "Embedded").when(masked.isNotNull(), "Masked").otherwise("Raw")
+    return O.synthetic_keys(c, frontal, listing).withColumn("embedded", F.col("uid") % 5 == 1)
 
 
 @query("synthetic_keys", f"WITH {_KEYS} SELECT uid, study_uid, patient_uid, raw_path, masked_path, raw_path IS NOT NULL AS raw_exists, masked_path IS NOT NULL AS masked_exists FROM keys")
 def synthetic_keys(spark, sf_dir):
-    return keyed(spark, sf_dir).drop("embedded").withColumn("raw_exists", F.col("raw_path").isNotNull()).withColumn("masked_exists", F.col("masked_path").isNotNull())
+    return keyed(spark, sf_dir).drop("embedded")
 
 
 @query("processing_stage", f"WITH {_KEYS} SELECT uid, {_STAGE} AS stage FROM keys")
 def processing_stage_query(spark, sf_dir):
-    return keyed(spark, sf_dir).select("uid", processing_stage(F.col("raw_path"), F.col("masked_path"), F.col("embedded")).alias("stage"))
+    return keyed(spark, sf_dir).select("uid", O.processing_stage(F.col("raw_path"), F.col("masked_path"), F.col("embedded")).alias("stage"))
 
 
 @query("stage_distribution", f"WITH {_KEYS} SELECT {_STAGE} AS stage, count(*) AS n FROM keys GROUP BY ALL")
 def stage_distribution(spark, sf_dir):
-    return processing_stage_query(spark, sf_dir).groupBy("stage").agg(F.count("*").alias("n"))
+    return O.stage_distribution(keyed(spark, sf_dir))
 
 
 @query("embed_input_choice", f"WITH {_KEYS} SELECT uid, coalesce(masked_path, raw_path) AS input, masked_path IS NULL AS fallback FROM keys WHERE raw_path IS NOT NULL")
 def embed_input_choice(spark, sf_dir):
-    k = keyed(spark, sf_dir)
-    return k.select("uid", F.coalesce("masked_path", "raw_path").alias("input"), F.col("masked_path").isNull().alias("fallback")).where("input IS NOT NULL")
+    return O.embed_input_choice(keyed(spark, sf_dir))
 
 
 @query("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(list_transform(embedding, lambda x: x::DOUBLE * 3), lambda y: abs(y)))::DOUBLE / (3 * greatest(sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE))), 1e-12)), 5) AS l1, len(embedding) AS n FROM embeddings")
@@ -114,18 +104,11 @@ def cosine_similarity(spark, sf_dir):
     return e.join(other, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 5).alias("similarity"))
 
 
-def parse_labels(primary, label_set):
-    """Primary label first, then the other labels of a ``;``-joined set, trimmed, once each, sorted."""
-    rest = F.filter(F.transform(F.split(F.coalesce(label_set, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
-    head = F.when(F.coalesce(primary, F.lit("")) != "", F.array(primary)).otherwise(F.array().cast("array<string>"))
-    return F.concat(head, F.array_except(F.array_sort(F.array_distinct(rest)), head))
-
-
 @query("parse_labels", f"WITH {duck('f_cases')} SELECT uid, concat_ws(';', primary_label, CASE WHEN a <> primary_label THEN a END, CASE WHEN b <> primary_label AND b <> a THEN b END) AS labels FROM (SELECT uid, primary_label, least(second_label, 'L5') AS a, greatest(second_label, 'L5') AS b FROM f_cases)")
 def parse_labels_query(spark, sf_dir):
     c = view(spark, sf_dir, "f_cases")
     joined = F.concat_ws("; ", "second_label", F.lit(" L5"), "primary_label", F.lit(""))
-    return c.select("uid", F.array_join(parse_labels(F.col("primary_label"), joined), ";").alias("labels"))
+    return c.select("uid", F.array_join(O.parse_labels(F.col("primary_label"), joined), ";").alias("labels"))
 
 
 _TERMS = ("the", "is", "la", "der", "idiot", "of")
@@ -137,13 +120,6 @@ def mentioned_classes(spark, sf_dir):
     return d.select("doc_id", F.array_join(T.mentioned_classes(F.col("text"), list(_TERMS)), ";").alias("mentioned"))
 
 
-def filter_regions(detections, least=0.30, pad=6, width=200, height=100):
-    """Regions of at least ``least`` confidence, padded, clipped to the image, with three characters of their text.
-    Input and output are arrays of struct<confidence, x0, y0, x1, y1, text> per image."""
-    grow = lambda r: F.struct(r["confidence"].alias("confidence"), F.greatest(r["x0"] - pad, F.lit(0)).alias("x0"), F.greatest(r["y0"] - pad, F.lit(0)).alias("y0"), F.least(r["x1"] + pad, F.lit(width)).alias("x1"), F.least(r["y1"] + pad, F.lit(height)).alias("y1"), F.substring(r["text"], 1, 3).alias("text"))
-    return F.transform(F.filter(detections, lambda r: r["confidence"] >= least), grow)
-
-
 def detections(spark, sf_dir):
     d = view(spark, sf_dir, "f_detections")
     rows = F.array_sort(F.collect_list(F.struct("region", "confidence", "x0", "y0", "x1", "y1", "text")))
@@ -152,31 +128,34 @@ def detections(spark, sf_dir):
 
 @query("filter_regions", f"WITH {duck('f_detections')} SELECT image_id, round(confidence, 6) AS confidence, greatest(x0 - 6, 0) AS x0, greatest(y0 - 6, 0) AS y0, least(x1 + 6, 200) AS x1, least(y1 + 6, 100) AS y1, substr(text, 1, 3) AS text FROM f_detections WHERE confidence >= 0.30")
 def filter_regions_query(spark, sf_dir):
-    kept = detections(spark, sf_dir).select("image_id", F.explode(filter_regions(F.col("regions"))).alias("r")).select("image_id", "r.*")
+    kept = detections(spark, sf_dir).select("image_id", F.explode(O.filter_regions(F.col("regions"))).alias("r")).select("image_id", "r.*")
     return kept.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("pad_clip_boxes", f"WITH {duck('f_detections')} SELECT image_id, count(*) AS boxes, sum((least(x1 + 6, 200) - greatest(x0 - 6, 0)) * (least(y1 + 6, 100) - greatest(y0 - 6, 0)))::BIGINT AS area FROM f_detections WHERE confidence >= 0.30 GROUP BY image_id")
 def pad_clip_boxes(spark, sf_dir):
-    r = detections(spark, sf_dir).select("image_id", filter_regions(F.col("regions")).alias("r")).where(F.size("r") > 0)
-    area = F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]))
-    return r.select("image_id", F.size("r").cast("long").alias("boxes"), area.alias("area"))
+    r = detections(spark, sf_dir).select("image_id", O.filter_regions(F.col("regions")).alias("r")).where(F.size("r") > 0)
+    return r.select("image_id", F.size("r").cast("long").alias("boxes"), O.masked_area(F.col("r")).alias("area"))
 
 
 @query("masking_log_summary", f"WITH {duck('f_detections')}, per AS (SELECT image_id, count(*) FILTER (confidence >= 0.30) AS n FROM f_detections GROUP BY image_id) SELECT count(*) AS images, sum(n)::BIGINT AS regions, count(*) FILTER (n > 0) AS masked, round(count(*) FILTER (n > 0) / count(*), 6) AS share_masked FROM per")
 def masking_log_summary(spark, sf_dir):
-    n = detections(spark, sf_dir).select(F.size(filter_regions(F.col("regions"))).alias("n"))
-    return n.agg(F.count("*").alias("images"), F.sum("n").alias("regions"), F.count_if(F.col("n") > 0).alias("masked"), F.round(F.count_if(F.col("n") > 0) / F.count("*"), 6).alias("share_masked"))
+    log = detections(spark, sf_dir).select(O.filter_regions(F.col("regions")).alias("regions"))
+    return O.masking_log_summary(log).withColumn("share_masked", F.round("share_masked", 6))
 
 
 @query("present_binary", "SELECT doc_id, CASE WHEN (quality + 2 * toxic) IN (1, 3) THEN 1 ELSE 0 END AS present FROM labels")
 def present_binary(spark, sf_dir):
-    return base(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).isin(1, 3).cast("int").alias("present"))
+    return base(spark, sf_dir, "labels").select("doc_id", O.present_binary(F.col("quality") + 2 * F.col("toxic")).alias("present"))
 
 
-@query("index_records", f"WITH {duck('f_cases')}, {duck('f_case_texts')} SELECT CAST(uid AS VARCHAR) AS study_uid, concat('SYN-', uid) AS patient_uid, 'Frontal' AS projection, primary_label, primary_label = 'L0' AS is_normal, coalesce(findings, '') AS findings, coalesce(impression, '') AS impression, split, coalesce(cluster_id, -1) AS cluster_id, 'hashed' AS embedding_model FROM f_cases LEFT JOIN f_case_texts USING (uid)")
+@query("index_records", f"WITH {duck('f_cases')}, {duck('f_case_texts')} SELECT CAST(uid AS VARCHAR) AS study_uid, concat('SYN-', uid) AS patient_uid, concat('masked/', uid, '.png') AS image_path, 'Frontal' AS projection, primary_label, second_label AS label_set, 'driver' AS dataset, 'v1' AS embedding_version, primary_label = 'L0' AS is_normal, coalesce(findings, '') AS findings, coalesce(impression, '') AS impression, split, coalesce(cluster_id, -1) AS cluster_id, 'hashed' AS embedding_model FROM f_cases LEFT JOIN f_case_texts USING (uid)")
 def index_records(spark, sf_dir):
-    from casebook.operators.retrieval import index_records
-
     c = view(spark, sf_dir, "f_cases").join(view(spark, sf_dir, "f_case_texts"), "uid", "left")
-    return index_records(c, normal="L0", model="hashed").drop("embedding", "second_label", "indexed_at")
+    c = c.withColumn("image_path", F.concat(F.lit("masked/"), "uid", F.lit(".png"))).withColumn("label_set", F.col("second_label"))
+    return records(c, normal="L0", model="hashed", dataset="driver").drop("embedding", "indexed_at")
+
+
+@query("contains_term", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN_])der($|[^\\pL\\pN_])')")
+def contains_term(spark, sf_dir):
+    return base(spark, sf_dir, "documents").where(T.mentions(F.col("text"), "der")).select("doc_id")

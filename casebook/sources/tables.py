@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casebook.session import new_path
+from casebook.session import new_path, written
 
 
 def read_table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
@@ -52,12 +52,11 @@ def write_nested_log(df: DataFrame, path: str) -> None:
 
 
 def append_results(new: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key is not there yet; returns how many."""
-    spark = new.sparkSession
-    fresh = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    before = spark.read.parquet(path).count()
+    """Append rows whose key is not there yet, one per key; returns how many."""
+    known = new.sparkSession.read.parquet(path).select(key)
+    fresh = written(new.join(known, key, "left_anti").dropDuplicates([key]), "fresh")  # counted and appended alike
     fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return fresh.count()
 
 
 def upsert_vectors(new: DataFrame, current: DataFrame, key: str, path: str | None = None) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from casebook.functions.text import clean_text, mentioned_classes, normalize_text
 from casebook.operators import dedup, labels, metadata, ranking, reports, retrieval, scoring
 from casebook.operators.components import connected_components
-from casebook.plans.text_queries import parse_labels
+from casebook.operators.preparation import parse_labels
 
 
 def near(spark, rows):
