@@ -300,3 +300,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     full = sets.select("doc_id", "n_shingles", "sign").where("n_shingles > 0").join(decided, "sign").select("doc_id", "n_shingles", "component_id", F.col("links").alias("n_links"))
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(empty)
+
+
+def op7_sql(n: int = 4, percent: int = 85) -> str:
+    """The same components from every pair of documents that share a shingle; for small tables, as pairs are rows here."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - {n} + 2, 2)), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) END) AS g FROM w),
+k AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n_shingles + y.n_shingles - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT d.doc_id, coalesce(k.n_shingles, 0) AS n_shingles, min(r.root) AS component_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, k.n_shingles
+"""

@@ -69,4 +69,4 @@ QUERIES = {
     "op9_line_dedup_runs": op9_line_dedup_runs,
     "op10_fertility_rules": op10_fertility_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup_index": exact_dedup.op6_sql(), "op9_line_dedup_runs": line_dedup.op9_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup_index": exact_dedup.op6_sql(), "op7_ngram_jaccard": ngram_join.op7_sql(), "op9_line_dedup_runs": line_dedup.op9_sql()}
