@@ -127,3 +127,34 @@ def test_gates(spark):
     df = spark.createDataFrame([("x", "m", 0.2, 0.1, 0.3), ("y", "m", 0.2, -0.1, 0.3), ("z", "m", -0.2, -0.3, -0.1)], "comparison string, metric string, delta double, low double, high double")
     got = {r.comparison: (r.excludes_zero, r.direction) for r in ranking.gate_table(df).collect()}
     assert got == {"x": (True, "better"), "y": (False, "not distinguishable"), "z": (True, "worse")}
+
+
+def test_stem():
+    from casebook.functions.stem import stem
+
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "skies": "sky", "relational": "relat", "hopefulness": "hope", "adjustable": "adjust", "probate": "probat", "rate": "rate", "generalization": "gener", "dies": "die", "": "", "by": "by"}
+    assert {w: stem(w) for w in want} == want
+
+
+def test_bleu(spark):
+    p = spark.createDataFrame([(1, "The cat sat.", "The cat sat."), (2, "the cat sat.", "The cat sat."), (3, "yes", "yes"), (4, "", "x"), (5, None, None), (6, "x", "y")], "case_id long, hyp string, ref string")
+    got = {r.case_id: r.bleu for r in scoring.sentence_bleu(p).collect()}
+    assert round(got[1], 6) == 100 and got[2] < 80 and round(got[3], 6) == 100 and got[4] == got[5] == got[6] == 0  # case counts; short ones have their orders
+    assert spark.range(1).select(scoring.tokens(F.lit("a,b 1,000 (x) 5-6 &quot;q&quot;"))).first()[0] == ["a", ",", "b", "1,000", "(", "x", ")", "5", "-", "6", '"', "q", '"']
+
+
+def test_structural_fences_and_markers(spark):
+    good = "\n".join(f"###{f.upper()}###\n{f} text" for f in reports.FIELDS)
+    cases = {1: "```text\n" + good + "\n```", 2: good.replace("###FINDINGS###", "## findings ##"), 3: good + "\n####\n##x y##\n#a#", 4: "``````", 5: ""}
+    got = {r.id: r for r in reports.structural_validate(spark.createDataFrame(list(cases.items()), "id long, raw string"), "raw").collect()}
+    assert got[1].valid and got[2].errors[0].startswith("malformed marker") and got[3].valid and got[3].content.disclaimer == "disclaimer text\n####\n##x y##\n#a#"
+    assert got[4].errors == got[5].errors == ["no field markers"]
+
+
+def test_index_rules(spark):
+    r = spark.createDataFrame([(1, "train", "A"), (2, "test", "A"), (2, "train", None), (3, "train", "B"), (None, "train", "B")], "uid long, split string, primary_label string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (4, [2.0, 0.0]), (4, [float("nan"), 1.0]), (5, None)], "uid long, embedding array<double>")
+    got = {x.rule: x.n for x in retrieval.index_validate(r, v, 2).collect()}
+    assert got == {"test split in index": 1, "record without vector": 2, "vector without record": 3, "duplicate record": 1, "duplicate vector": 1, "missing field": 1, "dimension": 1, "not finite": 1, "zero norm": 1, "norm deviates": 2}
+    assert retrieval.index_validate(r.limit(0), v.limit(0), 2).count() == 0
+    assert retrieval.index_build(r, v, 2)[0] is None
