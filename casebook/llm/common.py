@@ -270,20 +270,22 @@ def encode_column(texts: pa.Array, json_path: str | None = None, rank_path: str
 def plain_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text: distinct words, their codes in order, offsets of the texts."""
     texts = texts.cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
     for white in "\t\n\x0b\x0c\r":
         texts = pc.replace_substring(texts, white, " ")
     parts = pc.split_pattern(texts, " ")
     coded = parts.flatten().dictionary_encode()
-    codes, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
+    words, codes, offsets = coded.dictionary, coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
-    real = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
+    if lower and len(words):
+        # the distinct words are an array of their own: ascii_lower misreads slices of large strings that begin inside a buffer
+        again = pc.ascii_lower(words).dictionary_encode()
+        words, codes = again.dictionary, again.indices.to_numpy().astype(np.int64)[codes]
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     keep = real[codes] if len(codes) else np.zeros(0, dtype=bool)
     if keep.all():
-        return coded.dictionary, codes, offsets
+        return words, codes, offsets
     counted = np.concatenate([[0], np.cumsum(keep)])
-    return coded.dictionary, codes[keep], counted[offsets]
+    return words, codes[keep], counted[offsets]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
