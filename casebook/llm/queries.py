@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, exact_dedup, fertility, html_diff, line_dedup, ngram_join, packing, quality_cotrain, repair, toxicity_crf
+from casebook.llm import bpe, exact_dedup, fertility, filter_audit, html_diff, lattice, line_dedup, merkle, ngram_join, packing, quality_cotrain, repair, toxicity_crf
 from casebook.llm.common import table
 from casebook.session import new_path
 
@@ -57,6 +57,18 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"))
 
 
+def op11_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("n_copied")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(filter_audit.document_flags(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_cotraining": op1_quality_cotraining,
     "op2_bpe_codec": op2_bpe_codec,
@@ -68,5 +80,8 @@ QUERIES = {
     "op8_cutting_stock_packing": op8_cutting_stock_packing,
     "op9_line_dedup_runs": op9_line_dedup_runs,
     "op10_fertility_rules": op10_fertility_rules,
+    "op11_lattice_near_dups": op11_lattice_near_dups,
+    "op12_merkle_versions": op12_merkle_versions,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup_index": exact_dedup.op6_sql(), "op7_ngram_jaccard": ngram_join.op7_sql(), "op9_line_dedup_runs": line_dedup.op9_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup_index": exact_dedup.op6_sql(), "op7_ngram_jaccard": ngram_join.op7_sql(), "op9_line_dedup_runs": line_dedup.op9_sql(), "op12_merkle_versions": merkle.op12_sql(), "op13_filter_audit": filter_audit.op13_sql()}
