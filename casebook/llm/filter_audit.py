@@ -2,12 +2,14 @@
 
 Texts are cut into words, and each chunk of documents becomes a shard of the document-term matrix in compressed sparse
 rows: ``indptr``, ``indices``, ``data``. Words have ids of one dictionary of the whole table: a chunk first numbers its
-own words, its distinct words are joined with the dictionary, and the shard's indices are then renamed. So a word moves
-once per shard that has it, and texts do not move at all. A row's sum is a document's number of words, its number of
-nonzero entries that of its distinct words; these decide filters A and B. C and D are told by the chunk; E, whether a
-document with a smaller doc_id has the same text, by one minimum per digest, which is then joined by doc_id, so that a
-text with very many copies is no hot key. Documents then count by part and the set of filters that they fail, 32 rows a
-part at most, and every order of the filters follows from these counts.
+own distinct words, in the order of buckets by hash, and sends each bucket one packet of those it owns; a bucket tells
+equal words of all chunks apart once, names them, and sends each chunk its ids back, by which the shard's indices are
+renamed. So a word moves once per shard that has it, packets never outnumber these words, a very frequent word is one
+entry per shard, and texts do not move at all. A row's sum is a document's number of words, its number of nonzero entries
+that of its distinct words; these decide filters A and B. C and D are told by the chunk; E, whether a document with a
+smaller doc_id has the same text, by one minimum per digest, which is then joined by doc_id, so that a text with very
+many copies is no hot key. Documents then count by part and the set of filters that they fail, 32 rows a part at most,
+and every order of the filters follows from these counts.
 
 Null text is empty: no words, fails A alone. A null part is the empty string. Rows without doc_id have no labels, fail
 no E and make no other row fail it. Repeated rows are documents each; rows that share a doc_id do not make each other
@@ -17,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -28,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import plain_words, text_chunks
-from casebook.operators.numbering import dense_ids
+from casebook.llm.common import plain_words, sorted_groups, text_chunks, word_hashes
 from casebook.session import written
 
 FILTERS = "ABCDE"
 FAILS_C, FAILS_D = 4, 8  # bits of the filters by their place in FILTERS
-LOCAL = "shard long, doc_ids array<long>, parts array<string>, digests array<binary>, flags binary, indptr binary, indices binary, data binary, words array<string>"
+BUCKET_TEXT = 16 << 20
+LOCAL = "shard long, bucket int, doc_ids array<long>, parts array<string>, digests array<binary>, flags binary, indptr binary, indices binary, data binary, sizes binary, letters binary"
 SHARD = "shard long, doc_ids array<long>, parts array<string>, digests array<binary>, flags binary, indptr binary, indices binary, data binary"
 
 
@@ -46,53 +49,109 @@ def _get(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
-def _local_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard per chunk of documents, with the chunk's own numbers for words."""
-    part, count = TaskContext.get().partitionId(), 0
-    for chunk in text_chunks(batches):
-        n = chunk.num_rows
-        texts = chunk.column("text").take(pa.array(np.arange(n)))  # an array of its own, not a slice
-        words, codes, offsets = plain_words(texts)
-        used, codes = np.unique(codes, return_inverse=True)
-        entry, times = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * max(1, len(used)) + codes, return_counts=True)
-        row, column = np.divmod(entry, max(1, len(used)))
-        capitals = pc.count_substring_regex(texts, "[A-Z]").to_numpy(zero_copy_only=False)
-        flags = FAILS_C * (100 * capitals.astype(np.int64) > 10 * pc.utf8_length(texts).to_numpy(zero_copy_only=False)) + FAILS_D * pc.match_substring_regex(texts, "[#$%&*|]").to_numpy(zero_copy_only=False)
-        one = {
-            "shard": pa.array([(part << 24) + count], pa.int64()), "doc_ids": pa.array([chunk.column("doc_id").to_pylist()], pa.list_(pa.int64())), "parts": pa.array([chunk.column("part").to_pylist()], pa.list_(pa.string())),
-            "digests": pa.array([chunk.column("digest").to_pylist()], pa.list_(pa.binary())), "flags": pa.array([flags.astype("u1").tobytes()], pa.binary()),
-            "indptr": pa.array([_put(np.searchsorted(row, np.arange(n + 1)), "<u4")], pa.binary()), "indices": pa.array([_put(column, "<u4")], pa.binary()), "data": pa.array([_put(times, "<u4")], pa.binary()),
-            "words": pa.array([words.take(pa.array(used)).to_pylist()], pa.list_(pa.string())),
-        }
-        yield pa.RecordBatch.from_pydict(one)
-        count += 1
+def _local_shards(n_buckets: int):
+    """Per chunk of documents a shard with the chunk's own numbers for words (bucket -1), and a packet of its distinct
+    words for every bucket that owns some; numbers run through the buckets in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        for chunk in text_chunks(batches):
+            n = chunk.num_rows
+            texts = chunk.column("text").take(pa.array(np.arange(n)))  # an array of its own, not a slice
+            words, codes, offsets = plain_words(texts)
+            used, codes = np.unique(codes, return_inverse=True)
+            words = words.take(pa.array(used))
+            bucket = (word_hashes(words) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.arange(len(order))
+            words, bucket = words.take(pa.array(order)), bucket[order]
+            entry, times = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * max(1, len(used)) + number[codes], return_counts=True)
+            row, column = np.divmod(entry, max(1, len(used)))
+            capitals = pc.count_substring_regex(texts, "[A-Z]").to_numpy(zero_copy_only=False)
+            flags = FAILS_C * (100 * capitals.astype(np.int64) > 10 * pc.utf8_length(texts).to_numpy(zero_copy_only=False)) + FAILS_D * pc.match_substring_regex(texts, "[#$%&*|]").to_numpy(zero_copy_only=False)
+            owned, starts = np.unique(bucket, return_index=True)
+            ends = [*starts[1:].tolist(), len(words)]
+            packets = [words.slice(a, b - a) for a, b in zip(starts.tolist(), ends)]
+            more = len(packets)
+            lists = lambda c, kind: pa.array([chunk.column(c).to_pylist(), *[None] * more], pa.list_(kind))  # noqa: B023, E731
+            head = lambda x: pa.array([x, *[None] * more], pa.binary())  # noqa: B023, E731
+            table = pa.RecordBatch.from_pydict({
+                "shard": pa.array([(part << 24) + count] * (1 + more), pa.int64()), "bucket": pa.array([-1, *owned.tolist()], pa.int32()),
+                "doc_ids": lists("doc_id", pa.int64()), "parts": lists("part", pa.string()), "digests": lists("digest", pa.binary()), "flags": head(flags.astype("u1").tobytes()),
+                "indptr": head(_put(np.searchsorted(row, np.arange(n + 1)), "<u4")), "indices": head(_put(column, "<u4")), "data": head(_put(times, "<u4")),
+                "sizes": pa.array([None, *[pc.binary_length(w).to_numpy(zero_copy_only=False).astype("<u4").tobytes() for w in packets]], pa.binary()),
+                "letters": pa.array([None, *[zstandard.compress("".join(w.to_pylist()).encode(), 1) for w in packets]], pa.binary()),
+            })
+            for a in range(0, table.num_rows, 2_000):
+                yield table.slice(a, 2_000)
+            count += 1
 
+    return run
+
+
+def _words_of(group: pa.Table) -> pa.Array:
+    """The words of a bucket's packets, one packet behind the other."""
+    sizes = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group.column("sizes")]).astype(np.int64)
+    letters = b"".join(zstandard.decompress(x.as_py()) for x in group.column("letters"))
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(letters))
 
-def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards whose indices are ids of the dictionary, ascending in each row."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            one = batch.slice(k, 1)
-            ids = one.column("ids")[0].values.to_numpy() if one.column("ids")[0].is_valid else np.zeros(0, np.int64)
-            ends, local, times = _get(one.column("indptr")[0].as_py(), "<u4").astype(np.int64), _get(one.column("indices")[0].as_py(), "<u4"), _get(one.column("data")[0].as_py(), "<u4")
-            named = ids[local] if len(local) else np.zeros(0, np.int64)
-            order = np.lexsort((named, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
-            columns = {c: one.column(c) for c in ("shard", "doc_ids", "parts", "digests", "flags", "indptr")}
-            yield pa.RecordBatch.from_pydict(columns | {"indices": pa.array([_put(named[order], "<i8")], pa.binary()), "data": pa.array([_put(times[order], "<u4")], pa.binary())})
 
+def _ids(n_buckets: int):
+    """A bucket's ids for the words of every packet: a word's number within the bucket times ``n_buckets``, plus the bucket."""
 
-def term_matrix(docs: DataFrame, doc_id: str = "doc_id", part: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(dictionary, shards)``: ``(word, id)`` with ids 0, 1, ... in the words' order, and the document-term matrix of
-    ``docs`` as a row per shard. ``indptr`` and ``data`` (unsigned 32 bits) and ``indices`` (64 bits) are little-endian and
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["bucket"]):
+            b = group.column("bucket")[0].as_py()
+            ids = _words_of(group).dictionary_encode().indices.to_numpy().astype(np.int64) * n_buckets + b
+            ends = np.cumsum([len(x.as_py()) // 4 for x in group.column("sizes")])
+            named = pa.array([_put(x, "<i8") for x in np.split(ids, ends[:-1])], pa.binary())
+            table = pa.RecordBatch.from_arrays([group.column("shard").combine_chunks(), group.column("bucket").combine_chunks(), named], names=["shard", "bucket", "ids"])
+            for a in range(0, table.num_rows, 2_000):
+                yield table.slice(a, 2_000)
+
+    return run
+
+
+def _dictionary(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["bucket"]):
+            words = _words_of(group).dictionary_encode().dictionary
+            ids = np.arange(len(words)) * n_buckets + group.column("bucket")[0].as_py()
+            for a in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([words.slice(a, 50_000).cast(pa.string()), pa.array(ids[a : a + 50_000])], names=["word", "id"])
+
+    return run
+
+
+def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards whose indices are ids of the dictionary, ascending in each row."""
+    for group in sorted_groups(batches, ["shard"]):
+        one = group.slice(0, 1)  # the shard itself, then its ids bucket by bucket
+        ids = np.concatenate([np.zeros(0, np.int64), *[_get(x.as_py(), "<i8") for x in group.column("ids").slice(1)]])
+        ends, local, times = (_get(one.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("indptr", "indices", "data"))
+        named = ids[local]
+        order = np.lexsort((named, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
+        columns = {c: one.column(c).combine_chunks() for c in ("shard", "doc_ids", "parts", "digests", "flags", "indptr")}
+        yield pa.RecordBatch.from_pydict(columns | {"indices": pa.array([_put(named[order], "<i8")], pa.binary()), "data": pa.array([_put(times[order], "<u4")], pa.binary())})
+
+
+def term_matrix(docs: DataFrame, doc_id: str = "doc_id", part: str = "lang", text: str = "text", bucket_text: int = BUCKET_TEXT) -> tuple[DataFrame, DataFrame]:
+    """``(dictionary, shards)``: ``(word, id)`` with unique, not consecutive ids, and the document-term matrix of ``docs``
+    as a row per shard. ``indptr`` and ``data`` (unsigned 32 bits) and ``indices`` (64 bits) are little-endian and
     compressed by zstd; ``doc_ids``, ``parts``, ``digests`` (SHA-256 of the text) and ``flags`` have an entry per row."""
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), t.alias("text"), F.unhex(F.sha2(t, 256)).alias("digest"))
-    local = written(rows.mapInArrow(_local_shards, LOCAL), "local-shards")
-    words = local.select("shard", F.posexplode("words").alias("code", "word"))
-    dictionary = written(dense_ids(words.select("word").distinct(), "word", "id"), "dictionary")
-    # as many rows a shard as its chunk has distinct words
-    ids = words.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "id"))).alias("c")).select("shard", F.col("c.id").alias("ids"))
-    return dictionary, local.drop("words").join(ids, "shard", "left").mapInArrow(_renamed, SHARD)
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), t.alias("text"))
+    n_buckets = max(1, math.ceil(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n / bucket_text))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    local = written(rows.mapInArrow(_local_shards(n_buckets), LOCAL), "local-shards")
+    packets = local.where("bucket >= 0").select("shard", "bucket", "sizes", "letters").repartition("bucket").sortWithinPartitions("bucket")
+    ids = packets.mapInArrow(_ids(n_buckets), "shard long, bucket int, ids binary")
+    heads = local.where("bucket < 0").drop("sizes", "letters")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in heads.drop("shard", "bucket").dtypes]
+    whole = heads.withColumn("ids", F.lit(None).cast("binary")).unionByName(ids.select("shard", "bucket", *none, "ids"))
+    shards = whole.repartition("shard").sortWithinPartitions("shard", "bucket").mapInArrow(_renamed, SHARD)
+    return packets.mapInArrow(_dictionary(n_buckets), "word string, id long"), shards
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

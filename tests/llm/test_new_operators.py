@@ -220,14 +220,15 @@ def test_audit_odd(spark, odd):  # noqa: F811
     assert filter_audit.interactions(filter_audit.document_flags(odd.limit(0)), labels).count() == 0
 
 
-def test_term_matrix(spark, odd):  # noqa: F811
+@pytest.mark.parametrize("bucket_text", [1 << 24, 1_000, 10])
+def test_term_matrix(spark, odd, bucket_text):  # noqa: F811
     """The matrix holds every document's words, under one dictionary."""
     import re
 
-    dictionary, shards = filter_audit.term_matrix(odd.repartition(3))
+    dictionary, shards = filter_audit.term_matrix(odd.repartition(3), bucket_text=bucket_text)
     word = {r.id: r.word for r in dictionary.collect()}
     docs = odd.collect()
-    assert sorted(word) == list(range(len(word))) and sorted(word.values()) == sorted({w for r in docs for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")})
+    assert dictionary.count() == len(word) and sorted(word.values()) == sorted({w for r in docs for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")})
     got = Counter()
     for s in shards.collect():
         ends, ids, times = _get(s.indptr, "<u4"), _get(s.indices, "<i8"), _get(s.data, "<u4")
