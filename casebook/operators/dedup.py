@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +14,14 @@ from pyspark.sql import functions as F
 
 from casebook.functions.text import normalize_text
 from casebook.operators.components import connected_components
-from casebook.operators.numbering import dense_ids
+from casebook.operators.numbering import dense_ids, numbered
 from casebook.session import written
 
 
 def ngram_terms(texts: DataFrame, uid: str = "uid", text: str = "text") -> DataFrame:
-    """``(uid, term, tf)`` of word uni- and bigrams; tokens have two word characters or more."""
-    tokens = texts.select(F.col(uid).alias("uid"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b\w\w+\b"), 0).alias("t"))
+    """``(uid, term, tf)`` of word uni- and bigrams; tokens are runs of two
+    letters, digits or underscores or more, of any script."""
+    tokens = texts.select(F.col(uid).alias("uid"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]{2,}"), 0).alias("t"))
     bigrams = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat(F.element_at("t", i), F.lit(" "), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
     return tokens.select("uid", F.explode(F.concat("t", bigrams)).alias("term")).groupBy("uid", "term").agg(F.count("*").alias("tf"))
 
@@ -37,36 +41,134 @@ def _unit(raw: DataFrame) -> DataFrame:
     return raw.select("uid", "term", (F.col("x") / norm).alias("w"), "df")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` of all pairs ``a < b`` with cosine of at least ``threshold``.
-
-    Rows order their terms rarest first and keep the shortest prefix behind which the rest has a norm below the
-    threshold; a pair that reaches it shares a term of both prefixes. Prefixes join to candidates by the term's 64-bit
-    hash, and each candidate pair, once, is verified on the two whole vectors, which travel packed, one row per document."""
-    vectors = written(vectors.select("uid", F.xxhash64("term").alias("t"), "w", "df"), "vectors")
-    # what is left from a term on is summed from the end, as frames that begin at the first row are running sums
-    from_end = Window.partitionBy("uid").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_end)).where(F.col("rest") >= threshold * threshold - 1e-9).select("uid", "t")
-    prefix = written(prefix, "prefixes")
-    left, right = prefix.select(F.col("uid").alias("a"), "t"), prefix.select(F.col("uid").alias("b"), "t")
-    near = left.join(right, "t").where("a < b").select("a", "b").distinct()
-    sorted_ = F.array_sort(F.collect_list(F.struct("t", "w")))
-    packed = written(vectors.groupBy("uid").agg(sorted_.alias("v")).select("uid", F.col("v.t").alias("t"), F.col("v.w").alias("w")), "packed")
+def cosine_pairs(vectors: DataFrame, threshold: float, candidates: str = "prefix", block: int = 2048) -> DataFrame:
+    """``(a, b, similarity)`` of all pairs ``a < b`` with cosine of at least ``threshold``, from rows (uid, term, w, df) of
+    norm 1. Candidates come from one of two sources; each pair, once, is then verified on the two whole vectors, which
+    travel packed, one row per document.
+
+    ``prefix`` finds every pair (``prefix_candidates``). ``signatures`` finds each pair with a chance of 98 % or more
+    (``signature_candidates``), for tables whose rarest shared terms are still frequent."""
+    packed = written(packed_vectors(vectors), "packed")
+    near = prefix_candidates(packed, threshold, block) if candidates == "prefix" else signature_candidates(packed, threshold, block)
     side = lambda k: packed.select(F.col("uid").alias(k), F.col("t").alias(f"t{k}"), F.col("w").alias(f"w{k}"))
     return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_dots, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def packed_vectors(vectors: DataFrame) -> DataFrame:
+    """``(uid, t, w)``: a row per document with the 64-bit hashes and weights of its terms, rarest first, ties by hash."""
+    entries = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("t"), "w")))
+    return vectors.groupBy("uid").agg(entries.alias("v")).select(F.col("uid").cast("long").alias("uid"), F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+
+
+def prefix_candidates(packed: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """``(a, b)``, ``a < b``: a superset of the pairs with cosine of at least ``threshold``.
+
+    Rows keep the shortest prefix behind which the rest has a norm below the threshold; a pair that reaches it shares a
+    term of both prefixes. At the first such term t nothing before t is shared, so the cosine is at most
+    ``w w' + r r'``, with the weights at t and the norms behind it; postings that stay below meet for nothing. A term
+    with more than ``block`` postings is cut into blocks that meet two by two, each pair of blocks a key of its own."""
+    postings = written(packed.mapInArrow(_prefixes(threshold), "uid long, t long, w double, rest double"), "prefixes")
+    cuts = postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t", F.ceil(F.col("k") / block).alias("nb"))
+    dealt = postings.join(cuts, "t").withColumn("p", F.pmod(F.xxhash64("uid"), F.col("nb")))
+    left = dealt.select("t", F.col("p").alias("i"), F.explode(F.sequence("p", F.col("nb") - 1)).alias("j"), F.col("uid").alias("lu"), F.col("w").alias("lw"), F.col("rest").alias("lr"))
+    right = dealt.select("t", F.explode(F.sequence(F.lit(0).cast("long"), "p")).alias("i"), F.col("p").alias("j"), F.col("uid").alias("ru"), F.col("w").alias("rw"), F.col("rest").alias("rr"))
+    reach = F.col("lw") * F.col("rw") + F.col("lr") * F.col("rr") >= threshold - 1e-9
+    met = left.join(right, ["t", "i", "j"]).where(reach & (F.col("lu") != F.col("ru")) & ((F.col("i") < F.col("j")) | (F.col("lu") < F.col("ru"))))
+    return met.select(F.least("lu", "ru").alias("a"), F.greatest("lu", "ru").alias("b")).distinct()
+
+
+def _prefixes(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, w, ends = _flat(batch.column("t")), _flat(batch.column("w")), batch.column("t").offsets.to_numpy().astype(np.int64)
+            t, w, ends = t[ends[0] : ends[-1]], w[ends[0] : ends[-1]], ends - ends[0]
+            total = np.concatenate([[0], np.cumsum(w * w)])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            from_here = total[ends[row + 1]] - total[:-1]
+            keep = from_here >= threshold * threshold - 1e-9
+            behind = np.sqrt(np.maximum(0, from_here - w * w))
+            uid = batch.column("uid").to_numpy()[row[keep]]
+            for at in range(0, len(uid), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_pydict({"uid": uid[part], "t": t[keep][part], "w": w[keep][part], "rest": behind[keep][part]})
+
+    return run
+
+
+def signature_bands(threshold: float, rows: int = 2, found: float = 0.98) -> int:
+    """Bands of ``rows`` samples that find a pair at the threshold with a chance of ``found``.
+
+    A sample of a vector is one of its terms, term t with a chance of its squared weight, so that two vectors draw the
+    same term with a chance of at least the common share of these two distributions. By Cauchy and Schwarz that share is
+    at least ``(1 - d) / (1 + d)`` with ``d = sqrt(1 - cosine ** 2)``, as the cosine is the affinity of the two."""
+    d = math.sqrt(max(0.0, 1 - threshold * threshold))
+    return max(1, math.ceil(math.log(1 - found) / math.log1p(-(((1 - d) / (1 + d)) ** rows) + 1e-12)))
+
+
+def signature_candidates(packed: DataFrame, threshold: float, block: int = 2048, rows: int = 2, found: float = 0.98) -> DataFrame:
+    """``(a, b)``, ``a < b``: pairs whose vectors draw the same ``rows`` terms in one of the bands of ``signature_bands``.
+    Documents with a signature meet their bucket's first one, and each other block by block where it is large."""
+    bands = signature_bands(threshold, rows, found)
+    signed = written(packed.mapInArrow(_signatures(bands, rows), "uid long, band int, code long"), "signatures")
+    cuts = signed.groupBy("band", "code").agg(F.count("*").alias("k")).where("k > 1").select("band", "code", F.ceil(F.col("k") / block).alias("nb"))
+    dealt = signed.join(cuts, ["band", "code"]).withColumn("p", F.pmod(F.xxhash64("uid"), F.col("nb")))
+    left = dealt.select("band", "code", F.col("p").alias("i"), F.explode(F.sequence("p", F.col("nb") - 1)).alias("j"), F.col("uid").alias("lu"))
+    right = dealt.select("band", "code", F.explode(F.sequence(F.lit(0).cast("long"), "p")).alias("i"), F.col("p").alias("j"), F.col("uid").alias("ru"))
+    met = left.join(right, ["band", "code", "i", "j"]).where((F.col("lu") != F.col("ru")) & ((F.col("i") < F.col("j")) | (F.col("lu") < F.col("ru"))))
+    return met.select(F.least("lu", "ru").alias("a"), F.greatest("lu", "ru").alias("b")).distinct()
+
+
+def _signatures(bands: int, rows: int):
+    """Exponential races: of a document's terms the one with the least ``-ln(u) / w ** 2`` wins, where u is a hash of term
+    and sample, the same for every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                t, w, ends = _flat(batch.column("t")), _flat(batch.column("w")), batch.column("t").offsets.to_numpy().astype(np.int64)
+                t, w, ends = t[ends[0] : ends[-1]].astype(np.uint64), w[ends[0] : ends[-1]], ends - ends[0]
+                full = np.flatnonzero(np.diff(ends) > 0)
+                if not len(full):
+                    continue
+                weight, starts = np.maximum(w * w, 1e-300), ends[:-1][full]
+                codes = np.empty((len(full), bands), dtype=np.int64)
+                for band in range(bands):
+                    code = np.full(len(full), band, dtype=np.uint64)
+                    for r in range(rows):
+                        u = _scrambled(t + np.uint64((band * rows + r + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                        race = -np.log((u >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / weight
+                        least = np.minimum.reduceat(race, starts)
+                        winner = np.flatnonzero(race == np.repeat(least, np.diff(ends)[full]))
+                        first = winner[np.searchsorted(winner, starts)]
+                        code = _scrambled(code + t[first])
+                    codes[:, band] = code.view(np.int64)
+                uid = batch.column("uid").to_numpy()[full]
+                yield pa.RecordBatch.from_pydict({"uid": np.repeat(uid, bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(full)), "code": codes.ravel()})
+
+    return run
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers with well mixed bits."""
+    x = x.astype(np.uint64, copy=True)
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return x
+
+
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dot product of two sparse vectors a row, each with its terms in order."""
+    """Dot product of two sparse vectors a row."""
     for batch in batches:
         (ta, wa, ea), (tb, wb, eb) = ((_flat(batch.column(f"t{k}")), _flat(batch.column(f"w{k}")), batch.column(f"t{k}").offsets.to_numpy()) for k in "ab")
         out = np.zeros(batch.num_rows)
         for i in range(batch.num_rows):
             x, y = ta[ea[i] : ea[i + 1]], tb[eb[i] : eb[i + 1]]
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            same = y[at] == x
-            out[i] = wa[ea[i] : ea[i + 1]][same] @ wb[eb[i] : eb[i + 1]][at[same]]
+            both, p, q = np.intersect1d(x, y, return_indices=True)
+            out[i] = wa[ea[i] : ea[i + 1]][p] @ wb[eb[i] : eb[i + 1]][q]
         yield pa.RecordBatch.from_pydict({"a": batch.column("a").cast(pa.int64()), "b": batch.column("b").cast(pa.int64()), "similarity": out})
 
 
@@ -122,41 +224,82 @@ def cluster_units(clusters: DataFrame, case_labels: DataFrame) -> DataFrame:
     return cluster_sizes(clusters).withColumnRenamed("size", "weight").join(labels, "cluster_id", "left").select("cluster_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "weight")
 
 
-def iterative_stratify(units: DataFrame, ratios: dict[str, float]) -> DataFrame:
-    """``(cluster_id, split)``: whole clusters to splits, label by label, the rarest first.
+def tier_segments(need: dict[str, Fraction], overall: dict[str, Fraction], weight: int, count: int) -> tuple[list[tuple[int, list[str]]], dict[str, int]]:
+    """How the greedy rule deals ``count`` clusters of one weight: each goes to the split of largest remaining need, ties
+    to the larger overall need, then to the split named first.
+
+    A split's needs fall by the weight with each cluster it takes, so the order of takers merges one falling sequence per
+    split, and of two equal needs always the same one comes first. Once a split has taken its first cluster it takes one
+    in every round; between the first takes of two splits the takers repeat. Returns (first rank, takers in turn) of at
+    most one segment per split, and the number that each split takes."""
+    names = list(need)
+    # of equal needs: the larger overall need, which falls along with the need itself
+    tie = {s: (-(overall[s] - need[s]), names.index(s)) for s in names}
+    order = sorted(names, key=lambda s: (-need[s], tie[s]))
+
+    def before(s: str, t: str) -> int:
+        """Clusters that ``s`` takes before the first one of ``t``."""
+        gap = (need[s] - need[t]) / weight
+        return math.floor(gap) + 1 if gap.denominator > 1 or tie[s] < tie[t] else int(gap)
+
+    segments = []
+    for k, t in enumerate(order):
+        taken = {s: before(s, t) for s in order[:k]}
+        start = sum(taken.values())
+        if start >= count and segments:
+            break
+        then = sorted(order[:k], key=lambda s: (-(need[s] - weight * taken[s]), tie[s]))
+        segments.append((start, [t, *then]))
+    takes = dict.fromkeys(names, 0)
+    for (start, turn), end in zip(segments, [*[s for s, _ in segments[1:]], count]):
+        rounds, rest = divmod(min(end, count) - start, len(turn))
+        for i, s in enumerate(turn):
+            takes[s] += rounds + (i < rest)
+    return segments, takes
+
 
-    Each round takes the unassigned clusters of one label in hashed order, so that heavy and light ones spread alike, and
-    cuts their running weight at the quotas that the splits still need of that label, off by one cluster at most; clusters without labels come last. The driver holds labels x splits
-    numbers."""
+def iterative_stratify(units: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    """``(cluster_id, split)``: whole clusters to splits, label by label, the one with fewest clusters left first, and of
+    these the heaviest first, ties by cluster_id; each goes to the split that still needs most of the label, ties to the
+    one that needs most overall, then to the one named first. Clusters without labels come last, by overall need.
+
+    Clusters of one label and weight are interchangeable but for their order, so each such tier is dealt by counts: the
+    driver holds needs per label and split and works out ``tier_segments``; Spark ranks clusters within their tier, over
+    ranges, and reads off their splits. Per label the driver sees one row per distinct weight; weights of disjoint
+    clusters are distinct at most the root of twice the studies in number."""
     splits = list(ratios)
+    share = {s: Fraction(str(ratios[s])) for s in splits}
+    spark = units.sparkSession
     left = written(units.select("cluster_id", "labels", "weight"), "units")
-    exploded = left.select(F.explode("labels").alias("label"), "weight")
-    seen = exploded.groupBy("label").agg(F.sum("weight").alias("w"), F.count("*").alias("k")).collect()  # one per label
-    totals, many = {r.label: r.w for r in seen}, {r.label: r.k for r in seen}
-    done = None
-    given: dict[str, dict[str, float]] = {s: {} for s in splits}
-    for label in [*sorted(totals, key=lambda x: (totals[x], x)), None]:
-        mine = left.where(F.array_contains("labels", label)) if label is not None else left
-        need = {s: max(0.0, ratios[s] * (totals[label] if label is not None else 1.0) - (given[s].get(label, 0) if label is not None else 0)) for s in splits}
-        whole = sum(need.values()) or 1.0
-        order = Window.partitionBy("salt").orderBy(F.xxhash64("cluster_id"), "cluster_id")
-        # a label may have very many clusters: the running weight is taken within hashed shares of them
-        shares = max(1, many.get(label, 0) // 10_000)
-        running = F.sum("weight").over(order) - F.col("weight") / 2
-        dealt = mine.withColumn("salt", F.pmod(F.xxhash64("cluster_id"), F.lit(shares))).withColumn("at", running / F.sum("weight").over(Window.partitionBy("salt")))
-        edge, split = 0.0, F.lit(splits[-1])
-        cuts = []
-        for s in splits[:-1]:
-            edge += need[s] / whole
-            cuts.append((edge, s))
-        for e, s in reversed(cuts):
-            split = F.when(F.col("at") <= e, s).otherwise(split)
-        placed = written(dealt.select("cluster_id", "labels", "weight", split.alias("split")), "placed")
-        for r in placed.select("split", F.explode("labels").alias("label"), "weight").groupBy("split", "label").agg(F.sum("weight").alias("w")).collect():
-            given[r.split][r.label] = given[r.split].get(r.label, 0) + r.w
-        done = placed if done is None else done.unionByName(placed)
-        left = written(left.join(placed.select("cluster_id"), "cluster_id", "left_anti"), "units")
-    return done.select("cluster_id", "split")
+    total = left.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first().w
+    overall = {s: total * share[s] for s in splits}
+    sums = left.select(F.explode("labels").alias("label"), "weight").groupBy("label").agg(F.sum("weight").alias("w")).collect()  # one per label
+    needs = {r.label: {s: r.w * share[s] for s in splits} for r in sums}
+    done = []
+    while True:
+        counts = left.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("k")).collect()
+        label = min(counts, key=lambda r: (r.k, r.label)).label if counts else None
+        mine = left if label is None else left.where(F.array_contains("labels", label))
+        tiers = mine.groupBy("weight").agg(F.count("*").alias("k")).orderBy(F.desc("weight")).collect()
+        need = needs[label] if label is not None else dict(overall)
+        steps = []
+        for tier in tiers:
+            segments, takes = tier_segments(need, overall, tier.weight, tier.k)
+            steps += [(tier.weight, start, end, turn) for (start, turn), end in zip(segments, [*[x for x, _ in segments[1:]], tier.k])]
+            for s in splits:
+                need[s] -= tier.weight * takes[s]
+                overall[s] -= tier.weight * takes[s]
+        ranked = numbered(mine, "place", "cluster_id", ["weight"])
+        table = spark.createDataFrame(steps, "tier long, start long, end long, turn array<string>")
+        met = ranked.join(table, (F.col("weight") == F.col("tier")) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("end")))
+        placed = written(met.select("cluster_id", "labels", "weight", F.element_at("turn", (F.pmod(F.col("place") - F.col("start"), F.size("turn")) + 1).cast("int")).alias("split")), "placed")
+        done.append(placed.select("cluster_id", "split"))
+        if label is None:
+            return reduce(DataFrame.unionByName, done)
+        given = placed.select("split", F.explode("labels").alias("label"), "weight").where(F.col("label") != label).groupBy("split", "label").agg(F.sum("weight").alias("w"))
+        for r in given.collect():  # splits x labels
+            needs[r.label][r.split] -= r.w
+        left = written(left.where(~F.array_contains("labels", label)), "units")
 
 
 def make_splits(texts: DataFrame, flagged: DataFrame, case_labels: DataFrame, ratios: dict[str, float], threshold: float = 0.9) -> DataFrame:

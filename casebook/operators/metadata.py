@@ -35,12 +35,6 @@ def purity_gate(index: DataFrame, splits: DataFrame) -> DataFrame:
     return a.unionByName(b).withColumn("passed", F.col("n") == 0)
 
 
-def relevance_pairs(query_labels: DataFrame, kb_labels: DataFrame) -> DataFrame:
-    """``(query, uid, relevance)``: labels that a query and a case share; pairs without any don't occur."""
-    q = query_labels.select(F.col("uid").alias("query"), "label")
-    return q.join(kb_labels, "label").groupBy("query", "uid").agg(F.count("*").alias("relevance"))
-
-
 def drop_reasons(df: DataFrame, predicates: list[tuple[str, object]]) -> DataFrame:
     """Rows lost to each predicate in order: a row counts for the first one it fails."""
     first = reduce(lambda w, p: w.when(~p[1], p[0]), predicates[1:], F.when(~predicates[0][1], predicates[0][0]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.vectors import dot, is_finite, norm
 from casebook.operators.metadata import hashed_order, sample_n
-from casebook.operators.numbering import numbered
+from casebook.operators.resampling import resampled_sums
 
 KS = (1, 3, 5, 10)
 
@@ -23,38 +23,6 @@ def dcg(ranked: DataFrame, k: int, exponential: bool = False) -> DataFrame:
     return ranked.where(F.col("rank") <= k).groupBy("query").agg(F.sum(gain(F.col("relevance"), exponential) / F.log2(F.col("rank") + 1)).alias("dcg"))
 
 
-def ideal_dcg(relevance: DataFrame, k: int, exponential: bool = False) -> DataFrame:
-    """DCG of a query's ``k`` highest relevances in the knowledge base."""
-    best = relevance.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("relevance"), "uid"))).where(F.col("rank") <= k)
-    return dcg(best, k, exponential)
-
-
-def ranking_metrics(ranking: DataFrame, relevance: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """Per query of ``ranking`` (query, uid, rank): mrr over the whole ranking; recall@k (a hit rate), precision@k and
-    ndcg@k (linear gain; 0 where the ideal is 0)."""
-    rel = relevance.select("query", "uid", "relevance")
-    top = max(ks)
-    ideal = rel.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("relevance"), "uid"))).where(F.col("rank") <= top)
-    ideal = ideal.groupBy("query").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("relevance") / F.log2(F.col("rank") + 1))).alias(f"ideal{k}") for k in ks])
-    j = ranking.join(rel, ["query", "uid"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
-    hit = (F.col("relevance") > 0).cast("double")
-    within = lambda k, x: F.when(F.col("rank") <= k, x).otherwise(0.0)
-    parts = [F.coalesce(1 / F.min(F.when(F.col("relevance") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr")]
-    for k in ks:
-        parts += [F.max(within(k, hit)).alias(f"recall@{k}"), (F.sum(within(k, hit)) / k).alias(f"precision@{k}"), F.sum(within(k, F.col("relevance") / F.log2(F.col("rank") + 1))).alias(f"dcg{k}")]
-    m = j.groupBy("query").agg(*parts).join(ideal, "query", "left")
-    ndcg = [F.when(F.coalesce(f"ideal{k}", F.lit(0.0)) > 0, F.col(f"dcg{k}") / F.col(f"ideal{k}")).otherwise(0.0).alias(f"ndcg@{k}") for k in ks]
-    return m.select("query", "mrr", *[f"`{n}@{k}`" for k in ks for n in ("recall", "precision")], *ndcg)
-
-
-def random_ranking(queries: DataFrame, kb: DataFrame, seed: int) -> DataFrame:
-    """A hashed permutation of the knowledge base per query. The query table is broadcast to the base; it must be a
-    stated evaluation set."""
-    pairs = kb.select("uid").join(queries.select(F.col("uid").alias("query")))
-    h = hashed_order("query", "uid", seed=seed)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(h, "uid")))
-
-
 def micro_average(per_query: DataFrame, metrics: list[str]) -> DataFrame:
     return per_query.groupBy("encoder").agg(*[F.avg(f"`{m}`").alias(m) for m in metrics])
 
@@ -123,31 +91,25 @@ def masking_impact(before: DataFrame, after: DataFrame, least: float = 0.9) -> D
 # ---------------------------------------------------------------- resampling
 
 
-def draws(cases: DataFrame, n_boot: int, seed: int, group: list[str] | None = None, p: int = 2147483647) -> DataFrame:
-    """Resamples with replacement: for each replicate and group, as many draws as the group has cases. A draw's index is
-    ``((i * 48271 + b * 69621 + seed) * 16807 mod p) mod n``, the same in every engine. ``cases`` (uid, ...)."""
-    group = group or []
-    placed = numbered(cases, "i", "uid", group)
-    size = cases.groupBy(*group).agg(F.count("*").alias("n"))
-    slot = placed.select(*group, "i").join(size, group) if group else placed.select("i").join(F.broadcast(size))
-    slot = slot.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    index = (((F.col("i").cast("long") * 48271 + F.col("rep").cast("long") * 69621 + seed) % p) * 16807 % p) % F.col("n")
-    drawn = slot.select(*group, "rep", index.cast("long").alias("i"))
-    return drawn.join(placed, [*group, "i"])
-
-
 def percentile_ci(df: DataFrame, column: str, group: list[str], alpha: float = 0.05) -> DataFrame:
     q = F.percentile(column, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return df.groupBy(*group).agg(q.alias("q")).select(*group, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def resampled_means(cases: DataFrame, value: str, n_boot: int, seed: int, group: list[str] | None = None) -> DataFrame:
+    """``(*group, rep, m)``: mean of the drawn cases that have a value."""
+    group = group or []
+    rows = cases.select("uid", *group, F.col(value).alias("s"), F.col(value).isNotNull().cast("int").alias("k"))
+    return resampled_sums(rows, ["s", "k"], n_boot, seed, group).where("k > 0").select(*group, "rep", (F.col("s") / F.col("k")).alias("m"))
+
+
 def bootstrap_mean_ci(cases: DataFrame, value: str, n_boot: int, seed: int) -> DataFrame:
-    reps = draws(cases, n_boot, seed).groupBy("rep").agg(F.avg(value).alias("m"))
+    reps = resampled_means(cases, value, n_boot, seed)
     return cases.agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(percentile_ci(reps, "m", []))
 
 
 def bootstrap_stratified_macro(cases: DataFrame, value: str, cls: str, n_boot: int, seed: int) -> DataFrame:
-    reps = draws(cases, n_boot, seed, [cls]).groupBy("rep", cls).agg(F.avg(value).alias("m")).groupBy("rep").agg(F.avg("m").alias("m"))
+    reps = resampled_means(cases, value, n_boot, seed, [cls]).groupBy("rep").agg(F.avg("m").alias("m"))
     point = cases.groupBy(cls).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean"))
     return point.join(percentile_ci(reps, "m", []))
 
@@ -187,8 +149,14 @@ def bootstrap_f1_ci(matrix: DataFrame, n_boot: int, seed: int, partners: DataFra
         other = matrix.select(F.col("uid").alias("partner"), "label", "ref")
         crossed = matrix.select("uid", "label", "gen").join(partners, "uid").join(other, ["partner", "label"])
         sides = sides.unionByName(crossed.select("uid", F.lit("baseline_").alias("side"), "label", "gen", "ref"))
-    d = draws(matrix.select("uid").distinct(), n_boot, seed).select("rep", "uid").join(sides, "uid")
-    per = f1_rows(confusion_counts(d, ["rep", "side", "label"]))
+    # a case is one row of counts, three for every side and label; labels are the classes of the taxonomy, few
+    kinds = [(r.side, r.label) for r in sides.select("side", "label").distinct().orderBy("side", "label").collect()]
+    cells = {"tp": "gen = 1 AND ref = 1", "fp": "gen = 1 AND ref <> 1", "fn": "gen <> 1 AND ref = 1"}
+    count = lambda k, test: F.count_if((F.col("side") == k[0]) & (F.col("label") == k[1]) & F.expr(test))
+    wide = sides.groupBy("uid").agg(*[count(k, test).alias(f"{c}{i}") for i, k in enumerate(kinds) for c, test in cells.items()])
+    sums = resampled_sums(wide, [f"{c}{i}" for i in range(len(kinds)) for c in cells], n_boot, seed)
+    parts = [F.struct(F.lit(k[0]).alias("side"), F.lit(k[1]).alias("label"), *[F.col(f"{c}{i}").alias(c) for c in cells]) for i, k in enumerate(kinds)]
+    per = f1_rows(sums.select("rep", F.explode(F.array(*parts)).alias("x")).select("rep", "x.*"))
     both = per.groupBy("rep", "side").agg(F.avg("f1").alias("macro_f1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     both = f1_rows(both).select("rep", "side", "macro_f1", F.col("f1").alias("micro_f1"))
     long = both.unpivot(["rep", "side"], ["macro_f1", "micro_f1"], "m", "v").select("rep", F.concat("side", "m").alias("metric"), "v")
@@ -201,7 +169,7 @@ def bootstrap_f1_ci(matrix: DataFrame, n_boot: int, seed: int, partners: DataFra
 def metric_ci_table(cases: DataFrame, metrics: list[str], n_boot: int, seed: int) -> DataFrame:
     """n, mean, interval and width of every metric column."""
     long = cases.unpivot("uid", metrics, "metric", "v").where("v IS NOT NULL")
-    reps = draws(long, n_boot, seed, ["metric"]).groupBy("metric", "rep").agg(F.avg("v").alias("m"))
+    reps = resampled_means(long, "v", n_boot, seed, ["metric"])
     point = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     return point.join(percentile_ci(reps, "m", ["metric"]), "metric").withColumn("width", F.col("high") - F.col("low"))
 

@@ -19,38 +19,33 @@ def texts(spark, sf_dir):
 
 
 _TEXTS = "texts AS (SELECT doc_id AS uid, lower(coalesce(text, '')) AS text FROM documents)"
-_TFIDF = f"""{_TEXTS}, toks AS (SELECT uid, regexp_extract_all(text, '[a-z0-9_]{{2,}}') AS t FROM texts),
+_TFIDF = rf"""{_TEXTS}, toks AS (SELECT uid, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM texts),
 long AS (SELECT uid, unnest(t) AS term FROM toks UNION ALL SELECT uid, unnest(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1]))) FROM toks),
 tf AS (SELECT uid, term, count(*) AS tf FROM long GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
 x AS (SELECT uid, term, tf * (ln((1 + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS x FROM tf JOIN dfs USING (term)),
 v AS (SELECT uid, term, x / sqrt(sum(x * x) OVER (PARTITION BY uid)) AS w FROM x)"""
 
 
-def ascii_texts(spark, sf_dir):
-    """Accents and other letters out, so that both engines' word classes agree."""
-    return texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^a-z0-9_ ]", " "))
+_PAIRS = f"{_TFIDF}, pairs AS (SELECT a.uid AS a, b.uid AS b, sum(a.w * b.w) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.uid < b.uid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9)"
 
 
-_ATFIDF = _TFIDF.replace("lower(coalesce(text, '')) AS text", "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_ ]', ' ', 'g') AS text")
-_PAIRS = f"{_ATFIDF}, pairs AS (SELECT a.uid AS a, b.uid AS b, sum(a.w * b.w) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.uid < b.uid GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9)"
-
-
-@query("tfidf_vectors", f"WITH {_ATFIDF} SELECT uid, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 5) AS top FROM v GROUP BY uid")
+@query("tfidf_vectors", f"WITH {_TFIDF} SELECT uid, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 5) AS top FROM v GROUP BY uid")
 def tfidf_vectors(spark, sf_dir):
-    v = D.tfidf_vectors(ascii_texts(spark, sf_dir))
+    v = D.tfidf_vectors(texts(spark, sf_dir))
     return v.groupBy("uid").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 5).alias("total"), F.round(F.max("w"), 5).alias("top"))
 
 
 @query("cosine_pairs", f"WITH {_PAIRS} SELECT a, b, round(similarity, 5) AS similarity FROM pairs")
 def cosine_pairs(spark, sf_dir):
-    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), THRESHOLD)
+    p = D.cosine_pairs(D.tfidf_vectors(texts(spark, sf_dir)), THRESHOLD)
     return p.withColumn("similarity", F.round("similarity", 5))
 
 
-@query("neardup_pairs", f"WITH {_PAIRS} SELECT count(*) AS pairs, count(DISTINCT a) AS firsts, round(max(similarity), 5) AS top FROM pairs")
+@query("neardup_pairs", f"WITH {_PAIRS}, e AS (SELECT a AS uid, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs) SELECT uid, count(*) AS partners, min(other) AS first_partner, round(max(similarity), 5) AS top FROM e GROUP BY uid")
 def neardup_pairs(spark, sf_dir):
-    p = D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), THRESHOLD)
-    return p.agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("firsts"), F.round(F.max("similarity"), 5).alias("top"))
+    p = D.cosine_pairs(D.tfidf_vectors(texts(spark, sf_dir)), THRESHOLD)
+    e = p.select(F.col("a").alias("uid"), F.col("b").alias("other"), "similarity").unionByName(p.select(F.col("b").alias("uid"), F.col("a").alias("other"), "similarity"))
+    return e.groupBy("uid").agg(F.count("*").alias("partners"), F.min("other").alias("first_partner"), F.round(F.max("similarity"), 5).alias("top"))
 
 
 _CC = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), walk AS (SELECT a AS node, b AS seen FROM e UNION SELECT a, a FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON w.seen = e.a), comp AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"
@@ -58,17 +53,17 @@ _CC = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a
 
 @query("connected_components", f"{_CC} SELECT * FROM comp")
 def connected_components(spark, sf_dir):
-    return C.connected_components(D.cosine_pairs(D.tfidf_vectors(ascii_texts(spark, sf_dir)), THRESHOLD), "a", "b")
+    return C.connected_components(D.cosine_pairs(D.tfidf_vectors(texts(spark, sf_dir)), THRESHOLD), "a", "b")
 
 
 _FULL = f"{_CC}, cl AS (SELECT t.uid, dense_rank() OVER (ORDER BY coalesce(component, t.uid)) - 1 AS cluster_id FROM texts t LEFT JOIN comp ON comp.node = t.uid)"
 
 
 def clusters(spark, sf_dir):
-    return D.cluster_near_duplicates(ascii_texts(spark, sf_dir), THRESHOLD)
+    return D.cluster_near_duplicates(texts(spark, sf_dir), THRESHOLD)
 
 
-@query("cluster_near_duplicates", f"{_FULL} SELECT * FROM cl".replace("[^a-z0-9_ ]", "[^a-z0-9 ]|x{2,}").replace("{{2,}}", "{2,}"))
+@query("cluster_near_duplicates", f"{_FULL} SELECT * FROM cl".replace("lower(coalesce(text, '')) AS text", "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]|x{2,}', ' ', 'g') AS text"))
 def cluster_near_duplicates(spark, sf_dir):
     return clusters(spark, sf_dir)
 
@@ -112,7 +107,7 @@ def iterative_stratify(spark, sf_dir):
 
 @query("make_splits")
 def make_splits(spark, sf_dir):
-    t = ascii_texts(spark, sf_dir)
+    t = texts(spark, sf_dir)
     labels = t.select("uid", F.concat(F.lit("L"), (F.col("uid") % 4).cast("string")).alias("label"))
     return D.make_splits(t, t.where("uid % 29 = 0").select("uid"), labels, RATIOS, THRESHOLD)
 

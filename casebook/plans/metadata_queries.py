@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from casebook.operators import labels as L
+from casebook.operators import evaluation as E
 from casebook.operators import metadata as M
 from casebook.operators import preparation as O
 from casebook.plans.fixtures import base, derangement_sql, duck, view
@@ -62,7 +63,7 @@ def purity_gate(spark, sf_dir):
 @query("relevance_pairs", f"WITH {_C}, {duck('f_case_labels')} SELECT q.uid AS query, k.uid, count(*) AS relevance FROM f_case_labels q JOIN f_case_labels k USING (label) WHERE q.uid % 20 BETWEEN 14 AND 16 AND k.uid % 20 < 14 GROUP BY ALL")
 def relevance_pairs(spark, sf_dir):
     labels = view(spark, sf_dir, "f_case_labels")
-    return M.relevance_pairs(labels.where("uid % 20 BETWEEN 14 AND 16"), labels.where("uid % 20 < 14"))
+    return E.relevance_pairs(labels.where("uid % 20 BETWEEN 14 AND 16"), labels.where("uid % 20 < 14"))
 
 
 @query("review_detail", f"WITH {_NEAR}, ql AS (SELECT query, n.uid, rank, (SELECT string_agg(label, ';' ORDER BY label) FROM (SELECT label FROM f_case_labels a WHERE a.uid = n.query INTERSECT SELECT label FROM f_case_labels b WHERE b.uid = n.uid)) AS overlap FROM near n) SELECT query, ql.uid, rank, coalesce(overlap, '') AS overlap, overlap IS NOT NULL AS proxy_relevant, coalesce(t.findings, '') AS case_findings, coalesce(t.impression, '') AS case_impression, coalesce(u.findings, '') AS query_findings, coalesce(u.impression, '') AS query_impression FROM ql LEFT JOIN f_case_texts t ON t.uid = ql.uid LEFT JOIN f_case_texts u ON u.uid = ql.query")

@@ -2,19 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from casebook.operators import metadata as M
+from casebook.operators import evaluation as E
 from casebook.operators import ranking as K
 from casebook.operators import retrieval as R
 from casebook.plans.fixtures import duck, view
 from casebook.plans.registry import query
 
-METRICS = ["mrr", *[f"{n}@{k}" for k in K.KS for n in ("recall", "precision")], *[f"ndcg@{k}" for k in K.KS]]
+METRICS = E.metric_names(K.KS)
 _BASE = f"{duck('f_cases')}, {duck('f_case_labels')}, q AS (SELECT * FROM f_cases WHERE split = 'val'), kb AS (SELECT * FROM f_cases WHERE split = 'train'), rel AS (SELECT q.uid AS query, k.uid, count(*) AS relevance FROM f_case_labels q JOIN f_case_labels k USING (label) WHERE q.uid % 20 BETWEEN 14 AND 16 AND k.uid % 20 < 14 GROUP BY ALL)"
 _COS = f"{_BASE}, ranking AS (SELECT q.uid AS query, kb.uid, row_number() OVER (PARTITION BY q.uid ORDER BY round(list_dot_product(q.embedding::DOUBLE[], kb.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(kb.embedding::DOUBLE[], kb.embedding::DOUBLE[])), 9) DESC, kb.uid) AS rank FROM q JOIN kb ON true)"
 
 
 def _rand(seed, name):
-    return f"{name} AS (SELECT q.uid AS query, kb.uid, row_number() OVER (PARTITION BY q.uid ORDER BY ((q.uid * 31 + kb.uid) % 2147483647 * 48271 + {seed} * 69621) % 2147483647, kb.uid) AS rank FROM q JOIN kb ON true)"
+    return E.random_order_sql(name, "q", "kb", seed)
 
 
 def _metrics(ranking, name):
@@ -29,15 +29,9 @@ _TWO = f"{_COS}, {_rand(1, 'rnd')}, {_metrics('ranking', 'm1')}, {_metrics('rnd'
 
 
 def inputs(spark, sf_dir):
-    c = view(spark, sf_dir, "f_cases")
-    labels = view(spark, sf_dir, "f_case_labels")
-    rel = M.relevance_pairs(labels.where("uid % 20 BETWEEN 14 AND 16"), labels.where("uid % 20 < 14"))
-    return c, c.where("split = 'val'").select("uid", "embedding"), c.where("split = 'train'").select("uid", "embedding"), rel
-
-
-def full_ranking(spark, sf_dir):
-    _, q, kb, _ = inputs(spark, sf_dir)
-    return R.knn_topk(q, kb, 1 << 30).select("query", "uid", "rank")
+    """Cases, query vectors, base vectors, labels of queries, labels of the base."""
+    c, labels = view(spark, sf_dir, "f_cases"), view(spark, sf_dir, "f_case_labels")
+    return c, c.where("split = 'val'").select("uid", "embedding"), c.where("split = 'train'").select("uid", "embedding"), labels.where("uid % 20 BETWEEN 14 AND 16"), labels.where("uid % 20 < 14")
 
 
 def rounded(df, names=METRICS):
@@ -45,47 +39,52 @@ def rounded(df, names=METRICS):
 
 
 def per_query(spark, sf_dir):
-    c, q, kb, rel = inputs(spark, sf_dir)
+    c, *sides = inputs(spark, sf_dir)
     cls = c.select(F.col("uid").alias("query"), F.col("primary_label").alias("cls"))
-    a = K.ranking_metrics(full_ranking(spark, sf_dir), rel).withColumn("encoder", F.lit("cosine"))
-    b = K.ranking_metrics(K.random_ranking(q, kb, 1), rel).withColumn("encoder", F.lit("random"))
+    a = E.cosine_metrics(*sides, K.KS).withColumn("encoder", F.lit("cosine"))
+    b = E.random_metrics(*sides, K.KS, (1,)).withColumn("encoder", F.lit("random"))
     return a.unionByName(b).join(cls, "query")
 
 
 @query("dcg", f"WITH {_COS} SELECT query, round(sum(relevance / log2(rank + 1)), 5) AS dcg FROM ranking JOIN rel USING (query, uid) WHERE rank <= 10 GROUP BY query")
 def dcg(spark, sf_dir):
-    rel = inputs(spark, sf_dir)[3]
-    d = K.dcg(full_ranking(spark, sf_dir).where("rank <= 10").join(rel, ["query", "uid"]), 10)
-    return d.withColumn("dcg", F.round("dcg", 5))
+    _, q, kb, q_labels, kb_labels = inputs(spark, sf_dir)
+    near = R.knn_topk(q, kb, 10).select("query", "uid", "rank")
+    sets = lambda labels, uid, name: E.label_sets(labels).select(F.col("uid").alias(uid), F.col("labels").alias(name))
+    both = near.join(sets(q_labels, "query", "a"), "query").join(sets(kb_labels, "uid", "b"), "uid").withColumn("relevance", F.size(F.array_intersect("a", "b")))
+    return K.dcg(both.where("relevance > 0"), 10).withColumn("dcg", F.round("dcg", 5))
 
 
 @query("ideal_dcg", f"WITH {_BASE} SELECT query, round(sum((pow(2, relevance) - 1) / log2(r + 1)), 5) AS dcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, uid) AS r FROM rel) WHERE r <= 10 GROUP BY query")
 def ideal_dcg(spark, sf_dir):
-    return K.ideal_dcg(inputs(spark, sf_dir)[3], 10, exponential=True).withColumn("dcg", F.round("dcg", 5))
+    return E.ideal_dcg(*inputs(spark, sf_dir)[3:], (10,), exponential=True).select("query", F.round("ideal10", 5).alias("dcg"))
 
 
 @query("ranking_metrics", f"WITH {_COS}, {_metrics('ranking', 'm')} SELECT query, {_ROUND} FROM m")
 def ranking_metrics(spark, sf_dir):
-    return rounded(K.ranking_metrics(full_ranking(spark, sf_dir), inputs(spark, sf_dir)[3]))
+    return rounded(E.cosine_metrics(*inputs(spark, sf_dir)[1:], K.KS))
 
 
 _R3 = f"{_BASE}, {_rand(1, 'r1')}, {_rand(2, 'r2')}, {_rand(3, 'r3')}, {_metrics('r1', 'a1')}, {_metrics('r2', 'a2')}, {_metrics('r3', 'a3')}, al AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3)"
 
 
-@query("random_ranking", f"WITH {_R3} SELECT query, {_AVG} FROM al GROUP BY query")
+@query("random_ranking", f"WITH RECURSIVE {_R3} SELECT query, {_AVG} FROM al GROUP BY query")
 def random_ranking(spark, sf_dir):
-    _, q, kb, rel = inputs(spark, sf_dir)
-    runs = [K.ranking_metrics(K.random_ranking(q, kb, s), rel) for s in (1, 2, 3)]
-    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    return rounded(every.groupBy("query").agg(*[F.avg(f"`{m}`").alias(m) for m in METRICS]))
+    return rounded(E.random_metrics(*inputs(spark, sf_dir)[1:], K.KS, (1, 2, 3)))
+
 
+@query("relevance_links", f"WITH {_BASE}, qs AS (SELECT uid, string_agg(label, ';' ORDER BY label) AS s FROM f_case_labels WHERE uid % 20 BETWEEN 14 AND 16 GROUP BY uid), ks AS (SELECT uid, string_agg(label, ';' ORDER BY label) AS s FROM f_case_labels WHERE uid % 20 < 14 GROUP BY uid) SELECT qs.s AS query_set, ks.s AS kb_set, any_value(relevance) AS relevance, count(DISTINCT query) AS n_queries, count(DISTINCT rel.uid) AS n_cases FROM rel JOIN qs ON qs.uid = rel.query JOIN ks ON ks.uid = rel.uid GROUP BY qs.s, ks.s")
+def relevance_links(spark, sf_dir):
+    links = E.relevance_links(*inputs(spark, sf_dir)[3:])
+    return links.withColumn("query_set", F.array_join("query_set", ";")).withColumn("kb_set", F.array_join("kb_set", ";"))
 
-@query("micro_average", f"WITH {_TWO} SELECT encoder, {_AVG} FROM pq GROUP BY encoder")
+
+@query("micro_average", f"WITH RECURSIVE {_TWO} SELECT encoder, {_AVG} FROM pq GROUP BY encoder")
 def micro_average(spark, sf_dir):
     return rounded(K.micro_average(per_query(spark, sf_dir), METRICS))
 
 
-@query("per_class_average", f"WITH {_TWO} SELECT encoder, cls, {_AVG} FROM pq GROUP BY encoder, cls")
+@query("per_class_average", f"WITH RECURSIVE {_TWO} SELECT encoder, cls, {_AVG} FROM pq GROUP BY encoder, cls")
 def per_class_average(spark, sf_dir):
     return rounded(K.per_class_average(per_query(spark, sf_dir), METRICS))
 
@@ -93,20 +92,20 @@ def per_class_average(spark, sf_dir):
 _PC = ", ".join(f'avg("{m}") AS "{m}"' for m in METRICS)
 
 
-@query("macro_average", f"WITH {_TWO}, pc AS (SELECT encoder, cls, {_PC} FROM pq GROUP BY encoder, cls) SELECT encoder, {_AVG} FROM pc GROUP BY encoder")
+@query("macro_average", f"WITH RECURSIVE {_TWO}, pc AS (SELECT encoder, cls, {_PC} FROM pq GROUP BY encoder, cls) SELECT encoder, {_AVG} FROM pc GROUP BY encoder")
 def macro_average(spark, sf_dir):
     return rounded(K.macro_average(per_query(spark, sf_dir), METRICS))
 
 
-@query("encoder_comparison", f"WITH {_TWO}, pc AS (SELECT encoder, cls, {_PC} FROM pq GROUP BY encoder, cls) SELECT 'micro' AS level, encoder, round(avg(\"recall@5\"), 5) AS recall5, round(avg(mrr), 5) AS mrr FROM pq GROUP BY encoder UNION ALL SELECT 'macro', encoder, round(avg(\"recall@5\"), 5), round(avg(mrr), 5) FROM pc GROUP BY encoder")
+_EACH = ", ".join(f'round("{m}", 5) AS "{m}"' for m in METRICS)
+
+
+@query("encoder_comparison", f"WITH RECURSIVE {_TWO}, pc AS (SELECT encoder, cls, {_PC} FROM pq GROUP BY encoder, cls), mi AS (SELECT encoder, {_PC} FROM pq GROUP BY encoder), ma AS (SELECT encoder, {_PC} FROM pc GROUP BY encoder), al AS (SELECT 'micro' AS level, NULL::VARCHAR AS cls, * FROM mi UNION ALL SELECT 'macro', NULL::VARCHAR, * FROM ma UNION ALL SELECT 'class', cls, * EXCLUDE (cls) FROM pc) SELECT level, encoder, cls, {_EACH} FROM al")
 def encoder_comparison(spark, sf_dir):
-    pq = per_query(spark, sf_dir)
-    names = ["recall@5", "mrr"]
-    both = K.micro_average(pq, names).withColumn("level", F.lit("micro")).unionByName(K.macro_average(pq, names).withColumn("level", F.lit("macro")))
-    return both.select("level", "encoder", F.round("`recall@5`", 5).alias("recall5"), F.round("mrr", 5).alias("mrr"))
+    return rounded(E.encoder_comparison(per_query(spark, sf_dir), METRICS))
 
 
-@query("perclass_pivot", f"WITH {_TWO} SELECT cls, round(avg(\"recall@5\") FILTER (encoder = 'cosine'), 5) AS cosine, round(avg(\"recall@5\") FILTER (encoder = 'random'), 5) AS random, (avg(\"recall@5\") FILTER (encoder = 'cosine') > avg(\"recall@5\") FILTER (encoder = 'random'))::INT AS first_wins FROM pq GROUP BY cls")
+@query("perclass_pivot", f"WITH RECURSIVE {_TWO} SELECT cls, round(avg(\"recall@5\") FILTER (encoder = 'cosine'), 5) AS cosine, round(avg(\"recall@5\") FILTER (encoder = 'random'), 5) AS random, (avg(\"recall@5\") FILTER (encoder = 'cosine') > avg(\"recall@5\") FILTER (encoder = 'random'))::INT AS first_wins FROM pq GROUP BY cls")
 def perclass_pivot(spark, sf_dir):
     p = K.perclass_pivot(per_query(spark, sf_dir), "recall@5", ["cosine", "random"])
     return p.withColumn("cosine", F.round("cosine", 5)).withColumn("random", F.round("random", 5))

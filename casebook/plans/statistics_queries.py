@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from casebook.operators import preparation as O
 from casebook.operators import ranking as K
 from casebook.operators.metadata import derangement
+from casebook.operators.resampling import draws_sql
 from casebook.plans.fixtures import base, derangement_sql, duck, view
 from casebook.plans.registry import query
 
@@ -12,19 +13,8 @@ B, SEED = 2000, 7
 _S, _M = duck("f_scores"), duck("f_label_matrix")
 
 
-def _index(i, b, n):
-    return f"((({i} * 48271 + {b} * 69621 + {SEED}) % 2147483647) * 16807 % 2147483647) % {n}"
-
-
 def _draw(src, value, name, part=""):
-    over = f"PARTITION BY {part} " if part else ""
-    col = f"{part}, " if part else ""
-    on = f" AND d.{part} = x.{part}" if part else ""
-    return (
-        f"{name}n AS (SELECT {col}uid, {value} AS v, row_number() OVER ({over}ORDER BY uid) - 1 AS i, count(*) OVER ({over[:-1] if over else ''}) AS n FROM {src}), "
-        f"{name}d AS (SELECT {col}b, {_index('i', 'b', 'n')} AS i FROM {name}n, range({B}) t(b)), "
-        f"{name} AS (SELECT d.b, x.* FROM {name}d d JOIN {name}n x ON d.i = x.i{on})"
-    )
+    return draws_sql(src, value, name, B, SEED, part)
 
 
 def _r(df, *names, digits=6):
@@ -33,7 +23,7 @@ def _r(df, *names, digits=6):
     return df
 
 
-@query("bootstrap_mean_ci", f"WITH {_S}, {_draw('f_scores', 'a', 'x')}, m AS (SELECT b, avg(v) AS m FROM x GROUP BY b) SELECT (SELECT round(avg(a), 6) FROM f_scores) AS mean, (SELECT count(*) FROM f_scores) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
+@query("bootstrap_mean_ci", f"WITH RECURSIVE {_S}, {_draw('f_scores', 'a', 'x')}, m AS (SELECT b, avg(v) AS m FROM x GROUP BY b) SELECT (SELECT round(avg(a), 6) FROM f_scores) AS mean, (SELECT count(*) FROM f_scores) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def bootstrap_mean_ci(spark, sf_dir):
     return _r(K.bootstrap_mean_ci(view(spark, sf_dir, "f_scores"), "a", B, SEED), "mean", "low", "high")
 
@@ -41,7 +31,7 @@ def bootstrap_mean_ci(spark, sf_dir):
 _STR = f"m AS (SELECT b, avg(m) AS m FROM (SELECT b, cls, avg(v) AS m FROM x GROUP BY b, cls) GROUP BY b)"
 
 
-@query("bootstrap_stratified_macro", f"WITH {_S}, {_draw('f_scores', 'a', 'x', 'cls')}, {_STR} SELECT (SELECT round(avg(m), 6) FROM (SELECT avg(a) AS m FROM f_scores GROUP BY cls)) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
+@query("bootstrap_stratified_macro", f"WITH RECURSIVE {_S}, {_draw('f_scores', 'a', 'x', 'cls')}, {_STR} SELECT (SELECT round(avg(m), 6) FROM (SELECT avg(a) AS m FROM f_scores GROUP BY cls)) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def bootstrap_stratified_macro(spark, sf_dir):
     return _r(K.bootstrap_stratified_macro(view(spark, sf_dir, "f_scores"), "a", "cls", B, SEED), "mean", "low", "high")
 
@@ -50,12 +40,12 @@ _DIFF = f"{_S}, {_draw('f_scores', 'a - b', 'x', 'cls')}, {_STR}, d AS (SELECT (
 _DIFF = _DIFF.replace("a - b AS v", "f_scores.a - f_scores.b AS v")
 
 
-@query("bootstrap_paired_diff", f"WITH {_DIFF} SELECT round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM d")
+@query("bootstrap_paired_diff", f"WITH RECURSIVE {_DIFF} SELECT round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM d")
 def bootstrap_paired_diff(spark, sf_dir):
     return _r(K.bootstrap_paired_diff(view(spark, sf_dir, "f_scores"), "a", "b", "cls", B, SEED), "delta", "low", "high")
 
 
-@query("percentile_ci", f"WITH {_S} SELECT cls, round(quantile_cont(a, 0.05), 4) AS low, round(quantile_cont(a, 0.95), 4) AS high FROM f_scores GROUP BY cls")
+@query("percentile_ci", f"WITH RECURSIVE {_S} SELECT cls, round(quantile_cont(a, 0.05), 4) AS low, round(quantile_cont(a, 0.95), 4) AS high FROM f_scores GROUP BY cls")
 def percentile_ci(spark, sf_dir):
     return _r(K.percentile_ci(view(spark, sf_dir, "f_scores"), "a", ["cls"], 0.1), "low", "high", digits=4)
 
@@ -79,7 +69,7 @@ _KIND = "SELECT uid, '' AS side, label, gen, ref FROM f_label_matrix UNION ALL S
 _DM = f"{_M}, ids AS (SELECT DISTINCT uid FROM f_label_matrix), {derangement_sql('ids', SEED)}, kinds AS ({_KIND}), {_draw('ids', '0', 'x')}, per AS (SELECT b, side, label, {_CNT} FROM x JOIN kinds USING (uid) GROUP BY b, side, label), bm AS (SELECT b, side, avg({_F1}) AS macro_f1, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per GROUP BY b, side), al AS (SELECT concat(side, 'macro_f1') AS metric, macro_f1 AS v FROM bm UNION ALL SELECT concat(side, 'micro_f1'), {_F1} FROM bm UNION ALL SELECT 'macro_f1_gain', a.macro_f1 - z.macro_f1 FROM bm a JOIN bm z ON a.b = z.b AND a.side = '' AND z.side <> ''), iv AS (SELECT metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM al GROUP BY metric)"
 
 
-@query("bootstrap_f1_ci", f"WITH {_DM} SELECT metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero FROM iv")
+@query("bootstrap_f1_ci", f"WITH RECURSIVE {_DM} SELECT metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero FROM iv")
 def bootstrap_f1_ci(spark, sf_dir):
     m = view(spark, sf_dir, "f_label_matrix")
     partners = derangement(m.select("uid").distinct(), SEED)
@@ -89,12 +79,12 @@ def bootstrap_f1_ci(spark, sf_dir):
 _L = f"{_S}, l AS (SELECT uid, 'a' AS metric, a AS v FROM f_scores UNION ALL SELECT uid, 'b', b FROM f_scores), {_draw('l', 'v', 'x', 'metric')}, m AS (SELECT metric, b, avg(v) AS m FROM x GROUP BY metric, b), t AS (SELECT metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY metric), p AS (SELECT metric, count(*) AS n, avg(v) AS mean FROM l GROUP BY metric), tab AS (SELECT *, high - low AS width FROM p JOIN t USING (metric))"
 
 
-@query("metric_ci_table", f"WITH {_L} SELECT metric, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(width, 6) AS width FROM tab")
+@query("metric_ci_table", f"WITH RECURSIVE {_L} SELECT metric, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(width, 6) AS width FROM tab")
 def metric_ci_table(spark, sf_dir):
     return _r(K.metric_ci_table(view(spark, sf_dir, "f_scores"), ["a", "b"], B, SEED), "mean", "low", "high", "width")
 
 
-@query("required_n", f"WITH {_L}, r AS (SELECT metric, n * pow(width / (0.2 * mean), 2) AS required FROM tab) SELECT metric, round(required, 4) AS required, ceil(required / 0.98)::BIGINT AS to_sample, required = (SELECT max(required) FROM r) AS is_binding FROM r")
+@query("required_n", f"WITH RECURSIVE {_L}, r AS (SELECT metric, n * pow(width / (0.2 * mean), 2) AS required FROM tab) SELECT metric, round(required, 4) AS required, ceil(required / 0.98)::BIGINT AS to_sample, required = (SELECT max(required) FROM r) AS is_binding FROM r")
 def required_n(spark, sf_dir):
     t = K.metric_ci_table(view(spark, sf_dir, "f_scores"), ["a", "b"], B, SEED)
     return K.required_n(t, failure_rate=0.02).select("metric", F.round("required", 4).alias("required"), F.col("to_sample").cast("long").alias("to_sample"), "is_binding")
@@ -111,17 +101,17 @@ def intervals(spark, sf_dir):
     return row("a-b", "recall@5", low, high).unionByName(row("a-b", "ndcg@10", low - 1, high + 1)).unionByName(row("b-a", "recall@5", -high, -low))
 
 
-@query("gate_table", f"WITH {_GATES} SELECT comparison, metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero, {_DIR} AS direction FROM g")
+@query("gate_table", f"WITH RECURSIVE {_GATES} SELECT comparison, metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero, {_DIR} AS direction FROM g")
 def gate_table(spark, sf_dir):
     return _r(K.gate_table(intervals(spark, sf_dir)), "low", "high")
 
 
-@query("gate_decision", f"WITH {_GATES} SELECT comparison, bool_and({_DIR} = 'better') AS passed FROM g WHERE comparison = 'a-b' OR metric = 'recall@5' GROUP BY comparison")
+@query("gate_decision", f"WITH RECURSIVE {_GATES} SELECT comparison, bool_and({_DIR} = 'better') AS passed FROM g WHERE comparison = 'a-b' OR metric = 'recall@5' GROUP BY comparison")
 def gate_decision(spark, sf_dir):
     return K.gate_decision(K.gate_table(intervals(spark, sf_dir)), {"b-a": ["recall@5"], "a-b": ["recall@5", "ndcg@10"]})
 
 
-@query("score_summary", f"WITH {_S} SELECT cls, round(avg(a), 6) AS mean_a, round(stddev_samp(a), 6) AS std_a FROM f_scores GROUP BY cls")
+@query("score_summary", f"WITH RECURSIVE {_S} SELECT cls, round(avg(a), 6) AS mean_a, round(stddev_samp(a), 6) AS std_a FROM f_scores GROUP BY cls")
 def score_summary(spark, sf_dir):
     return _r(O.score_summary(view(spark, sf_dir, "f_scores"), ["cls"], ["a"]), "mean_a", "std_a")
 
@@ -138,6 +128,6 @@ def _sub(n):
 _WS = ", ".join(f"s{n} AS ({_sub(n)}), l{n} AS (SELECT uid, 'a' AS metric, a AS v FROM s{n} UNION ALL SELECT uid, 'b', b FROM s{n}), {_draw(f'l{n}', 'v', f'x{n}', 'metric')}, m{n} AS (SELECT metric, b, avg(v) AS m FROM x{n} GROUP BY metric, b), w{n} AS (SELECT metric, (SELECT count(*) FROM s{n}) AS n, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS width FROM m{n} GROUP BY metric)" for n in (70, 50))
 
 
-@query("width_scaling", f"WITH {_L}, {_WS} SELECT u.metric, u.n, round(u.width, 6) AS width, round(tab.width * sqrt(tab.n / u.n), 6) AS predicted FROM (SELECT * FROM w70 UNION ALL SELECT * FROM w50) u JOIN tab USING (metric)")
+@query("width_scaling", f"WITH RECURSIVE {_L}, {_WS} SELECT u.metric, u.n, round(u.width, 6) AS width, round(tab.width * sqrt(tab.n / u.n), 6) AS predicted FROM (SELECT * FROM w70 UNION ALL SELECT * FROM w50) u JOIN tab USING (metric)")
 def width_scaling(spark, sf_dir):
     return _r(K.width_scaling(view(spark, sf_dir, "f_scores"), ["a", "b"], (70, 50), B, SEED), "width", "predicted")
