@@ -30,9 +30,7 @@ def clean_text(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """Lower case; runs of x are gone; letters, digits and single spaces only. Null becomes empty."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    for pattern in (r"x{2,}", r"[^a-z0-9 ]", r" +"):
-        t = F.regexp_replace(t, pattern, " ")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9]+|x{2,}", " "), r" {2,}", " "))
 
 
 def mentions(text: Column, term: str) -> Column:

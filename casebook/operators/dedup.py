@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,13 @@ from casebook.operators.numbering import dense_ids, numbered
 from casebook.session import written
 
 
+TOKEN = r"[\p{L}\p{N}_]{2,}"
+
+
 def ngram_terms(texts: DataFrame, uid: str = "uid", text: str = "text") -> DataFrame:
     """``(uid, term, tf)`` of word uni- and bigrams; tokens are runs of two
     letters, digits or underscores or more, of any script."""
-    tokens = texts.select(F.col(uid).alias("uid"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]{2,}"), 0).alias("t"))
+    tokens = texts.select(F.col(uid).alias("uid"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0).alias("t"))
     bigrams = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat(F.element_at("t", i), F.lit(" "), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
     return tokens.select("uid", F.explode(F.concat("t", bigrams)).alias("term")).groupBy("uid", "term").agg(F.count("*").alias("tf"))
 
@@ -48,10 +53,18 @@ def cosine_pairs(vectors: DataFrame, threshold: float, candidates: str = "prefix
 
     ``prefix`` finds every pair (``prefix_candidates``). ``signatures`` finds each pair with a chance of 98 % or more
     (``signature_candidates``), for tables whose rarest shared terms are still frequent."""
-    packed = written(packed_vectors(vectors), "packed")
+    return packed_pairs(written(packed_vectors(vectors), "packed"), threshold, candidates, block)
+
+
+def packed_pairs(packed: DataFrame, threshold: float, candidates: str = "prefix", block: int = 2048) -> DataFrame:
+    """``cosine_pairs`` of rows (uid, t, w), rarest terms first. A document's vector is sent once to its candidates on the
+    left, and to each of those on the right."""
     near = prefix_candidates(packed, threshold, block) if candidates == "prefix" else signature_candidates(packed, threshold, block)
-    side = lambda k: packed.select(F.col("uid").alias(k), F.col("t").alias(f"t{k}"), F.col("w").alias(f"w{k}"))
-    return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_dots, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    near = written(near, "candidates")
+    own = packed.join(near.select(F.col("a").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("a"), F.lit(None).cast("long").alias("b"), "t", "w")
+    others = near.join(packed.select(F.col("uid").alias("b"), "t", "w"), "b").select("a", "b", "t", "w")
+    met = own.unionByName(others).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return met.mapInArrow(_dots, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
 def packed_vectors(vectors: DataFrame) -> DataFrame:
@@ -161,15 +174,25 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 
 
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dot product of two sparse vectors a row."""
+    """Dot products of sparse vectors in rows (a, b, t, w) sorted by them: the row without b has a's own vector, the
+    others those of its candidates."""
+    left_t = left_w = None
     for batch in batches:
-        (ta, wa, ea), (tb, wb, eb) = ((_flat(batch.column(f"t{k}")), _flat(batch.column(f"w{k}")), batch.column(f"t{k}").offsets.to_numpy()) for k in "ab")
+        t, w, ends = _flat(batch.column("t")), _flat(batch.column("w")), batch.column("t").offsets.to_numpy()
+        mine = batch.column("b").is_null().to_numpy(zero_copy_only=False)
         out = np.zeros(batch.num_rows)
         for i in range(batch.num_rows):
-            x, y = ta[ea[i] : ea[i + 1]], tb[eb[i] : eb[i + 1]]
-            both, p, q = np.intersect1d(x, y, return_indices=True)
-            out[i] = wa[ea[i] : ea[i + 1]][p] @ wb[eb[i] : eb[i + 1]][q]
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a").cast(pa.int64()), "b": batch.column("b").cast(pa.int64()), "similarity": out})
+            x, y = t[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+            if mine[i]:
+                order = np.argsort(x)
+                left_t, left_w = x[order], y[order]
+                continue
+            at = np.searchsorted(left_t, x)
+            at[at == len(left_t)] = 0
+            same = left_t[at] == x
+            out[i] = left_w[at[same]] @ y[same]
+        keep = pa.array(~mine)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(out[~mine])], names=["a", "b", "similarity"])
 
 
 def _flat(column: pa.ListArray) -> np.ndarray:
@@ -179,29 +202,57 @@ def _flat(column: pa.ListArray) -> np.ndarray:
 def cluster_near_duplicates(texts: DataFrame, threshold: float = 0.9, uid: str = "uid", text: str = "text") -> DataFrame:
     """``(uid, cluster_id)`` for every row: dense ids in order of a cluster's smallest uid. Equal normalised texts are one
     document for the similarity join."""
-    t = texts.select(F.col(uid).alias("uid"), normalize_text(F.col(text)).alias("text")).where("uid IS NOT NULL")
-    # the digest stands for the text in the shuffle; minima are taken partly before it, so a text that very many rows have is no hot group
-    keyed = t.withColumn("d", F.when(F.col("text") == "", F.col("uid").cast("string")).otherwise(F.sha2("text", 256)))
-    firsts = keyed.groupBy("d").agg(F.min("uid").alias("rep"))
-    folded = written(keyed.join(firsts, "d").select("uid", "text", "rep"), "folded")
-    reps = folded.where("uid = rep")
-    # document counts are those of all rows, so that folding does not change a weight
-    pairs = cosine_pairs(tfidf_folded(folded), threshold)
+    t = spread(texts.select(F.col(uid).cast("long").alias("uid"), F.col(text).alias("text")).where("uid IS NOT NULL")).select("uid", normalize_text(F.col("text")).alias("text"))
+    # the texts end here: what goes on is their digests and counts of terms
+    digest = F.when(F.col("text") == "", F.col("uid").cast("string")).otherwise(F.sha2("text", 256))
+    keyed = written(t.withColumn("d", digest).mapInArrow(_term_counts, "uid long, d string, t array<long>, tf array<int>"), "term-counts")
+    # minima are taken partly before the shuffle, so a text that very many rows have is no hot group
+    firsts = written(keyed.groupBy("d").agg(F.min("uid").alias("rep"), F.count("*").alias("k")), "firsts")
+    # rows that share a uid and a text are one document
+    reps = keyed.join(firsts.select(F.col("rep").alias("uid"), "d", "k"), ["uid", "d"]).dropDuplicates(["uid", "d"])
+    pairs = packed_pairs(packed_documents(reps, keyed.count()), threshold)
     joined = connected_components(pairs, "a", "b").withColumnRenamed("node", "rep")
-    labelled = reps.select("rep").join(joined, "rep", "left").select("rep", F.coalesce("component", "rep").alias("smallest"))
-    roots = labelled.select("smallest").distinct()
-    return folded.join(labelled, "rep").join(dense_ids(roots, "smallest", "cluster_id"), "smallest").select("uid", "cluster_id")
-
-
-def tfidf_folded(folded: DataFrame, min_df: int = 2) -> DataFrame:
-    """``tfidf_vectors`` of the representatives of ``folded`` (uid, text, rep), counting every row."""
-    size = folded.groupBy("rep").agg(F.count("*").alias("k"))
-    terms = written(ngram_terms(folded.where("uid = rep")), "terms")
-    counted = terms.join(size.withColumnRenamed("rep", "uid"), "uid")
-    df = counted.groupBy("term").agg(F.sum("k").alias("df")).where(F.col("df") >= min_df)
-    n = folded.agg(F.count("*").alias("n"))
-    raw = terms.join(df, "term").join(F.broadcast(n)).select("uid", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
-    return _unit(raw)
+    labelled = firsts.join(joined, "rep", "left").select("d", F.coalesce("component", "rep").alias("smallest"))
+    roots = dense_ids(labelled.select("smallest").distinct(), "smallest", "cluster_id")
+    return keyed.select("uid", "d").join(labelled.join(roots, "smallest"), "d").select("uid", "cluster_id")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer partitions than there are cores, over all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def packed_documents(docs: DataFrame, n: int, min_df: int = 2) -> DataFrame:
+    """``packed_vectors`` of documents (uid, k, t, tf) that stand for ``k`` rows each, out of ``n``: document frequencies
+    count all rows, so folding equal texts changes no weight. Terms move as hashes."""
+    counted = written(docs.select("uid", "k", "t", "tf"), "counted")
+    long = counted.select("uid", "k", F.explode(F.arrays_zip("t", "tf")).alias("x")).select("uid", "k", "x.t", "x.tf")
+    df = long.groupBy("t").agg(F.sum("k").alias("df")).where(F.col("df") >= min_df)
+    x = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    weighed = long.join(df, "t").select("uid", "df", "t", x.alias("x"))
+    packed = weighed.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("df", "t", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return written(packed.select("uid", F.col("v.t").alias("t"), F.transform("v.x", lambda y: y / F.col("norm")).alias("w")), "packed")
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the hashes of its word uni- and bigrams, ascending, with their numbers."""
+    token = re.compile(TOKEN.replace(r"\p{L}\p{N}_", r"\w"))
+    for batch in batches:
+        words = [token.findall(t or "") for t in batch.column("text").to_pylist()]
+        coded = pa.array([w for row in words for w in row], pa.large_string()).dictionary_encode()
+        names = _scrambled(hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)) if len(coded.dictionary) else np.zeros(0, np.uint64)
+        flat = names[coded.indices.to_numpy()] if len(coded) else names
+        ts, tfs, at = [], [], 0
+        for row in words:
+            h = flat[at : at + len(row)]
+            at += len(row)
+            with np.errstate(over="ignore"):
+                both = np.concatenate([h, _scrambled(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])]) if len(h) else h
+            t, tf = np.unique(both.view(np.int64), return_counts=True)
+            ts.append(t)
+            tfs.append(tf.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("d"), pa.array(ts, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))], names=["uid", "d", "t", "tf"])
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
