@@ -6,13 +6,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cache_missing(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """Keys without a cached vector: only those are embedded."""
-    return keys.join(cache.select("uid"), "uid", "left_anti")
+def content_hash(*columns: str) -> Column:
+    """60 bits of a digest over values, each with its length, so that none runs into the next."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("long")
+
+
+def fingerprints(rows: DataFrame, content: list[str], group: list[str]) -> DataFrame:
+    """``(*group, n, total, mixed)``: number, sum and exclusive or of the content hashes of a group's rows, in any order.
+    Stored beside a cache, they tell whether it still is what would be made from the source."""
+    h = rows.select(*group, content_hash(*content).alias("h"))
+    return h.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+
+
+def cache_valid(source: DataFrame, stored: DataFrame, content: list[str], group: list[str]) -> DataFrame:
+    """``(*group, n_source, n_stored, valid)``: a decision per cache. ``stored`` holds the ``fingerprints`` that were
+    taken when the caches were made. A cache whose source is gone, and a source without a cache, are not valid."""
+    now = fingerprints(source, content, group)
+    old = stored.select(*group, F.col("n").alias("n_stored"), F.col("total").alias("old_total"), F.col("mixed").alias("old_mixed"))
+    j = now.join(old, group, "full")
+    same = (F.col("n") == F.col("n_stored")) & (F.col("total") == F.col("old_total")) & (F.col("mixed") == F.col("old_mixed"))
+    return j.select(*group, F.coalesce("n", F.lit(0)).alias("n_source"), F.coalesce("n_stored", F.lit(0)).alias("n_stored"), F.coalesce(same, F.lit(False)).alias("valid"))
+
+
+def to_embed(source: DataFrame, cache: DataFrame, decisions: DataFrame, content: list[str], group: list[str]) -> DataFrame:
+    """Rows of ``source`` (uid, ...) to be embedded: of the caches that ``cache_valid`` decided against, those whose
+    content hash the cache (uid, content_hash, the group) does not hold. Valid caches are not looked at row by row."""
+    stale = source.join(decisions.where("NOT valid").select(*group), group, "left_semi").withColumn("content_hash", content_hash(*content))
+    return stale.join(cache.select("uid", "content_hash", *group), ["uid", "content_hash", *group], "left_anti")
 
 
 def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:

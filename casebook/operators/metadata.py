@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.session import written
+
 
 def projection_rollup(projections: DataFrame) -> DataFrame:
     return projections.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_list("filename")), ";").alias("image_ids"), F.array_join(F.array_sort(F.collect_set("projection")), ";").alias("projections_available"), F.count("*").alias("num_images"))
@@ -61,25 +63,32 @@ def hashed_order(*columns, seed: int):
 
 
 def sample_stratified(rows: DataFrame, cls: str, n: int, seed: int) -> DataFrame:
-    """Per class ``min(size, max(1, n // classes))`` rows in hashed order, filled up from the others, cut to ``n``."""
+    """Per class ``min(size, max(1, n // classes))`` rows in hashed order, filled up from the others, cut to ``n``.
+
+    The best rows of a class are found by a limited rank, of which every task sends its own best alone; the filling is an
+    ordered limit. No task holds a class."""
     k = rows.select(cls).distinct().count()
     take = max(1, n // max(k, 1))
-    h = hashed_order("uid", seed=seed)
-    ranked = rows.withColumn("__h", h).withColumn("__r", F.row_number().over(Window.partitionBy(cls).orderBy("__h", "uid")))
-    return ranked.orderBy((F.col("__r") > take).cast("int"), "__h", "uid").limit(n).drop("__h", "__r")
+    hashed = rows.withColumn("__h", hashed_order("uid", seed=seed))
+    best = hashed.withColumn("__r", F.row_number().over(Window.partitionBy(cls).orderBy("__h", "uid"))).where(F.col("__r") <= take).drop("__r")
+    best = written(best.orderBy("__h", "uid").limit(n), "sample")
+    missing = n - best.count()
+    rest = hashed.join(best.select("uid"), "uid", "left_anti").orderBy("__h", "uid").limit(missing)
+    return best.unionByName(rest.select(*best.columns)).drop("__h")
 
 
 def sample_n(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(hashed_order("uid", seed=seed), "uid").limit(n)
 
 
-def derangement(ids: DataFrame, seed: int, shares: int = 16) -> DataFrame:
-    """``(uid, partner)``: a permutation without fixed point. Ids are put into hashed order within shares, and each takes
-    the next; the last of a share takes the first of the next share that has any."""
-    h = hashed_order("uid", seed=seed)
-    put = ids.select("uid").distinct().withColumn("h", h).withColumn("s", F.col("h") % shares)
-    w = Window.partitionBy("s").orderBy("h", "uid")
-    next_ = put.select("uid", "s", F.lead("uid").over(w).alias("n"))
-    firsts = put.groupBy("s").agg(F.min_by("uid", F.struct("h", "uid")).alias("f"))  # one row per share
-    ring = firsts.select("s", F.coalesce(F.lead("f").over(Window.orderBy("s")), F.first("f").over(Window.orderBy("s"))).alias("f2"))
-    return next_.join(F.broadcast(ring), "s").select("uid", F.coalesce("n", "f2").alias("partner"))
+def derangement(ids: DataFrame, seed: int) -> DataFrame:
+    """``(uid, partner)``: a permutation without fixed point (but for a single id). Ids are put into hashed order over
+    ranges, and each takes the next; the last of a range takes the first of the next range that has any, and the last of
+    all the first of all. Beyond its range a task needs to know range ends alone."""
+    put = ids.select("uid").distinct().withColumn("h", hashed_order("uid", seed=seed))
+    ranged = written(put.repartitionByRange("h", "uid").withColumn("__p", F.spark_partition_id()), "ranged")
+    next_ = ranged.select("uid", "__p", F.lead("uid").over(Window.partitionBy("__p").orderBy("h", "uid")).alias("n"))
+    firsts = ranged.groupBy("__p").agg(F.min_by("uid", F.struct("h", "uid")).alias("f"))  # a row per range
+    w = Window.orderBy("__p")
+    ring = firsts.select("__p", F.coalesce(F.lead("f").over(w), F.first("f").over(w)).alias("f2"))
+    return next_.join(ring, "__p").select("uid", F.coalesce("n", "f2").alias("partner"))

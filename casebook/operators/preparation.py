@@ -103,11 +103,18 @@ def masked_area(regions: Column) -> Column:
     return F.aggregate(regions, F.lit(0).cast("long"), lambda s, x: s + (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]))
 
 
-def masking_log_summary(log: DataFrame, regions: str = "regions") -> DataFrame:
-    """One row over images with their masked regions: images, regions, images with any, and their share."""
-    n = log.select(F.size(regions).alias("n"))
-    some = F.count_if(F.col("n") > 0)
-    return n.agg(F.count("*").alias("images"), F.sum("n").alias("regions"), some.alias("masked"), (some / F.count("*")).alias("share_masked"))
+def masking_log(images: DataFrame, regions: str = "regions", seconds: str | None = None) -> DataFrame:
+    """One row per image: image_id, num_regions_detected, confidence_scores (joined by ``;`` in the regions' order),
+    masking_applied, processing_time_sec (null without a column of times)."""
+    scores = F.array_join(F.transform(regions, lambda r: r["confidence"].cast("string")), ";")
+    n = F.coalesce(F.size(regions), F.lit(0))
+    return images.select("image_id", n.alias("num_regions_detected"), F.coalesce(scores, F.lit("")).alias("confidence_scores"), (n > 0).alias("masking_applied"), (F.col(seconds) if seconds else F.lit(None)).cast("double").alias("processing_time_sec"))
+
+
+def masking_log_summary(log: DataFrame) -> DataFrame:
+    """One row over the rows of ``masking_log``: images, regions, images with any, their share, and the mean time."""
+    some = F.count_if("masking_applied")
+    return log.agg(F.count("*").alias("images"), F.sum("num_regions_detected").alias("regions"), some.alias("masked"), (some / F.count("*")).alias("share_masked"), F.avg("processing_time_sec").alias("mean_seconds"))
 
 
 # ---------------------------------------------------------------- pools and summaries
@@ -134,15 +141,18 @@ def review_sample(rows: DataFrame, texts: DataFrame, cls: str, n: int, seed: int
     return sample_stratified(rows.select("uid", cls), cls, n, seed).join(texts, "uid", "left").withColumn("rating", F.lit(None).cast("int"))
 
 
-def review_detail(near: DataFrame, case_labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Neighbours with the labels shared with their query and the findings and impression of both sides."""
+def review_detail(near: DataFrame, case_labels: DataFrame, texts: DataFrame, cases: DataFrame) -> DataFrame:
+    """Neighbours (query, uid, rank, similarity) as a sheet to be rated: primary labels of both sides from ``cases`` (uid,
+    primary_label); ``first_label``, the neighbour's first label in class order; the labels shared with the query, how
+    many and whether any; findings and impression of both sides; an empty ``rating``."""
     own = case_labels.groupBy("uid").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     n = near.join(own, "uid").join(own.select(F.col("uid").alias("query"), F.col("labels").alias("q_labels")), "query")
     both = F.array_sort(F.array_intersect("labels", "q_labels"))
     side = lambda key, name: texts.select(F.col("uid").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("findings", "impression")])
-    j = n.join(side("uid", "case"), "uid", "left").join(side("query", "query"), "query", "left")
+    primary = lambda key, name: cases.select(F.col("uid").alias(key), F.col("primary_label").alias(f"{name}_primary"))
+    j = n.join(side("uid", "case"), "uid", "left").join(side("query", "query"), "query", "left").join(primary("uid", "case"), "uid", "left").join(primary("query", "query"), "query", "left")
     said = [F.coalesce(f"{s}_{c}", F.lit("")).alias(f"{s}_{c}") for s in ("case", "query") for c in ("findings", "impression")]
-    return j.select("query", "uid", "rank", both.alias("overlap"), (F.size(both) > 0).alias("proxy_relevant"), *said)
+    return j.select("query", "uid", "rank", "similarity", "query_primary", "case_primary", F.element_at("labels", 1).alias("first_label"), both.alias("overlap"), F.size(both).alias("overlap_count"), (F.size(both) > 0).alias("proxy_relevant"), *said, F.lit(None).cast("int").alias("rating"))
 
 
 def score_summary(scores: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

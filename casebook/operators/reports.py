@@ -26,16 +26,16 @@ def create_report_rows(drafts: DataFrame) -> DataFrame:
 def fold_edits(reports: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold an ordered log over reports: ``(state, decisions)``.
 
-    ``reports`` (report_id, owner, findings, impression), ``log`` (event_id, report_id, at, actor, kind, findings,
-    impression); kind is ``edit`` or ``finalize``. An event counts when its actor owns the report (no owner, no match)
-    and the report is not final yet; an edit overlays its non-null fields, even none; finalising needs findings and
-    impression that are not blank as they stand then. Events go by (at, event_id). Rejected ones keep a reason."""
+    ``reports`` (report_id, owner, the ``EDITABLE`` fields), ``log`` (event_id, report_id, at, actor, kind, the same
+    fields); kind is ``edit`` or ``finalize``. An event counts when its actor owns the report (no owner, no match) and the
+    report is not final yet; an edit overlays its non-null fields, even none; finalising needs findings and impression
+    that are not blank as they stand then. Events go by (at, event_id). Rejected ones keep a reason. In ``decisions``,
+    ``<field>_now`` is a field as it stands after the owner's edits up to the event."""
     w = Window.partitionBy("report_id").orderBy("at", "event_id")
-    j = log.join(reports.select("report_id", "owner", F.col("findings").alias("f0"), F.col("impression").alias("i0")), "report_id")
+    j = log.join(reports.select("report_id", "owner", *[F.col(f).alias(f"{f}_first") for f in EDITABLE]), "report_id")
     owned = j.withColumn("own", F.coalesce(F.col("actor") == F.col("owner"), F.lit(False)))
     edit = (F.col("kind") == "edit") & F.col("own")
-    for field, first in (("findings", "f0"), ("impression", "i0")):
-        owned = owned.withColumn(f"{field}_now", F.coalesce(F.last(F.when(edit, F.col(field)), ignorenulls=True).over(w), F.col(first)))
+    owned = owned.withColumns({f"{f}_now": F.coalesce(F.last(F.when(edit, F.col(f)), ignorenulls=True).over(w), F.col(f"{f}_first")) for f in EDITABLE})
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     complete = ~blank(F.col("findings_now")) & ~blank(F.col("impression_now"))
     closes = (F.col("kind") == "finalize") & F.col("own") & complete
@@ -43,33 +43,41 @@ def fold_edits(reports: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame
     here = F.struct("at", "event_id")
     seen = owned.withColumn("end", end).withColumn("late", F.coalesce(here > F.col("end"), F.lit(False)))
     reason = F.when(~F.col("own"), "not the owner").when(F.col("late"), "already final").when((F.col("kind") == "finalize") & ~complete, "incomplete")
-    decisions = seen.select("event_id", "report_id", "kind", "at", "actor", reason.isNull().alias("accepted"), reason.alias("reason"), "findings_now", "impression_now")
-    good = decisions.where("accepted")
-    last = good.groupBy("report_id").agg(
-        F.max_by("findings_now", F.struct("at", "event_id")).alias("f1"), F.max_by("impression_now", F.struct("at", "event_id")).alias("i1"),
+    decisions = seen.select("event_id", "report_id", "kind", "at", "actor", reason.isNull().alias("accepted"), reason.alias("reason"), *[f"{f}_now" for f in EDITABLE])
+    last = decisions.where("accepted").groupBy("report_id").agg(
+        F.max_by(F.struct(*[F.col(f"{f}_now").alias(f) for f in EDITABLE]), F.struct("at", "event_id")).alias("now"),
         F.count_if(F.col("kind") == "edit").alias("edits"), F.max(F.when(F.col("kind") == "finalize", F.col("at"))).alias("finalized_at"), F.max(F.when(F.col("kind") == "finalize", F.col("actor"))).alias("finalized_by"),
     )
     s = reports.join(last, "report_id", "left")
-    status = F.when(F.col("finalized_at").isNotNull(), "final").when(F.col("edits") > 0, "doctor_edited").otherwise("ai_draft")
-    state = s.select("report_id", "owner", F.coalesce("f1", "findings").alias("findings"), F.coalesce("i1", "impression").alias("impression"), status.alias("status"), F.coalesce("edits", F.lit(0)).alias("edits"), "finalized_at", "finalized_by")
+    status = F.when(F.col("finalized_at").isNotNull(), STATUSES[3]).when(F.col("edits") > 0, STATUSES[2]).otherwise(STATUSES[0])
+    content = [F.when(F.col("now").isNotNull(), F.col(f"now.{f}")).otherwise(F.col(f)).alias(f) for f in EDITABLE]
+    state = s.select("report_id", "owner", *content, status.alias("status"), F.coalesce("edits", F.lit(0)).alias("edits"), "finalized_at", "finalized_by")
     return state, decisions
 
 
 def audit_trail(decisions: DataFrame) -> DataFrame:
     """One row per report: its accepted edits in order; finalising leaves none."""
-    rows = decisions.where("accepted AND kind = 'edit'").groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "actor"))).alias("audit"))
-    return rows
+    return decisions.where("accepted AND kind = 'edit'").groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "actor"))).alias("audit"))
 
 
-def report_detail(store: DataFrame, state: DataFrame, decisions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per report: its columns, the draft as it was generated, the content as it stands after the edits of
-    ``fold_edits`` (state and decisions), evidence in order of rank, and the audit rows in order of time.
+def report_detail(store: DataFrame, state: DataFrame, decisions: DataFrame, evidence: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per report: its columns; the draft as it was generated and the content as it stands after the edits of
+    ``fold_edits`` (state and decisions), both as structs of all seven ``FIELDS``; the warnings of its validation and
+    whether there are none; the evidence as whole cases in order of rank, at a similarity of 1; the audit rows by time.
 
-    ``store`` (report_id, session_id, patient_id, doctor_id, status, findings), ``evidence`` (session_id, uid, rank)."""
-    listed = evidence.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "uid"))).alias("evidence"))
-    now = state.select("report_id", F.col("findings").alias("now"), F.col("finalized_at"), F.col("finalized_by"))
+    ``store`` (report_id, session_id, patient_id, doctor_id, status, the fields, validation_warnings), ``evidence``
+    (session_id, uid, rank), ``cases`` (uid, ...); ids without a case fall out of the evidence."""
+    found = evidence.join(cases, "uid").withColumn("similarity", F.lit(1.0))
+    case = F.struct("rank", "uid", "similarity", *[c for c in cases.columns if c != "uid"])
+    listed = found.groupBy("session_id").agg(F.array_sort(F.collect_list(case)).alias("evidence"))
+    now = state.select("report_id", F.struct(*EDITABLE).alias("now"), "finalized_at", "finalized_by")
     j = store.join(listed, "session_id", "left").join(now, "report_id", "left").join(audit_trail(decisions), "report_id", "left")
-    return j.select("report_id", "session_id", "patient_id", "doctor_id", "status", F.coalesce("now", "findings").alias("content"), F.col("findings").alias("ai_draft_content"), "finalized_at", "finalized_by", "evidence", "audit")
+    content = [F.when(F.col("now").isNotNull(), F.col(f"now.{f}")).otherwise(F.col(f)).alias(f) if f in EDITABLE else F.col(f) for f in FIELDS]
+    warnings = F.coalesce("validation_warnings", F.array().cast("array<string>"))
+    return j.select(
+        "report_id", "session_id", "patient_id", "doctor_id", "status", F.struct(*content).alias("content"), F.struct(*FIELDS).alias("ai_draft_content"),
+        warnings.alias("validation_warnings"), (F.size(warnings) == 0).alias("is_clean"), "finalized_at", "finalized_by", "evidence", "audit",
+    )
 
 
 def prior_report(store: DataFrame, strict: bool = False) -> DataFrame:
@@ -94,10 +102,12 @@ def findings_diff(previous: Column, current: Column, classes: list[str]) -> Colu
 
 
 def compare_reports(store: DataFrame, classes: list[str], strict: bool = False) -> DataFrame:
-    """``prior_report`` and ``findings_diff`` for every report at once, with the days between the report dates."""
-    old = store.select(F.col("report_id").alias("prior_id"), F.col("findings").alias("old_text"), F.col("report_date").alias("old_date"))
-    j = store.join(prior_report(store, strict).select("report_id", "prior_id"), "report_id").join(old, "prior_id")
-    return j.select("report_id", "prior_id", "patient_id", findings_diff(F.col("old_text"), F.col("findings"), classes).alias("d"), F.date_diff("report_date", "old_date").alias("days")).select("report_id", "prior_id", "patient_id", "d.*", "days")
+    """``prior_report`` and ``findings_diff`` for every report at once, with the days between the report dates. A class
+    counts as mentioned in findings or impression."""
+    said = F.concat_ws(" ", "findings", "impression")
+    old = store.select(F.col("report_id").alias("prior_id"), said.alias("old_text"), F.col("report_date").alias("old_date"))
+    j = store.withColumn("text", said).join(prior_report(store, strict).select("report_id", "prior_id"), "report_id").join(old, "prior_id")
+    return j.select("report_id", "prior_id", "patient_id", findings_diff(F.col("old_text"), F.col("text"), classes).alias("d"), F.date_diff("report_date", "old_date").alias("days")).select("report_id", "prior_id", "patient_id", "d.*", "days")
 
 
 def dashboard_stats(store: DataFrame, as_of) -> DataFrame:

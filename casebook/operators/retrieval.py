@@ -116,11 +116,12 @@ def get_by_ids(requested: DataFrame, index: DataFrame) -> DataFrame:
     return requested.join(index, "uid").withColumn("similarity", F.lit(1.0))
 
 
-def session_evidence(requested: DataFrame, index: DataFrame, case_labels: DataFrame) -> DataFrame:
+def session_evidence(requested: DataFrame, index: DataFrame, case_labels: DataFrame, similarity: str = "unit") -> DataFrame:
     """``(query, evidence, votes)``: the stored cases of a session in the order of their ranks and the vote over them;
-    ``requested`` (query, uid, rank), ids without a case fall out."""
-    found = get_by_ids(requested, index)
-    listed = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "uid"))).alias("evidence"))
+    ``requested`` (query, uid, rank), ids without a case fall out. Cases weigh 1 each (``unit``), or what ``requested``
+    has as their similarity (``stored``)."""
+    found = get_by_ids(requested, index) if similarity == "unit" else requested.join(index, "uid")
+    listed = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "uid", "similarity"))).alias("evidence"))
     votes = label_vote(found, case_labels).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("vote_rank", "label", "vote_weight", "agreement"))).alias("votes"))
     return listed.join(votes, "query", "left")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casebook.functions.sequences import lcs_length, lcs_pairs
 from casebook.functions.stem import stem
 
 
@@ -65,19 +67,6 @@ def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     return j.select("case_id", F.when(hit, 100 * brevity * F.exp(folded["s"] / F.size("p"))).otherwise(0.0).alias("bleu"))
 
 
-def _lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence: the longest rising run of places in ``b``."""
-    places: dict[str, list[int]] = {}
-    for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    tops: list[int] = []
-    for x in a:
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(tops, j)
-            tops[k : k + 1] = [j]
-    return len(tops)
-
-
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """``(case_id, rouge_l)``: F-measure of the longest common subsequence of stemmed words (words of up to three letters
     stay as they are); 0 when a side has none."""
@@ -87,16 +76,94 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
             out = []
             for h, r in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist()):
                 h, r = ([stem(x) if len(x) > 3 else x for x in side] for side in (h, r))
-                out.append(2 * _lcs(h, r) / (len(h) + len(r)) if h and r else 0.0)
+                out.append(2 * lcs_length(h, r) / (len(h) + len(r)) if h and r else 0.0)
             yield pa.RecordBatch.from_pydict({"case_id": batch.column("case_id").cast(pa.int64()), "rouge_l": pa.array(out, pa.float64())})
 
     t = pairs.select("case_id", words(F.col("hyp")).alias("h"), words(F.col("ref")).alias("r"))
     return t.mapInArrow(score, "case_id long, rouge_l double")
 
 
-def tier1_table(pairs: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Scores of every case of ``statuses`` (case_id, status, reason); cases without a pair have nulls."""
-    return statuses.join(sentence_bleu(pairs), "case_id", "left").join(rouge_l(pairs), "case_id", "left")
+PLACES = 4_000_000
+
+
+def _runs(a: list[str], b: list[str], limit: int) -> list[tuple[int, int]]:
+    """Pairs of equal words, as many as can be, taken in common runs: the longest first, of equal ones the first."""
+    where: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        where.setdefault(w, []).append(j)
+    found: list[tuple[int, int]] = []
+    if sum(len(where.get(w, ())) for w in a) > limit:
+        found = lcs_pairs(a, b)
+        taken_a, taken_b = {i for i, _ in found}, {j for _, j in found}
+        left = {w: [j for j in js if j not in taken_b][::-1] for w, js in where.items()}
+        return found + [(i, left[w].pop()) for i, w in enumerate(a) if i not in taken_a and left.get(w)]
+    length: dict[tuple[int, int], int] = {}
+    for i in range(len(a) - 1, -1, -1):
+        for j in where.get(a[i], ()):
+            length[i, j] = 1 + length.get((i + 1, j + 1), 0)
+    heap = [(-n, i, j) for (i, j), n in length.items()]
+    heapify(heap)
+    free_a, free_b = [True] * len(a), [True] * len(b)
+    while heap:
+        n, i, j = heappop(heap)
+        free = 0
+        while free < -n and free_a[i + free] and free_b[j + free]:
+            free += 1
+        if free == -n:
+            for k in range(free):
+                free_a[i + k] = free_b[j + k] = False
+                found.append((i + k, j + k))
+        elif free:
+            heappush(heap, (-free, i, j))
+    return found
+
+
+def alignment(hyp: list[str], ref: list[str], limit: int = PLACES) -> list[tuple[int, int]]:
+    """Matched places of two word lists in stages: equal words, then equal stems of what is left. In a stage as many words
+    are matched as can be, in runs as long as can be, so that there are few of them. Where more than ``limit`` pairs of
+    places are equal, those of a longest common subsequence come first and the others in order."""
+    pairs: list[tuple[int, int]] = []
+    h, r = list(range(len(hyp))), list(range(len(ref)))
+    for form in (lambda w: w, stem):
+        found = _runs([form(hyp[i]) for i in h], [form(ref[j]) for j in r], limit)
+        pairs += [(h[i], r[j]) for i, j in found]
+        taken_h, taken_r = {i for i, _ in found}, {j for _, j in found}
+        h, r = [x for i, x in enumerate(h) if i not in taken_h], [x for j, x in enumerate(r) if j not in taken_r]
+    return sorted(pairs)
+
+
+def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """Weighted harmonic mean of precision and recall of the alignment, less a penalty for the number of stretches in
+    which both sides run in step. Synonyms are not matched."""
+    pairs = alignment(hyp, ref)
+    if not pairs:
+        return 0.0
+    precision, recall = len(pairs) / len(hyp), len(pairs) / len(ref)
+    stretches = 1 + sum(q != (p[0] + 1, p[1] + 1) for p, q in zip(pairs, pairs[1:]))
+    return precision * recall / (alpha * precision + (1 - alpha) * recall) * (1 - gamma * (stretches / len(pairs)) ** beta)
+
+
+def meteor(pairs: DataFrame) -> DataFrame:
+    """``(case_id, meteor)`` over lower-case words and marks; 0 when a side has none."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [meteor_score(h, r) for h, r in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"case_id": batch.column("case_id").cast(pa.int64()), "meteor": pa.array(out, pa.float64())})
+
+    split = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0)
+    return pairs.select("case_id", split(F.col("hyp")).alias("h"), split(F.col("ref")).alias("r")).mapInArrow(score, "case_id long, meteor double")
+
+
+def tier1_table(pairs: DataFrame, statuses: DataFrame, fields: tuple[str, ...] = ("findings", "impression")) -> DataFrame:
+    """Every case of ``statuses`` (case_id, status, reason) with a column per field and score, ``<field>_bleu``,
+    ``<field>_rouge_l`` and ``<field>_meteor``, over ``pairs`` (case_id, field, hyp, ref); cases without a pair have nulls."""
+    out = statuses
+    for f in fields:
+        own = pairs.where(F.col("field") == f).select("case_id", "hyp", "ref")
+        for name, scorer in (("bleu", sentence_bleu), ("rouge_l", rouge_l), ("meteor", meteor)):
+            out = out.join(scorer(own).withColumnRenamed(name, f"{f}_{name}"), "case_id", "left")
+    return out
 
 
 def baseline_mismatch(pairs: DataFrame, partners: DataFrame, metric: str, scorer) -> DataFrame:
@@ -108,30 +175,24 @@ def baseline_mismatch(pairs: DataFrame, partners: DataFrame, metric: str, scorer
     return real.join(base).withColumn("gap", F.col("real") - F.col("baseline"))
 
 
+PIECE = re.compile(r"\r?\n|\w+|[^\S\r\n]+|\r|[^\w\s]")
+
+
+def changed_words(a: str, b: str) -> int:
+    """Words removed and added by a shortest edit script over words, white space, line ends and punctuation; words of one
+    removed or added stretch are counted as white space separates them."""
+    x, y = PIECE.findall(a), PIECE.findall(b)
+    n, i, j = 0, 0, 0
+    for p, q in [*lcs_pairs(x, y), (len(x), len(y))]:
+        n += len("".join(x[i:p]).split()) + len("".join(y[j:q]).split())
+        i, j = p + 1, q + 1
+    return n
+
+
 def word_diff(rows: DataFrame, fields: tuple[str, ...], draft: str = "draft", final: str = "final") -> DataFrame:
     """``(id, edit_percentage, sections_changed)``: words added and removed over the words of the draft, times 100, over
     ``fields`` of the structs ``draft`` and ``final``; 0 when the draft has no words. A section counts as changed when its
-    text differs at all. The diff runs over words, white space and punctuation; words of one changed stretch are counted
-    as white space separates them."""
-    import re
-
-    piece = re.compile(r"\s+|\w+|[^\w\s]", re.UNICODE)
-
-    def changes(a: str, b: str) -> int:
-        from difflib import SequenceMatcher
-
-        x, y = piece.findall(a), piece.findall(b)
-        n = start = 0
-        while start < min(len(x), len(y)) and x[start] == y[start]:
-            start += 1
-        end = 0
-        while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
-            end += 1
-        x, y = x[start : len(x) - end], y[start : len(y) - end]
-        for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag != "equal":
-                n += len("".join(x[i1:i2]).split()) + len("".join(y[j1:j2]).split())
-        return n
+    text differs at all. The script is a shortest one; of several, which one is taken is not told."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -139,7 +200,7 @@ def word_diff(rows: DataFrame, fields: tuple[str, ...], draft: str = "draft", fi
             for i, d, e in zip(f["id"], f["d"], f["e"]):
                 texts = [(a or "", b or "") for a, b in zip(d, e)]
                 words = sum(len(a.split()) for a, _ in texts)
-                touched = sum(changes(a, b) for a, b in texts if a != b)
+                touched = sum(changed_words(a, b) for a, b in texts if a != b)
                 out.append((i, 100.0 * touched / words if words else 0.0, sum(a != b for a, b in texts)))
             yield pd.DataFrame(out, columns=["id", "edit_percentage", "sections_changed"])
 

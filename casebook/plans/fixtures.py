@@ -34,7 +34,11 @@ SQL = {
     "f_store": """SELECT o_orderkey AS report_id, o_orderkey AS session_id, o_custkey AS patient_id,
         CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_custkey % 25 END AS doctor_id,
         CASE WHEN o_orderstatus = 'O' THEN 'ai_draft' WHEN o_orderstatus = 'P' THEN 'doctor_edited' ELSE 'final' END AS status,
-        o_orderdate AS created_at, CAST(o_orderdate AS DATE) AS report_date, o_orderpriority AS findings, o_totalprice AS price FROM orders""",
+        o_orderdate AS created_at, CAST(o_orderdate AS DATE) AS report_date, o_orderpriority AS findings, o_totalprice AS price,
+        concat('study ', o_orderstatus) AS examination, concat('history ', CAST(o_custkey % 7 AS STRING)) AS clinical_history,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'AP' ELSE 'PA' END AS technique, CASE WHEN o_orderkey % 3 = 0 THEN 'now urgent.' WHEN o_orderkey % 7 = 0 THEN 'Low, not high' ELSE 'none' END AS impression,
+        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'review' END AS recommendation, 'machine draft' AS disclaimer,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'empty section: recommendation' END AS warning FROM orders""",
     "f_edit_log": """SELECT event_id, user_id AS report_id, user_id % 5 AS owner, event_id % 5 AS actor, ts AS happened,
         event_type AS action, value FROM events""",
     "f_detections": """SELECT l_orderkey AS image_id, l_linenumber AS region, l_discount * 10 AS confidence, CAST(l_quantity AS BIGINT) * 3 AS x0,
@@ -59,9 +63,8 @@ def duck(name: str) -> str:
 
 def derangement_sql(ids: str, seed: int) -> str:
     """CTEs that end in ``der`` (uid, partner) over the column uid of ``ids``."""
-    return f"""h AS (SELECT uid, (uid % 2147483647 * 48271 + {seed} * 69621) % 2147483647 AS h FROM {ids}), s AS (SELECT *, h % 16 AS s FROM h),
-nx AS (SELECT uid, s, lead(uid) OVER (PARTITION BY s ORDER BY h, uid) AS n FROM s), fs AS (SELECT s, uid AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, uid) AS r FROM s) WHERE r = 1),
-ring AS (SELECT s, coalesce(lead(f) OVER (ORDER BY s), (SELECT f FROM fs ORDER BY s LIMIT 1)) AS f2 FROM fs), der AS (SELECT uid, coalesce(n, f2) AS partner FROM nx JOIN ring USING (s))"""
+    return f"""h AS (SELECT uid, (uid % 2147483647 * 48271 + {seed} * 69621) % 2147483647 AS h FROM {ids}),
+der AS (SELECT uid, coalesce(lead(uid) OVER w, first_value(uid) OVER w) AS partner FROM h WINDOW w AS (ORDER BY h, uid))"""
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:

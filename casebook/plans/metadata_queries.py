@@ -66,10 +66,16 @@ def relevance_pairs(spark, sf_dir):
     return E.relevance_pairs(labels.where("uid % 20 BETWEEN 14 AND 16"), labels.where("uid % 20 < 14"))
 
 
-@query("review_detail", f"WITH {_NEAR}, ql AS (SELECT query, n.uid, rank, (SELECT string_agg(label, ';' ORDER BY label) FROM (SELECT label FROM f_case_labels a WHERE a.uid = n.query INTERSECT SELECT label FROM f_case_labels b WHERE b.uid = n.uid)) AS overlap FROM near n) SELECT query, ql.uid, rank, coalesce(overlap, '') AS overlap, overlap IS NOT NULL AS proxy_relevant, coalesce(t.findings, '') AS case_findings, coalesce(t.impression, '') AS case_impression, coalesce(u.findings, '') AS query_findings, coalesce(u.impression, '') AS query_impression FROM ql LEFT JOIN f_case_texts t ON t.uid = ql.uid LEFT JOIN f_case_texts u ON u.uid = ql.query")
+_REVIEW = f"""WITH {_NEAR}, lb AS (SELECT uid, list_sort(list(DISTINCT label)) AS l FROM f_case_labels GROUP BY uid),
+r AS (SELECT n.*, q.primary_label AS query_primary, c.primary_label AS case_primary, b.l[1] AS first_label, list_sort(list_intersect(a.l, b.l)) AS o FROM near n JOIN f_cases q ON q.uid = n.query JOIN f_cases c ON c.uid = n.uid JOIN lb a ON a.uid = n.query JOIN lb b ON b.uid = n.uid)
+SELECT query, r.uid, rank, round(similarity, 6) AS similarity, query_primary, case_primary, first_label, array_to_string(o, ';') AS overlap, len(o) AS overlap_count, len(o) > 0 AS proxy_relevant, coalesce(t.findings, '') AS case_findings, coalesce(t.impression, '') AS case_impression, coalesce(u.findings, '') AS query_findings, coalesce(u.impression, '') AS query_impression
+FROM r LEFT JOIN f_case_texts t ON t.uid = r.uid LEFT JOIN f_case_texts u ON u.uid = r.query"""
+
+
+@query("review_detail", _REVIEW)
 def review_detail(spark, sf_dir):
-    d = O.review_detail(near(spark, sf_dir), view(spark, sf_dir, "f_case_labels"), view(spark, sf_dir, "f_case_texts"))
-    return d.withColumn("overlap", F.array_join("overlap", ";"))
+    d = O.review_detail(near(spark, sf_dir), view(spark, sf_dir, "f_case_labels"), view(spark, sf_dir, "f_case_texts"), view(spark, sf_dir, "f_cases"))
+    return d.withColumns({"overlap": F.array_join("overlap", ";"), "overlap_count": F.col("overlap_count").cast("long"), "similarity": F.round("similarity", 6)}).drop("rating")
 
 
 @query("drop_reasons", f"WITH {_C}, {_KEYS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN split <> 'train' THEN 'not train' WHEN raw_path IS NULL THEN 'no image' WHEN masked_path IS NULL THEN 'not masked' END AS reason FROM f_cases JOIN keys USING (uid)) WHERE reason IS NOT NULL GROUP BY reason")

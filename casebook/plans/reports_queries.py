@@ -53,7 +53,20 @@ def prior_report_strict(spark, sf_dir):
 _PRIO = ["URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"]
 
 
-@query("compare_reports", f"WITH {_PRIOR} SELECT p.report_id, p.prior_id, p.patient_id, CASE WHEN o.c <> n.c THEN o.c ELSE '' END AS resolved, CASE WHEN o.c = n.c THEN n.c ELSE '' END AS persistent, CASE WHEN o.c <> n.c THEN n.c ELSE '' END AS new, date_diff('day', o.report_date, n.report_date) AS days FROM prior p JOIN (SELECT *, regexp_extract(findings, '(URGENT|HIGH|MEDIUM|NOT SPECIFIED|LOW)') AS c FROM f_store) n ON n.report_id = p.report_id JOIN (SELECT *, regexp_extract(findings, '(URGENT|HIGH|MEDIUM|NOT SPECIFIED|LOW)') AS c FROM f_store) o ON o.report_id = p.prior_id")
+def _mentions(c):
+    said = f"lower(concat_ws(' ', {c}.findings, {c}.impression))"
+    return [f"regexp_matches({said}, '(^|[^\\pL\\pN_]){x.lower()}($|[^\\pL\\pN_])')" for x in _PRIO]
+
+
+def _facts(join):
+    pick = lambda test: "concat_ws('" + join + "', " + ", ".join(f"CASE WHEN {test(o, n)} THEN '{x}' END" for x, o, n in zip(_PRIO, _mentions("o"), _mentions("n"))) + ")"
+    return f"{pick(lambda o, n: f'{o} AND NOT {n}')} AS resolved, {pick(lambda o, n: f'{o} AND {n}')} AS persistent, {pick(lambda o, n: f'{n} AND NOT {o}')} AS new, date_diff('day', o.report_date, n.report_date) AS days"
+
+
+_COMPARED = "FROM prior p JOIN f_store n ON n.report_id = p.report_id JOIN f_store o ON o.report_id = p.prior_id"
+
+
+@query("compare_reports", f"WITH {_PRIOR} SELECT p.report_id, p.prior_id, p.patient_id, {_facts(';')} {_COMPARED}")
 def compare_reports(spark, sf_dir):
     c = P.compare_reports(store(spark, sf_dir), _PRIO)
     for x in ("resolved", "persistent", "new"):
@@ -72,27 +85,38 @@ def findings_diff(spark, sf_dir):
     return j.select("doc_id", *[F.array_join(c, ";").alias(c) for c in ("resolved", "persistent", "new")])
 
 
+#: what an event of the log says of each field, in both engines
+_EDITS = {
+    "clinical_history": "CASE WHEN event_id % 11 = 0 THEN concat('h', CAST(event_id % 100 AS STRING)) END",
+    "technique": "CASE WHEN event_id % 7 = 0 THEN concat('t', CAST(event_id % 100 AS STRING)) END",
+    "findings": "CASE WHEN action = 'click' THEN concat('v', CAST(CAST(floor(value) AS BIGINT) AS STRING)) END",
+    "impression": "CASE WHEN action = 'view' THEN concat('v', CAST(CAST(floor(value) AS BIGINT) AS STRING)) WHEN action = 'signup' THEN '' END",
+    "recommendation": "CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'again' END",
+}
+_FIRST = {"clinical_history": "'old'", "technique": "CAST(NULL AS STRING)", "findings": "'draft'", "impression": "CASE WHEN report_id % 2 = 0 THEN 'draft' END", "recommendation": "'none'"}
+
+
 def fold(spark, sf_dir):
     e = view(spark, sf_dir, "f_edit_log")
-    num = F.concat(F.lit("v"), F.floor("value").cast("string"))
-    log = e.select("event_id", "report_id", F.col("happened").alias("at"), "actor", F.when(F.col("action") == "purchase", "finalize").otherwise("edit").alias("kind"), F.when(F.col("action") == "click", num).alias("findings"), F.when(F.col("action") == "view", num).when(F.col("action") == "signup", "").alias("impression"))
-    reports = e.select("report_id", F.when(F.col("report_id") % 11 > 0, F.col("owner")).alias("owner")).distinct().withColumn("findings", F.lit("draft")).withColumn("impression", F.when(F.col("report_id") % 2 == 0, "draft"))
+    log = e.select("event_id", "report_id", F.col("happened").alias("at"), "actor", F.when(F.col("action") == "purchase", "finalize").otherwise("edit").alias("kind"), *[F.expr(x).alias(f) for f, x in _EDITS.items()])
+    reports = e.select("report_id", F.when(F.col("report_id") % 11 > 0, F.col("owner")).alias("owner")).distinct().select("*", *[F.expr(x).alias(f) for f, x in _FIRST.items()])
     return P.fold_edits(reports, log)
 
 
-_FOLD = f"""{_E}, log AS (SELECT event_id, report_id, CASE WHEN report_id % 11 > 0 THEN owner END AS owner, actor, happened, CASE WHEN action = 'purchase' THEN 'finalize' ELSE 'edit' END AS kind,
-  CASE WHEN action = 'click' THEN concat('v', floor(value)::BIGINT) END AS f, CASE WHEN action = 'view' THEN concat('v', floor(value)::BIGINT) WHEN action = 'signup' THEN '' END AS i FROM f_edit_log),
+_NOW = ", ".join(f"coalesce(last_value(CASE WHEN own AND kind = 'edit' THEN {f} END IGNORE NULLS) OVER w, {_FIRST[f]}) AS {f}_now" for f in P.EDITABLE)
+_FOLD = f"""{_E}, log AS (SELECT event_id, report_id, CASE WHEN report_id % 11 > 0 THEN owner END AS owner, actor, happened, CASE WHEN action = 'purchase' THEN 'finalize' ELSE 'edit' END AS kind, {", ".join(f"{x} AS {f}" for f, x in _EDITS.items())} FROM f_edit_log),
 o AS (SELECT *, coalesce(actor = owner, false) AS own FROM log),
-c AS (SELECT *, coalesce(last_value(CASE WHEN own AND kind = 'edit' THEN f END IGNORE NULLS) OVER w, 'draft') AS fn, coalesce(last_value(CASE WHEN own AND kind = 'edit' THEN i END IGNORE NULLS) OVER w, CASE WHEN report_id % 2 = 0 THEN 'draft' END) AS im FROM o WINDOW w AS (PARTITION BY report_id ORDER BY happened, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-k AS (SELECT *, coalesce(trim(fn) <> '' AND trim(im) <> '', false) AS complete, row_number() OVER (PARTITION BY report_id ORDER BY happened, event_id) AS rn FROM c),
+c AS (SELECT *, {_NOW} FROM o WINDOW w AS (PARTITION BY report_id ORDER BY happened, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, coalesce(trim(findings_now) <> '' AND trim(impression_now) <> '', false) AS complete, row_number() OVER (PARTITION BY report_id ORDER BY happened, event_id) AS rn FROM c),
 z AS (SELECT *, min(CASE WHEN kind = 'finalize' AND own AND complete THEN rn END) OVER (PARTITION BY report_id) AS stop FROM k),
 dec AS (SELECT *, CASE WHEN NOT own THEN 'not the owner' WHEN coalesce(rn > stop, false) THEN 'already final' WHEN kind = 'finalize' AND NOT complete THEN 'incomplete' END AS reason FROM z),
-lst AS (SELECT report_id, arg_max(fn, rn) AS fn, max(rn) AS top, count(*) FILTER (kind = 'edit') AS edits, bool_or(kind = 'finalize') AS fin FROM dec WHERE reason IS NULL GROUP BY report_id)"""
+lst AS (SELECT report_id, max(rn) AS top, count(*) FILTER (kind = 'edit') AS edits, bool_or(kind = 'finalize') AS fin FROM dec WHERE reason IS NULL GROUP BY report_id),
+fin AS (SELECT r.report_id, {", ".join(f"CASE WHEN top IS NULL THEN {_FIRST[f].replace('report_id', 'r.report_id')} ELSE dec.{f}_now END AS {f}" for f in P.EDITABLE)}, CASE WHEN fin THEN 'final' WHEN edits > 0 THEN 'doctor_edited' ELSE 'ai_draft' END AS status, coalesce(edits, 0) AS edits FROM (SELECT DISTINCT report_id FROM log) r LEFT JOIN lst USING (report_id) LEFT JOIN dec ON dec.report_id = lst.report_id AND dec.rn = lst.top)"""
 
 
-@query("apply_edits", f"WITH {_FOLD} SELECT r.report_id, coalesce(lst.fn, 'draft') AS findings, coalesce(dec.im, CASE WHEN lst.fn IS NULL AND r.report_id % 2 = 0 THEN 'draft' END) AS impression, CASE WHEN fin THEN 'final' WHEN edits > 0 THEN 'doctor_edited' ELSE 'ai_draft' END AS status, coalesce(edits, 0) AS edits FROM (SELECT DISTINCT report_id FROM log) r LEFT JOIN lst USING (report_id) LEFT JOIN dec ON dec.report_id = lst.report_id AND dec.rn = lst.top")
+@query("apply_edits", f"WITH {_FOLD} SELECT * FROM fin")
 def apply_edits(spark, sf_dir):
-    return fold(spark, sf_dir)[0].select("report_id", "findings", "impression", "status", "edits")
+    return fold(spark, sf_dir)[0].select("report_id", *P.EDITABLE, "status", "edits")
 
 
 @query("finalize", f"WITH {_FOLD} SELECT report_id, event_id, actor, {_D.format('happened')} AS d FROM dec WHERE reason IS NULL AND kind = 'finalize'")
@@ -112,16 +136,22 @@ def audit_trail(spark, sf_dir):
     return a.select("report_id", F.array_join(F.transform("audit", lambda x: x["event_id"].cast("string")), ",").alias("events"))
 
 
-_DETAIL = f"WITH {_S}, {duck('f_neighbours')}, {_FOLD} SELECT s.report_id, status, coalesce(lst.fn, CASE WHEN s.report_id IN (SELECT report_id FROM log) THEN 'draft' END, s.findings) AS content, s.findings AS ai_draft_content, coalesce((SELECT string_agg(uid::VARCHAR, ',' ORDER BY turn, uid) FROM f_neighbours n WHERE n.query = s.report_id), '') AS evidence, coalesce((SELECT string_agg(event_id::VARCHAR, ',' ORDER BY happened, event_id) FROM dec WHERE dec.report_id = s.report_id AND reason IS NULL AND kind = 'edit'), '') AS audit FROM f_store s LEFT JOIN lst USING (report_id)"
+_TEXT = lambda c, fields: "concat_ws('|', " + ", ".join(f"coalesce({c(f)}, '-')" for f in fields) + ")"
+_DETAIL = f"""WITH {_S}, {duck('f_neighbours')}, {duck('f_cases')}, {_FOLD}
+SELECT s.report_id, s.status, {_TEXT(lambda f: f"CASE WHEN fin.report_id IS NULL THEN s.{f} ELSE fin.{f} END" if f in P.EDITABLE else f"s.{f}", P.FIELDS)} AS content, {_TEXT(lambda f: f"s.{f}", P.FIELDS)} AS ai_draft_content, coalesce(warning, '') AS warnings, warning IS NULL AS is_clean,
+coalesce((SELECT string_agg(concat(n.uid, ':', primary_label), ',' ORDER BY turn, n.uid) FROM f_neighbours n JOIN f_cases c ON c.uid = n.uid WHERE n.query = s.report_id), '') AS evidence,
+coalesce((SELECT string_agg(event_id::VARCHAR, ',' ORDER BY happened, event_id) FROM dec WHERE dec.report_id = s.report_id AND reason IS NULL AND kind = 'edit'), '') AS audit FROM f_store s LEFT JOIN fin ON fin.report_id = s.report_id"""
 
 
 @query("report_detail", _DETAIL)
 def report_detail(spark, sf_dir):
     state, decisions = fold(spark, sf_dir)
     n = view(spark, sf_dir, "f_neighbours").select(F.col("query").alias("session_id"), "uid", F.col("turn").alias("rank"))
-    d = P.report_detail(store(spark, sf_dir), state, decisions, n)
-    joined = lambda c, x: F.coalesce(F.array_join(F.transform(c, lambda e: e[x].cast("string")), ","), F.lit("")).alias(c)
-    return d.select("report_id", "status", "content", "ai_draft_content", joined("evidence", "uid"), joined("audit", "event_id"))
+    s = store(spark, sf_dir).withColumn("validation_warnings", F.when(F.col("warning").isNotNull(), F.array("warning")))
+    d = P.report_detail(s, state, decisions, n, view(spark, sf_dir, "f_cases").select("uid", "primary_label"))
+    text = lambda c: F.concat_ws("|", *[F.coalesce(f"{c}.{f}", F.lit("-")) for f in P.FIELDS]).alias(c)
+    joined = lambda c, x: F.coalesce(F.array_join(F.transform(c, x), ","), F.lit("")).alias(c)
+    return d.select("report_id", "status", text("content"), text("ai_draft_content"), F.array_join("validation_warnings", ";").alias("warnings"), "is_clean", joined("evidence", lambda e: F.concat(e["uid"].cast("string"), F.lit(":"), e["primary_label"])), joined("audit", lambda e: e["event_id"].cast("string")))
 
 
 def documents_json(spark, sf_dir):
@@ -206,11 +236,11 @@ def regen_inputs(spark, sf_dir):
     return r.select("report_id", "context_incomplete", has("[1] case ").alias("has_evidence"), has("Answers:\nsince ").alias("has_answers"), has("Notes: note ").alias("has_notes"))
 
 
-_PROMPT = "concat('You compare two reports.', chr(10), chr(10), 'Previous report:', chr(10), o.findings, chr(10), chr(10), 'Current report:', chr(10), n.findings, chr(10), chr(10), 'Resolved: ', CASE WHEN o.c <> n.c THEN o.c ELSE 'none' END, chr(10), 'Persistent: ', CASE WHEN o.c = n.c THEN n.c ELSE 'none' END, chr(10), 'New: ', CASE WHEN o.c <> n.c THEN n.c ELSE 'none' END, chr(10), 'Days between: ', date_diff('day', o.report_date, n.report_date), chr(10), chr(10), 'Say nothing that the facts do not.')"
-_PAIRED = "JOIN (SELECT *, regexp_extract(findings, '(URGENT|HIGH|MEDIUM|NOT SPECIFIED|LOW)') AS c FROM f_store)"
+_FACT = lambda c: f"CASE WHEN {c} <> '' THEN {c} ELSE 'none' END"
+_PROMPT = f"concat('You compare two reports.', chr(10), chr(10), 'Previous report:', chr(10), before, chr(10), chr(10), 'Current report:', chr(10), now, chr(10), chr(10), 'Resolved: ', {_FACT('resolved')}, chr(10), 'Persistent: ', {_FACT('persistent')}, chr(10), 'New: ', {_FACT('new')}, chr(10), 'Days between: ', days, chr(10), chr(10), 'Say nothing that the facts do not.')"
 
 
-@query("comparison_prompts", f"WITH {_PRIOR} SELECT p.report_id, {_PROMPT} AS prompt FROM prior p {_PAIRED} n ON n.report_id = p.report_id {_PAIRED} o ON o.report_id = p.prior_id")
+@query("comparison_prompts", f"WITH {_PRIOR}, f AS (SELECT p.report_id, o.findings AS before, n.findings AS now, {_facts(', ')} {_COMPARED}) SELECT report_id, {_PROMPT} AS prompt FROM f")
 def comparison_prompts(spark, sf_dir):
     s = store(spark, sf_dir)
     return P.comparison_prompts(P.compare_reports(s, _PRIO), s, "You compare two reports.", "Say nothing that the facts do not.")

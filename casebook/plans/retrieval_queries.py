@@ -81,6 +81,14 @@ def session_evidence(spark, sf_dir):
     return e.select("query", F.col("votes")[0]["label"].alias("top_label"), F.col("votes")[0]["vote_weight"].alias("vote_weight"), listed.alias("evidence")).where("top_label IS NOT NULL")
 
 
+@query("session_evidence_stored", f"WITH {_REQ}, {duck('f_case_labels')}, e AS (SELECT query, uid, turn AS rank, similarity FROM f_neighbours JOIN f_cases USING (uid)), v AS (SELECT query, label, sum(similarity) AS w, min(rank) AS r FROM e JOIN f_case_labels USING (uid) GROUP BY ALL), t AS (SELECT query, label, w FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(w, 9) DESC, r, label) AS k FROM v) WHERE k = 1) SELECT query, label AS top_label, round(w, 6) AS vote_weight, (SELECT round(sum(similarity), 6) FROM e WHERE e.query = t.query) AS similarities FROM t")
+def session_evidence_stored(spark, sf_dir):
+    asked = view(spark, sf_dir, "f_neighbours").select("query", "uid", F.col("turn").alias("rank"), F.col("similarity").cast("double").alias("similarity"))
+    e = R.session_evidence(asked, view(spark, sf_dir, "f_cases").select("uid", "primary_label"), view(spark, sf_dir, "f_case_labels"), "stored")
+    total = F.round(F.aggregate("evidence", F.lit(0.0), lambda s, x: s + x["similarity"]), 6)
+    return e.select("query", F.col("votes")[0]["label"].alias("top_label"), F.round(F.col("votes")[0]["vote_weight"], 6).alias("vote_weight"), total.alias("similarities")).where("top_label IS NOT NULL")
+
+
 @query("label_vote", f"WITH {_VOTE} SELECT query, label, round(vote_weight, 6) AS vote_weight, round(agreement, 6) AS agreement, vote_rank FROM ranked")
 def label_vote(spark, sf_dir):
     v = R.label_vote(near(spark, sf_dir), view(spark, sf_dir, "f_case_labels"))

@@ -51,10 +51,17 @@ def rouge_l(spark, sf_dir):
     return S.rouge_l(pairs(spark, sf_dir))
 
 
+@query("meteor")
+def meteor(spark, sf_dir):
+    return S.meteor(pairs(spark, sf_dir))
+
+
 @query("tier1_table")
 def tier1_table(spark, sf_dir):
     c = base(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"))
-    return S.tier1_table(pairs(spark, sf_dir), c)
+    p = pairs(spark, sf_dir)
+    both = p.withColumn("field", F.lit("findings")).unionByName(p.select("case_id", F.col("ref").alias("hyp"), F.col("hyp").alias("ref"), F.lit("impression").alias("field")))
+    return S.tier1_table(both, c)
 
 
 _DERP = f"""{_BLEU}, ids AS (SELECT case_id AS uid FROM f_pairs), {derangement_sql('ids', 9)},
@@ -70,12 +77,15 @@ def baseline_mismatch(spark, sf_dir):
     return found.select(*[F.round(c, 4).alias(c) for c in ("real", "baseline", "gap")])
 
 
-@query("word_diff")
+_WD = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+') AS w, coalesce(lang, '') AS lang FROM documents)"
+
+
+@query("word_diff", f"WITH {_WD} SELECT doc_id AS id, round(CASE WHEN len(w) + (lang <> '')::INT > 0 THEN 100.0 * 2 * (len(w) // 5) / (len(w) + (lang <> '')::INT) ELSE 0 END, 6) AS edit_percentage, (len(w) >= 5)::INT AS sections_changed FROM w")
 def word_diff(spark, sf_dir):
-    d = base(spark, sf_dir, "documents")
-    text, half = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2).cast("int")
-    # the edit: a phrase put into the middle of the whole text; the language field stays
-    edited = F.concat(F.substring(text, F.lit(1), F.coalesce(half, F.lit(0))), F.lit(" seen again. "), F.substring(text, F.coalesce(half, F.lit(0)) + 1, F.length(text)))
-    draft = F.struct(text.alias("findings"), F.coalesce("lang", F.lit("")).alias("impression"))
-    final = F.struct(edited.alias("findings"), F.coalesce("lang", F.lit("")).alias("impression"))
-    return S.word_diff(d.select(F.col("doc_id").alias("id"), draft.alias("draft"), final.alias("final")), ("findings", "impression"))
+    d = base(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), 0).alias("w"))
+    # the edit: every fifth word of the whole text is another one that occurs nowhere else; the language field stays
+    edited = F.transform("w", lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("zq_"), i)).otherwise(x))
+    draft = F.struct(F.array_join("w", " ").alias("findings"), F.col("lang").alias("impression"))
+    final = F.struct(F.array_join(edited, " ").alias("findings"), F.col("lang").alias("impression"))
+    found = S.word_diff(d.select(F.col("doc_id").alias("id"), draft.alias("draft"), final.alias("final")), ("findings", "impression"))
+    return found.withColumn("edit_percentage", F.round("edit_percentage", 6))

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from casebook.operators import reports as P
 from casebook.plans.fixtures import base, duck, view
 from casebook.plans.registry import query
+from casebook.plans.reports_queries import _PRIOR
 from casebook.plans.text_queries import detections
 from casebook.session import new_path
 from casebook.sources import tables as S
+from casebook.sources.versioned import VersionedTable
 
 
 @query("read_table", "SELECT c_custkey, c_mktsegment FROM customer")
@@ -57,26 +60,57 @@ def write_nested_log(spark, sf_dir):
 def append_results(spark, sf_dir):
     path = new_path(spark, "results")
     c = base(spark, sf_dir, "customer").select("c_custkey")
-    c.where("c_custkey % 3 = 0").withColumn("run", F.lit("old")).write.parquet(path)
-    S.append_results(c.withColumn("run", F.lit("new")), path, "c_custkey")
-    return spark.read.parquet(path)
+    S.append_results(c.where("c_custkey % 3 = 0").withColumn("run", F.lit("old")), path, "c_custkey", "first")
+    for _ in range(2):  # the second time it is a retry
+        S.append_results(c.withColumn("run", F.lit("new")), path, "c_custkey", "second")
+    return VersionedTable(spark, path, "c_custkey").read()
 
 
 @query("upsert_vectors", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
 def upsert_vectors(spark, sf_dir):
+    path = new_path(spark, "vectors")
     e = base(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    path = S.upsert_vectors(e.where("vec_id % 4 = 0").withColumn("version", F.lit(2)), e.withColumn("version", F.lit(1)), "vec_id")
-    return spark.read.parquet(path).select("vec_id", "version")
+    S.upsert_vectors(e.withColumn("version", F.lit(1)), path, "vec_id")
+    S.upsert_vectors(e.where("vec_id % 4 = 0").withColumn("version", F.lit(2)), path, "vec_id")
+    return VersionedTable(spark, path, "vec_id").read().select("vec_id", "version")
+
+
+def store(spark):
+    return S.CaseStore(spark, new_path(spark, "store"))
 
 
 @query("store_tables", f"WITH {duck('f_neighbours')} SELECT query AS session_id, uid::VARCHAR AS study_uid, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, uid::VARCHAR) AS rank FROM f_neighbours")
 def store_tables(spark, sf_dir):
-    root = new_path(spark, "store")
+    s = store(spark)
     n = view(spark, sf_dir, "f_neighbours").select(F.col("query").alias("session_id"), F.col("uid").cast("string").alias("study_uid"), F.col("similarity").cast("double").alias("similarity"))
     for half in (0, 1):
         part = n.where(F.col("session_id") % 2 == half)
-        S.append_session(spark, root, part.select("session_id").distinct(), part)
-    return spark.read.parquet(f"{root}/retrieved_evidence").select("session_id", "study_uid", F.col("rank").cast("long").alias("rank"))
+        s.add_sessions(part.select("session_id").distinct(), part)
+    return s.read("retrieved_evidence").select("session_id", "study_uid", F.col("rank").cast("long").alias("rank"))
+
+
+@query("store_reports", f"WITH {duck('f_store')} SELECT report_id, status, findings AS draft, warning IS NULL AS is_clean FROM f_store")
+def store_reports(spark, sf_dir):
+    s = store(spark)
+    r = view(spark, sf_dir, "f_store").withColumn("ai_draft_content", F.col("findings")).withColumn("final_content", F.col("findings")).withColumn("validation_warnings", F.when(F.col("warning").isNotNull(), F.array("warning")))
+    s.add("reports", r.where("report_id % 2 = 0"))
+    s.add("reports", r)
+    return s.read("reports").select("report_id", "status", F.col("ai_draft_content").alias("draft"), F.col("validation_warnings").isNull().alias("is_clean"))
+
+
+@query("store_comparisons", f"WITH {_PRIOR} SELECT p.report_id, p.prior_id, p.patient_id, date_diff('day', o.report_date, n.report_date) AS days FROM prior p JOIN f_store n ON n.report_id = p.report_id JOIN f_store o ON o.report_id = p.prior_id")
+def store_comparisons(spark, sf_dir):
+    s = store(spark)
+    s.add("comparisons", P.compare_reports(view(spark, sf_dir, "f_store"), ["URGENT", "LOW"]))
+    return s.read("comparisons").select("report_id", "prior_id", "patient_id", F.col("days").cast("long").alias("days"))
+
+
+@query("store_explanations", f"WITH {duck('f_pairs')} SELECT case_id AS report_id, ref AS question, hyp AS answer FROM f_pairs WHERE ref IS NOT NULL")
+def store_explanations(spark, sf_dir):
+    s = store(spark)
+    p = view(spark, sf_dir, "f_pairs").where("ref IS NOT NULL").select(F.col("case_id").alias("report_id"), F.col("ref").alias("question"), F.col("hyp").alias("answer"))
+    s.add("explanations", p)
+    return s.read("explanations")
 
 
 @query("read_case_json", "SELECT CAST(doc_id AS VARCHAR) AS study_uid, lang AS findings, source AS impression FROM documents")

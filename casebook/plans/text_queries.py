@@ -138,10 +138,22 @@ def pad_clip_boxes(spark, sf_dir):
     return r.select("image_id", F.size("r").cast("long").alias("boxes"), O.masked_area(F.col("r")).alias("area"))
 
 
-@query("masking_log_summary", f"WITH {duck('f_detections')}, per AS (SELECT image_id, count(*) FILTER (confidence >= 0.30) AS n FROM f_detections GROUP BY image_id) SELECT count(*) AS images, sum(n)::BIGINT AS regions, count(*) FILTER (n > 0) AS masked, round(count(*) FILTER (n > 0) / count(*), 6) AS share_masked FROM per")
+def masking_log_rows(spark, sf_dir):
+    kept = detections(spark, sf_dir).select("image_id", O.filter_regions(F.col("regions")).alias("regions"), (F.col("image_id") % 10 / 10).alias("seconds"))
+    return O.masking_log(kept, seconds="seconds")
+
+
+@query("masking_log", f"WITH {duck('f_detections')} SELECT image_id, count(*) FILTER (confidence >= 0.30) AS num_regions_detected, coalesce(round(sum(confidence) FILTER (confidence >= 0.30), 6), 0) AS confidences, count(*) FILTER (confidence >= 0.30) > 0 AS masking_applied, image_id % 10 / 10 AS processing_time_sec FROM f_detections GROUP BY image_id")
+def masking_log(spark, sf_dir):
+    # numbers are written as text in other ways in each engine: the joined scores are added up again
+    total = F.aggregate(F.transform(F.filter(F.split("confidence_scores", ";"), lambda x: x != ""), lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return masking_log_rows(spark, sf_dir).select("image_id", F.col("num_regions_detected").cast("long").alias("num_regions_detected"), F.round(total, 6).alias("confidences"), "masking_applied", "processing_time_sec")
+
+
+@query("masking_log_summary", f"WITH {duck('f_detections')}, per AS (SELECT image_id, count(*) FILTER (confidence >= 0.30) AS n FROM f_detections GROUP BY image_id) SELECT count(*) AS images, sum(n)::BIGINT AS regions, count(*) FILTER (n > 0) AS masked, round(count(*) FILTER (n > 0) / count(*), 6) AS share_masked, round(avg(image_id % 10 / 10), 6) AS mean_seconds FROM per")
 def masking_log_summary(spark, sf_dir):
-    log = detections(spark, sf_dir).select(O.filter_regions(F.col("regions")).alias("regions"))
-    return O.masking_log_summary(log).withColumn("share_masked", F.round("share_masked", 6))
+    s = O.masking_log_summary(masking_log_rows(spark, sf_dir))
+    return s.withColumns({"share_masked": F.round("share_masked", 6), "mean_seconds": F.round("mean_seconds", 6)})
 
 
 @query("present_binary", "SELECT doc_id, CASE WHEN (quality + 2 * toxic) IN (1, 3) THEN 1 ELSE 0 END AS present FROM labels")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from casebook.session import new_path, written
+from casebook.sources.versioned import VersionedTable
 
 
 def read_table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
@@ -51,26 +50,49 @@ def write_nested_log(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_results(new: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key is not there yet, one per key; returns how many."""
-    known = new.sparkSession.read.parquet(path).select(key)
-    fresh = written(new.join(known, key, "left_anti").dropDuplicates([key]), "fresh")  # counted and appended alike
-    fresh.write.mode("append").parquet(path)
-    return fresh.count()
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def upsert_vectors(new: DataFrame, current: DataFrame, key: str, path: str | None = None) -> str:
-    """New rows and the old ones that no new one replaces, under a new path, which is returned."""
-    target = path or new_path(new.sparkSession, "vectors")
-    new.unionByName(current.join(new.select(key), key, "left_anti"), allowMissingColumns=True).write.parquet(target)
-    return target
+def append_results(new: DataFrame, path: str, key: str, commit_id: str | None = None) -> int:
+    """Append rows whose key is not there yet, one per key, to the versioned table under ``path``, which is made if there
+    is none; returns how many. A repeated call with the same ``commit_id`` appends nothing."""
+    return VersionedTable(new.sparkSession, path, key, _ddl(new)).append(new, commit_id)
 
 
-def append_session(spark: SparkSession, root: str, sessions: DataFrame, near: DataFrame) -> None:
-    """Append sessions and their evidence, ranked, to the tables under ``root``."""
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("similarity"), "study_uid")))
-    sessions.write.mode("append").parquet(f"{root}/retrieval_sessions")
-    ranked.write.mode("append").parquet(f"{root}/retrieved_evidence")
+def upsert_vectors(new: DataFrame, path: str, key: str, commit_id: str | None = None) -> int:
+    """Put rows into the versioned collection under ``path``, in place of those with their keys; only the buckets of
+    these keys are rewritten. Of rows that repeat a key the largest stays."""
+    return VersionedTable(new.sparkSession, path, key, _ddl(new)).upsert(new, commit_id)
 
 
-EVIDENCE = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("study_uid", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+#: the tables of the case store with their keys and columns
+STORE = {
+    "retrieval_sessions": (("session_id",), "session_id long, patient_id long, doctor_id long, created_at timestamp"),
+    "retrieved_evidence": (("session_id", "rank"), "session_id long, rank int, study_uid string, similarity double"),
+    "reports": (("report_id",), "report_id long, session_id long, status string, ai_draft_content string, final_content string, validation_warnings array<string>, created_at timestamp"),
+    "comparisons": (("report_id", "prior_id"), "report_id long, prior_id long, patient_id long, resolved array<string>, persistent array<string>, new array<string>, days int"),
+    "explanations": (("report_id", "question"), "report_id long, question string, answer string"),
+}
+
+
+class CaseStore:
+    """Sessions, evidence, reports, comparisons, and questions with their answers, as versioned tables under ``root``.
+    Columns that the rows lack are null; those that the table lacks are left behind."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.tables = {name: VersionedTable(spark, f"{root}/{name}", list(key), schema) for name, (key, schema) in STORE.items()}
+
+    def read(self, name: str) -> DataFrame:
+        return self.tables[name].read()
+
+    def add(self, name: str, rows: DataFrame, commit_id: str | None = None) -> int:
+        """Append rows whose keys are new."""
+        fields = self.read(name).schema
+        return self.tables[name].append(rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]), commit_id)
+
+    def add_sessions(self, sessions: DataFrame, near: DataFrame, commit_id: str | None = None) -> int:
+        """Sessions and their evidence (session_id, study_uid, similarity), ranked by similarity, ties by study."""
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("similarity"), "study_uid")))
+        self.add("retrieved_evidence", ranked, commit_id)
+        return self.add("retrieval_sessions", sessions, commit_id)  # last: a session that is there has its evidence

@@ -53,3 +53,35 @@ def test_long_texts_in_time():
     long = list(range(1_000_000))
     edited = [*long[:10], -1, *long[10:999_000], *long[999_001:]]
     assert len(Q.lcs_pairs(long, edited)) == 999_999
+
+
+def test_meteor_by_hand():
+    from casebook.operators.scoring import alignment, meteor_score
+
+    a = "the cat sat on the mat".split()
+    assert alignment(a, a) == [(i, i) for i in range(6)]
+    assert meteor_score(a, a) == pytest.approx(1 - 0.5 * (1 / 6) ** 3)
+    # three of four words, in one stretch: P = 3/4, R = 3/6
+    assert meteor_score("the cat sat down".split(), a) == pytest.approx((0.75 * 0.5) / (0.9 * 0.75 + 0.1 * 0.5) * (1 - 0.5 * (1 / 3) ** 3))
+    # all six words, in two stretches that change places
+    b = "on the mat the cat sat".split()
+    assert len(alignment(b, a)) == 6 and meteor_score(b, a) == pytest.approx(1 - 0.5 * (2 / 6) ** 3)
+    # stems match where words don't
+    assert alignment(["cats", "sitting"], ["cat", "sit", "cats"]) == [(0, 2), (1, 1)]
+    assert meteor_score([], a) == meteor_score(a, []) == meteor_score(["x"], ["y"]) == 0
+    assert alignment(["a", "a", "b"], ["b", "a"]) == [(0, 1), (2, 0)]
+    g = random.Random(2)
+    for limit in (10**9, 0):
+        for _ in range(100):  # as many matches as there are equal words
+            x, y = ([g.choice("abcdefg") for _ in range(g.randrange(0, 25))] for _ in "xy")
+            pairs = alignment(x, y, limit)
+            assert all(x[i] == y[j] for i, j in pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == sum(min(x.count(w), y.count(w)) for w in "abcdefg")
+
+
+def test_changed_words():
+    from casebook.operators.scoring import changed_words
+
+    assert changed_words("Posteroanterior (PA) view", "Supine AP portable") == 6
+    assert changed_words("No effusion. Clear lungs.", "No effusion.\nClear lungs.") == 0
+    assert changed_words("No pleural effusion.", "No pleural effusion") == 1
+    assert changed_words("", "two words") == 2 and changed_words("same", "same") == 0
