@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.vectors import dot, l2_normalize
@@ -258,8 +258,10 @@ def index_build(records: DataFrame, vectors: DataFrame, dimension: int, path: st
     if dry_run or any(severity == "error" for severity, _, _ in found):
         return None, broken
     target = path or new_path(spark, "index")
-    records.join(vectors, "uid").write.parquet(target)
-    if spark.read.parquet(target).count() != counts.total:
+    seen = Observation()  # counted as it is written
+    records.join(vectors, "uid").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
+    # tasks that ran twice may have been counted twice: then the files decide
+    if seen.get["n"] != counts.total and spark.read.parquet(target).count() != counts.total:
         raise RuntimeError(f"{target} does not hold every record")
     return target, broken
 

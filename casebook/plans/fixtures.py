@@ -67,14 +67,12 @@ def derangement_sql(ids: str, seed: int) -> str:
 der AS (SELECT uid, coalesce(lead(uid) OVER w, first_value(uid) OVER w) AS partner FROM h WINDOW w AS (ORDER BY h, uid))"""
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables(spark, sf_dir)
-    return spark.sql(sql(name))
+    text = sql(name)
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", text):
+            base(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(text)
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -107,11 +107,16 @@ def test_derangement(spark):
 def test_stratify_keeps_clusters_whole(spark, sf_dir):
     from casebook.plans.clusters_queries import RATIOS, case_clusters
     from casebook.plans.fixtures import view
+    from tests.test_splits import greedy
 
     units = dedup.cluster_units(case_clusters(spark, sf_dir), view(spark, sf_dir, "f_case_labels"))
     got = dedup.iterative_stratify(units, RATIOS).toPandas()
     assert len(got) == units.count() and got.cluster_id.is_unique
-    assert abs((got.split == "train").mean() - 0.7) < 0.1
+    # ratios are those of studies, not of clusters: the heaviest clusters are dealt first, and train needs most
+    weight = {r.cluster_id: r.weight for r in units.collect()}
+    for name, share in RATIOS.items():
+        assert abs(sum(weight[c] for c in got[got.split == name].cluster_id) / sum(weight.values()) - share) < 0.1
+    assert dict(zip(got.cluster_id, got.split)) == greedy([(r.cluster_id, r.labels, r.weight) for r in units.collect()], RATIOS)
 
 
 def test_ann_recall(spark, sf_dir):
