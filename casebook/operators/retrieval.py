@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from casebook.functions.vectors import dot, l2_normalize
+from casebook.functions.vectors import dot
 from casebook.session import new_path
 
 
@@ -19,48 +19,117 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def knn_topk(queries: DataFrame, kb: DataFrame, k: int, block: int = 2048, slice_rows: int = 65_536) -> DataFrame:
+def knn_topk(queries: DataFrame, kb: DataFrame, k: int, block: int = 8192, slice_rows: int = 65_536) -> DataFrame:
     """Exact cosine neighbours: ``(query, uid, similarity, rank)``, ties by uid; a case is no neighbour of itself.
 
     Inputs are ``(uid, embedding)``. Queries are dealt into blocks of ``block`` vectors or so, each a few MB, and every
-    slice of the knowledge base, ``slice_rows`` vectors or so whatever the size of the base, meets every block: one matrix
-    product per pair, of which only the best ``k`` per query leave the task. The final rank is a window over ``k`` rows per query and slice.
+    slice of the knowledge base, ``slice_rows`` vectors or so whatever the size of the base, meets every block: a slice
+    streams past its block in small products, of which only the best ``k`` per query are kept. The final rank is a window
+    over ``k`` rows per query and slice.
     """
+    return topk_per_query(_streamed(queries, kb, k, block, slice_rows), k)
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    return df.select(F.col("uid").cast("long").alias("uid"), "embedding").where("uid IS NOT NULL AND embedding IS NOT NULL")
+
+
+def _streamed(queries: DataFrame, kb: DataFrame, k: int, block: int, slice_rows: int, codes: Callable | None = None) -> DataFrame:
+    """``(query, uid, similarity)``: the best ``k`` per query and slice; with ``codes`` only of cases that share a bucket."""
     spark = kb.sparkSession
-    numbered = queries.select(F.col("uid").cast("long").alias("uid"), "embedding").where("uid IS NOT NULL AND embedding IS NOT NULL")
-    n_blocks = max(1, -(-numbered.count() // block))
-    q = numbered.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).cast("int"))
-    base = kb.select(F.col("uid").cast("long").alias("uid"), "embedding").where("uid IS NOT NULL AND embedding IS NOT NULL")
-    # no slice outgrows a task; small bases still give every core some
+    q, base = _vectors(queries), _vectors(kb)
+    if q.schema["embedding"].dataType.elementType != base.schema["embedding"].dataType.elementType:
+        q, base = (x.withColumn("embedding", F.col("embedding").cast("array<double>")) for x in (q, base))
+    n_blocks = max(1, -(-q.count() // block))
+    # small bases still give every core some
     n_slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks, -(-base.count() // slice_rows))
-    q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    base = base.withColumn("s", F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(n_slices)).cast("int"))
-    base = base.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        ids = left.column("uid").to_numpy()
-        a = _matrix(left.column("embedding").combine_chunks())
-        a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-        top_s, top_u = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-        for batch in right.to_batches(max_chunksize=4096):
-            m = _matrix(batch.column("k_embedding"))
-            s = a @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T
-            u = np.broadcast_to(batch.column("k_uid").to_numpy(), s.shape)
-            s = np.where(u == ids[:, None], -np.inf, s)
-            top_s, top_u = np.concatenate([top_s, s], 1), np.concatenate([top_u, u], 1)
-            if top_s.shape[1] > k:
-                order = np.lexsort((top_u, -np.round(top_s, 9)), axis=1)[:, :k]
-                top_s, top_u = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_u, order, 1)
-        ok = np.isfinite(top_s)
-        return pa.table({"query": np.repeat(ids, ok.sum(1)), "uid": top_u[ok], "similarity": top_s[ok]})
-
-    # both sides may come from one table: names of its own for each side
-    q = q.select(F.col("b").alias("qb"), F.col("s").alias("qs"), F.col("uid").alias("uid"), F.col("embedding").alias("embedding"))
-    base = base.select(F.col("b").alias("kb"), F.col("s").alias("ks"), F.col("uid").alias("k_uid"), F.col("embedding").alias("k_embedding"))
-    near = q.groupBy("qb", "qs").cogroup(base.groupBy("kb", "ks")).applyInArrow(best, "query long, uid long, similarity double")
-    return topk_per_query(near, k)
+    q = q.select(F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("s"), F.lit(False).alias("is_base"), "uid", "embedding")
+    base = base.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(n_slices)).alias("s"), F.lit(True).alias("is_base"), "uid", "embedding")
+    both = q.unionByName(base).select((F.col("b") * n_slices + F.col("s")).cast("long").alias("g"), "is_base", "uid", "embedding")
+    met = both.repartition(n_blocks * n_slices, "g").sortWithinPartitions("g", "is_base")
+    return met.mapInArrow(_best(k, codes), "query long, uid long, similarity double")
+
+
+def _best(k: int, codes: Callable | None, rows: int = 2048, cells: int = 1 << 19):
+    """Rows (g, is_base, uid, embedding) sorted by the first two: a group's queries are held, its cases stream past them,
+    at most ``cells`` similarities at a time."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def found(held) -> Iterator[pa.RecordBatch]:
+        _, ids, _, _, top_s, _, top_u = held
+        for at in range(0, len(ids), 2048):
+            part = slice(at, at + 2048)
+            ok = np.isfinite(top_s[part])
+            yield pa.RecordBatch.from_pydict({"query": np.repeat(ids[part], ok.sum(1)), "uid": top_u[part][ok], "similarity": top_s[part][ok]})
+
+    def meet(held, uid: np.ndarray, m: np.ndarray) -> None:
+        _, ids, a, own, top_s, top_r, top_u = held
+        theirs = codes(m) if codes else None
+        u, step = unit(m).T, max(1, cells // max(1, len(uid)))
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            s = a[part] @ u
+            s[ids[part, None] == uid] = -np.inf
+            if codes:
+                s[~_shared(own[part], theirs)] = -np.inf
+            # equal to nine digits ranks by uid, so what equals the last one held is looked at too
+            pick = np.isfinite(s) & (s >= top_r[part, -1:] - 1e-9)
+            if s.shape[1] > k and pick.sum() > 8 * k * len(s):
+                finite = np.where(pick, s, -np.inf)
+                pick &= s >= np.partition(finite, -k, axis=1)[:, -k, None] - 2e-9
+            row, col = np.nonzero(pick)
+            if not len(row):
+                continue
+            row = np.concatenate([np.repeat(np.arange(len(s)), k), row])
+            sims, ids_ = np.concatenate([top_s[part].ravel(), s[pick]]), np.concatenate([top_u[part].ravel(), uid[col]])
+            order = np.lexsort((ids_, -np.round(sims, 9), row))
+            row = row[order]
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(s)))[row]
+            order = order[place < k]
+            top_s[part], top_u[part] = sims[order].reshape(-1, k), ids_[order].reshape(-1, k)
+            top_r[part] = np.round(top_s[part], 9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = None, []
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                g, is_base, uid, m = batch.column("g").to_numpy(), batch.column("is_base").to_numpy(zero_copy_only=False), batch.column("uid").to_numpy(), batch.column("embedding")
+                cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (is_base[1:] != is_base[:-1])) + 1).tolist(), len(g)]
+                for x, y in zip(cuts, cuts[1:]):
+                    if held is not None and held[0] != g[x]:
+                        yield from found(held)
+                        held = None
+                    if not is_base[x]:
+                        if waiting and waiting[0][0] != g[x]:
+                            waiting = []
+                        waiting.append((g[x], uid[x:y].copy(), _matrix(m.slice(x, y - x))))
+                        continue
+                    if held is None and waiting and waiting[0][0] == g[x]:
+                        ids, a = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
+                        held = (g[x], ids, unit(a), codes(a) if codes else None, np.full((len(ids), k), -np.inf), np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))
+                    waiting = []
+                    if held is not None:
+                        meet(held, uid[x:y], _matrix(m.slice(x, y - x)))
+        if held is not None:
+            yield from found(held)
+
+    return run
+
+
+def _shared(own: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Which of two sets of vectors share a bucket of a table, from their codes by (vector, table)."""
+    out = np.zeros((len(own), len(theirs)), bool)
+    for t in range(own.shape[1]):
+        order = np.argsort(theirs[:, t])
+        ranked = theirs[order, t]
+        start = np.searchsorted(ranked, own[:, t])
+        count = np.searchsorted(ranked, own[:, t], "right") - start
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        out[np.repeat(np.arange(len(own)), count), order[at]] = True
+    return out
 
 
 def topk_per_query(scored: DataFrame, k: int) -> DataFrame:
@@ -69,41 +138,25 @@ def topk_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, kb: DataFrame, k: int, bucket_rows: int = 256, least: float = 0.5, missed: float = 0.02, seed: int = 11) -> DataFrame:
+def ann_topk(queries: DataFrame, kb: DataFrame, k: int, bucket_rows: int = 256, least: float = 0.5, missed: float = 0.02, seed: int = 11, block: int = 8192, slice_rows: int = 65_536) -> DataFrame:
     """Approximate neighbours: signed random projections put unit vectors into buckets of several tables; cases that share
     a bucket with a query are ranked exactly. Every case is in every table.
 
     The number of planes follows the base, for buckets of about ``bucket_rows`` vectors; the number of tables follows
-    from it, so that a case with a cosine of ``least`` is missed with a chance of ``missed`` at most. Buckets join on ids
-    alone; each distinct pair then fetches its two vectors once."""
+    from it, so that a case with a cosine of ``least`` is missed with a chance of ``missed`` at most. Vectors move as in
+    ``knn_topk``, in blocks of queries and slices of the base; buckets are met inside the tasks, and neither codes nor
+    pairs leave them."""
     n = kb.count()
     planes = max(4, math.ceil(math.log2(max(1, n / bucket_rows))))
     same_side = 1 - math.acos(least) / math.pi
     tables = math.ceil(math.log(missed) / math.log1p(-(same_side**planes)))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _matrix(batch.column("embedding"))
-            if not len(m):
-                continue
-            normal = np.random.default_rng(seed).standard_normal((m.shape[1], planes * tables))
-            bits = (m @ normal > 0).reshape(len(m), tables, planes)
-            code = bits @ (1 << np.arange(planes))
-            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid").cast(pa.int64()), "codes": pa.array(code.tolist(), pa.list_(pa.int64()))})
-
-    def valid(df: DataFrame) -> DataFrame:
-        return df.select(F.col("uid").cast("long").alias("uid"), F.col("embedding").cast("array<double>").alias("embedding")).where("uid IS NOT NULL AND embedding IS NOT NULL")
-
-    def coded(df: DataFrame, name: str) -> DataFrame:
-        codes = valid(df).mapInArrow(sign, "uid long, codes array<long>")
-        return codes.select(F.col("uid").alias(name), F.posexplode("codes").alias("t", "code"))
-
-    def unit(df: DataFrame, name: str, vector: str) -> DataFrame:
-        return valid(df).select(F.col("uid").alias(name), l2_normalize(F.col("embedding")).alias(vector))
+    def codes(m: np.ndarray) -> np.ndarray:
+        normal = np.random.default_rng(seed).standard_normal((m.shape[1], planes * tables))
+        parts = [((m[at : at + 1024] @ normal > 0).reshape(-1, tables, planes) @ (1 << np.arange(planes))).astype(np.int32) for at in range(0, len(m), 1024)]
+        return np.concatenate(parts)
 
-    pairs = coded(queries, "query").join(coded(kb, "uid"), ["t", "code"]).where("query <> uid").select("query", "uid").distinct()
-    scored = pairs.join(unit(queries, "query", "q"), "query").join(unit(kb, "uid", "v"), "uid")
-    return topk_per_query(scored.select("query", "uid", dot(F.col("q"), F.col("v")).alias("similarity")), k)
+    return topk_per_query(_streamed(queries, kb, k, block, slice_rows, codes), k)
 
 
 def retrieve(near: DataFrame, least: float, k: int) -> DataFrame:
