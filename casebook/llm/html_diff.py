@@ -24,8 +24,8 @@ range with a window, and the text does not depend on the number of ranges.
 
 Null html counts as empty and gives an empty text. A null or malformed URL has no host; such pages have no neighbours
 and are spread by a hash. Repeated rows are copies of each other. A null page_id passes through, first in the order. An
-empty table gives an empty result. Lines that a page holds more than ``FREQUENT`` times are aligned in the order of
-their occurrence. Further columns are ignored.
+empty table gives an empty result. Lines that a page holds more than ``FREQUENT`` times are aligned exactly, by rows of
+bits. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebook.functions.sequences import lcs_pairs
+
 SPAN = 8  # places on either side in which neighbours are looked for
 FREQUENT = 64
 
@@ -167,19 +169,17 @@ def parse(page: str) -> Page:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices into ``a`` of a longest common subsequence of lines (Hunt and Szymanski's way)."""
+    """Indices into ``a`` of a longest common subsequence of lines: Hunt and Szymanski's way, which takes a step per pair
+    of equal lines, or where a shared line is frequent by diagonals or rows of bits."""
     places: dict[str, list[int]] = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
+    if any(len(places.get(line, ())) > FREQUENT for line in set(a)):
+        return {i for i, _ in lcs_pairs(a, b)}
     tops: list[int] = []
     chain: list[tuple] = []
-    met: Counter = Counter()
     for i, line in enumerate(a):
-        own = places.get(line, ())
-        if len(own) > FREQUENT:
-            met[line] += 1
-            own = own[met[line] - 1 : met[line]]
-        for j in reversed(own):
+        for j in reversed(places.get(line, ())):
             k = bisect_left(tops, j)
             link = (i, chain[k - 1] if k else None)
             if k == len(tops):
