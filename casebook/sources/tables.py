@@ -23,11 +23,17 @@ def load_taxonomy(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame(rows, "term string, kind string, class string, ord int")
 
 
-def read_case_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per case; the uid is the file's stem."""
-    part = "struct<findings:string,impression:string>"
-    df = spark.read.schema(f"generated {part}, ground_truth {part}").json(path, multiLine=True)
-    return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("study_uid"), "generated", "ground_truth")
+CASE_JSON = "generated struct<findings:string,impression:string>, ground_truth struct<findings:string,impression:string>"
+
+
+def read_case_json(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """One JSON file per case; the uid is the file's stem. With ``packed`` the files lie in a Parquet table (path, content)
+    under ``path``, a row per file: as many small files as there are cases take longer to open than to read."""
+    stem = lambda name: F.regexp_extract(name, r"([^/]+)\.json$", 1).alias("study_uid")
+    if packed:
+        files = spark.read.schema("path string, content string").parquet(path)
+        return files.select(stem(F.col("path")), F.from_json("content", CASE_JSON).alias("x")).select("study_uid", "x.generated", "x.ground_truth")
+    return spark.read.schema(CASE_JSON).json(path, multiLine=True).select(stem(F.input_file_name()), "generated", "ground_truth")
 
 
 def read_embeddings(spark: SparkSession, path: str, kind: str, split: str) -> DataFrame:
