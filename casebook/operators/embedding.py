@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +57,19 @@ def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed_batch(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 64) -> DataFrame:
-    """``(uid, embedding)`` of norm 1 (a zero vector stays zero), ``batch`` texts at a time in Arrow batches."""
-
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in frames:
-            parts = [embedder(s.iloc[a : a + batch].fillna("").tolist()) for a in range(0, len(s), batch)]
-            m = np.concatenate(parts) if parts else np.zeros((0, 1))
-            yield pd.Series(list((m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)))
-
-    run.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}  # not as text: Spark reads them
-    made = F.pandas_udf(run, "array<float>")
-    return texts.select("uid", made(F.col(text)).alias("embedding"))
+    """``(uid, embedding)`` of norm 1 (a zero vector stays zero), ``batch`` texts at a time, of which no more are held
+    as Python's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                m = embedder([t or "" for t in part.column("text").to_pylist()])
+                m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(list(m), pa.list_(pa.float32()))], names=["uid", "embedding"])
+
+    rows = texts.select("uid", F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"uid {rows.schema['uid'].dataType.simpleString()}, embedding array<float>")
 
 
 def embedding_run_summary(rows: DataFrame) -> DataFrame:
