@@ -89,6 +89,7 @@ def _shared(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
     return a @ b.T
 
 
+CHUNK = 512  # cases that meet a block of queries at a time
 SEEN = "query long, uid long, s double, relevance int, best boolean"
 
 
@@ -101,7 +102,7 @@ def _blocks(queries: DataFrame, kb: DataFrame, block: int, slice_rows: int) -> t
     return q, k
 
 
-def cosine_ranks(queries: DataFrame, kb: DataFrame, query_labels: DataFrame, kb_labels: DataFrame, k: int, block: int = 2048, slice_rows: int = 65_536) -> DataFrame:
+def cosine_ranks(queries: DataFrame, kb: DataFrame, query_labels: DataFrame, kb_labels: DataFrame, k: int, block: int = 2048, slice_rows: int = 32_768) -> DataFrame:
     """``(query, rank, relevance)`` by cosine (to nine digits), ties by uid: the first ``k`` ranks of each query, and that
     of its first relevant case wherever it lies. A task returns ``k + 1`` rows per query at most."""
     q = queries.select(F.col("uid").cast("long").alias("query"), "embedding").where("query IS NOT NULL AND embedding IS NOT NULL")
@@ -114,7 +115,7 @@ def cosine_ranks(queries: DataFrame, kb: DataFrame, query_labels: DataFrame, kb_
         if left.num_rows and right.num_rows:
             ids, a, labels = left.column("query").to_numpy(), _normed(left.column("embedding").combine_chunks()), left.column("labels").to_pylist()
             held = {c: np.zeros(0) for c in ("i", "uid", "s", "rel", "best")}
-            for batch in right.to_batches(max_chunksize=4096):
+            for batch in right.to_batches(max_chunksize=CHUNK):
                 uid = batch.column("uid").to_numpy()
                 s = np.round(a @ _normed(batch.column("k_embedding")).T, 9)
                 rel = _shared(labels, batch.column("k_labels").to_pylist())
@@ -145,7 +146,7 @@ def cosine_ranks(queries: DataFrame, kb: DataFrame, query_labels: DataFrame, kb_
         ids = left.column("query").to_numpy()
         if left.num_rows and right.num_rows:
             a, s0, u0 = _normed(left.column("embedding").combine_chunks()), left.column("s0").to_numpy()[:, None], left.column("u0").to_numpy()[:, None]
-            for batch in right.to_batches(max_chunksize=4096):
+            for batch in right.to_batches(max_chunksize=CHUNK):
                 uid = batch.column("uid").to_numpy()[None, :]
                 s = np.round(a @ _normed(batch.column("k_embedding")).T, 9)
                 n += (((s > s0) | ((s == s0) & (uid < u0))) & (uid != u0) & (uid != ids[:, None])).sum(1)
