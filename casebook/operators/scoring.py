@@ -6,12 +6,11 @@ import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.functions.sequences import lcs_length, lcs_pairs
+from casebook.functions.sequences import lcs_length, lcs_pairs, script_pairs
 from casebook.functions.stem import stem
 
 
@@ -20,6 +19,13 @@ MARKS = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;",
 SPLITS = ((r"([{-~\[-` -&(-+:-@/])", r" {1} "), (r"([^0-9])([.,])", r"{1} {2} "), (r"([.,])([^0-9])", r" {1} {2}"), (r"([0-9])(-)", r"{1} {2} "))
 
 
+def lots(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows, so that no more texts than these are held as Python's."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def tokens(c: Column) -> Column:
     """Tokens of the standard tokenisation, case kept; null gives none."""
     t = F.coalesce(c, F.lit(""))
@@ -175,7 +181,7 @@ def baseline_mismatch(pairs: DataFrame, partners: DataFrame, metric: str, scorer
     return real.join(base).withColumn("gap", F.col("real") - F.col("baseline"))
 
 
-PIECE = re.compile(r"\r?\n|\w+|[^\S\r\n]+|\r|[^\w\s]")
+PIECE = re.compile(r"\w+|[^\S\r\n]+|\r?\n|\r|[^\w\s]")
 
 
 def changed_words(a: str, b: str) -> int:
@@ -183,8 +189,11 @@ def changed_words(a: str, b: str) -> int:
     removed or added stretch are counted as white space separates them."""
     x, y = PIECE.findall(a), PIECE.findall(b)
     n, i, j = 0, 0, 0
-    for p, q in [*lcs_pairs(x, y), (len(x), len(y))]:
-        n += len("".join(x[i:p]).split()) + len("".join(y[j:q]).split())
+    for p, q in [*script_pairs(x, y), (len(x), len(y))]:
+        if i < p:
+            n += len("".join(x[i:p]).split())
+        if j < q:
+            n += len("".join(y[j:q]).split())
         i, j = p + 1, q + 1
     return n
 
@@ -194,15 +203,16 @@ def word_diff(rows: DataFrame, fields: tuple[str, ...], draft: str = "draft", fi
     ``fields`` of the structs ``draft`` and ``final``; 0 when the draft has no words. A section counts as changed when its
     text differs at all. The script is a shortest one; of several, which one is taken is not told."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for i, d, e in zip(f["id"], f["d"], f["e"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in lots(batches):
+            percent, changed = [], []
+            for d, e in zip(part.column("d").to_pylist(), part.column("e").to_pylist()):
                 texts = [(a or "", b or "") for a, b in zip(d, e)]
                 words = sum(len(a.split()) for a, _ in texts)
                 touched = sum(changed_words(a, b) for a, b in texts if a != b)
-                out.append((i, 100.0 * touched / words if words else 0.0, sum(a != b for a, b in texts)))
-            yield pd.DataFrame(out, columns=["id", "edit_percentage", "sections_changed"])
+                percent.append(100.0 * touched / words if words else 0.0)
+                changed.append(sum(a != b for a, b in texts))
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "edit_percentage": pa.array(percent, pa.float64()), "sections_changed": pa.array(changed, pa.int32())})
 
     side = lambda c: F.array(*[F.col(f"{c}.{x}") for x in fields])
-    return rows.select("id", side(draft).alias("d"), side(final).alias("e")).mapInPandas(run, "id long, edit_percentage double, sections_changed int")
+    return rows.select(F.col("id").cast("long").alias("id"), side(draft).alias("d"), side(final).alias("e")).mapInArrow(run, "id long, edit_percentage double, sections_changed int")

@@ -85,3 +85,30 @@ def test_changed_words():
     assert changed_words("No effusion. Clear lungs.", "No effusion.\nClear lungs.") == 0
     assert changed_words("No pleural effusion.", "No pleural effusion") == 1
     assert changed_words("", "two words") == 2 and changed_words("same", "same") == 0
+
+
+def test_rest_that_lies_in_the_other(monkeypatch):
+    """Every fifth word of a text becomes one found nowhere else: no table of the two texts is needed."""
+
+    def never(*_):
+        raise AssertionError("searched")
+
+    g = random.Random(5)
+    a = [t for _ in range(4000) for t in (f"w{g.randrange(300)}", " ")]
+    b = [f"zq_{i}" if i % 10 == 8 else t for i, t in enumerate(a)]
+    monkeypatch.setattr(Q, "_by_rows", never)
+    for x, y in ((a, b), (b, a)):
+        pairs = Q.script_pairs(x, y)
+        assert len(pairs) == 7200 and all(x[i] == y[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_words_only_one_side_has(monkeypatch):
+    g = random.Random(7)
+    for few in (48, 0):
+        monkeypatch.setattr(Q, "FEW", few)
+        for _ in range(150):
+            a, b = ([g.randrange(lo, lo + 8) for _ in range(g.randrange(0, 40))] for lo in (0, 5))
+            for x, y in ((a, b), (b, a)):
+                pairs = Q.script_pairs(x, y)
+                assert all(x[i] == y[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+                assert len(pairs) == table_length(x, y)
