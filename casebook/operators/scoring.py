@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -11,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.sequences import lcs_length, lcs_pairs, script_pairs
-from casebook.functions.stem import stem
+from casebook.functions.stem import stem as stem_
 
+stem = lru_cache(1 << 16)(stem_)
 
 # fixed values: the standard tokenisation of machine-translation scores (mteval 13a): what is replaced, in order
 MARKS = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
@@ -42,51 +46,25 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def ngrams(t: Column, n: int) -> Column:
-    last = F.size(t) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def pieces(c: Column) -> Column:
+    """Lower-case words and marks; null gives none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0)
 
 
-def numbered(grams: Column, n: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+def bleu_score(hyp: list[str], ref: list[str], order: int = 4) -> float:
+    total, hits, divisor, orders = 0.0, 0, 1.0, min(order, len(hyp))
+    for n in range(1, orders + 1):
+        ours, theirs = (Counter(zip(*(side[k:] for k in range(n)))) for side in (hyp, ref))
+        found, size = sum(min(c, theirs[g]) for g, c in ours.items() if g in theirs), len(hyp) - n + 1
+        divisor *= 1 if found else 2
+        total += math.log(found / size) if found else -math.log(divisor * size)
+        hits += found
+    return 100 * (math.exp(1 - len(ref) / len(hyp)) if len(hyp) < len(ref) else 1.0) * math.exp(total / orders) if hits else 0.0
 
 
-def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
-    """``(case_id, bleu)`` in percent: clipped n-gram precisions up to ``order``, exponential smoothing of the orders
-    without a match, brevity penalty. A hypothesis of fewer tokens than ``order`` is scored on the orders it has. 0 when a
-    side has no token or nothing matches."""
-    t = pairs.select("case_id", tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-    sides = []
-    for side in ("h", "r"):
-        grams = F.flatten(F.array(*[numbered(ngrams(F.col(side), n), n) for n in range(1, order + 1)]))
-        sides.append(t.select("case_id", F.explode(grams).alias("x")).groupBy("case_id", "x.n", "x.g").agg(F.count("*").alias(f"c_{side}")))
-    match = sides[0].join(sides[1], ["case_id", "n", "g"], "left")
-    per = match.groupBy("case_id", "n").agg(F.sum(F.least("c_h", F.coalesce("c_r", F.lit(0)))).alias("m"), F.sum("c_h").alias("total"))
-    wide = per.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("n", "m", "total"))).alias("p"))
-    j = t.select("case_id", F.size("h").alias("lh"), F.size("r").alias("lr")).join(wide, "case_id", "left")
-    # state: (sum of logs, smoothing divisor, orders seen)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("d"), F.lit(0).alias("k"))
-    step = lambda a, x: F.when(x["m"] > 0, F.struct((a["s"] + F.log(x["m"] / x["total"])).alias("s"), a["d"].alias("d"), (a["k"] + 1).alias("k"))).otherwise(F.struct((a["s"] - F.log(a["d"] * 2 * x["total"])).alias("s"), (a["d"] * 2).alias("d"), (a["k"] + 1).alias("k")))
-    folded = F.aggregate("p", start, step)
-    hit = F.exists("p", lambda x: x["m"] > 0)
-    brevity = F.when(F.col("lh") < F.col("lr"), F.exp(1 - F.col("lr") / F.col("lh"))).otherwise(1.0)
-    return j.select("case_id", F.when(hit, 100 * brevity * F.exp(folded["s"] / F.size("p"))).otherwise(0.0).alias("bleu"))
-
-
-def rouge_l(pairs: DataFrame) -> DataFrame:
-    """``(case_id, rouge_l)``: F-measure of the longest common subsequence of stemmed words (words of up to three letters
-    stay as they are); 0 when a side has none."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for h, r in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist()):
-                h, r = ([stem(x) if len(x) > 3 else x for x in side] for side in (h, r))
-                out.append(2 * lcs_length(h, r) / (len(h) + len(r)) if h and r else 0.0)
-            yield pa.RecordBatch.from_pydict({"case_id": batch.column("case_id").cast(pa.int64()), "rouge_l": pa.array(out, pa.float64())})
-
-    t = pairs.select("case_id", words(F.col("hyp")).alias("h"), words(F.col("ref")).alias("r"))
-    return t.mapInArrow(score, "case_id long, rouge_l double")
+def rouge_score(hyp: list[str], ref: list[str]) -> float:
+    h, r = ([stem(x) if len(x) > 3 else x for x in side] for side in (hyp, ref))
+    return 2 * lcs_length(h, r) / (len(h) + len(r)) if h and r else 0.0
 
 
 PLACES = 4_000_000
@@ -98,16 +76,17 @@ def _runs(a: list[str], b: list[str], limit: int) -> list[tuple[int, int]]:
     for j, w in enumerate(b):
         where.setdefault(w, []).append(j)
     found: list[tuple[int, int]] = []
-    if sum(len(where.get(w, ())) for w in a) > limit:
+    hits = [where.get(w, ()) for w in a]
+    if sum(map(len, hits)) > limit:
         found = lcs_pairs(a, b)
         taken_a, taken_b = {i for i, _ in found}, {j for _, j in found}
         left = {w: [j for j in js if j not in taken_b][::-1] for w, js in where.items()}
         return found + [(i, left[w].pop()) for i, w in enumerate(a) if i not in taken_a and left.get(w)]
-    length: dict[tuple[int, int], int] = {}
+    heap: list[tuple[int, int, int]] = []
+    after: dict[int, int] = {}  # by place in b, the length of the run from there and the place in a at hand
     for i in range(len(a) - 1, -1, -1):
-        for j in where.get(a[i], ()):
-            length[i, j] = 1 + length.get((i + 1, j + 1), 0)
-    heap = [(-n, i, j) for (i, j), n in length.items()]
+        after = {j: 1 + after.get(j + 1, 0) for j in hits[i]}
+        heap += [(-n, i, j) for j, n in after.items()]
     heapify(heap)
     free_a, free_b = [True] * len(a), [True] * len(b)
     while heap:
@@ -130,7 +109,7 @@ def alignment(hyp: list[str], ref: list[str], limit: int = PLACES) -> list[tuple
     places are equal, those of a longest common subsequence come first and the others in order."""
     pairs: list[tuple[int, int]] = []
     h, r = list(range(len(hyp))), list(range(len(ref)))
-    for form in (lambda w: w, stem):
+    for form in (str, stem):
         found = _runs([form(hyp[i]) for i in h], [form(ref[j]) for j in r], limit)
         pairs += [(h[i], r[j]) for i, j in found]
         taken_h, taken_r = {i for i, _ in found}, {j for _, j in found}
@@ -149,26 +128,49 @@ def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float
     return precision * recall / (alpha * precision + (1 - alpha) * recall) * (1 - gamma * (stretches / len(pairs)) ** beta)
 
 
-def meteor(pairs: DataFrame) -> DataFrame:
-    """``(case_id, meteor)`` over lower-case words and marks; 0 when a side has none."""
+SCORES = {"bleu": (tokens, bleu_score), "rouge_l": (words, rouge_score), "meteor": (pieces, meteor_score)}
+
+
+def scored(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """``(case_id, *names)``: the named scores of every pair (case_id, hyp, ref), in one pass in which no row leaves its
+    task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in lots(batches):
+            sides = lambda name: zip(*(part.column(f"{name}_{c}").to_pylist() for c in ("hyp", "ref")))
+            found = {name: pa.array([SCORES[name][1](h, r) for h, r in sides(name)], pa.float64()) for name in names}
+            yield pa.RecordBatch.from_pydict({"case_id": part.column("case_id")} | found)
+
+    t = pairs.select("case_id", *[SCORES[name][0](F.col(c)).alias(f"{name}_{c}") for name in names for c in ("hyp", "ref")])
+    return t.mapInArrow(run, ", ".join([f"case_id {t.schema['case_id'].dataType.simpleString()}", *[f"{name} double" for name in names]]))
+
+
+def sentence_bleu(pairs: DataFrame) -> DataFrame:
+    """``(case_id, bleu)`` in percent: clipped n-gram precisions up to four, exponential smoothing of the orders without a
+    match, brevity penalty. A hypothesis of fewer tokens than that is scored on the orders it has. 0 when a side has no
+    token or nothing matches."""
+    return scored(pairs, ["bleu"])
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [meteor_score(h, r) for h, r in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"case_id": batch.column("case_id").cast(pa.int64()), "meteor": pa.array(out, pa.float64())})
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """``(case_id, rouge_l)``: F-measure of the longest common subsequence of stemmed words (words of up to three letters
+    stay as they are); 0 when a side has none."""
+    return scored(pairs, ["rouge_l"])
 
-    split = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0)
-    return pairs.select("case_id", split(F.col("hyp")).alias("h"), split(F.col("ref")).alias("r")).mapInArrow(score, "case_id long, meteor double")
+
+def meteor(pairs: DataFrame) -> DataFrame:
+    """``(case_id, meteor)`` over lower-case words and marks; 0 when a side has none."""
+    return scored(pairs, ["meteor"])
 
 
 def tier1_table(pairs: DataFrame, statuses: DataFrame, fields: tuple[str, ...] = ("findings", "impression")) -> DataFrame:
     """Every case of ``statuses`` (case_id, status, reason) with a column per field and score, ``<field>_bleu``,
-    ``<field>_rouge_l`` and ``<field>_meteor``, over ``pairs`` (case_id, field, hyp, ref); cases without a pair have nulls."""
+    ``<field>_rouge_l`` and ``<field>_meteor``, over ``pairs`` (case_id, field, hyp, ref); cases without a pair have nulls.
+    A field's scores come from one pass over its pairs and one join."""
     out = statuses
     for f in fields:
-        own = pairs.where(F.col("field") == f).select("case_id", "hyp", "ref")
-        for name, scorer in (("bleu", sentence_bleu), ("rouge_l", rouge_l), ("meteor", meteor)):
-            out = out.join(scorer(own).withColumnRenamed(name, f"{f}_{name}"), "case_id", "left")
+        own = scored(pairs.where(F.col("field") == f).select("case_id", "hyp", "ref"), list(SCORES))
+        out = out.join(own.withColumnsRenamed({name: f"{f}_{name}" for name in SCORES}), "case_id", "left")
     return out
 
 

@@ -80,6 +80,22 @@ def test_scores_per_field(spark):
     assert got[2].findings_rouge_l == 0 and got[2].impression_bleu is None and got[3].findings_bleu is None and got[3].reason == "time"
 
 
+def test_scores_without_shuffles(spark, sf_dir):
+    """No n-gram leaves its task; a field takes one pass; the scores are those of each scorer by itself."""
+    from casebook.plans.scoring_queries import pairs
+
+    p = pairs(spark, sf_dir)
+    assert not re.search("Generate|Aggregate", scoring.sentence_bleu(p)._jdf.queryExecution().optimizedPlan().toString())
+    p = spark.createDataFrame([tuple(r) for r in p.collect()], p.schema)
+    both = p.selectExpr("case_id", "'findings' AS field", "hyp", "ref").unionByName(p.selectExpr("case_id", "'impression' AS field", "ref AS hyp", "hyp AS ref"))
+    table = scoring.tier1_table(both, p.selectExpr("case_id", "'completed' AS status", "'' AS reason"))
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    got = {r.case_id: r for r in table.collect()}
+    for field, side in (("findings", p), ("impression", p.selectExpr("case_id", "ref AS hyp", "hyp AS ref"))):
+        for name, scorer in (("bleu", scoring.sentence_bleu), ("rouge_l", scoring.rouge_l), ("meteor", scoring.meteor)):
+            assert {r.case_id: r[name] for r in scorer(side).collect()} == {k: r[f"{field}_{name}"] for k, r in got.items()}
+
+
 def test_embeddings_against_counts(spark):
     texts = [(1, "a b a"), (2, ""), (3, None), (4, "Word word other")]
     got = {r.uid: np.array(r.embedding) for r in embedding.embed_batch(spark.createDataFrame(texts, "uid long, text string"), embedding.hashed_embedder(8), batch=2).collect()}
