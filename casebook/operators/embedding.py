@@ -35,8 +35,13 @@ def cache_valid(source: DataFrame, stored: DataFrame, content: list[str], group:
 
 def to_embed(source: DataFrame, cache: DataFrame, decisions: DataFrame, content: list[str], group: list[str]) -> DataFrame:
     """Rows of ``source`` (uid, ...) to be embedded: of the caches that ``cache_valid`` decided against, those whose
-    content hash the cache (uid, content_hash, the group) does not hold. Valid caches are not looked at row by row."""
-    stale = source.join(decisions.where("NOT valid").select(*group), group, "left_semi").withColumn("content_hash", content_hash(*content))
+    content hash the cache (uid, content_hash, the group) does not hold.
+
+    ``decisions`` has a row per cache and goes to all tasks, so no row is dealt by its cache. Content is hashed where it is
+    read: hashes are what moves, with such columns of the source as the caller goes on to use."""
+    refused = F.broadcast(decisions.where("NOT valid").select(*group).distinct())
+    # an inner join, since a semi join is pushed below the hash and takes the content along
+    stale = source.withColumn("content_hash", content_hash(*content)).join(refused, group).select(*source.columns, "content_hash")
     return stale.join(cache.select("uid", "content_hash", *group), ["uid", "content_hash", *group], "left_anti")
 
 

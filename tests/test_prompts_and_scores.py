@@ -115,3 +115,21 @@ def test_changed_text_under_an_old_key(spark):
     assert {r.split: (r.n_source, r.n_stored, r.valid) for r in decided.collect()} == {"train": (2, 2, False), "val": (1, 1, True), "test": (1, 0, False), "gone": (0, 1, False)}
     cache = old.select("uid", "split", embedding.content_hash("uid", "text").alias("content_hash"))
     assert sorted(r.uid for r in embedding.to_embed(src, cache, decided, ["uid", "text"], ["split"]).collect()) == [2, 4]
+
+
+def test_content_stays_where_it_is_read(spark):
+    """Hashes are shuffled, not texts; no row is dealt by its cache."""
+    src = spark.range(50).selectExpr("id AS uid", "concat('s', id % 2) AS split", "repeat('x', 1 + int(id)) AS text")
+    decided = spark.createDataFrame([("s0", False), ("s1", True)], "split string, valid boolean")
+    cache = src.where("uid % 4 = 0").select("uid", "split", embedding.content_hash("uid", "text").alias("content_hash"))
+    whole = embedding.to_embed(src, cache, decided, ["uid", "text"], ["split"])
+    assert whole.columns == ["uid", "content_hash", "split", "text"]
+    found, held = whole.select("uid"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        assert sorted(r.uid for r in found.collect()) == [u for u in range(50) if u % 2 == 0 and u % 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    moved = re.findall(r"\) (?:Exchange|Sort)\s*\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("text" in x for x in moved) and "BroadcastHashJoin" in plan
