@@ -96,6 +96,15 @@ def test_scores_without_shuffles(spark, sf_dir):
             assert {r.case_id: r[name] for r in scorer(side).collect()} == {k: r[f"{field}_{name}"] for k, r in got.items()}
 
 
+def test_baseline_scores_pairs_where_they_lie(spark):
+    p = spark.createDataFrame([(1, "a b c d", "a b c d"), (2, "e f", "e f"), (3, "g", "h")], "case_id long, hyp string, ref string")
+    partners = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "uid long, partner long")
+    found = scoring.baseline_mismatch(p, partners, "bleu", scoring.sentence_bleu)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row per n-gram
+    r = found.first()
+    assert (r.real, r.baseline, r.gap) == (pytest.approx(200 / 3), 0, pytest.approx(200 / 3))
+
+
 def test_embeddings_against_counts(spark):
     texts = [(1, "a b a"), (2, ""), (3, None), (4, "Word word other")]
     got = {r.uid: np.array(r.embedding) for r in embedding.embed_batch(spark.createDataFrame(texts, "uid long, text string"), embedding.hashed_embedder(8), batch=2).collect()}
