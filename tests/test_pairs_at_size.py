@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from casebook.operators import dedup as D
+from casebook.operators.components import connected_components
+from casebook.plans import registry
 from tests.test_splits import vectors
 
 
@@ -49,3 +51,21 @@ def test_pairs_in_blocks_are_all_there(spark, monkeypatch, group, block, cells):
     monkeypatch.setattr(D, "_near", lambda threshold: near(threshold, cells))
     got = {(r.a, r.b): r.similarity for r in D.cosine_pairs(df, 0.9).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pairs_are_verified_once(spark, sf_dir):
+    plan = registry.queries()["neardup_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long").mapInArrow(counted, "src long, dst long")
+    assert {r.component for r in connected_components(edges).collect()} == {0}
+    assert made.value == 20
