@@ -69,3 +69,34 @@ def test_edges_are_made_once(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long").mapInArrow(counted, "src long, dst long")
     assert {r.component for r in connected_components(edges).collect()} == {0}
     assert made.value == 20
+
+
+@pytest.fixture
+def sizes(monkeypatch):
+    found = {}
+    kept = D.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        found.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(D, "written", counted)
+    return found
+
+
+def test_a_cluster_sends_each_text_once(spark, sizes):
+    texts = near_copies(spark, 40, words=400)
+    again = texts.unionByName(texts.selectExpr("uid + 100 AS uid", "text"))
+    got = D.cluster_near_duplicates(again).collect()
+    assert len(got) == 80 and {r.cluster_id for r in got} == {0}
+    assert sizes["members"] == len({r.text for r in texts.collect()})  # not a row for each candidate, and none for copies
+
+
+def test_splits_of_a_large_cluster(spark, sizes):
+    other = spark.createDataFrame([(i, " ".join(f"z{i}w{x}" for x in range(40))) for i in range(500, 510)], "uid long, text string")
+    texts = near_copies(spark, 40).unionByName(other)
+    flagged = spark.createDataFrame([(3,), (505,)], "uid long")
+    got = {r.uid: r.split for r in D.make_splits(texts, flagged, texts.selectExpr("uid", "'L' AS label"), {"train": 0.7, "val": 0.15, "test": 0.15}).collect()}
+    assert len(got) == 48 and len({got[i] for i in range(40) if i != 3}) == 1
+    assert sizes["members"] == 39
