@@ -100,3 +100,18 @@ def test_splits_of_a_large_cluster(spark, sizes):
     got = {r.uid: r.split for r in D.make_splits(texts, flagged, texts.selectExpr("uid", "'L' AS label"), {"train": 0.7, "val": 0.15, "test": 0.15}).collect()}
     assert len(got) == 48 and len({got[i] for i in range(40) if i != 3}) == 1
     assert sizes["members"] == 39
+
+
+def test_flagged_studies_shuffle_no_text(spark, monkeypatch):
+    plans = []
+
+    def seen(texts, *rest):
+        plans.append(texts._jdf.queryExecution().executedPlan().toString())
+        return texts.selectExpr("uid", "uid AS cluster_id")
+
+    monkeypatch.setattr(D, "cluster_near_duplicates", seen)
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "uid long, text string")
+    flagged = spark.range(4_000_000).where("id % 1000000 = 3").selectExpr("id AS uid")
+    got = D.make_splits(texts, flagged, texts.selectExpr("uid", "'L' AS label"), {"train": 0.7, "val": 0.15, "test": 0.15})
+    assert "SortMergeJoin" not in plans[0] and "hashpartitioning(uid" not in plans[0]
+    assert sorted(r.uid for r in got.collect()) == [0, 1, 2, 4, 5, 6, 7, 8]
